@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact, mixing, packing
+from . import exact, mixing, packing, simhash, toxicity
 from .common import read
 
 
@@ -15,6 +15,11 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = toxicity.score_documents(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"), train=lambda key: ~toxicity.held_out(key))
+    return scored.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted", "hits", "words")
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_groups(read(spark, sf_dir, "documents"))
 
@@ -23,11 +28,21 @@ def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(spark, read(spark, sf_dir, "documents"))[1]
 
 
+def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.simhash_groups(spark, read(spark, sf_dir, "documents"))
+
+
 def op10_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read(spark, sf_dir, "documents"), tokenizer_path())
 
 
-QUERIES = {"op3_exact_dedup": op3_exact_dedup, "op6_mix_sources": op6_mix_sources, "op10_pack_sequences": op10_pack_sequences}
+QUERIES = {
+    "op1_toxicity": op1_toxicity,
+    "op3_exact_dedup": op3_exact_dedup,
+    "op6_mix_sources": op6_mix_sources,
+    "op9_simhash_near_dedup": op9_simhash_near_dedup,
+    "op10_pack_sequences": op10_pack_sequences,
+}
 
 SQL = {
     "op3_exact_dedup": """
