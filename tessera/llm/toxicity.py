@@ -31,13 +31,14 @@ HIDDEN = dict.fromkeys(map(ord, "­​‌‍⁠﻿"))
 
 
 class _Fold(dict):
-    """Folds a character: homoglyphs, accents and compatibility forms to a base letter; anything that is neither letter nor digit to a space."""
+    """Folds a character: homoglyphs and compatibility forms to a plain lower-case letter; combining marks away; anything that is neither
+    letter nor digit to a space. Accented letters stay; see _fold_word."""
 
     def __missing__(self, code: int) -> str:
         c = chr(code)
-        base = HOMOGLYPHS.get(c.lower()) or "".join(x for x in unicodedata.normalize("NFKD", c) if not unicodedata.combining(x)).lower()
-        base = "".join(HOMOGLYPHS.get(x, x) for x in base)
-        self[code] = out = " " if not base and not unicodedata.combining(c) else "".join(x if x.isalnum() or x in DIGITS else " " for x in base)
+        out = HOMOGLYPHS.get(c.lower()) or unicodedata.normalize("NFKC", c).lower()
+        out = "".join(HOMOGLYPHS.get(x, x) for x in out if not unicodedata.combining(x))
+        self[code] = out = "".join(x if x.isalnum() or x in DIGITS else " " for x in out)
         return out
 
 
@@ -53,13 +54,15 @@ def _fold_word(word: str) -> str:
     plain = word.lower().strip(".,;:!?\"'()*#&%-")
     if plain.isascii() and plain.isalpha():
         return _RUN.sub(r"\1\1", plain)
-    out = word.translate(_FOLD)
+    out = unicodedata.normalize("NFC", word).translate(_FOLD)
     if any(d in out for d in DIGITS):
         out = " ".join(x.translate(_LEET) if any(c.isalpha() for c in x) else "".join(c if c.isalnum() else " " for c in x) for x in out.split())
     parts = out.split()
     if len(parts) > 3 and all(len(x) == 1 for x in parts):
         parts = ["".join(parts)]
-    return _RUN.sub(r"\1\1", " ".join(parts))
+    out = _RUN.sub(r"\1\1", " ".join(parts))
+    bare = "".join([x for x in unicodedata.normalize("NFD", out) if not unicodedata.combining(x)])
+    return out if bare == out else f"{out} {bare}"
 
 
 def _spelled(words: list[str]) -> list[str]:
@@ -77,8 +80,8 @@ def _spelled(words: list[str]) -> list[str]:
 
 
 def fold(text: str | None) -> str:
-    """Folded words, one space between and around: lower case, homoglyphs, accents, hidden characters and digit substitutions undone,
-    letters spelled out one by one joined, runs of three or more equal letters cut to two."""
+    """Folded words, one space between and around: lower case, homoglyphs, hidden characters and digit substitutions undone, letters
+    spelled out one by one joined, runs of three or more equal letters cut to two; a word with accents is followed by itself without."""
     if len(_words) > CACHE_WORDS:
         _words.clear()
     known, out = _words, []
