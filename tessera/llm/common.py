@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -37,7 +38,10 @@ class Workspace:
         return self.spark.read.schema(df.schema).parquet(f"{self.root}/{name}")
 
     def drop(self, *names: str) -> None:
+        """Deletes tables that are no longer needed, and lets Spark remove the shuffle files of finished steps."""
         jvm = self.spark.sparkContext._jvm
+        gc.collect()
+        jvm.System.gc()
         for name in names:
             path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
             path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
