@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact, mixing, packing, phrases, simhash, suffixes, toxicity
+from . import exact, lattice, mixing, packing, phrases, simhash, suffixes, toxicity
 from .common import read
 
 
@@ -29,6 +29,10 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_groups(read(spark, sf_dir, "documents"))
 
 
+def op5_lattice_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice.embedding_groups(spark, read(spark, sf_dir, "embeddings"))
+
+
 def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(spark, read(spark, sf_dir, "documents"))[1]
 
@@ -50,6 +54,7 @@ QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_repeated_phrases": op2_repeated_phrases,
     "op3_exact_dedup": op3_exact_dedup,
+    "op5_lattice_near_dedup": op5_lattice_near_dedup,
     "op6_mix_sources": op6_mix_sources,
     "op7_suffix_dedup": op7_suffix_dedup,
     "op9_simhash_near_dedup": op9_simhash_near_dedup,
