@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact, lattice, mixing, packing, phrases, simhash, suffixes, toxicity
+from . import exact, html, lattice, mixing, packing, phrases, simhash, suffixes, toxicity
 from .common import read
 
 
@@ -29,6 +29,10 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_groups(read(spark, sf_dir, "documents"))
 
 
+def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract_text(read(spark, sf_dir, "pages"))
+
+
 def op5_lattice_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lattice.embedding_groups(spark, read(spark, sf_dir, "embeddings"))
 
@@ -54,6 +58,7 @@ QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_repeated_phrases": op2_repeated_phrases,
     "op3_exact_dedup": op3_exact_dedup,
+    "op4_html_text": op4_html_text,
     "op5_lattice_near_dedup": op5_lattice_near_dedup,
     "op6_mix_sources": op6_mix_sources,
     "op7_suffix_dedup": op7_suffix_dedup,
