@@ -231,12 +231,12 @@ def normalised():
     return F.log1p(F.col("weight") / F.sqrt(1 + F.col("words") / 100.0))
 
 
-def score_documents(docs: DataFrame, labels: DataFrame, train=None, exceptions: tuple[str, ...] = EXCEPTIONS, threshold: float = 0.7, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score_documents(docs: DataFrame, labels: DataFrame, train=None, exceptions: tuple[str, ...] = EXCEPTIONS, threshold: float = 0.7, max_labels: int = 40_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Score every whole text: id, score (0 to 1), predicted, hits, words.
 
     labels has the id and toxic (0 or 1; others are ignored). ``train`` is a condition on the id column: only labels where it holds are
-    learned from. Scores see nothing but texts. Lexicon and curve are learned from all the labelled texts; a term's matches count once a word, not
-    inside exception phrases, and are divided by length (see normalised), so that long clean texts don't add up to a toxic one.
+    learned from, and of more than ``max_labels`` of them a sample by hash of the id of about that size; so the ids to learn from have a bound, and
+    broadcasting them spares a shuffle of the texts. Scores see nothing but texts. A term's matches count once a word, not inside exception phrases, and are divided by length (see normalised), so that long clean texts don't add up to a toxic one.
 
     Null and empty texts have no match and get the lowest score. Repeated rows are scored each; an id with several labels learns from
     each. Without labels of both kinds the lexicon is empty and every text gets the same low score. An empty table gives an empty
@@ -245,8 +245,11 @@ def score_documents(docs: DataFrame, labels: DataFrame, train=None, exceptions:
     known = labels.select(labels[id_col].alias("_key"), labels["toxic"].cast("int").alias("toxic")).where(F.col("toxic").isin(0, 1))
     if train is not None:
         known = known.where(train(F.col("_key")))
+    n = known.count()
+    if n > max_labels:
+        known = known.where(F.pmod(F.xxhash64("_key", F.lit("labels")), F.lit(1_000_000)) < int(1_000_000 * max_labels / n))
     texts = docs.select(docs[id_col].alias(id_col), docs[text_col].alias(text_col))
-    labelled = texts.join(known, texts[id_col] == known["_key"]).select(texts[id_col], texts[text_col], "toxic")
+    labelled = texts.join(F.broadcast(known), texts[id_col] == known["_key"]).select(texts[id_col], texts[text_col], "toxic")
     lexicon = learn_lexicon(labelled, text_col=text_col)
     a, b = calibrate(measured(labelled, lexicon, exceptions, id_col, text_col, ("toxic",)))
     score = 1 / (1 + F.exp(-F.greatest(F.lit(-30.0), F.least(F.lit(30.0), F.lit(a) + F.lit(b) * normalised()))))
