@@ -105,3 +105,16 @@ def mix(spark: SparkSession, docs: DataFrame, weights: tuple[float, ...] = (1, 2
         F.col("_id").alias(id_col), "size", "source_size", "target", F.coalesce("_taken", F.lit(0)).cast("bigint").alias("taken")
     )
     return slots, taken
+
+
+def mixed_documents(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", seed: int = 7, **options) -> DataFrame:
+    """The mix in whole documents: each with all its columns, as many times as the mix takes its words, taken / size. The fraction is
+    rounded up or down by a hash of the id, up as often as it says, so that sources keep their share. Repeated ids follow the first of them."""
+    taken = mix(spark, docs, id_col=id_col, seed=seed, **options)[1]
+    share = F.col("taken") / F.col("size")
+    chance = F.pmod(F.xxhash64(id_col, F.lit(seed), F.lit("copies")), F.lit(1 << 30)) / float(1 << 30)
+    copies = F.floor(share) + (chance < share - F.floor(share)).cast("bigint")
+    times = taken.where("size > 0").select(F.col(id_col).alias("_mixed_id"), copies.cast("int").alias("_copies")).where("_copies > 0")
+    times = times.groupBy("_mixed_id").agg(F.max("_copies").alias("_copies"))
+    found = docs.join(times, docs[id_col] == times["_mixed_id"])
+    return found.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*(docs[c] for c in docs.columns))
