@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact, html, lattice, mixing, packing, phrases, simhash, suffixes, toxicity
+from . import exact, html, lattice, mixing, packing, phrases, pii, simhash, suffixes, toxicity
 from .common import read
 
 
@@ -46,6 +46,10 @@ def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return left.select("doc_id", "n_bytes", (F.col("n_bytes") - F.length("kept")).cast("long").alias("n_removed"), "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op8_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.replace_personal_data(spark, read(spark, sf_dir, "documents"))
+
+
 def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_groups(spark, read(spark, sf_dir, "documents"))
 
@@ -62,6 +66,7 @@ QUERIES = {
     "op5_lattice_near_dedup": op5_lattice_near_dedup,
     "op6_mix_sources": op6_mix_sources,
     "op7_suffix_dedup": op7_suffix_dedup,
+    "op8_surrogates": op8_surrogates,
     "op9_simhash_near_dedup": op9_simhash_near_dedup,
     "op10_pack_sequences": op10_pack_sequences,
 }
