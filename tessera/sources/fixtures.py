@@ -54,7 +54,7 @@ TABLES = {
     "aliases": "SELECT 'u' || CAST(p_partkey % 5 AS STRING) AS user_id, upper(p_name) || ' ' AS alias_text, lower(p_name) AS normalized_alias_text, 'X' || CAST(p_partkey AS STRING) AS node_id FROM {part} WHERE p_partkey % 4 = 0",
     "redirects": "SELECT 'X' || CAST(p_partkey AS STRING) AS from_id, 'X' || CAST(p_partkey - 1 AS STRING) AS to_id FROM {part} WHERE p_partkey % 10 = 9",
     "observations": "SELECT event_id AS observation_id, event_type AS metric, 'u' || CAST(user_id % 5 AS STRING) AS user_id, value, ts AS occurred_at FROM {events}",
-    "definitions": "SELECT DISTINCT event_type AS metric, upper(event_type) AS label, CASE WHEN event_type < 'm' THEN 'avg' ELSE 'sum' END AS aggregation_hint, 0.0 AS valid_min, 400.0 AS valid_max, event_type > 's' AS needs_review FROM {events}",
+    "definitions": "SELECT DISTINCT event_type AS metric, upper(event_type) AS label, CASE WHEN event_type < 'm' THEN 'avg' ELSE 'sum' END AS aggregation_hint, CAST(0 AS DOUBLE) AS valid_min, CAST(400 AS DOUBLE) AS valid_max, event_type > 's' AS needs_review FROM {events}",
     "node_vectors": "SELECT 'X' || CAST(vec_id AS STRING) AS node_id, embedding, label FROM {embeddings}",
     "turns": "SELECT 'conv-' || CAST(conv_id AS STRING) AS conversation_id, conv_id, turn, role, text FROM {conversations}",
 }
