@@ -35,13 +35,17 @@ class Workspace:
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
         df.write.mode("overwrite").parquet(f"{self.root}/{name}")
+        self.release()
         return self.spark.read.schema(df.schema).parquet(f"{self.root}/{name}")
 
+    def release(self) -> None:
+        """Lets Spark remove the shuffle files of steps whose results are written; it does so once their plans are garbage."""
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
+
     def drop(self, *names: str) -> None:
-        """Deletes tables that are no longer needed, and lets Spark remove the shuffle files of finished steps."""
+        """Deletes tables that are no longer needed."""
         jvm = self.spark.sparkContext._jvm
-        gc.collect()
-        jvm.System.gc()
         for name in names:
             path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
             path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

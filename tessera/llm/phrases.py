@@ -28,6 +28,8 @@ def locate(texts: list[bytes], owners: list[int], width: int) -> list[np.ndarray
         words = lists[i]
         for j in range(len(words) - width + 1):
             automaton.add_word(words[j : j + width], i)
+    if not lists:
+        return []
     automaton.make_automaton()
     out, owner = [], np.array(owners, dtype=np.int64)
     for words in lists:
@@ -43,7 +45,8 @@ def remove_phrases(spark: SparkSession, docs: DataFrame, width: int = 13, gram:
     2. Recurring passages: segments around anchor grams that occur in several texts (see windows). Equal segments combine before they
        are shuffled, so that a passage of a third of all documents costs one row a task.
     3. The distinct segments are dealt to shards by anchor, so that equal windows meet; each shard compiles its phrases into an automaton and
-       streams its segments through (locate), which gives the first owner of every window.
+       streams its segments through (locate), which gives the first owner of every window. Where an anchor has one distinct segment only, that
+       passage recurs as a whole and its owner is the answer; the automaton holds the others.
     4. The answers join the segments of all texts, and the covered words go. Windows are judged on the input.
 
     Ids are integers. A null text is empty; texts of fewer than ``width`` words stay whole. Rows that repeat an id are documents of equal id,
@@ -60,29 +63,37 @@ def remove_phrases(spark: SparkSession, docs: DataFrame, width: int = 13, gram:
 
     texts, members = distinct_texts(work, docs, id_col, text_col)
     segments = candidate_segments(work, spec, False, cut)
-    distinct = segments.groupBy("seed", "content").agg(F.min("_key").alias("owner"), F.max("_key").alias("last"))
+    distinct = segments.groupBy("seed", "content").agg(F.min("_key").alias("owner"), F.max("_key").alias("last"), F.first("windows").alias("windows"))
     distinct = work.save(distinct.withColumn("segment", F.xxhash64("content", F.lit(1))).withColumn("segment2", F.crc32("content")), "distinct")
     total = distinct.agg(F.sum(F.length("content"))).first()[0] or 0
     shards = max(1, -(-total // shard_bytes))
 
     def shard(b: pd.DataFrame) -> pd.DataFrame:
-        first = locate(b["content"].tolist(), b["owner"].tolist(), width)
-        keep = [i for i, f in enumerate(first) if (f < b["last"].iat[i]).any()]
-        return pd.DataFrame({"segment": b["segment"].iloc[keep], "segment2": b["segment2"].iloc[keep], "seed": b["seed"].iloc[keep], "firsts": [first[i].tobytes() for i in keep]})
+        firsts: list[bytes | None] = [None] * len(b)
+        keep = (b["owner"] < b["last"]).to_numpy().copy()
+        contested = np.flatnonzero(b["seed"].duplicated(keep=False))
+        part = b.iloc[contested]
+        for i, f, owner, last in zip(contested.tolist(), locate(part["content"].tolist(), part["owner"].tolist(), width), part["owner"], part["last"], strict=True):
+            if (f != owner).any():
+                firsts[i], keep[i] = f.tobytes(), bool((f < last).any())
+        return b[["segment", "segment2", "seed", "owner", "windows"]].assign(firsts=firsts)[keep]
 
     dealt = distinct.groupBy(F.pmod(F.xxhash64("seed"), F.lit(shards)).alias("shard"))
-    located = work.save(dealt.applyInPandas(shard, "segment long, segment2 long, seed long, firsts binary"), "located")
+    located = work.save(dealt.applyInPandas(shard, "segment long, segment2 long, seed long, owner long, windows int, firsts binary"), "located")
     named = segments.select("_key", "first", "seed", F.xxhash64("content", F.lit(1)).alias("segment"), F.crc32("content").alias("segment2"))
-    answers = named.join(located, ["seed", "segment", "segment2"]).select("_key", "first", "firsts")
-    answers = work.save(answers.groupBy("_key").agg(F.collect_list("first").alias("at"), F.collect_list("firsts").alias("firsts")), "answers")
+    answers = named.join(located, ["seed", "segment", "segment2"]).where("firsts IS NOT NULL OR owner < _key")
+    answers = work.save(answers.groupBy("_key").agg(F.collect_list(F.struct("first", "owner", "windows", "firsts")).alias("found")), "answers")
     work.drop("segments", "distinct", "located")
 
     def strip(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out = []
-            for key, text, own, at, firsts in zip(*(b[c] for c in ("_key", "_text", "_own", "at", "firsts")), strict=True):
+            for key, text, own, found in zip(*(b[c] for c in ("_key", "_text", "_own", "found")), strict=True):
                 words = text.encode().split()
-                flags = [a + np.flatnonzero(np.frombuffer(f, dtype=np.int64) < key) for a, f in zip(at, firsts, strict=True)] if at is not None else []
+                flags = []
+                for x in found if found is not None else ():
+                    earlier = np.full(x["windows"], x["owner"] < key) if x["firsts"] is None else np.frombuffer(x["firsts"], dtype=np.int64) < key
+                    flags.append(x["first"] + np.flatnonzero(earlier))
                 gone = covered(np.concatenate(flags), width, len(words)) if flags else np.zeros(len(words), dtype=bool)
                 out += [(key, b" ".join([w for w, g in zip(words, gone.tolist(), strict=True) if not g]).decode(), len(words), int(gone.sum()))] * own
             yield pd.DataFrame(out, columns=["_id", "text", "n_words", "n_removed"])

@@ -14,6 +14,8 @@ from .common import Workspace
 from .components import connected_components
 
 BITS = 64
+#: A probe key is written, shuffled and sorted, which takes about as long as comparing this many pairs of fingerprints inside a task.
+PROBE_COST = 100
 
 
 def fingerprint(text: str | None, words: int = 4, seed: int = 42) -> int:
@@ -98,7 +100,7 @@ def pick_thresholds(parts: list[list[int]], p: np.ndarray, n: float, exact: list
         scale, cost, keys = pairs / max(law[0], 1e-30), {-1: 0.0}, 0.0
         for t in range(radius + 1):
             keys += float(np.prod([(len(bits) - i) / (i + 1) for i in range(t)]))
-            cost[t] = n * keys + min(scale * law[: t + 1].sum(), n * n / 2)
+            cost[t] = PROBE_COST * n * keys + min(scale * law[: t + 1].sum(), n * n / 2)
         new: dict[int, tuple[float, list[int]]] = {}
         for used, (c, ts) in best.items():
             for t, extra in cost.items():

@@ -66,7 +66,7 @@ def remove_substrings(spark: SparkSession, docs: DataFrame, width: int = 100, gr
     Earlier is a smaller id, or the same id and an earlier start. Spark deals suffixes so that equal strings meet: whole copies of a text become one; segments
     around anchor grams that occur once in all texts are left out (see windows); equal segments combine before the shuffle; the distinct ones are
     dealt to shards by anchor. A shard ranks its windows by prefix doubling (prefix_ranks), and returns for each window the earliest
-    place. The answers join the segments of all texts. Strings are judged on the input, and matches never cross documents.
+    place; a segment that alone has its anchor recurs as a whole, and its own earliest place is the answer. The answers join the segments of all texts. Strings are judged on the input, and matches never cross documents.
 
     Ids are integers. A null text is empty; texts shorter than ``width`` bytes stay whole. Rows that repeat an id are documents of equal id: equal texts
     among them stay, and of different ones none precedes another but by place. A null id is later than all others. Very long
@@ -80,33 +80,40 @@ def remove_substrings(spark: SparkSession, docs: DataFrame, width: int = 100, gr
     texts, members = distinct_texts(work, docs, id_col, text_col)
     segments = candidate_segments(work, spec, True, cut)
     earliest, last = F.min(F.struct("_key", "first")).alias("e"), F.max(F.struct("_key", "first")).alias("l")
-    distinct = segments.groupBy("seed", "content").agg(earliest, last).select("seed", "content", F.col("e._key").alias("owner"), F.col("e.first").alias("start"), (F.col("e") < F.col("l")).alias("again"))
+    distinct = segments.groupBy("seed", "content").agg(earliest, last, F.first("windows").alias("windows")).select("seed", "content", F.col("e._key").alias("owner"), F.col("e.first").alias("start"), (F.col("e") < F.col("l")).alias("again"), "windows")
     distinct = work.save(distinct.withColumn("segment", F.xxhash64("content", F.lit(1))).withColumn("segment2", F.crc32("content")), "distinct")
     total = distinct.agg(F.sum(F.length("content"))).first()[0] or 0
     shards = max(1, -(-total // shard_bytes))
 
     def shard(b: pd.DataFrame) -> pd.DataFrame:
-        found = first_places(b["content"].tolist(), b["owner"].tolist(), b["start"].tolist(), width)
-        keep = []
-        for i, (f, owner, start, again) in enumerate(zip(found, b["owner"], b["start"], b["again"], strict=True)):
-            if again or (f[:, 0] != owner).any() or (f[:, 1] != start + np.arange(len(f))).any():
-                keep.append(i)
-        return pd.DataFrame({"segment": b["segment"].iloc[keep], "segment2": b["segment2"].iloc[keep], "seed": b["seed"].iloc[keep], "firsts": [found[i].tobytes() for i in keep]})
+        firsts: list[bytes | None] = [None] * len(b)
+        keep = b["again"].to_numpy().copy()
+        contested = np.flatnonzero(b["seed"].duplicated(keep=False))
+        if len(contested):
+            part = b.iloc[contested]
+            found = first_places(part["content"].tolist(), part["owner"].tolist(), part["start"].tolist(), width)
+            for i, f, owner, start in zip(contested.tolist(), found, part["owner"], part["start"], strict=True):
+                if (f[:, 0] != owner).any() or (f[:, 1] != start + np.arange(len(f))).any():
+                    firsts[i], keep[i] = f.tobytes(), True
+        return b[["segment", "segment2", "seed", "owner", "start", "windows"]].assign(firsts=firsts)[keep]
 
     dealt = distinct.groupBy(F.pmod(F.xxhash64("seed"), F.lit(shards)).alias("shard"))
-    located = work.save(dealt.applyInPandas(shard, "segment long, segment2 long, seed long, firsts binary"), "located")
+    located = work.save(dealt.applyInPandas(shard, "segment long, segment2 long, seed long, owner long, start long, windows int, firsts binary"), "located")
     named = segments.select("_key", "first", "seed", F.xxhash64("content", F.lit(1)).alias("segment"), F.crc32("content").alias("segment2"))
 
     def flag(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out = []
-            for key, first, firsts in zip(b["_key"], b["first"], b["firsts"], strict=True):
-                f = np.frombuffer(firsts, dtype=np.int64).reshape(-1, 2)
-                earlier = (f[:, 0] < key) | ((f[:, 0] == key) & (f[:, 1] < first + np.arange(len(f))))
+            for key, first, owner, start, n, firsts in zip(*(b[c] for c in ("_key", "first", "owner", "start", "windows", "firsts")), strict=True):
+                if firsts is None:
+                    earlier = np.full(n, (owner, start) < (key, first))
+                else:
+                    f = np.frombuffer(firsts, dtype=np.int64).reshape(-1, 2)
+                    earlier = (f[:, 0] < key) | ((f[:, 0] == key) & (f[:, 1] < first + np.arange(n)))
                 out.append(np.packbits(earlier).tobytes() if earlier.any() else None)
             yield b[["_key", "first"]].assign(bits=out).dropna()
 
-    flags = named.join(located, ["seed", "segment", "segment2"]).select("_key", "first", "firsts").mapInPandas(flag, "_key long, first long, bits binary")
+    flags = named.join(located, ["seed", "segment", "segment2"]).select("_key", "first", "owner", "start", "windows", "firsts").mapInPandas(flag, "_key long, first long, bits binary")
     answers = work.save(flags.groupBy("_key").agg(F.collect_list("first").alias("at"), F.collect_list("bits").alias("bits")), "answers")
     work.drop("segments", "distinct", "located")
 

@@ -138,7 +138,7 @@ def candidate_segments(work: Workspace, spec: Spec, same_text: bool, cut) -> Dat
 
     texts = work.spark.read.parquet(f"{work.root}/distinct_texts")
     pairs = work.save(texts.select("_key", "_text").mapInPandas(grams, "_key long, seed long, n int"), "pairs")
-    again = (F.min("_key") < F.max("_key")) | (F.sum("n") > 1) if same_text else F.min("_key") < F.max("_key")
+    again = (F.sum("n") if same_text else F.count(F.lit(1))) > 1  # a text has one row for each of its grams
     repeated = pairs.groupBy("seed").agg(again.alias("again")).where("again").select("seed")
     marks = work.save(pairs.select("_key", "seed").join(repeated, "seed").groupBy("_key").agg(F.collect_list("seed").alias("seeds")), "marks")
     work.drop("pairs")
