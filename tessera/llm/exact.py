@@ -42,7 +42,8 @@ def keyed(docs: DataFrame, id_col: str, text_col: str, normalise, salts: int) ->
 
 
 def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The documents that stay, with all their columns, one row per group. Rows that repeat an id keep one row of it."""
+    """The documents that stay, with all their columns, one row per group. Rows that repeat an id keep one row of it; rows of null id stay."""
     groups = exact_groups(docs, id_col, text_col, **options)
     stay = groups.where("kept").select(F.col(id_col).alias("_kept_id")).distinct()
-    return docs.join(stay, docs[id_col] == stay["_kept_id"], "left_semi").dropDuplicates([id_col])
+    named = docs.join(stay, docs[id_col] == stay["_kept_id"], "left_semi").dropDuplicates([id_col])
+    return named.unionByName(docs.where(docs[id_col].isNull()))

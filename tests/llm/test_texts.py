@@ -1,0 +1,120 @@
+"""op1, op4 and op8: held-out accuracy, rendered pages, surrogates."""
+
+import re
+import zlib
+
+from pyspark.sql import functions as F
+
+from tessera.llm import html, pii, toxicity
+from tessera.llm.common import read
+from tessera.llm.queries import QUERIES
+
+from .cases import CLASHING, documents, odd_rows
+
+SF = "/root/testdata/sf0.01"
+
+
+def test_folding():
+    assert toxicity.fold("  Ѕtυpіd ST0PID s.t.u.p.i.d stuuuupid ") .split()[0] == "stupid"
+    assert toxicity.fold("1d10t").split() == ["idiot"] and toxicity.fold("2024 100").split() == ["2024", "100"]
+    assert toxicity.fold("i d i o t").split() == ["idiot"] and toxicity.fold("x​y").split() == ["xy"]
+    assert toxicity.fold(None).split() == [] and toxicity.fold(" ").split() == []
+
+
+def test_exceptions_and_length():
+    match = toxicity.matcher({" idiot": 4.0, " scum ": 3.0}, ("idiot proof", "pond scum"))
+    assert toxicity.features("An IDIOT. idiots scum", match)[:2] == (11.0, 3)
+    assert toxicity.features("an idiot-proof lid on pond scum", match)[:2] == (0.0, 0)
+    assert toxicity.features("scummy", match)[:2] == (0.0, 0) and toxicity.features(None, match) == (0.0, 0, 0)
+
+
+def test_held_out_accuracy(spark):
+    got = {r.doc_id: r for r in QUERIES["op1_toxicity"](spark, SF).collect()}
+    truth = {r.doc_id: r.toxic for r in read(spark, SF, "labels").collect()}
+    assert len(got) == read(spark, SF, "documents").count()
+    assert all(r.held_out == (zlib.crc32(str(i).encode()) % 3 == 1) and 0 <= r.score <= 1 and r.predicted == (r.score >= 0.7) for i, r in got.items())
+    held = [(got[i].predicted, y) for i, y in truth.items() if i in got and got[i].held_out]
+    right = sum(p == y for p, y in held)
+    toxic = [p for p, y in held if y == 1]
+    assert right >= 0.95 * len(held) and sum(toxic) >= 0.8 * len(toxic)
+
+
+def test_labels_of_held_out_rows_do_not_matter(spark):
+    docs, labels = read(spark, SF, "documents"), read(spark, SF, "labels")
+    train = lambda key: ~toxicity.held_out(key)
+    flipped = labels.withColumn("toxic", F.when(toxicity.held_out(F.col("doc_id")), 1 - F.col("toxic")).otherwise(F.col("toxic")))
+    one, two = ({r.doc_id: r.score for r in toxicity.score_documents(docs, x, train).collect()} for x in (labels, flipped))
+    assert one == two
+
+
+def test_toxicity_edges(spark):
+    docs = documents(spark, odd_rows())
+    labels = spark.createDataFrame([(1, 1, "x"), (2, 0, "x"), (None, 1, "x"), (3, None, "x")], "doc_id long, toxic int, text string")
+    got = toxicity.score_documents(docs, labels).collect()
+    assert len(got) == len(odd_rows()) and all(0 <= r.score <= 1 for r in got)
+    assert toxicity.score_documents(docs, labels.limit(0)).count() == len(odd_rows())
+    assert toxicity.score_documents(docs.limit(0), labels).count() == 0
+    assert toxicity.drop_toxic(spark, docs, labels).columns == docs.columns
+
+
+PAGE = """<!doctype html><head><title>no</title><style>p{}</style><script>if (a<b) x("</p>")</script></head>
+<h1>Head &amp; more</h1><p>One <b>two</b>
+ three<p>Four<br>five<div hidden>no</div><div style="display: none">no<p>no</div>
+<ul><li>a<li>b<ol><li>c</ol></ul><pre>  x
+   y</pre><table><tr><th>Name<th>N<tr><td>long name<td>1</table><!-- no --><noscript>no</noscript>end"""
+
+
+def test_layout():
+    text = html.text_of(PAGE)
+    lines = text.split("\n")
+    assert "no" not in re.findall(r"\w+", text)
+    assert lines[:6] == ["Head & more", "", "One two three", "", "Four", "five"]
+    assert "- a" in lines and "- b" in lines and any(x.strip() == "1. c" and x.startswith(" ") for x in lines)
+    assert "  x" in lines and "   y" in lines
+    at = next(i for i, x in enumerate(lines) if x.startswith("Name"))
+    assert lines[at].index("N", 1) == lines[at + 1].index("1") and lines[at + 1].startswith("long name") and lines[-1] == "end"
+    assert [html.text_of(x) for x in (None, "", "<", "<p", "a<!--", "<div><p>x", "</p></div>y", "&#x41;&bogus;")][:2] == ["", ""]
+    assert html.text_of("<div>" * 3000 + "deep").strip() == "deep"
+
+
+def test_pages(spark):
+    clash = tuple("x" for _ in CLASHING.split(", "))
+    rows = [(1, "u", PAGE), (2, "u", None), (3, None, ""), (None, "u", "<p>x"), (1, "u", PAGE)]
+    pages = spark.createDataFrame([(*r, *clash) for r in rows], f"page_id long, url string, html string, {CLASHING}")
+    got = html.extract_text(pages).collect()
+    assert len(got) == 5 and all(r.n_chars == len(r.text) for r in got) and {r.page_id: r.text for r in got}[None] == "x"
+    assert html.extract_text(pages.limit(0)).count() == 0
+    whole = QUERIES["op4_html_text"](spark, "/root/testdata/sf0.001").collect()
+    assert whole and not any(re.search(r"<(p|div|table|script)\b", r.text) for r in whole)
+
+
+TEXT = "Mr. John Smith <j.smith@mail.example.org> called +1 555 123 4567 from 10.1.2.3, card 4111 1111 1111 1111; Frau Anna Müller and г-н Иван Петров, SSN 123-45-6789, password: hunter22x"
+
+
+def test_surrogates(spark):
+    rows = [(1, TEXT, "a"), (2, f"Again J.SMITH@mail.example.org and Mr. Smith. {TEXT}", "a"), (3, "nothing here", "a"), (4, None, "a"), (5, "", "a"), (1, TEXT, "a")]
+    docs = documents(spark, rows)
+    found = pii.replace_personal_data(spark, docs).collect()
+    got = {r.doc_id: r for r in found}
+    assert len(found) == 6 and got[3].text == "nothing here" and got[4].text is None and got[5].text == "" and got[3].n_entities == 0
+    t = got[1].text
+    assert not re.search(r"John|Smith|j\.smith|555 123|10\.1\.2\.3|4111 1111|Anna|Müller|Иван|Петров|123-45|hunter", t)
+    assert re.search(r"Mr\. [A-Z]\w+ [A-Z]\w+ <[a-z]\.[a-z]{5}@[a-z.]+\.org> called \+1 \d{3} \d{3} \d{4} from (\d{1,3}\.){3}\d{1,3}, card (\d{4} ){3}\d{4}; Frau [A-Z]\w+ [A-Z]\w+ and г-н [А-Я]\w+ [А-Я]\w+, SSN \d{3}-\d{2}-\d{4}, password: \w{9}$", t)
+    assert got[2].text.endswith(t)
+    family = re.match(r"Mr\. \w+ (\w+)", t)[1]
+    assert f"Mr. {family}." in got[2].text
+    digits = [int(c) for c in re.search(r"card ([\d ]+);", t)[1] if c != " "]
+    assert sum(d if i % 2 else (2 * d) // 10 + (2 * d) % 10 for i, d in enumerate(digits)) % 10 == 0
+    mail = re.search(r"<(.*?)>", t)[1]
+    assert mail.lower() in got[2].text.lower().split(" and ")[0]
+    other = {r.doc_id: r.text for r in pii.replace_personal_data(spark, docs, key="other").collect()}
+    assert other[1] != t
+    assert pii.replace_personal_data(spark, docs.limit(0)).count() == 0
+    assert pii.replace_personal_data(spark, documents(spark, odd_rows())).count() == len(odd_rows())
+
+
+def test_stand_ins_are_distinct(spark):
+    """All two-digit strings of a kind, so that draws must collide."""
+    values = spark.range(60).select(F.lit("ssn").alias("kind"), F.format_string("%02d", "id").alias("value"))
+    made = pii.surrogates(pii.Workspace(spark, "t"), values, "k").collect()
+    assert len({r.stand_in for r in made}) == len(made) == 60 and not {r.stand_in for r in made} & {r.value for r in made}
