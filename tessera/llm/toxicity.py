@@ -182,7 +182,7 @@ def features(text: str | None, match: tuple) -> tuple[float, int, int]:
         for end, n in phrases.iter(folded):
             for at in [a for a in best if end - n + 1 <= a < end]:
                 del best[at]
-    return sum(best.values()), len(best), folded.count(" ") - 1
+    return sum(best.values(), 0.0), len(best), len(folded.split())
 
 
 def measured(docs: DataFrame, lexicon: dict[str, float], exceptions: tuple[str, ...], id_col: str, text_col: str, extra: tuple[str, ...] = ()) -> DataFrame:
