@@ -7,7 +7,7 @@ from itertools import combinations, product
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Workspace
@@ -84,17 +84,18 @@ def usable(v) -> bool:
     return bool(np.isfinite(x).all() and (x != 0).any())
 
 
-def cell_links(rep: np.ndarray, probe: np.ndarray, home: np.ndarray, cell: np.ndarray, block: np.ndarray, table: np.ndarray, x: np.ndarray, keys_of, copies: np.ndarray, least: float, chunk: int = 60_000) -> tuple[np.ndarray, Links]:
+def cell_links(rep: np.ndarray, looks: np.ndarray, found: np.ndarray, cell: np.ndarray, tile: np.ndarray, table: np.ndarray, x: np.ndarray, keys_of, copies: np.ndarray, least: float, chunk: int = 60_000) -> tuple[np.ndarray, Links]:
     """Links found in the cells of one bucket, each pair counted in one cell of all only: counts per row of x, and a forest of links.
 
-    rep: row of x of each entry; probe: it looks only and is not found; home: it lies in the cell, perhaps in another block of it; keys_of: cells of rows of x. A pair that meets in several cells is counted in the first table where it meets, in its common cell, or else in the
+    rep: row of x of each entry; looks and found: its part in its tile of the cell; keys_of: cells of rows of x. A pair that meets in several cells is counted in the first table where it meets, in its common cell, or else in the
     cell of the larger row's id, or else of the smaller's.
     """
     count, links = np.zeros(len(x), dtype=np.int64), Links(len(x))
     keys, have = None, np.zeros(len(x), dtype=bool)
-    spot = cell + block.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)  # several blocks of a cell may lie in one bucket
-    order = np.argsort(spot[~probe], kind="stable")
-    index, index_rep = spot[~probe][order], rep[~probe][order]
+    spot = cell + tile.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)  # several tiles of a cell may lie in one bucket
+    order = np.argsort(spot[found], kind="stable")
+    index, index_rep = spot[found][order], rep[found][order]
+    rep, found, cell, table, spot = rep[looks], found[looks], cell[looks], table[looks], spot[looks]
     lo, hi = np.searchsorted(index, spot, "left"), np.searchsorted(index, spot, "right")
     width, at = hi - lo, 0
     total = np.cumsum(width)
@@ -103,7 +104,7 @@ def cell_links(rep: np.ndarray, probe: np.ndarray, home: np.ndarray, cell: np.nd
         left = np.repeat(np.arange(at, end), width[at:end])
         right = index_rep[np.arange(len(left)) - np.repeat(np.cumsum(width[at:end]) - width[at:end], width[at:end]) + lo[left]]
         a, b, where, t = rep[left], right, cell[left], table[left]
-        ok = (a != b) & (~home[left] | (a < b))  # two rows of one cell meet twice there: as entries both ways, in one block or in the blocks of either
+        ok = (a != b) & (~found[left] | (a < b))  # two rows that both look and are found meet twice, as entries both ways
         a, b, where, t = a[ok], b[ok], where[ok], t[ok]
         for i in range(0, len(a), chunk):
             p, q, w, tt = a[i : i + chunk], b[i : i + chunk], where[i : i + chunk], t[i : i + chunk]
@@ -136,6 +137,25 @@ def cell_links(rep: np.ndarray, probe: np.ndarray, home: np.ndarray, cell: np.nd
     return count, links
 
 
+def tiles(entries: DataFrame, is_home: Column) -> DataFrame:
+    """One row for each tile that an entry takes part in: tile, looks, found. homes, probes: numbers of blocks of the cell, null where it isn't split.
+
+    A tile is a pair of blocks: of vectors i <= j, where j looks for i; or of probes and of vectors, where the probes look. Tiles of one cell have
+    different numbers; in a cell that isn't split there is one, null.
+    """
+    own = lambda blocks: F.pmod(F.xxhash64("rep"), F.greatest(blocks, F.lit(1)))
+    homes, probes = F.col("homes").cast("long"), F.col("probes").cast("long")
+    mine, other = own(homes), lambda n: F.sequence(F.lit(0).cast("long"), n - 1)
+    part = lambda tile, looks, found: F.struct(tile.alias("tile"), looks.alias("looks"), found.alias("found"))
+    with_homes = F.transform(other(homes), lambda j: part(F.least(mine, j) * homes + F.greatest(mine, j), mine >= j, mine <= j))
+    with_probes = F.transform(other(probes), lambda p: part((homes + p) * homes + mine, F.lit(False), F.lit(True)))
+    with_probes = F.when(probes > 0, with_probes).otherwise(F.array().cast("array<struct<tile:bigint,looks:boolean,found:boolean>>"))
+    of_probe = F.transform(other(homes), lambda j: part((homes + own(probes)) * homes + j, F.lit(True), F.lit(False)))
+    whole = F.array(part(F.lit(None).cast("long"), F.lit(True), is_home))
+    parts = F.when(F.col("homes").isNull(), whole).when(is_home, F.concat(with_homes, with_probes)).otherwise(of_probe)
+    return entries.withColumn("part", F.explode(parts)).select("rep", "cell", "place", "part.tile", "part.looks", "part.found")
+
+
 def embedding_groups(spark: SparkSession, vectors: DataFrame, least: float = 0.95, tables: int = 20, probes: int = 8, scale: float = 2.2, seed: int = 11, rows_per_bucket: int = 40_000, hot_cell: int = 4000, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """One row per vector: id, n_links (other vectors linked directly), component_id (smallest id reachable), kept (id = component_id).
 
@@ -144,7 +164,9 @@ def embedding_groups(spark: SparkSession, vectors: DataFrame, least: float = 0.9
       lattice point; a vector lies in that cell, and looks into it and the ``probes`` neighbouring cells nearest to it.
     * Vectors that meet in a cell are compared by cosine in double precision; only pairs of at least ``least`` are linked. Tasks count each
       pair in one cell only (cell_links) and return counts and a forest of links, not pairs.
-    * A cell with more than ``hot_cell`` vectors is split into blocks of them; its probes go to every block.
+    * A cell with more than ``hot_cell`` vectors or probes is compared in tiles: both are dealt to blocks of about ``hot_cell``, and each two blocks
+      of vectors, and each block of probes and block of vectors, meet once in a group of their own. No group holds more than two blocks of a
+      split cell, but all pairs of a cell are compared: copies and comparisons grow with the square of its vectors.
 
     Null, empty and zero vectors and those with null or non-finite components link with nothing and are their own component. Vectors of different
     lengths never meet. Repeated rows of one id are separate vectors with links to each other; kept holds for each of them. A null id is a
@@ -175,14 +197,15 @@ def embedding_groups(spark: SparkSession, vectors: DataFrame, least: float = 0.9
 
     entries = work.save(nodes.select("rep", "bytes").mapInPandas(spread, "cell long, place int, rep long"), "entries")
     is_home = F.col("place") % (1 + probes) == 0
-    hot = entries.where(is_home).groupBy("cell").count().where(F.col("count") > hot_cell).select("cell", F.ceil(F.col("count") / hot_cell).cast("int").alias("blocks"))
-    used = entries.join(hot, "cell", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
-    own = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
-    looked = used.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("probe", ~is_home | (F.col("block") != own))
-    buckets = max(1, -(-n * wide // rows_per_bucket))
-    # a cell that nobody lies in needs no probes: entries whose cell is nobody's home are left out before the vectors join
-    homes = entries.where(is_home).select("cell").distinct()
-    looked = looked.join(homes, "cell", "left_semi").withColumn("bucket", F.pmod(F.xxhash64("cell", "block"), F.lit(buckets)).cast("int"))
+    # a cell that nobody lies in needs no probes
+    used = work.save(entries.join(entries.where(is_home).select("cell").distinct(), "cell", "left_semi"), "used")
+    work.drop("entries")
+    blocks_of = lambda kind: F.ceil(F.count_if(kind) / hot_cell).cast("int")
+    hot = used.groupBy("cell").agg(blocks_of(is_home).alias("homes"), blocks_of(~is_home).alias("probes")).where("homes > 1 OR probes > 1")
+    looked = tiles(used.join(work.save(hot, "hot"), "cell", "left"), is_home)
+    buckets = max(1, -(-looked.where("tile IS NULL").count() // rows_per_bucket))
+    bucket = F.when(F.col("tile").isNull(), F.pmod(F.xxhash64("cell"), F.lit(buckets))).otherwise(F.xxhash64("cell", "tile"))
+    looked = looked.withColumn("bucket", bucket).withColumn("tile", F.coalesce("tile", F.lit(0)))
 
     def compare(b: pd.DataFrame) -> pd.DataFrame:
         out = []
@@ -190,7 +213,7 @@ def embedding_groups(spark: SparkSession, vectors: DataFrame, least: float = 0.9
             reps, first, rep = np.unique(g["rep"].to_numpy(), return_index=True, return_inverse=True)
             x = unit([np.frombuffer(v) for v in g["bytes"].iloc[first]])
             place = g["place"].to_numpy()
-            found, links = cell_links(rep, g["probe"].to_numpy(), place % (1 + probes) == 0, g["cell"].to_numpy().view(np.uint64), g["block"].to_numpy(), place // (1 + probes), x, lambda part: cells(part, tables, probes, size, seed), g["copies"].to_numpy()[first], least)
+            found, links = cell_links(rep, g["looks"].to_numpy(), g["found"].to_numpy(), g["cell"].to_numpy().view(np.uint64), g["tile"].to_numpy(), place // (1 + probes), x, lambda part: cells(part, tables, probes, size, seed), g["copies"].to_numpy()[first], least)
             hit = np.flatnonzero(found)
             out += zip(reps[hit].tolist(), [None] * len(hit), found[hit].tolist(), strict=True)
             out += [(int(reps[i]), int(reps[j]), 0) for i, j in links.made]

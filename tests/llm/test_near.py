@@ -134,3 +134,25 @@ def test_lattice_query(spark):
     want = {i: (n, c) for i, n, c in cosine_rows(rows)}
     assert got.keys() == want.keys() and all(got[i][0] <= want[i][0] for i in want)
     assert sum(n for n, _ in got.values()) >= 0.98 * sum(n for n, _ in want.values())
+
+
+def test_hot_cells_are_tiled(spark):
+    """Neither a crowded cell nor one with many probes and few vectors gives a group of more than two blocks; links stay the same."""
+    rng = np.random.default_rng(7)
+    base = rng.standard_normal((3, 64))
+    rows = [(i, [float(x) for x in (base[max(0, i - 297)] + rng.standard_normal(64) * 0.05).astype(np.float32)]) for i in range(300)]
+    want = sorted(cosine_rows(rows))
+    got = {h: sorted((r.vec_id, r.n_links, r.component_id) for r in lattice.embedding_groups(spark, vectors(spark, rows), hot_cell=h).collect()) for h in (60, 1000)}
+    assert got[60] == got[1000]
+    assert sum(n for _, n, _ in got[60]) >= 0.98 * sum(n for _, n, _ in want)
+    entries = spark.createDataFrame([(i, 5, int(i >= 100)) for i in range(300)], "rep long, cell long, place int")
+    for homes, probes in ((5, 10), (1, 10), (5, 0)):
+        part = entries.where(f"place = 0 AND rep < {homes * 20} OR place = 1 AND rep < {100 + probes * 20}")
+        found = lattice.tiles(part.selectExpr("*", f"{homes} AS homes", f"{probes} AS probes"), lattice.F.col("place") == 0).collect()
+        pairs = []
+        for t in {r.tile for r in found}:
+            mine = [r for r in found if r.tile == t]
+            assert len(mine) <= 2 * 40
+            pairs += [tuple(sorted((a.rep, b.rep))) for a in mine if a.looks for b in mine if b.found and a.rep != b.rep and (not a.found or a.rep < b.rep)]
+        n, m = homes * 20, probes * 20
+        assert len(pairs) == len(set(pairs)) == n * (n - 1) // 2 + n * m
