@@ -80,9 +80,9 @@ def remove_phrases(spark: SparkSession, docs: DataFrame, width: int = 13, gram:
 
     dealt = distinct.groupBy(F.pmod(F.xxhash64("seed"), F.lit(shards)).alias("shard"))
     located = work.save(dealt.applyInPandas(shard, "segment long, segment2 long, seed long, owner long, windows int, firsts binary"), "located")
-    named = segments.select("_key", "first", "seed", F.xxhash64("content", F.lit(1)).alias("segment"), F.crc32("content").alias("segment2"))
+    named = segments.select("_row", "_key", "first", "seed", F.xxhash64("content", F.lit(1)).alias("segment"), F.crc32("content").alias("segment2"))
     answers = named.join(located, ["seed", "segment", "segment2"]).where("firsts IS NOT NULL OR owner < _key")
-    answers = work.save(answers.groupBy("_key").agg(F.collect_list(F.struct("first", "owner", "windows", "firsts")).alias("found")), "answers")
+    answers = work.save(answers.groupBy("_row").agg(F.collect_list(F.struct("first", "owner", "windows", "firsts")).alias("found")), "answers")
     work.drop("segments", "distinct", "located")
 
     def strip(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -98,10 +98,10 @@ def remove_phrases(spark: SparkSession, docs: DataFrame, width: int = 13, gram:
                 out += [(key, b" ".join([w for w, g in zip(words, gone.tolist(), strict=True) if not g]).decode(), len(words), int(gone.sum()))] * own
             yield pd.DataFrame(out, columns=["_id", "text", "n_words", "n_removed"])
 
-    owners = texts.join(answers, "_key", "left").mapInPandas(strip, "_id long, text string, n_words long, n_removed long")
+    owners = texts.join(answers, "_row", "left").mapInPandas(strip, "_id long, text string, n_words long, n_removed long")
     n = F.coalesce(F.regexp_count("_text", F.lit(WORD)), F.lit(0)).cast("bigint")
     short = F.when(n < width, F.array_join(F.regexp_extract_all("_text", F.lit(WORD), F.lit(0)), " ")).otherwise("")
-    copied = work.spark.read.parquet(f"{work.root}/distinct_texts").select("_key", n.alias("n_words"), short.alias("text"))
-    copies = members.join(copied, "_key").select("_id", "text", "n_words", F.when(F.col("n_words") < width, 0).otherwise(F.col("n_words")).alias("n_removed"))
+    copied = work.spark.read.parquet(f"{work.root}/distinct_texts").select("_row", n.alias("n_words"), short.alias("text"))
+    copies = members.join(copied, "_row").select("_id", "text", "n_words", F.when(F.col("n_words") < width, 0).otherwise(F.col("n_words")).alias("n_removed"))
     owners = owners.withColumn("_id", F.when(F.col("_id") != LAST, F.col("_id")))
     return owners.unionByName(copies).withColumnRenamed("_id", id_col)

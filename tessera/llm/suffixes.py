@@ -99,7 +99,7 @@ def remove_substrings(spark: SparkSession, docs: DataFrame, width: int = 100, gr
 
     dealt = distinct.groupBy(F.pmod(F.xxhash64("seed"), F.lit(shards)).alias("shard"))
     located = work.save(dealt.applyInPandas(shard, "segment long, segment2 long, seed long, owner long, start long, windows int, firsts binary"), "located")
-    named = segments.select("_key", "first", "seed", F.xxhash64("content", F.lit(1)).alias("segment"), F.crc32("content").alias("segment2"))
+    named = segments.select("_row", "_key", "first", "seed", F.xxhash64("content", F.lit(1)).alias("segment"), F.crc32("content").alias("segment2"))
 
     def flag(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -111,10 +111,10 @@ def remove_substrings(spark: SparkSession, docs: DataFrame, width: int = 100, gr
                     f = np.frombuffer(firsts, dtype=np.int64).reshape(-1, 2)
                     earlier = (f[:, 0] < key) | ((f[:, 0] == key) & (f[:, 1] < first + np.arange(n)))
                 out.append(np.packbits(earlier).tobytes() if earlier.any() else None)
-            yield b[["_key", "first"]].assign(bits=out).dropna()
+            yield b[["_row", "first"]].assign(bits=out).dropna()
 
-    flags = named.join(located, ["seed", "segment", "segment2"]).select("_key", "first", "owner", "start", "windows", "firsts").mapInPandas(flag, "_key long, first long, bits binary")
-    answers = work.save(flags.groupBy("_key").agg(F.collect_list("first").alias("at"), F.collect_list("bits").alias("bits")), "answers")
+    flags = named.join(located, ["seed", "segment", "segment2"]).select("_row", "_key", "first", "owner", "start", "windows", "firsts").mapInPandas(flag, "_row long, first long, bits binary")
+    answers = work.save(flags.groupBy("_row").agg(F.collect_list("first").alias("at"), F.collect_list("bits").alias("bits")), "answers")
     work.drop("segments", "distinct", "located")
 
     def strip(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -128,9 +128,9 @@ def remove_substrings(spark: SparkSession, docs: DataFrame, width: int = 100, gr
                 out += [(key, raw[~gone].tobytes(), len(raw), n)] * own
             yield pd.DataFrame(out, columns=["_id", "kept", "n_bytes", "n_spans"])
 
-    owners = texts.join(answers, "_key", "left").mapInPandas(strip, "_id long, kept binary, n_bytes long, n_spans long")
+    owners = texts.join(answers, "_row", "left").mapInPandas(strip, "_id long, kept binary, n_bytes long, n_spans long")
     n = F.octet_length("_text").cast("bigint")
-    copied = work.spark.read.parquet(f"{work.root}/distinct_texts").select("_key", n.alias("n_bytes"), F.when(n < width, F.col("_text")).otherwise("").cast("binary").alias("kept"))
-    copies = members.join(copied, "_key").select("_id", "kept", "n_bytes", (F.col("n_bytes") >= width).cast("bigint").alias("n_spans"))
+    copied = work.spark.read.parquet(f"{work.root}/distinct_texts").select("_row", n.alias("n_bytes"), F.when(n < width, F.col("_text")).otherwise("").cast("binary").alias("kept"))
+    copies = members.join(copied, "_row").select("_id", "kept", "n_bytes", (F.col("n_bytes") >= width).cast("bigint").alias("n_spans"))
     owners = owners.withColumn("_id", F.when(F.col("_id") != LAST, F.col("_id")))
     return owners.unionByName(copies).withColumnRenamed("_id", id_col)

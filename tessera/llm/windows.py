@@ -110,54 +110,56 @@ def runs(place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def distinct_texts(work: Workspace, docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
-    """(texts, members): one row (_key, _text, _own) per distinct text with its smallest id and how many rows have that id; and (_id, _key)
-    for every other row. Copies of a whole text meet after map-side combining, and take no part in the search for windows."""
+    """(texts, members): one row (_row, _key, _text, _own) per distinct text with a number of its own, its smallest id and how many of its rows have
+    that id; and (_id, _row) for every other row. Different texts can share a smallest id, so that only _row names a text. Copies of a whole text
+    meet after map-side combining, and take no part in the search for windows."""
     rows = docs.select(docs[id_col].cast("long").alias("_id"), F.coalesce(docs[text_col], F.lit("")).alias("_text")).withColumn("_digest", F.unhex(F.sha2("_text", 256)))
-    texts = work.save(rows.groupBy("_digest", "_text").agg(F.coalesce(F.min("_id"), F.lit(LAST)).alias("_key")), "distinct_texts")
-    ids = rows.select("_id", "_digest").join(texts.select("_digest", "_key"), "_digest").select("_id", "_key")
+    texts = rows.groupBy("_digest", "_text").agg(F.coalesce(F.min("_id"), F.lit(LAST)).alias("_key")).withColumn("_row", F.monotonically_increasing_id())
+    texts = work.save(texts, "distinct_texts")
+    ids = rows.select("_id", "_digest").join(texts.select("_digest", "_key", "_row"), "_digest").select("_id", "_key", "_row")
     ids = work.save(ids, "members")
     owners = F.coalesce("_id", F.lit(LAST)) == F.col("_key")
-    return texts.select("_key", "_text").join(ids.where(owners).groupBy("_key").agg(F.count(F.lit(1)).alias("_own")), "_key"), ids.where(~owners)
+    return texts.select("_row", "_key", "_text").join(ids.where(owners).groupBy("_row").agg(F.count(F.lit(1)).alias("_own")), "_row"), ids.where(~owners).select("_id", "_row")
 
 
 def candidate_segments(work: Workspace, spec: Spec, same_text: bool, cut) -> DataFrame:
-    """Segments of the distinct texts whose anchor gram occurs again: (_key, first, windows, seed, content), written to ``segments``. ``cut(text, first window, end)``
+    """Segments of the distinct texts whose anchor gram occurs again: (_row, _key, first, windows, seed, content), written to ``segments``. ``cut(text, first window, end)``
     gives the contents. Anchors count across texts, and with ``same_text`` inside one text too."""
 
     def grams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            keys, seeds, sizes = [], [], []
-            for key, text in zip(b["_key"], b["_text"], strict=True):
+            rows, seeds, sizes = [], [], []
+            for row, text in zip(b["_row"], b["_text"], strict=True):
                 place, hashes = anchors(tokens(text.encode(), spec), spec)
                 own = hashes[place[runs(place)[0]]]
                 own, size = np.unique(own, return_counts=True)
-                keys.append(np.full(len(own), key, dtype=np.int64))
+                rows.append(np.full(len(own), row, dtype=np.int64))
                 seeds.append(own)
                 sizes.append(size)
-            yield pd.DataFrame({"_key": np.concatenate(keys), "seed": np.concatenate(seeds).view(np.int64), "n": np.concatenate(sizes).astype(np.int32)} if keys else {"_key": [], "seed": [], "n": []})
+            yield pd.DataFrame({"_row": np.concatenate(rows), "seed": np.concatenate(seeds).view(np.int64), "n": np.concatenate(sizes).astype(np.int32)} if rows else {"_row": [], "seed": [], "n": []})
 
     texts = work.spark.read.parquet(f"{work.root}/distinct_texts")
-    pairs = work.save(texts.select("_key", "_text").mapInPandas(grams, "_key long, seed long, n int"), "pairs")
+    pairs = work.save(texts.select("_row", "_text").mapInPandas(grams, "_row long, seed long, n int"), "pairs")
     again = (F.sum("n") if same_text else F.count(F.lit(1))) > 1  # a text has one row for each of its grams
     repeated = pairs.groupBy("seed").agg(again.alias("again")).where("again").select("seed")
-    marks = work.save(pairs.select("_key", "seed").join(repeated, "seed").groupBy("_key").agg(F.collect_list("seed").alias("seeds")), "marks")
+    marks = work.save(pairs.select("_row", "seed").join(repeated, "seed").groupBy("_row").agg(F.collect_list("seed").alias("seeds")), "marks")
     work.drop("pairs")
 
     def segments(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for at in range(0, len(b), 200):
                 out: list[tuple] = []
-                for key, text, seeds in zip(*(b[c].iloc[at : at + 200] for c in ("_key", "_text", "seeds")), strict=True):
+                for row, key, text, seeds in zip(*(b[c].iloc[at : at + 200] for c in ("_row", "_key", "_text", "seeds")), strict=True):
                     text = text.encode()
                     place, hashes = anchors(tokens(text, spec), spec)
                     first, end = runs(place)
                     own = hashes[place[first]]
                     hit = np.isin(own, np.asarray(seeds, dtype=np.int64).view(np.uint64))
                     first, end, own = first[hit], end[hit], own[hit].view(np.int64)
-                    out += zip([key] * len(first), first.tolist(), (end - first).tolist(), own.tolist(), cut(text, first, end), strict=True)
-                yield pd.DataFrame(out, columns=["_key", "first", "windows", "seed", "content"])
+                    out += zip([row] * len(first), [key] * len(first), first.tolist(), (end - first).tolist(), own.tolist(), cut(text, first, end), strict=True)
+                yield pd.DataFrame(out, columns=["_row", "_key", "first", "windows", "seed", "content"])
 
-    found = texts.select("_key", "_text").join(marks, "_key").mapInPandas(segments, "_key long, first long, windows int, seed long, content binary")
+    found = texts.select("_row", "_key", "_text").join(marks, "_row").mapInPandas(segments, "_row long, _key long, first long, windows int, seed long, content binary")
     out = work.save(found, "segments")
     work.drop("marks")
     return out

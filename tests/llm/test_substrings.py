@@ -93,3 +93,17 @@ def test_queries_on_whole_tables(spark):
     assert sorted((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in got) == sorted(want)
     got = QUERIES["op7_suffix_dedup"](spark, SF).collect()
     assert sorted((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == sorted(byte_rows(rows, 100))
+
+
+def test_repeated_and_null_ids_with_different_texts(spark):
+    """An id, null among them, may name several texts: none loses a row, gains one, or loses what only another one repeats."""
+    rng = random.Random(3)
+    shared = [" ".join(f"p{k}x{i}" for i in range(30)) for k in range(3)]
+    own = lambda: " ".join(f"u{rng.randrange(10**9)}" for _ in range(rng.randint(0, 25)))
+    rows = [(i, f"{own()} {rng.choice(shared)} {own()}", "s") for i in (5, 5, 5, 7, 7, 9, None, None, None, None)]
+    rows += [rows[0], rows[6], (7, rows[0][1], "s"), (None, rows[3][1], "s"), (5, shared[0], "s"), (None, "short", "s"), (None, "other", "s"), (7, "", "s"), (7, None, "s")]
+    pairs = [(i, t) for i, t, _ in rows]
+    got = phrases.remove_phrases(spark, documents(spark, rows), shard_bytes=1000).collect()
+    assert sorted(((r.doc_id, r.n_words, r.n_removed, r.text) for r in got), key=repr) == phrase_rows(pairs, 13)
+    got = suffixes.remove_substrings(spark, documents(spark, rows), shard_bytes=1000).collect()
+    assert sorted(((r.doc_id, r.n_bytes, r.n_bytes - len(r.kept), r.n_spans, hashlib.sha256(r.kept).hexdigest()) for r in got), key=repr) == byte_rows(pairs, 100)
