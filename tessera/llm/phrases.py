@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import WORD, Workspace
-from .windows import LAST, Spec, candidate_segments, covered, distinct_texts, word_places
+from .windows import LAST, Spec, candidate_segments, covered, crowded_seeds, distinct_texts, first_by_window, word_places
 
 
 def locate(texts: list[bytes], owners: list[int], width: int) -> list[np.ndarray]:
@@ -38,6 +38,12 @@ def locate(texts: list[bytes], owners: list[int], width: int) -> list[np.ndarray
     return out
 
 
+def spaced_windows(content: bytes, width: int) -> list[bytes]:
+    """Every ``width`` words in a row."""
+    words = content.split(b" ")
+    return [b" ".join(words[i : i + width]) for i in range(len(words) - width + 1)]
+
+
 def remove_phrases(spark: SparkSession, docs: DataFrame, width: int = 13, gram: int = 6, shard_bytes: int = 2_000_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Removes words covered by a window of ``width`` words that also starts in a document of smaller id: _id, text, n_words, n_removed.
 
@@ -46,7 +52,8 @@ def remove_phrases(spark: SparkSession, docs: DataFrame, width: int = 13, gram:
        are shuffled, so that a passage of a third of all documents costs one row a task.
     3. The distinct segments are dealt to shards by anchor, so that equal windows meet; each shard compiles its phrases into an automaton and
        streams its segments through (locate), which gives the first owner of every window. Where an anchor has one distinct segment only, that
-       passage recurs as a whole and its owner is the answer; the automaton holds the others.
+       passage recurs as a whole and its owner is the answer; the automaton holds the others. Segments of an anchor that has more than
+       ``shard_bytes`` of them go by window content instead (first_by_window).
     4. The answers join the segments of all texts, and the covered words go. Windows are judged on the input.
 
     Ids are integers. A null text is empty; texts of fewer than ``width`` words stay whole. Rows that repeat an id are documents of equal id,
@@ -78,8 +85,15 @@ def remove_phrases(spark: SparkSession, docs: DataFrame, width: int = 13, gram:
                 firsts[i], keep[i] = f.tobytes(), bool((f < last).any())
         return b[["segment", "segment2", "seed", "owner", "windows"]].assign(firsts=firsts)[keep]
 
-    dealt = distinct.groupBy(F.pmod(F.xxhash64("seed"), F.lit(shards)).alias("shard"))
-    located = work.save(dealt.applyInPandas(shard, "segment long, segment2 long, seed long, owner long, windows int, firsts binary"), "located")
+    crowded = crowded_seeds(work, distinct, shard_bytes)
+    dealt = distinct.join(crowded, "seed", "left_anti").groupBy(F.pmod(F.xxhash64("seed"), F.lit(shards)).alias("shard"))
+    located = dealt.applyInPandas(shard, "segment long, segment2 long, seed long, owner long, windows int, firsts binary")
+    if not crowded.isEmpty():
+        owners_only = F.udf(lambda f: None if f is None else np.frombuffer(f, dtype=np.int64)[::2].tobytes(), "binary")
+        owned = distinct.join(crowded, "seed", "left_semi").withColumn("start", F.lit(0).cast("long")).withColumn("again", F.col("owner") < F.col("last"))
+        by_window = first_by_window(work, owned, lambda c: spaced_windows(c, width)).where("again OR firsts IS NOT NULL")
+        located = located.unionByName(by_window.withColumn("firsts", owners_only("firsts")).drop("again", "start"))
+    located = work.save(located, "located")
     named = segments.select("_row", "_key", "first", "seed", F.xxhash64("content", F.lit(1)).alias("segment"), F.crc32("content").alias("segment2"))
     answers = named.join(located, ["seed", "segment", "segment2"]).where("firsts IS NOT NULL OR owner < _key")
     answers = work.save(answers.groupBy("_row").agg(F.collect_list(F.struct("first", "owner", "windows", "firsts")).alias("found")), "answers")

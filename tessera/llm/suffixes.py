@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Workspace
-from .windows import LAST, Spec, candidate_segments, covered, distinct_texts
+from .windows import LAST, Spec, candidate_segments, covered, crowded_seeds, distinct_texts, first_by_window
 
 
 def dense(key: np.ndarray) -> np.ndarray:
@@ -66,7 +66,8 @@ def remove_substrings(spark: SparkSession, docs: DataFrame, width: int = 100, gr
     Earlier is a smaller id, or the same id and an earlier start. Spark deals suffixes so that equal strings meet: whole copies of a text become one; segments
     around anchor grams that occur once in all texts are left out (see windows); equal segments combine before the shuffle; the distinct ones are
     dealt to shards by anchor. A shard ranks its windows by prefix doubling (prefix_ranks), and returns for each window the earliest
-    place; a segment that alone has its anchor recurs as a whole, and its own earliest place is the answer. The answers join the segments of all texts. Strings are judged on the input, and matches never cross documents.
+    place; a segment that alone has its anchor recurs as a whole, and its own earliest place is the answer. Segments of an anchor that has more
+    than ``shard_bytes`` of them go by window content instead (first_by_window). The answers join the segments of all texts. Strings are judged on the input, and matches never cross documents.
 
     Ids are integers. A null text is empty; texts shorter than ``width`` bytes stay whole. Rows that repeat an id are documents of equal id: equal texts
     among them stay, and of different ones none precedes another but by place. A null id is later than all others. Very long
@@ -97,8 +98,14 @@ def remove_substrings(spark: SparkSession, docs: DataFrame, width: int = 100, gr
                     firsts[i], keep[i] = f.tobytes(), True
         return b[["segment", "segment2", "seed", "owner", "start", "windows"]].assign(firsts=firsts)[keep]
 
-    dealt = distinct.groupBy(F.pmod(F.xxhash64("seed"), F.lit(shards)).alias("shard"))
-    located = work.save(dealt.applyInPandas(shard, "segment long, segment2 long, seed long, owner long, start long, windows int, firsts binary"), "located")
+    crowded = crowded_seeds(work, distinct, shard_bytes)
+    dealt = distinct.join(crowded, "seed", "left_anti").groupBy(F.pmod(F.xxhash64("seed"), F.lit(shards)).alias("shard"))
+    located = dealt.applyInPandas(shard, "segment long, segment2 long, seed long, owner long, start long, windows int, firsts binary")
+    if not crowded.isEmpty():
+        split = lambda c: [c[i : i + width] for i in range(len(c) - width + 1)]
+        by_window = first_by_window(work, distinct.join(crowded, "seed", "left_semi"), split)
+        located = located.unionByName(by_window.where("again OR firsts IS NOT NULL").drop("again"))
+    located = work.save(located, "located")
     named = segments.select("_row", "_key", "first", "seed", F.xxhash64("content", F.lit(1)).alias("segment"), F.crc32("content").alias("segment2"))
 
     def flag(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

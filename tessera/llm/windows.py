@@ -8,6 +8,7 @@ gram occurs once in all texts is unique. Windows are handled in segments: the wi
 from __future__ import annotations
 
 import functools
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -165,6 +166,56 @@ def candidate_segments(work: Workspace, spec: Spec, same_text: bool, cut) -> Dat
     return out
 
 
+def crowded_seeds(work: Workspace, distinct: DataFrame, limit: int) -> DataFrame:
+    """Seeds whose distinct segments have more than ``limit`` bytes: too much for one shard. There are fewer than total bytes / limit of them."""
+    return work.save(distinct.groupBy("seed").agg(F.sum(F.length("content")).alias("size")).where(F.col("size") > limit).select("seed"), "crowded")
+
+
+def first_by_window(work: Workspace, segments: DataFrame, split) -> DataFrame:
+    """Adds firsts to segments (segment, segment2, seed, owner, start, windows, content): for each window the earliest (owner, place) among all given segments,
+    as pairs of longs; null where each is the segment's own.
+
+    For seeds whose segments don't fit one shard: windows meet by a digest of their content, combined before the shuffle, so that no task needs all
+    segments of a seed. ``split(content)`` gives the contents of the windows. The windows that recur join back; those of a common passage are a skewed
+    side of that join, which Spark splits.
+    """
+
+    def windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for at in range(0, len(b), 500):
+                part = b.iloc[at : at + 500]
+                found = [[hashlib.blake2b(w, digest_size=16).digest() for w in split(c)] for c in part["content"]]
+                sizes = [len(x) for x in found]
+                i = np.concatenate([np.arange(n) for n in sizes])
+                out = {c: np.repeat(part[c].to_numpy(), sizes) for c in ("segment", "segment2", "seed", "owner", "start")}
+                yield pd.DataFrame(out | {"i": i, "digest": [d for x in found for d in x]}).assign(start=lambda x: x["start"] + x["i"])
+
+    schema = "segment long, segment2 long, seed long, owner long, start long, i int, digest binary"
+    named = segments.select("segment", "segment2", "seed", "owner", "start", "content")
+    each = work.save(named.mapInPandas(windows, schema), "crowded_windows")
+    place = F.struct("owner", "start")
+    recurs = each.groupBy("digest").agg(F.min(place).alias("e"), F.max(place).alias("l")).where("e < l").select("digest", "e")
+    late = each.join(work.save(recurs, "crowded_firsts"), "digest").where(F.col("e") < place)
+    found = late.groupBy("seed", "segment", "segment2").agg(F.collect_list(F.struct("i", F.col("e.owner").alias("o"), F.col("e.start").alias("s"))).alias("found"))
+
+    def fill(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = []
+            for owner, start, n, found in zip(*(b[c] for c in ("owner", "start", "windows", "found")), strict=True):
+                if found is None:
+                    out.append(None)
+                    continue
+                pairs = np.stack([np.full(n, owner, dtype=np.int64), start + np.arange(n)], axis=1)
+                for x in found:
+                    pairs[x["i"]] = x["o"], x["s"]
+                out.append(pairs.tobytes())
+            yield b.drop(columns="found").assign(firsts=out)
+
+    rest = segments.drop("content").join(found, ["seed", "segment", "segment2"], "left")
+    kept = rest.select("segment", "segment2", "seed", "owner", "start", "windows", "again", "found")
+    return kept.mapInPandas(fill, "segment long, segment2 long, seed long, owner long, start long, windows int, again boolean, firsts binary")
+
+
 def covered(flags: np.ndarray, width: int, n: int) -> np.ndarray:
     """Which of n tokens some flagged window covers."""
     step = np.zeros(n + 1, dtype=np.int64)

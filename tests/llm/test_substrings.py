@@ -2,6 +2,9 @@
 
 import hashlib
 import random
+import tempfile
+import uuid
+from pathlib import Path
 
 import pytest
 
@@ -107,3 +110,29 @@ def test_repeated_and_null_ids_with_different_texts(spark):
     assert sorted(((r.doc_id, r.n_words, r.n_removed, r.text) for r in got), key=repr) == phrase_rows(pairs, 13)
     got = suffixes.remove_substrings(spark, documents(spark, rows), shard_bytes=1000).collect()
     assert sorted(((r.doc_id, r.n_bytes, r.n_bytes - len(r.kept), r.n_spans, hashlib.sha256(r.kept).hexdigest()) for r in got), key=repr) == byte_rows(pairs, 100)
+
+
+def test_crowded_anchor(spark, monkeypatch):
+    """A passage amid differing neighbours in every text, under one anchor: no shard gets much more than shard_bytes, and the result is the same."""
+    rng = random.Random(11)
+    passage = " ".join(f"p{i}" for i in range(16))
+    texts = [f"{' '.join(f'a{rng.randrange(10**6)}' for _ in range(14))} {passage} {' '.join(f'z{rng.randrange(10**6)}' for _ in range(14))}" for _ in range(150)]
+    rows = [(i if i % 10 else None, t + (" " + passage if i % 7 == 0 else ""), "s") for i, t in enumerate(texts)]
+    pairs = [(i, t) for i, t, _ in rows]
+    sizes = tempfile.mkdtemp(prefix="spark-")
+
+    def noted(kind, f):
+        def call(contents, *rest):
+            with open(f"{sizes}/{kind}-{uuid.uuid4().hex}", "w") as out:
+                out.write(str(sum(map(len, contents))))
+            return f(contents, *rest)
+
+        return call
+
+    monkeypatch.setattr(phrases, "locate", noted("phrases", phrases.locate))
+    monkeypatch.setattr(suffixes, "first_places", noted("suffixes", suffixes.first_places))
+    got = phrases.remove_phrases(spark, documents(spark, rows), shard_bytes=1000).collect()
+    assert sorted(((r.doc_id, r.n_words, r.n_removed, r.text) for r in got), key=repr) == phrase_rows(pairs, 13)
+    got = suffixes.remove_substrings(spark, documents(spark, rows), width=40, gram=16, shard_bytes=1000).collect()
+    assert sorted(((r.doc_id, r.n_bytes, r.n_bytes - len(r.kept), r.n_spans, hashlib.sha256(r.kept).hexdigest()) for r in got), key=repr) == byte_rows(pairs, 40)
+    assert max([int(p.read_text()) for p in Path(sizes).iterdir()], default=0) <= 5000
