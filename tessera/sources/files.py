@@ -23,7 +23,7 @@ def chat_export(spark: SparkSession, path: str, after=None) -> DataFrame:
 
 def vault(spark: SparkSession, path: str, include: tuple[str, ...] = (), exclude: tuple[str, ...] = ()) -> DataFrame:
     """Markdown files below a folder as (path, text, words): front matter and link marks gone, only the included prefixes and not the excluded ones."""
-    rows = spark.read.option("wholetext", "true").option("recursiveFileLookup", True).option("pathGlobFilter", "*.md").text(path).withColumn("path", F.col("_metadata.file_path"))
+    rows = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.md").text(path, wholetext=True).withColumn("path", F.col("_metadata.file_path"))
     starts = lambda ps: F.exists(F.array(*map(F.lit, ps)), lambda p: F.contains(F.col("path"), p))
     rows = rows.where(starts(include)) if include else rows
     rows = rows.where(~starts(exclude)) if exclude else rows

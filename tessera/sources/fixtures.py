@@ -26,7 +26,7 @@ TABLES = {
     "owner_claims": _HEAD.format(letter="A", subject=_TASK, object=_CUST, value=_NULL, predicate="ASSIGNED_TO", statement="'assigned'") + _ORDER + " FROM {orders} WHERE o_orderkey % 7 <> 0",
     "due_claims": _HEAD.format(letter="D", subject=_TASK, object="'day:' || due", value=_NULL, predicate="DUE_ON", statement="'due on ' || due") + _ORDER + " FROM {orders} JOIN " + _DUE + " d ON o_orderkey = l_orderkey",
     "use_claims": (
-        "SELECT 'U' || CAST(l_orderkey AS STRING) || '-' || CAST(l_linenumber AS STRING) || '-' || CAST(l_partkey AS STRING) || '-' || CAST(l_suppkey AS STRING) AS claim_id, 'u' || CAST(o_custkey % 5 AS STRING) AS user_id, 'T' || CAST(l_orderkey AS STRING) AS subject_id, 'X' || CAST(l_partkey AS STRING) AS object_id, "
+        "SELECT 'U' || CAST(l_orderkey AS STRING) || '-' || CAST(l_linenumber AS STRING) || '-' || CAST(l_partkey AS STRING) || '-' || CAST(l_suppkey AS STRING) || '-' || CAST(CAST(round(l_extendedprice * 100) AS BIGINT) AS STRING) AS claim_id, 'u' || CAST(o_custkey % 5 AS STRING) AS user_id, 'T' || CAST(l_orderkey AS STRING) AS subject_id, 'X' || CAST(l_partkey AS STRING) AS object_id, "
         "CAST(NULL AS STRING) AS object_value, 'RELATED_TO' AS predicate, 'uses part' AS statement, 'src' || CAST(l_orderkey % 50 AS STRING) AS source_id, CASE WHEN l_suppkey % 10 = 0 THEN 'reference' ELSE 'personal' END AS scope, "
         "CASE l_returnflag WHEN 'A' THEN 'user' WHEN 'N' THEN 'participant' ELSE 'assistant_inferred' END AS asserted_by_kind, CAST(NULL AS STRING) AS asserted_by_id, l_shipdate AS stated_at, CAST(NULL AS TIMESTAMP) AS valid_from, CAST(NULL AS TIMESTAMP) AS valid_to, "
         "CASE WHEN l_linestatus = 'O' THEN 'active' ELSE 'retracted' END AS status, l_shipdate AS created_at, l_shipdate AS updated_at FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey"
