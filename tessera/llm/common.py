@@ -19,9 +19,12 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a folder of our own where it is unset (tests)."""
+    """The folder that driver and executors share, from spark.checkpoint.dir. Where it is unset, a local session, whose driver and executors are one
+    process, gets a folder of its own; on a cluster no folder can be assumed to be shared, and the call fails."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="tessera-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found
@@ -55,6 +58,3 @@ def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z only. An all-ASCII text takes the quicker built-in."""
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
 
-
-def salt_of(key: Column, salts: int) -> Column:
-    return F.pmod(F.xxhash64(key), F.lit(salts)).cast("int")
