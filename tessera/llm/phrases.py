@@ -10,32 +10,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import WORD, Workspace
-from .windows import LAST, Spec, candidate_segments, covered, crowded_seeds, distinct_texts, first_by_window, word_places
+from .windows import LAST, Spec, candidate_segments, covered, distinct_segments, distinct_texts, first_by_window, word_places
 
-
-def locate(texts: list[bytes], owners: list[int], width: int) -> list[np.ndarray]:
-    """For each text the smallest owner of each of its windows, among all texts given.
-
-    The windows of all texts are the phrases of an Aho-Corasick automaton over word numbers, each with the smallest owner; then the texts
-    stream through it, and it reports every occurrence of every phrase. Words are numbered here, so that equal numbers are equal words.
-    """
-    import ahocorasick
-
-    number: dict[bytes, int] = {}
-    lists = [tuple([number.setdefault(w, len(number) + 1) for w in t.split(b" ")]) for t in texts]
-    automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
-    for i in sorted(range(len(lists)), key=owners.__getitem__, reverse=True):  # smaller owners overwrite larger ones
-        words = lists[i]
-        for j in range(len(words) - width + 1):
-            automaton.add_word(words[j : j + width], i)
-    if not lists:
-        return []
-    automaton.make_automaton()
-    out, owner = [], np.array(owners, dtype=np.int64)
-    for words in lists:
-        hits = np.array([i for _, i in automaton.iter(words)], dtype=np.int64)  # one ends at each place from the first whole window on
-        out.append(owner[hits])
-    return out
+#: At most so many shards are split between tasks; the list of them is broadcast.
+MOST_SPLIT = 100_000
 
 
 def spaced_windows(content: bytes, width: int) -> list[bytes]:
@@ -44,17 +22,97 @@ def spaced_windows(content: bytes, width: int) -> list[bytes]:
     return [b" ".join(words[i : i + width]) for i in range(len(words) - width + 1)]
 
 
-def remove_phrases(spark: SparkSession, docs: DataFrame, width: int = 13, gram: int = 6, shard_bytes: int = 2_000_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def recurring_passages(contents: list[bytes], owners: list[int], lasts: list[int], width: int) -> list[tuple[bytes, int]]:
+    """Passages whose every window of ``width`` words starts in documents of different ids, each with the smallest id that all its windows
+    share. Contents are compared word by word. A passage is given by a segment of that id only."""
+    seen: dict[bytes, list[int]] = {}
+    split = [spaced_windows(c, width) for c in contents]
+    for ws, owner, last in zip(split, owners, lasts, strict=True):
+        for w in ws:
+            have = seen.setdefault(w, [owner, last])
+            have[0], have[1] = min(have[0], owner), max(have[1], last)
+    out = []
+    for c, ws, owner in zip(contents, split, owners, strict=True):
+        own = [seen[w][0] == owner < seen[w][1] for w in ws] + [False]
+        if not any(own):
+            continue
+        words, begin = c.split(b" "), None
+        for i, x in enumerate(own):
+            if x and begin is None:
+                begin = i
+            elif not x and begin is not None:
+                out.append((b" ".join(words[begin : i + width - 1]), owner))
+                begin = None
+    return list(dict.fromkeys(out))
+
+
+class Phrases:
+    """An Aho-Corasick automaton over word numbers: the windows of ``width`` words of passages, each with the smallest owner."""
+
+    def __init__(self, passages: list[tuple[bytes, int]], width: int):
+        import ahocorasick
+
+        self.number: dict[bytes, int] = {}
+        self.width, self.empty = width, not passages
+        self.automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
+        for passage, owner in sorted(passages, key=lambda x: -x[1]):  # smaller owners overwrite larger ones
+            words = tuple([self.number.setdefault(w, len(self.number) + 1) for w in passage.split(b" ")])
+            for j in range(len(words) - width + 1):
+                self.automaton.add_word(words[j : j + width], owner)
+        if not self.empty:
+            self.automaton.make_automaton()
+
+    def occurrences(self, text: bytes) -> list[tuple[int, int]]:
+        """(first word, owner) of every phrase in a text."""
+        if self.empty:
+            return []
+        get = self.number.get
+        words = tuple([get(w, 0) for w in text.split(b" ")])
+        return [(end - self.width + 1, owner) for end, owner in self.automaton.iter(words)]
+
+
+def streamed(rows: DataFrame, width: int) -> DataFrame:
+    """Rows (shard, sub, kind, owner, row, first, content): of a shard and sub first its passages (kind 0, with owner), which are compiled, then stretches of documents (kind 1,
+    owner is the document's), which stream through. Gives (_row, first, bits): windows of a stretch that start in a document of smaller id."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, passages, phrases = None, [], None
+        for b in batches:
+            out = []
+            for shard, sub, kind, owner, row, first, content in zip(*(b[c].tolist() for c in ("shard", "sub", "kind", "owner", "row", "first", "content")), strict=True):
+                if (shard, sub) != at:
+                    at, passages, phrases = (shard, sub), [], None
+                if kind == 0:
+                    passages.append((content, owner))
+                    continue
+                if phrases is None:
+                    phrases = Phrases(passages, width)
+                bits = 0
+                for i, o in phrases.occurrences(content):
+                    if o < owner:
+                        bits |= 1 << i
+                if bits:
+                    out.append((row, first, bits.to_bytes((bits.bit_length() + 7) // 8, "little")))
+            yield pd.DataFrame(out, columns=["_row", "first", "bits"])
+
+    dealt = rows.repartition("shard", "sub").sortWithinPartitions("shard", "sub", "kind")
+    return dealt.mapInPandas(run, "_row long, first long, bits binary")
+
+
+def remove_phrases(spark: SparkSession, docs: DataFrame, width: int = 13, gram: int = 6, shard_bytes: int = 2_000_000, stream_bytes: int = 64_000_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Removes words covered by a window of ``width`` words that also starts in a document of smaller id: _id, text, n_words, n_removed.
 
     1. Whole copies of a text become one text, owned by the smallest id.
-    2. Recurring passages: segments around anchor grams that occur in several texts (see windows). Equal segments combine before they
-       are shuffled, so that a passage of a third of all documents costs one row a task.
-    3. The distinct segments are dealt to shards by anchor, so that equal windows meet; each shard compiles its phrases into an automaton and
-       streams its segments through (locate), which gives the first owner of every window. Where an anchor has one distinct segment only, that
-       passage recurs as a whole and its owner is the answer; the automaton holds the others. Segments of an anchor that has more than
-       ``shard_bytes`` of them go by window content instead (first_by_window).
-    4. The answers join the segments of all texts, and the covered words go. Windows are judged on the input.
+    2. Recurring passages are confirmed: stretches of documents around anchor grams that occur in several texts (see windows) combine where they are equal, so that
+       a passage of a third of all documents costs one row a task, and are dealt to shards by anchor, so that equal windows meet. A shard
+       compares them word by word and writes the passages that recur, each with the smallest id (recurring_passages).
+    3. Each shard's passages are compiled into an Aho-Corasick automaton, and the documents stream through: of every document all stretches around
+       anchors that recur, each through the automaton of its anchor's shard, which finds every occurrence of every phrase. What lies outside them
+       holds no phrase, since each window has its anchor inside. A shard with more than ``stream_bytes`` of stretches goes to several tasks,
+       each with the same automaton.
+    4. Anchors with more than ``shard_bytes`` of different stretches would make a shard of their own that is too large for one automaton. Their
+       windows meet by a digest of their content, combined before the shuffle (first_by_window).
+    5. The covered words go. Windows are judged on the input.
 
     Ids are integers. A null text is empty; texts of fewer than ``width`` words stay whole. Rows that repeat an id are documents of equal id,
     of which none is smaller. A null id is later than all others and never makes another lose words. Very long texts are
@@ -68,46 +126,41 @@ def remove_phrases(spark: SparkSession, docs: DataFrame, width: int = 13, gram:
         start = np.concatenate([[0], np.cumsum(b - a + 1)[:-1]])
         return [joined[x:y] for x, y in zip(start[first].tolist(), (start + b - a)[end + width - 2].tolist(), strict=True)]
 
+    def confirm(b: pd.DataFrame) -> pd.DataFrame:
+        found = recurring_passages(b["content"].tolist(), b["owner"].tolist(), b["last"].tolist(), width)
+        return pd.DataFrame([(b["shard"].iloc[0], p, o) for p, o in found], columns=["shard", "content", "owner"])
+
     texts, members = distinct_texts(work, docs, id_col, text_col)
     segments = candidate_segments(work, spec, False, cut)
-    distinct = segments.groupBy("seed", "content").agg(F.min("_key").alias("owner"), F.max("_key").alias("last"), F.first("windows").alias("windows"))
-    distinct = work.save(distinct.withColumn("segment", F.xxhash64("content", F.lit(1))).withColumn("segment2", F.crc32("content")), "distinct")
-    total = distinct.agg(F.sum(F.length("content"))).first()[0] or 0
-    shards = max(1, -(-total // shard_bytes))
-
-    def shard(b: pd.DataFrame) -> pd.DataFrame:
-        firsts: list[bytes | None] = [None] * len(b)
-        keep = (b["owner"] < b["last"]).to_numpy().copy()
-        contested = np.flatnonzero(b["seed"].duplicated(keep=False))
-        part = b.iloc[contested]
-        for i, f, owner, last in zip(contested.tolist(), locate(part["content"].tolist(), part["owner"].tolist(), width), part["owner"], part["last"], strict=True):
-            if (f != owner).any():
-                firsts[i], keep[i] = f.tobytes(), bool((f < last).any())
-        return b[["segment", "segment2", "seed", "owner", "windows"]].assign(firsts=firsts)[keep]
-
-    crowded = crowded_seeds(work, distinct, shard_bytes)
-    dealt = distinct.join(crowded, "seed", "left_anti").groupBy(F.pmod(F.xxhash64("seed"), F.lit(shards)).alias("shard"))
-    located = dealt.applyInPandas(shard, "segment long, segment2 long, seed long, owner long, windows int, firsts binary")
-    if not crowded.isEmpty():
-        owners_only = F.udf(lambda f: None if f is None else np.frombuffer(f, dtype=np.int64)[::2].tobytes(), "binary")
-        owned = distinct.join(crowded, "seed", "left_semi").withColumn("start", F.lit(0).cast("long")).withColumn("again", F.col("owner") < F.col("last"))
-        by_window = first_by_window(work, owned, lambda c: spaced_windows(c, width)).where("again OR firsts IS NOT NULL")
-        located = located.unionByName(by_window.withColumn("firsts", owners_only("firsts")).drop("again", "start"))
-    located = work.save(located, "located")
-    named = segments.select("_row", "_key", "first", "seed", F.xxhash64("content", F.lit(1)).alias("segment"), F.crc32("content").alias("segment2"))
-    answers = named.join(located, ["seed", "segment", "segment2"]).where("firsts IS NOT NULL OR owner < _key")
-    answers = work.save(answers.groupBy("_row").agg(F.collect_list(F.struct("first", "owner", "windows", "firsts")).alias("found")), "answers")
-    work.drop("segments", "distinct", "located")
+    distinct, _, crowded = distinct_segments(work, segments, shard_bytes, same_text=False)
+    seeds = spark.read.parquet(f"{work.root}/seeds")
+    any_crowded = not crowded.isEmpty()
+    total = segments.agg(F.sum(F.length("content"))).first()[0] or 0
+    shards = max(1, -(-(distinct.agg(F.sum(F.length("content"))).first()[0] or 0) // shard_bytes))
+    shard = F.pmod(F.xxhash64("seed"), F.lit(shards)).alias("shard")
+    small = lambda df: df.join(seeds.where("crowded"), "seed", "left_anti") if any_crowded else df
+    passages = small(distinct).select(shard, "content", "owner", "last").groupBy("shard").applyInPandas(confirm, "shard long, content binary, owner long")
+    passages = work.save(passages, "passages")
+
+    stretches = small(segments).select(shard, F.col("_key").alias("owner"), F.col("_row").alias("row"), "first", "content")
+    most = max(stream_bytes, total // MOST_SPLIT)
+    full = stretches.groupBy("shard").agg(F.sum(F.length("content")).alias("size")).where(F.col("size") > most).select("shard", F.ceil(F.col("size") / most).cast("int").alias("subs"))
+    full = F.broadcast(work.save(full, "full"))  # at most MOST_SPLIT rows, by the choice of ``most``
+    subs = F.coalesce("subs", F.lit(1))
+    compiled = passages.join(full, "shard", "left").select("shard", F.explode(F.sequence(F.lit(0), subs - 1)).alias("sub"), F.lit(0).alias("kind"), "owner", F.lit(0).cast("long").alias("row"), F.lit(0).cast("long").alias("first"), "content")
+    streams = stretches.join(full, "shard", "left").select("shard", F.pmod(F.xxhash64("row"), subs).cast("int").alias("sub"), F.lit(1).alias("kind"), "owner", "row", "first", "content")
+    flags = streamed(compiled.unionByName(streams), width)
+    if any_crowded:
+        flags = flags.unionByName(crowded_flags(work, segments, distinct, crowded, width))
+    answers = work.save(flags.groupBy("_row").agg(F.collect_list(F.struct("first", "bits")).alias("found")), "answers")
+    work.drop("segments", "distinct", "passages")
 
     def strip(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out = []
             for key, text, own, found in zip(*(b[c] for c in ("_key", "_text", "_own", "found")), strict=True):
                 words = text.encode().split()
-                flags = []
-                for x in found if found is not None else ():
-                    earlier = np.full(x["windows"], x["owner"] < key) if x["firsts"] is None else np.frombuffer(x["firsts"], dtype=np.int64) < key
-                    flags.append(x["first"] + np.flatnonzero(earlier))
+                flags = [x["first"] + np.flatnonzero(np.unpackbits(np.frombuffer(x["bits"], dtype=np.uint8), bitorder="little")) for x in found] if found is not None else []
                 gone = covered(np.concatenate(flags), width, len(words)) if flags else np.zeros(len(words), dtype=bool)
                 out += [(key, b" ".join([w for w, g in zip(words, gone.tolist(), strict=True) if not g]).decode(), len(words), int(gone.sum()))] * own
             yield pd.DataFrame(out, columns=["_id", "text", "n_words", "n_removed"])
@@ -119,3 +172,22 @@ def remove_phrases(spark: SparkSession, docs: DataFrame, width: int = 13, gram:
     copies = members.join(copied, "_row").select("_id", "text", "n_words", F.when(F.col("n_words") < width, 0).otherwise(F.col("n_words")).alias("n_removed"))
     owners = owners.withColumn("_id", F.when(F.col("_id") != LAST, F.col("_id")))
     return owners.unionByName(copies).withColumnRenamed("_id", id_col)
+
+
+def crowded_flags(work: Workspace, segments: DataFrame, distinct: DataFrame, crowded: DataFrame, width: int) -> DataFrame:
+    """(_row, first, bits) of the stretches around crowded anchors."""
+    found = first_by_window(work, crowded, lambda c: spaced_windows(c, width))
+    found = work.save(crowded.select("sid", "seed", "segment", "segment2", "owner", "windows").join(found, "sid", "left").drop("sid"), "crowded_found")
+
+    def flag(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = []
+            for key, owner, n, found in zip(*(b[c] for c in ("_key", "owner", "windows", "found")), strict=True):
+                earlier = np.full(n, owner < key)
+                for x in found if found is not None else ():
+                    earlier[x["i"] : x["i"] + x["n"]] = x["o"] < key
+                out.append(np.packbits(earlier, bitorder="little").tobytes() if earlier.any() else None)
+            yield b[["_row", "first"]].assign(bits=out).dropna()
+
+    named = segments.select("_row", "_key", "first", "seed", "segment", "segment2").join(found, ["seed", "segment", "segment2"])
+    return named.select("_row", "_key", "first", "owner", "windows", "found").mapInPandas(flag, "_row long, first long, bits binary")

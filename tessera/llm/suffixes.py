@@ -1,4 +1,4 @@
-"""Substring deduplication by bytes: suffix ranks by prefix doubling."""
+"""Substring deduplication by bytes: ranks of suffixes by prefix doubling, every round a sort of rank pairs by Spark."""
 
 from __future__ import annotations
 
@@ -6,68 +6,152 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Workspace
-from .windows import LAST, Spec, candidate_segments, covered, crowded_seeds, distinct_texts, first_by_window
+from .windows import _BYTES, LAST, Spec, candidate_segments, covered, distinct_segments, distinct_texts, first_by_window, runs_of, spans
 
+#: Bytes of segments that a task hashes at a time.
+CHUNK = 1 << 20
 
-def dense(key: np.ndarray) -> np.ndarray:
-    """Ranks from 0 by sorting."""
-    order = np.argsort(key, kind="stable")
-    up = np.concatenate([[0], key[order][1:] != key[order][:-1]]) if len(key) else np.zeros(0)
-    out = np.empty(len(key), dtype=np.int64)
-    out[order] = np.cumsum(up).astype(np.int64)
-    return out
 
+def starting_pairs(segments: DataFrame, width: int, length: int) -> DataFrame:
+    """One row per window of segments (sid, windows, content): a = hash of its first ``length`` bytes, b = 0, and where it is (sid, i)."""
 
-def prefix_ranks(data: np.ndarray, places: np.ndarray, width: int) -> np.ndarray:
-    """Ranks of the ``width`` bytes from each place: equal ranks are equal bytes. data has ``width`` bytes from each place on.
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for b in in_chunks(batch, batch["content"].map(len).to_numpy()):
+                values, base = joined(b["content"].tolist())
+                n = b["windows"].to_numpy()
+                i = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                at = np.repeat(base, n) + i
+                yield pd.DataFrame({"a": spans(values, at, at + length).view(np.int64), "b": 0, "sid": np.repeat(b["sid"].to_numpy(), n), "i": i.astype(np.int32)})
 
-    Prefix doubling: the eight bytes at a place are its first key; then pairs of ranks, of a place and of the place one length further, are sorted and ranked
-    again, the length doubling until ``width``, where the last pair overlaps. Places whose rank is unique are settled and leave the later rounds.
+    return segments.select("sid", "windows", "content").mapInPandas(run, "a long, b long, sid long, i int")
+
+
+def in_chunks(b: pd.DataFrame, sizes: np.ndarray) -> Iterator[pd.DataFrame]:
+    if len(b):
+        cut = np.flatnonzero(np.diff(np.cumsum(sizes) // CHUNK)) + 1
+        for s, e in zip([0, *cut.tolist()], [*cut.tolist(), len(b)], strict=True):
+            yield b.iloc[s:e]
+
+
+def joined(contents: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Token values of all contents in a row, and where each starts."""
+    sizes = np.array([len(c) for c in contents], dtype=np.int64)
+    return _BYTES[np.frombuffer(b"".join(contents), dtype=np.uint8)], np.cumsum(sizes) - sizes
+
+
+def reranked(pairs: DataFrame) -> DataFrame:
+    """Sorts pairs (a, b) and gives equal ones a rank; those that occur once are settled and leave. Returns (rank, sid, i).
+
+    Equal pairs meet in one partition, which is sorted and read as a stream, so that a task holds a batch of rows and the last one before it.
+    A rank is unique over all partitions.
     """
-    padded = np.concatenate([data, np.zeros(8, dtype=np.uint8)]).astype(np.uint64)
-    value = np.zeros(len(data), dtype=np.uint64)
-    for i in range(8):
-        value |= padded[i : i + len(data)] << np.uint64(56 - 8 * i)
-    length, rank = 8, dense(value)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rank, held = TaskContext.get().partitionId() << 40, None
+        for b in batches:
+            if not len(b):
+                continue
+            b = b if held is None else pd.concat([held.drop(columns="seen"), b], ignore_index=True)
+            a, c = b["a"].to_numpy(), b["b"].to_numpy()
+            same = np.concatenate([[held is not None and bool(held["seen"].iloc[0])], (a[1:] == a[:-1]) & (c[1:] == c[:-1])])
+            own = rank + np.cumsum(~same) - (0 if held is None or same[0] else 1)
+            rank = int(own[-1])
+            keep = same[:-1] | same[1:]
+            held = b.iloc[-1:].assign(seen=same[-1])
+            yield pd.DataFrame({"rank": own[:-1][keep], "sid": b["sid"].to_numpy()[:-1][keep], "i": b["i"].to_numpy()[:-1][keep]})
+        if held is not None and held["seen"].iloc[0]:
+            yield pd.DataFrame({"rank": [rank], "sid": held["sid"].to_numpy(), "i": held["i"].to_numpy()})
+
+    return pairs.repartition("a", "b").sortWithinPartitions("a", "b").mapInPandas(run, "rank long, sid long, i int")
+
+
+def lengthened(ranks: DataFrame, segments: DataFrame, length: int, more: int) -> DataFrame:
+    """Pairs for the next round: a = rank of the first ``length`` bytes, b = hash of the ``more`` bytes after them, with the place (sid, i) and the
+    earliest place of its segment (owner, place). Ranks meet their segment by a sort on sid; a segment comes before its ranks."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = None
+        for b in batches:
+            if not len(b):
+                continue
+            b = b if held is None else pd.concat([held, b], ignore_index=True)
+            head = (b["i"] < 0).to_numpy()
+            held = b[head].iloc[-1:]
+            which = np.cumsum(head) - 1
+            contents = b["content"][head].tolist()
+            values, base = joined(contents)
+            rows = np.flatnonzero(~head)
+            if not len(rows):
+                continue
+            of, i = which[rows], b["i"].to_numpy()[rows]
+            at = base[of] + i + length
+            owner, start = (b[c].to_numpy()[head][of] for c in ("owner", "place"))
+            yield pd.DataFrame({"a": b["rank"].to_numpy()[rows], "b": spans(values, at, at + more).view(np.int64), "sid": b["sid"].to_numpy()[rows], "i": i, "owner": owner, "place": start + i})
+
+    heads = segments.select("sid", F.lit(-1).alias("i"), F.lit(0).cast("long").alias("rank"), "owner", F.col("start").alias("place"), "content")
+    rows = ranks.select("sid", "i", "rank", F.lit(0).cast("long").alias("owner"), F.lit(0).cast("long").alias("place"), F.lit(None).cast("binary").alias("content"))
+    return heads.unionByName(rows).repartition("sid").sortWithinPartitions("sid", "i").mapInPandas(run, "a long, b long, sid long, i int, owner long, place long")
+
+
+def later_places(pairs: DataFrame) -> DataFrame:
+    """Of windows with equal pairs (a, b) all but the earliest: (sid, i, o, s), the earliest being at (o, s). The last round, sorted and read as a stream."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last = None
+        for b in batches:
+            if not len(b):
+                continue
+            a, c, o, s = (b[x].to_numpy() for x in ("a", "b", "owner", "place"))
+            new = np.concatenate([[last is None or last[:2] != (a[0], c[0])], (a[1:] != a[:-1]) | (c[1:] != c[:-1])])
+            lead = np.maximum.accumulate(np.where(new, np.arange(len(b)), -1))
+            first_o, first_s = (np.where(lead < 0, 0 if last is None else last[k], x[lead]) for k, x in ((2, o), (3, s)))
+            last = (a[-1], c[-1], first_o[-1], first_s[-1])
+            late = ~new
+            yield pd.DataFrame({"sid": b["sid"].to_numpy()[late], "i": b["i"].to_numpy()[late], "o": first_o[late], "s": first_s[late]})
+
+    return pairs.repartition("a", "b").sortWithinPartitions("a", "b", "owner", "place").mapInPandas(run, "sid long, i int, o long, s long")
+
+
+def doubled(work: Workspace, segments: DataFrame, width: int, length: int) -> DataFrame:
+    """Per sid the runs (i, n, o, s) of windows that also occur earlier among segments (sid, owner, start, windows, content).
+
+    Prefix doubling: windows are ranked by their first ``length`` bytes, then by the pair of that rank and the bytes after them, the length doubling until it
+    is ``width``. Spark sorts the pairs of each round. A window whose rank is unique occurs once and leaves, so that later rounds see only
+    what recurs. The second part of a pair is a 64-bit hash of its bytes; windows are taken for equal that are not only if a hash
+    of one part collides while the other parts are equal.
+    """
+    length, n = min(length, width), 0
+    pairs = starting_pairs(segments, width, length)
     while length < width:
-        step = min(length, width - length)
-        here = np.arange(len(data) - step) if length + step < width else places
-        pair = rank[here] * (int(rank.max()) + 1) + rank[here + step]
-        new = np.zeros(len(data), dtype=np.int64)
-        new[here] = dense(pair)
-        rank, length = new, length + step
-    return rank[places]
-
-
-def first_places(contents: list[bytes], owners: list[int], starts: list[int], width: int) -> list[np.ndarray]:
-    """For each segment (content, the earliest text and place it has) the earliest (text, place) of each of its windows among all segments."""
-    sizes = np.array([len(c) for c in contents])
-    base = np.concatenate([[0], np.cumsum(sizes)])[:-1]
-    windows = sizes - width + 1
-    places = np.repeat(base - np.concatenate([[0], np.cumsum(windows)[:-1]]), windows) + np.arange(windows.sum())
-    owner = np.repeat(np.array(owners, dtype=np.int64), windows)
-    start = np.repeat(np.array(starts, dtype=np.int64) - base, windows) + places
-    rank = prefix_ranks(np.frombuffer(b"".join(contents), dtype=np.uint8), places, width)
-    order = np.lexsort((start, owner, rank))
-    head = np.flatnonzero(np.concatenate([[True], rank[order][1:] != rank[order][:-1]]))
-    earliest = np.empty(int(rank.max()) + 1, dtype=np.int64)
-    earliest[rank[order[head]]] = order[head]
-    pairs = np.stack([owner[earliest[rank]], start[earliest[rank]]], axis=1)
-    return np.split(pairs, np.cumsum(windows)[:-1])
-
-
-def remove_substrings(spark: SparkSession, docs: DataFrame, width: int = 100, gram: int = 40, shard_bytes: int = 3_000_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+        more = min(length, width - length)
+        ranks = work.save(reranked(pairs), f"ranks{n}")
+        pairs = lengthened(ranks, segments, length, more)
+        length, n = length + more, n + 1
+    if not n:
+        heads = segments.select("sid", "owner", "start")
+        pairs = pairs.join(heads, "sid").select("a", "b", "sid", "i", "owner", (F.col("start") + F.col("i")).alias("place"))
+    return runs_of(later_places(pairs))
+
+
+def remove_substrings(spark: SparkSession, docs: DataFrame, width: int = 100, gram: int = 40, length: int = 25, crowd_bytes: int = 3_000_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Removes bytes covered by a ``width``-byte string that also starts earlier: _id, kept (binary), n_bytes, n_spans.
 
-    Earlier is a smaller id, or the same id and an earlier start. Spark deals suffixes so that equal strings meet: whole copies of a text become one; segments
-    around anchor grams that occur once in all texts are left out (see windows); equal segments combine before the shuffle; the distinct ones are
-    dealt to shards by anchor. A shard ranks its windows by prefix doubling (prefix_ranks), and returns for each window the earliest
-    place; a segment that alone has its anchor recurs as a whole, and its own earliest place is the answer. Segments of an anchor that has more
-    than ``shard_bytes`` of them go by window content instead (first_by_window). The answers join the segments of all texts. Strings are judged on the input, and matches never cross documents.
+    Earlier is a smaller id, or the same id and an earlier start.
+
+    1. Whole copies of a text become one. Strings around anchor grams that occur once in all texts are unique and left out (see windows); the
+       others form segments, and equal segments combine before the shuffle.
+    2. A segment that alone has its anchor recurs as a whole, and its own earliest place is the answer.
+    3. The windows of all other segments are ranked by prefix doubling (see doubled), starting from ``length`` bytes; the earliest place of the windows of one
+       rank is the answer. Spark sorts the pairs of all texts together, partitioned by pair.
+    4. Windows around an anchor with more than ``crowd_bytes`` of different segments meet by a digest of their content instead, combined before
+       the shuffle (first_by_window), so that no task gets all of them.
+    5. The answers join the segments of all texts. Strings are judged on the input, and matches never cross documents.
 
     Ids are integers. A null text is empty; texts shorter than ``width`` bytes stay whole. Rows that repeat an id are documents of equal id: equal texts
     among them stay, and of different ones none precedes another but by place. A null id is later than all others. Very long
@@ -80,49 +164,31 @@ def remove_substrings(spark: SparkSession, docs: DataFrame, width: int = 100, gr
 
     texts, members = distinct_texts(work, docs, id_col, text_col)
     segments = candidate_segments(work, spec, True, cut)
-    earliest, last = F.min(F.struct("_key", "first")).alias("e"), F.max(F.struct("_key", "first")).alias("l")
-    distinct = segments.groupBy("seed", "content").agg(earliest, last, F.first("windows").alias("windows")).select("seed", "content", F.col("e._key").alias("owner"), F.col("e.first").alias("start"), (F.col("e") < F.col("l")).alias("again"), "windows")
-    distinct = work.save(distinct.withColumn("segment", F.xxhash64("content", F.lit(1))).withColumn("segment2", F.crc32("content")), "distinct")
-    total = distinct.agg(F.sum(F.length("content"))).first()[0] or 0
-    shards = max(1, -(-total // shard_bytes))
-
-    def shard(b: pd.DataFrame) -> pd.DataFrame:
-        firsts: list[bytes | None] = [None] * len(b)
-        keep = b["again"].to_numpy().copy()
-        contested = np.flatnonzero(b["seed"].duplicated(keep=False))
-        if len(contested):
-            part = b.iloc[contested]
-            found = first_places(part["content"].tolist(), part["owner"].tolist(), part["start"].tolist(), width)
-            for i, f, owner, start in zip(contested.tolist(), found, part["owner"], part["start"], strict=True):
-                if (f[:, 0] != owner).any() or (f[:, 1] != start + np.arange(len(f))).any():
-                    firsts[i], keep[i] = f.tobytes(), True
-        return b[["segment", "segment2", "seed", "owner", "start", "windows"]].assign(firsts=firsts)[keep]
-
-    crowded = crowded_seeds(work, distinct, shard_bytes)
-    dealt = distinct.join(crowded, "seed", "left_anti").groupBy(F.pmod(F.xxhash64("seed"), F.lit(shards)).alias("shard"))
-    located = dealt.applyInPandas(shard, "segment long, segment2 long, seed long, owner long, start long, windows int, firsts binary")
+    distinct, contested, crowded = distinct_segments(work, segments, crowd_bytes)
+    recurring = distinct.where("again").select("sid", "seed", "segment", "segment2", "owner", "start", "windows", "again")
+    found = work.save(doubled(work, work.save(contested, "contested"), width, length), "found")
     if not crowded.isEmpty():
         split = lambda c: [c[i : i + width] for i in range(len(c) - width + 1)]
-        by_window = first_by_window(work, distinct.join(crowded, "seed", "left_semi"), split)
-        located = located.unionByName(by_window.where("again OR firsts IS NOT NULL").drop("again"))
-    located = work.save(located, "located")
-    named = segments.select("_row", "_key", "first", "seed", F.xxhash64("content", F.lit(1)).alias("segment"), F.crc32("content").alias("segment2"))
+        found = found.unionByName(first_by_window(work, crowded, split))
+    wanted = found.join(distinct.select("sid", "seed", "segment", "segment2", "owner", "start", "windows", "again"), "sid")
+    located = wanted.unionByName(recurring.join(found, "sid", "left_anti").withColumn("found", F.lit(None).cast(found.schema["found"].dataType)))
+    located = work.save(located.drop("sid", "again"), "located")
+    named = segments.select("_row", "_key", "first", "seed", "segment", "segment2")
 
     def flag(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out = []
-            for key, first, owner, start, n, firsts in zip(*(b[c] for c in ("_key", "first", "owner", "start", "windows", "firsts")), strict=True):
-                if firsts is None:
-                    earlier = np.full(n, (owner, start) < (key, first))
-                else:
-                    f = np.frombuffer(firsts, dtype=np.int64).reshape(-1, 2)
-                    earlier = (f[:, 0] < key) | ((f[:, 0] == key) & (f[:, 1] < first + np.arange(n)))
+            for key, first, owner, start, n, found in zip(*(b[c] for c in ("_key", "first", "owner", "start", "windows", "found")), strict=True):
+                earlier = np.full(n, (owner, start) < (key, first))
+                for x in found if found is not None else ():
+                    i, m = x["i"], x["n"]
+                    earlier[i : i + m] = (x["o"], x["s"]) < (key, first + i)
                 out.append(np.packbits(earlier).tobytes() if earlier.any() else None)
             yield b[["_row", "first"]].assign(bits=out).dropna()
 
-    flags = named.join(located, ["seed", "segment", "segment2"]).select("_row", "_key", "first", "owner", "start", "windows", "firsts").mapInPandas(flag, "_row long, first long, bits binary")
+    flags = named.join(located, ["seed", "segment", "segment2"]).select("_row", "_key", "first", "owner", "start", "windows", "found").mapInPandas(flag, "_row long, first long, bits binary")
     answers = work.save(flags.groupBy("_row").agg(F.collect_list("first").alias("at"), F.collect_list("bits").alias("bits")), "answers")
-    work.drop("segments", "distinct", "located")
+    work.drop("segments", "distinct", "contested", "found", "located")
 
     def strip(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:

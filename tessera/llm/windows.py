@@ -124,8 +124,9 @@ def distinct_texts(work: Workspace, docs: DataFrame, id_col: str, text_col: str)
 
 
 def candidate_segments(work: Workspace, spec: Spec, same_text: bool, cut) -> DataFrame:
-    """Segments of the distinct texts whose anchor gram occurs again: (_row, _key, first, windows, seed, content), written to ``segments``. ``cut(text, first window, end)``
-    gives the contents. Anchors count across texts, and with ``same_text`` inside one text too."""
+    """Segments of the distinct texts whose anchor gram occurs again: (_row, _key, first, windows, seed, content, segment, segment2), written to ``segments``.
+    ``cut(text, first window, end)`` gives the contents; segment and segment2 are hashes that name them among those of one seed. Anchors count across texts, and with
+    ``same_text`` inside one text too."""
 
     def grams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -161,23 +162,48 @@ def candidate_segments(work: Workspace, spec: Spec, same_text: bool, cut) -> Dat
                 yield pd.DataFrame(out, columns=["_row", "_key", "first", "windows", "seed", "content"])
 
     found = texts.select("_row", "_key", "_text").join(marks, "_row").mapInPandas(segments, "_row long, _key long, first long, windows int, seed long, content binary")
+    found = found.withColumn("segment", F.xxhash64("content")).withColumn("segment2", F.xxhash64(F.lit(7), "content"))
     out = work.save(found, "segments")
     work.drop("marks")
     return out
 
 
-def crowded_seeds(work: Workspace, distinct: DataFrame, limit: int) -> DataFrame:
-    """Seeds whose distinct segments have more than ``limit`` bytes: too much for one shard. There are fewer than total bytes / limit of them."""
-    return work.save(distinct.groupBy("seed").agg(F.sum(F.length("content")).alias("size")).where(F.col("size") > limit).select("seed"), "crowded")
+def distinct_segments(work: Workspace, segments: DataFrame, crowd_bytes: int, same_text: bool = True) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(distinct, contested, crowded). distinct has one row per seed and content: sid (its number), seed, segment, segment2, owner and start (the earliest place),
+    last (the last text), again (whether it occurs again: in a later text, or with ``same_text`` also in the same one), windows, content. Equal segments combine
+    before the shuffle. contested are those of seeds with several contents; crowded those of seeds with more than ``crowd_bytes`` of them, which are not in contested."""
+    earliest, latest = F.min(F.struct("_key", "first")).alias("e"), F.max(F.struct("_key", "first")).alias("l")
+    rows = segments.groupBy("seed", "content").agg(earliest, latest, *[F.any_value(c).alias(c) for c in ("windows", "segment", "segment2")])
+    again = F.col("e") < F.col("l") if same_text else F.col("e._key") < F.col("l._key")
+    rows = rows.select("seed", "content", "segment", "segment2", "windows", F.col("e._key").alias("owner"), F.col("e.first").alias("start"), F.col("l._key").alias("last"), again.alias("again"))
+    distinct = work.save(rows.withColumn("sid", F.monotonically_increasing_id()), "distinct")
+    seeds = distinct.groupBy("seed").agg(F.count(F.lit(1)).alias("contents"), F.sum(F.length("content")).alias("size")).where("contents > 1")
+    seeds = work.save(seeds.select("seed", (F.col("size") > crowd_bytes).alias("crowded")), "seeds")
+    contested, crowded = (distinct.join(seeds.where(x), "seed", "left_semi") for x in ("NOT crowded", "crowded"))
+    return distinct, contested, crowded
+
+
+def runs_of(late: DataFrame) -> DataFrame:
+    """From windows (sid, i, o, s), whose earliest place is (o, s), a list of (i, n, o, s) per sid: n windows in a row whose earliest places are in a row as well."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            if not len(b):
+                continue
+            sid, i, o, s = (b[x].to_numpy() for x in ("sid", "i", "o", "s"))
+            new = np.concatenate([[True], (sid[1:] != sid[:-1]) | (i[1:] != i[:-1] + 1) | (o[1:] != o[:-1]) | (s[1:] != s[:-1] + 1)])
+            at = np.flatnonzero(new)
+            yield pd.DataFrame({"sid": sid[at], "i": i[at], "n": np.diff(np.append(at, len(b))).astype(np.int32), "o": o[at], "s": s[at]})
+
+    rows = late.repartition("sid").sortWithinPartitions("sid", "i").mapInPandas(run, "sid long, i int, n int, o long, s long")
+    return rows.groupBy("sid").agg(F.collect_list(F.struct("i", "n", "o", "s")).alias("found"))
 
 
 def first_by_window(work: Workspace, segments: DataFrame, split) -> DataFrame:
-    """Adds firsts to segments (segment, segment2, seed, owner, start, windows, content): for each window the earliest (owner, place) among all given segments,
-    as pairs of longs; null where each is the segment's own.
+    """Per sid the runs (i, n, o, s) of windows that also occur earlier among segments (sid, owner, start, content).
 
-    For seeds whose segments don't fit one shard: windows meet by a digest of their content, combined before the shuffle, so that no task needs all
-    segments of a seed. ``split(content)`` gives the contents of the windows. The windows that recur join back; those of a common passage are a skewed
-    side of that join, which Spark splits.
+    For seeds with too many segments for one task: windows meet by a 128-bit digest of their content, combined before the shuffle. ``split(content)``
+    gives the contents of the windows. The windows that recur join back; those of a common passage are a skewed side of that join, which Spark splits.
     """
 
     def windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -186,34 +212,16 @@ def first_by_window(work: Workspace, segments: DataFrame, split) -> DataFrame:
                 part = b.iloc[at : at + 500]
                 found = [[hashlib.blake2b(w, digest_size=16).digest() for w in split(c)] for c in part["content"]]
                 sizes = [len(x) for x in found]
-                i = np.concatenate([np.arange(n) for n in sizes])
-                out = {c: np.repeat(part[c].to_numpy(), sizes) for c in ("segment", "segment2", "seed", "owner", "start")}
+                i = np.concatenate([np.arange(n, dtype=np.int32) for n in sizes])
+                out = {c: np.repeat(part[c].to_numpy(), sizes) for c in ("sid", "owner", "start")}
                 yield pd.DataFrame(out | {"i": i, "digest": [d for x in found for d in x]}).assign(start=lambda x: x["start"] + x["i"])
 
-    schema = "segment long, segment2 long, seed long, owner long, start long, i int, digest binary"
-    named = segments.select("segment", "segment2", "seed", "owner", "start", "content")
-    each = work.save(named.mapInPandas(windows, schema), "crowded_windows")
+    each = segments.select("sid", "owner", "start", "content").mapInPandas(windows, "sid long, owner long, start long, i int, digest binary")
+    each = work.save(each, "crowded_windows")
     place = F.struct("owner", "start")
     recurs = each.groupBy("digest").agg(F.min(place).alias("e"), F.max(place).alias("l")).where("e < l").select("digest", "e")
     late = each.join(work.save(recurs, "crowded_firsts"), "digest").where(F.col("e") < place)
-    found = late.groupBy("seed", "segment", "segment2").agg(F.collect_list(F.struct("i", F.col("e.owner").alias("o"), F.col("e.start").alias("s"))).alias("found"))
-
-    def fill(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            out = []
-            for owner, start, n, found in zip(*(b[c] for c in ("owner", "start", "windows", "found")), strict=True):
-                if found is None:
-                    out.append(None)
-                    continue
-                pairs = np.stack([np.full(n, owner, dtype=np.int64), start + np.arange(n)], axis=1)
-                for x in found:
-                    pairs[x["i"]] = x["o"], x["s"]
-                out.append(pairs.tobytes())
-            yield b.drop(columns="found").assign(firsts=out)
-
-    rest = segments.drop("content").join(found, ["seed", "segment", "segment2"], "left")
-    kept = rest.select("segment", "segment2", "seed", "owner", "start", "windows", "again", "found")
-    return kept.mapInPandas(fill, "segment long, segment2 long, seed long, owner long, start long, windows int, again boolean, firsts binary")
+    return runs_of(late.select("sid", "i", F.col("e.owner").alias("o"), F.col("e.start").alias("s")))
 
 
 def covered(flags: np.ndarray, width: int, n: int) -> np.ndarray:

@@ -58,11 +58,10 @@ def test_phrases(spark, width, gram):
     assert found == phrase_rows([(i, t) for i, t, _ in rows], width)
 
 
-@pytest.mark.parametrize(("width", "gram"), [(100, 40), (12, 6)])
-def test_substrings(spark, width, gram):
-    rows = [r for r in odd_rows(width) if r[0] is not None]
-    rows = list({r[0]: r for r in rows}.values())
-    got = suffixes.remove_substrings(spark, documents(spark, rows), width, gram, shard_bytes=5000)
+@pytest.mark.parametrize(("width", "gram", "length"), [(100, 40, 25), (12, 6, 25), (37, 16, 4)])
+def test_substrings(spark, width, gram, length):
+    rows = odd_rows(width)
+    got = suffixes.remove_substrings(spark, documents(spark, rows), width, gram, length, crowd_bytes=5000)
     found = sorted(((r.doc_id, r.n_bytes, r.n_bytes - len(r.kept), r.n_spans, hashlib.sha256(r.kept).hexdigest()) for r in got.collect()), key=repr)
     assert found == byte_rows([(i, t) for i, t, _ in rows], width)
 
@@ -72,7 +71,7 @@ def test_dense_repetition(spark):
     rng = random.Random(5)
     texts = ["ab" * 200, "a" * 300, "ba" * 150 + "c" * 250, "".join(rng.choice("ab") for _ in range(400)), "a" * 99, "a" * 100, "z" + "a" * 120]
     rows = [(i, t, "s") for i, t in enumerate(texts)]
-    got = suffixes.remove_substrings(spark, documents(spark, rows), shard_bytes=1000).collect()
+    got = suffixes.remove_substrings(spark, documents(spark, rows), crowd_bytes=1000).collect()
     assert sorted(((r.doc_id, r.n_bytes, r.n_bytes - len(r.kept), r.n_spans, hashlib.sha256(r.kept).hexdigest()) for r in got), key=repr) == byte_rows([(i, t) for i, t, _ in rows], 100)
     spaced = [(i, " ".join(t), "s") for i, t in enumerate(texts)]
     got = phrases.remove_phrases(spark, documents(spark, spaced), shard_bytes=1000).collect()
@@ -84,11 +83,6 @@ def test_empty(spark):
     assert phrases.remove_phrases(spark, docs).count() == 0 and suffixes.remove_substrings(spark, docs).count() == 0
 
 
-def test_odd_ids_do_not_crash(spark):
-    rows = odd_rows()
-    assert suffixes.remove_substrings(spark, documents(spark, rows)).count() == len(rows)
-
-
 def test_queries_on_whole_tables(spark):
     rows = [(r.doc_id, r.text) for r in read(spark, SF, "documents").collect()]
     got = QUERIES["op2_repeated_phrases"](spark, SF).collect()
@@ -108,7 +102,7 @@ def test_repeated_and_null_ids_with_different_texts(spark):
     pairs = [(i, t) for i, t, _ in rows]
     got = phrases.remove_phrases(spark, documents(spark, rows), shard_bytes=1000).collect()
     assert sorted(((r.doc_id, r.n_words, r.n_removed, r.text) for r in got), key=repr) == phrase_rows(pairs, 13)
-    got = suffixes.remove_substrings(spark, documents(spark, rows), shard_bytes=1000).collect()
+    got = suffixes.remove_substrings(spark, documents(spark, rows), crowd_bytes=1000).collect()
     assert sorted(((r.doc_id, r.n_bytes, r.n_bytes - len(r.kept), r.n_spans, hashlib.sha256(r.kept).hexdigest()) for r in got), key=repr) == byte_rows(pairs, 100)
 
 
@@ -121,18 +115,46 @@ def test_crowded_anchor(spark, monkeypatch):
     pairs = [(i, t) for i, t, _ in rows]
     sizes = tempfile.mkdtemp(prefix="spark-")
 
-    def noted(kind, f):
-        def call(contents, *rest):
-            with open(f"{sizes}/{kind}-{uuid.uuid4().hex}", "w") as out:
-                out.write(str(sum(map(len, contents))))
-            return f(contents, *rest)
+    def noted(contents, *rest):
+        with open(f"{sizes}/{uuid.uuid4().hex}", "w") as out:
+            out.write(str(sum(map(len, contents))))
+        return plain(contents, *rest)
 
-        return call
-
-    monkeypatch.setattr(phrases, "locate", noted("phrases", phrases.locate))
-    monkeypatch.setattr(suffixes, "first_places", noted("suffixes", suffixes.first_places))
+    plain = phrases.recurring_passages
+    monkeypatch.setattr(phrases, "recurring_passages", noted)
     got = phrases.remove_phrases(spark, documents(spark, rows), shard_bytes=1000).collect()
     assert sorted(((r.doc_id, r.n_words, r.n_removed, r.text) for r in got), key=repr) == phrase_rows(pairs, 13)
-    got = suffixes.remove_substrings(spark, documents(spark, rows), width=40, gram=16, shard_bytes=1000).collect()
+    got = suffixes.remove_substrings(spark, documents(spark, rows), width=40, gram=16, crowd_bytes=1000).collect()
     assert sorted(((r.doc_id, r.n_bytes, r.n_bytes - len(r.kept), r.n_spans, hashlib.sha256(r.kept).hexdigest()) for r in got), key=repr) == byte_rows(pairs, 40)
     assert max([int(p.read_text()) for p in Path(sizes).iterdir()], default=0) <= 5000
+
+
+def test_full_shard_is_split(spark):
+    """One shard whose stretches go to several tasks, each with its automaton."""
+    rows = odd_rows(7)
+    got = phrases.remove_phrases(spark, documents(spark, rows), 4, 2, shard_bytes=10**9, stream_bytes=500)
+    assert sorted(((r.doc_id, r.n_words, r.n_removed, r.text) for r in got.collect()), key=repr) == phrase_rows([(i, t) for i, t, _ in rows], 4)
+
+
+def test_ranks_over_batches(spark):
+    """Runs of equal pairs that end at, span and start at the edges of small Arrow batches."""
+    from tessera.llm.suffixes import later_places, reranked
+
+    rng, size = random.Random(2), spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    rows = [(rng.randrange(12), rng.randrange(3), s, rng.randrange(40)) for s in range(400)] + [(1000 + s, 0, s, 99) for s in range(40)]
+    pairs = spark.createDataFrame(rows, "a long, b long, sid long, i int")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        ranks = {(r.sid, r.i): r["rank"] for r in reranked(pairs).collect()}
+        late = {(r.sid, r.i): (r.o, r.s) for r in later_places(pairs.selectExpr("*", "sid % 50 AS owner", "CAST(i AS LONG) AS place")).collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+    groups = {}
+    for a, b, sid, i in rows:
+        groups.setdefault((a, b), []).append((sid % 50, i, sid))
+    assert set(ranks) == {(s, i) for g in groups.values() if len(g) > 1 for _, i, s in g}
+    assert len({frozenset(ranks[s, i] for _, i, s in g) for g in groups.values() if len(g) > 1}) == len(set(ranks.values())) == sum(len(g) > 1 for g in groups.values())
+    for g in groups.values():
+        g.sort()
+        assert len([x for x in g if (x[2], x[1]) not in late]) == 1
+        assert all(late[s, i] == g[0][:2] for _, i, s in g if (s, i) in late)
