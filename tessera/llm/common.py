@@ -37,7 +37,7 @@ class Workspace:
         self.spark, self.root = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
-        df.write.mode("overwrite").parquet(f"{self.root}/{name}")
+        df.write.mode("overwrite").option("compression", "zstd").parquet(f"{self.root}/{name}")
         self.release()
         return self.spark.read.schema(df.schema).parquet(f"{self.root}/{name}")
 

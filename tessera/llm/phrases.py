@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import WORD, Workspace
-from .windows import LAST, Spec, candidate_segments, covered, distinct_segments, distinct_texts, first_by_window, word_places
+from .windows import LAST, Spec, candidate_segments, covered, distinct_segments, distinct_texts, first_by_window, named, word_places
 
 #: At most so many shards are split between tasks; the list of them is broadcast.
 MOST_SPLIT = 100_000
@@ -141,6 +141,8 @@ def remove_phrases(spark: SparkSession, docs: DataFrame, width: int = 13, gram:
     small = lambda df: df.join(seeds.where("crowded"), "seed", "left_anti") if any_crowded else df
     passages = small(distinct).select(shard, "content", "owner", "last").groupBy("shard").applyInPandas(confirm, "shard long, content binary, owner long")
     passages = work.save(passages, "passages")
+    if not any_crowded:
+        work.drop("distinct")
 
     stretches = small(segments).select(shard, F.col("_key").alias("owner"), F.col("_row").alias("row"), "first", "content")
     most = max(stream_bytes, total // MOST_SPLIT)
@@ -177,7 +179,7 @@ def remove_phrases(spark: SparkSession, docs: DataFrame, width: int = 13, gram:
 def crowded_flags(work: Workspace, segments: DataFrame, distinct: DataFrame, crowded: DataFrame, width: int) -> DataFrame:
     """(_row, first, bits) of the stretches around crowded anchors."""
     found = first_by_window(work, crowded, lambda c: spaced_windows(c, width))
-    found = work.save(crowded.select("sid", "seed", "segment", "segment2", "owner", "windows").join(found, "sid", "left").drop("sid"), "crowded_found")
+    found = work.save(named(crowded).select("sid", "seed", "segment", "segment2", "owner", "windows").join(found, "sid", "left").drop("sid"), "crowded_found")
 
     def flag(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -189,5 +191,5 @@ def crowded_flags(work: Workspace, segments: DataFrame, distinct: DataFrame, cro
                 out.append(np.packbits(earlier, bitorder="little").tobytes() if earlier.any() else None)
             yield b[["_row", "first"]].assign(bits=out).dropna()
 
-    named = segments.select("_row", "_key", "first", "seed", "segment", "segment2").join(found, ["seed", "segment", "segment2"])
-    return named.select("_row", "_key", "first", "owner", "windows", "found").mapInPandas(flag, "_row long, first long, bits binary")
+    every = named(segments.select("_row", "_key", "first", "seed", "content")).join(found, ["seed", "segment", "segment2"])
+    return every.select("_row", "_key", "first", "owner", "windows", "found").mapInPandas(flag, "_row long, first long, bits binary")

@@ -11,12 +11,64 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Workspace
-from .windows import _BYTES, LAST, Spec, candidate_segments, covered, distinct_segments, distinct_texts, first_by_window, runs_of, spans
+from .windows import _BYTES, LAST, Spec, candidate_segments, covered, distinct_segments, distinct_texts, first_by_window, named, runs_of, spans
 
 #: Bytes of segments that a task hashes at a time.
 CHUNK = 1 << 20
 
 
+def common(a: bytes, b: bytes) -> int:
+    """Length of the longest common beginning."""
+    n = min(len(a), len(b))
+    if a[:n] == b[:n]:
+        return n
+    lo, hi = 0, n  # a[:lo] agrees, a[:hi] doesn't
+    while hi - lo > 1:
+        mid = (lo + hi) // 2
+        if a[lo:mid] == b[lo:mid]:
+            lo = mid
+        else:
+            hi = mid
+    return lo
+
+
+def longest_shared(rows: DataFrame, name: str) -> DataFrame:
+    """Adds to rows (seed, side, ...) the length that ``side`` shares at most with that of another row of its seed. Sorted, the neighbours share most."""
+    schema = rows.select("*", F.lit(0).alias(name)).drop("side").schema
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, shared = None, 0  # the last row and what it shares with the one before it
+        for b in batches:
+            if not len(b):
+                continue
+            b = b if held is None else pd.concat([held, b], ignore_index=True)
+            seed, side = b["seed"].tolist(), b["side"].tolist()
+            with_next = [common(side[k], side[k + 1]) if seed[k] == seed[k + 1] else 0 for k in range(len(b) - 1)]
+            best = np.maximum([shared, *with_next[:-1]], with_next) if with_next else np.zeros(0, dtype=np.int64)
+            held, shared = b.iloc[-1:], with_next[-1] if with_next else shared
+            yield b.iloc[:-1].assign(**{name: best.astype(np.int32)})[schema.names]
+        if held is not None:
+            yield held.assign(**{name: np.int32(shared)})[schema.names]
+
+    return rows.repartition("seed").sortWithinPartitions("seed", "side").mapInPandas(run, schema)
+
+
+def trimmed(segments: DataFrame, width: int) -> DataFrame:
+    """Segments cut to the windows that can occur in another segment of their seed: (sid, skip, owner, start, windows, content).
+
+    Equal windows have their anchor at the same place, so that they share what is left and what is right of it. Spark sorts the segments of a seed by what
+    follows the anchor, and by what comes before it, backwards; a window that reaches further on a side than its segment shares with any other there is unique.
+    """
+    right = F.expr("substring(content, at + 1)")
+    rows = longest_shared(segments.select("sid", "seed", "owner", "start", "windows", "at", "content", right.alias("side")), "right")
+    rows = longest_shared(rows.withColumn("side", F.reverse(F.hex(F.expr("substring(content, 1, at)"))).cast("binary")), "left")
+    low = F.greatest(F.lit(0), F.col("at") - F.expr("`left` div 2"))  # two hex digits a byte
+    high = F.least(F.col("windows") - 1, F.col("at") + F.col("right") - width)
+    rows = rows.withColumn("skip", low.cast("int")).withColumn("_high", high.cast("int")).where("skip <= _high")
+    n = F.col("_high") - F.col("skip") + 1
+    return rows.select("sid", "skip", "owner", (F.col("start") + F.col("skip")).alias("start"), n.alias("windows"), F.expr(f"substring(content, skip + 1, _high - skip + {width})").alias("content"))
+
+
 def starting_pairs(segments: DataFrame, width: int, length: int) -> DataFrame:
     """One row per window of segments (sid, windows, content): a = hash of its first ``length`` bytes, b = 0, and where it is (sid, i)."""
 
@@ -119,7 +171,7 @@ def later_places(pairs: DataFrame) -> DataFrame:
 
 
 def doubled(work: Workspace, segments: DataFrame, width: int, length: int) -> DataFrame:
-    """Per sid the runs (i, n, o, s) of windows that also occur earlier among segments (sid, owner, start, windows, content).
+    """Windows (sid, i, o, s) that also occur earlier, first at (o, s), among segments (sid, owner, start, windows, content).
 
     Prefix doubling: windows are ranked by their first ``length`` bytes, then by the pair of that rank and the bytes after them, the length doubling until it
     is ``width``. Spark sorts the pairs of each round. A window whose rank is unique occurs once and leaves, so that later rounds see only
@@ -136,7 +188,7 @@ def doubled(work: Workspace, segments: DataFrame, width: int, length: int) -> Da
     if not n:
         heads = segments.select("sid", "owner", "start")
         pairs = pairs.join(heads, "sid").select("a", "b", "sid", "i", "owner", (F.col("start") + F.col("i")).alias("place"))
-    return runs_of(later_places(pairs))
+    return later_places(pairs)
 
 
 def remove_substrings(spark: SparkSession, docs: DataFrame, width: int = 100, gram: int = 40, length: int = 25, crowd_bytes: int = 3_000_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -147,8 +199,8 @@ def remove_substrings(spark: SparkSession, docs: DataFrame, width: int = 100, gr
     1. Whole copies of a text become one. Strings around anchor grams that occur once in all texts are unique and left out (see windows); the
        others form segments, and equal segments combine before the shuffle.
     2. A segment that alone has its anchor recurs as a whole, and its own earliest place is the answer.
-    3. The windows of all other segments are ranked by prefix doubling (see doubled), starting from ``length`` bytes; the earliest place of the windows of one
-       rank is the answer. Spark sorts the pairs of all texts together, partitioned by pair.
+    3. Other segments are cut to the windows that can occur in two of them (see trimmed), and these are ranked by prefix doubling (see doubled), starting from
+       ``length`` bytes; the earliest place of the windows of one rank is the answer. Spark sorts the pairs of all texts together, partitioned by pair.
     4. Windows around an anchor with more than ``crowd_bytes`` of different segments meet by a digest of their content instead, combined before
        the shuffle (first_by_window), so that no task gets all of them.
     5. The answers join the segments of all texts. Strings are judged on the input, and matches never cross documents.
@@ -165,15 +217,16 @@ def remove_substrings(spark: SparkSession, docs: DataFrame, width: int = 100, gr
     texts, members = distinct_texts(work, docs, id_col, text_col)
     segments = candidate_segments(work, spec, True, cut)
     distinct, contested, crowded = distinct_segments(work, segments, crowd_bytes)
-    recurring = distinct.where("again").select("sid", "seed", "segment", "segment2", "owner", "start", "windows", "again")
-    found = work.save(doubled(work, work.save(contested, "contested"), width, length), "found")
+    cut_down = work.save(trimmed(contested, width), "trimmed")
+    late = work.save(doubled(work, cut_down, width, length), "late")
+    late = late.join(cut_down.select("sid", "skip"), "sid").select("sid", (F.col("i") + F.col("skip")).alias("i"), "o", "s")
+    found = runs_of(late)
     if not crowded.isEmpty():
         split = lambda c: [c[i : i + width] for i in range(len(c) - width + 1)]
         found = found.unionByName(first_by_window(work, crowded, split))
-    wanted = found.join(distinct.select("sid", "seed", "segment", "segment2", "owner", "start", "windows", "again"), "sid")
-    located = wanted.unionByName(recurring.join(found, "sid", "left_anti").withColumn("found", F.lit(None).cast(found.schema["found"].dataType)))
+    found = work.save(found, "found")
+    located = named(distinct).select("sid", "seed", "segment", "segment2", "owner", "start", "windows", "again").join(found, "sid", "left").where("again OR found IS NOT NULL")
     located = work.save(located.drop("sid", "again"), "located")
-    named = segments.select("_row", "_key", "first", "seed", "segment", "segment2")
 
     def flag(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -186,9 +239,9 @@ def remove_substrings(spark: SparkSession, docs: DataFrame, width: int = 100, gr
                 out.append(np.packbits(earlier).tobytes() if earlier.any() else None)
             yield b[["_row", "first"]].assign(bits=out).dropna()
 
-    flags = named.join(located, ["seed", "segment", "segment2"]).select("_row", "_key", "first", "owner", "start", "windows", "found").mapInPandas(flag, "_row long, first long, bits binary")
+    flags = named(segments.select("_row", "_key", "first", "seed", "content")).join(located, ["seed", "segment", "segment2"]).select("_row", "_key", "first", "owner", "start", "windows", "found").mapInPandas(flag, "_row long, first long, bits binary")
     answers = work.save(flags.groupBy("_row").agg(F.collect_list("first").alias("at"), F.collect_list("bits").alias("bits")), "answers")
-    work.drop("segments", "distinct", "contested", "found", "located")
+    work.drop("segments", "distinct", "trimmed", "late", "found", "located")
 
     def strip(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:

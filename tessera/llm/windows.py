@@ -124,9 +124,8 @@ def distinct_texts(work: Workspace, docs: DataFrame, id_col: str, text_col: str)
 
 
 def candidate_segments(work: Workspace, spec: Spec, same_text: bool, cut) -> DataFrame:
-    """Segments of the distinct texts whose anchor gram occurs again: (_row, _key, first, windows, seed, content, segment, segment2), written to ``segments``.
-    ``cut(text, first window, end)`` gives the contents; segment and segment2 are hashes that name them among those of one seed. Anchors count across texts, and with
-    ``same_text`` inside one text too."""
+    """Segments of the distinct texts whose anchor gram occurs again: (_row, _key, first, windows, at, seed, content), written to ``segments``; at is where the
+    anchor lies, counted from the first window. ``cut(text, first window, end)`` gives the contents. Anchors count across texts, and with ``same_text`` inside one text too."""
 
     def grams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -158,24 +157,24 @@ def candidate_segments(work: Workspace, spec: Spec, same_text: bool, cut) -> Dat
                     own = hashes[place[first]]
                     hit = np.isin(own, np.asarray(seeds, dtype=np.int64).view(np.uint64))
                     first, end, own = first[hit], end[hit], own[hit].view(np.int64)
-                    out += zip([row] * len(first), [key] * len(first), first.tolist(), (end - first).tolist(), own.tolist(), cut(text, first, end), strict=True)
-                yield pd.DataFrame(out, columns=["_row", "_key", "first", "windows", "seed", "content"])
+                    out += zip([row] * len(first), [key] * len(first), first.tolist(), (end - first).tolist(), (place[first] - first).tolist(), own.tolist(), cut(text, first, end), strict=True)
+                yield pd.DataFrame(out, columns=["_row", "_key", "first", "windows", "at", "seed", "content"])
 
-    found = texts.select("_row", "_key", "_text").join(marks, "_row").mapInPandas(segments, "_row long, _key long, first long, windows int, seed long, content binary")
-    found = found.withColumn("segment", F.xxhash64("content")).withColumn("segment2", F.xxhash64(F.lit(7), "content"))
+    found = texts.select("_row", "_key", "_text").join(marks, "_row").mapInPandas(segments, "_row long, _key long, first long, windows int, at int, seed long, content binary")
     out = work.save(found, "segments")
     work.drop("marks")
     return out
 
 
 def distinct_segments(work: Workspace, segments: DataFrame, crowd_bytes: int, same_text: bool = True) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(distinct, contested, crowded). distinct has one row per seed and content: sid (its number), seed, segment, segment2, owner and start (the earliest place),
-    last (the last text), again (whether it occurs again: in a later text, or with ``same_text`` also in the same one), windows, content. Equal segments combine
+    """(distinct, contested, crowded). distinct has one row per seed and content: sid (its number), seed, owner and start (the earliest place),
+    last (the last text), again (whether it occurs again: in a later text, or with ``same_text`` also in the same one), windows, at, content. Equal segments combine
     before the shuffle. contested are those of seeds with several contents; crowded those of seeds with more than ``crowd_bytes`` of them, which are not in contested."""
     earliest, latest = F.min(F.struct("_key", "first")).alias("e"), F.max(F.struct("_key", "first")).alias("l")
-    rows = segments.groupBy("seed", "content").agg(earliest, latest, *[F.any_value(c).alias(c) for c in ("windows", "segment", "segment2")])
+    facts = ("windows", "at")
+    rows = segments.groupBy("seed", "content").agg(earliest, latest, *[F.any_value(c).alias(c) for c in facts])
     again = F.col("e") < F.col("l") if same_text else F.col("e._key") < F.col("l._key")
-    rows = rows.select("seed", "content", "segment", "segment2", "windows", F.col("e._key").alias("owner"), F.col("e.first").alias("start"), F.col("l._key").alias("last"), again.alias("again"))
+    rows = rows.select("seed", "content", *facts, F.col("e._key").alias("owner"), F.col("e.first").alias("start"), F.col("l._key").alias("last"), again.alias("again"))
     distinct = work.save(rows.withColumn("sid", F.monotonically_increasing_id()), "distinct")
     seeds = distinct.groupBy("seed").agg(F.count(F.lit(1)).alias("contents"), F.sum(F.length("content")).alias("size")).where("contents > 1")
     seeds = work.save(seeds.select("seed", (F.col("size") > crowd_bytes).alias("crowded")), "seeds")
@@ -183,6 +182,11 @@ def distinct_segments(work: Workspace, segments: DataFrame, crowd_bytes: int, sa
     return distinct, contested, crowded
 
 
+def named(segments: DataFrame) -> DataFrame:
+    """Adds segment and segment2: 128 bits of hash that, with the seed, stand for the content in a join."""
+    return segments.withColumn("segment", F.xxhash64("content")).withColumn("segment2", F.xxhash64(F.lit(7), "content")).drop("content")
+
+
 def runs_of(late: DataFrame) -> DataFrame:
     """From windows (sid, i, o, s), whose earliest place is (o, s), a list of (i, n, o, s) per sid: n windows in a row whose earliest places are in a row as well."""
 
