@@ -38,7 +38,7 @@ def op5_lattice_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(spark, read(spark, sf_dir, "documents"))[1]
+    return mixing.mix(spark, read(spark, sf_dir, "documents"))[2].drop("_row", "_first")
 
 
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

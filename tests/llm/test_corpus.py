@@ -50,21 +50,63 @@ def checked_mix(rows, got):
 def test_mix(spark):
     rows = [r for r in odd_rows() if r[0] is not None]
     rows = list({r[0]: r for r in rows}.values()) + [(900, "lone words of a small source", "z"), (901, "ä b", "é"), (902, None, "only nulls")]
-    first = mixing.mix(spark, documents(spark, rows))[1].collect()
+    first = mixing.mix(spark, documents(spark, rows))[2].drop("_row").collect()
     checked_mix(rows, first)
-    again = mixing.mix(spark, documents(spark, rows, 7))[1].collect()
-    assert sorted(map(tuple, first)) == sorted(map(tuple, again))
+    again = mixing.mix(spark, documents(spark, rows, 7))[2].drop("_row").collect()
+    assert sorted(map(tuple, first), key=repr) == sorted(map(tuple, again), key=repr)
     slots = mixing.mix(spark, documents(spark, rows))[0]
     total = slots.count()
     assert slots.select("_shard", "_place").distinct().count() == total
-    assert mixing.mix(spark, documents(spark, rows).limit(0))[1].count() == 0
-    assert mixing.mix(spark, documents(spark, odd_rows()))[1].count() == len(odd_rows())
+    assert mixing.mix(spark, documents(spark, rows).limit(0))[2].count() == 0
+    assert mixing.mix(spark, documents(spark, odd_rows()))[2].count() == len(odd_rows())
 
 
 def test_permutation(spark):
-    for n in (1, 2, 97, 1000, 1048583):
-        got = spark.range(min(n, 5000)).select(mixing.permuted(mixing.F.col("id"), mixing.F.lit(n), mixing.F.lit(3)).alias("p")).distinct()
-        assert got.count() == min(n, 5000) and got.where(f"p < 0 OR p >= {n}").count() == 0
+    F = mixing.F
+    for n in (1, 2, 3, 5, 97, 1000, 65537):
+        got = [r.p for r in spark.range(n).select(mixing.permuted(F.col("id"), F.lit(n), F.lit(3)).alias("p")).collect()]
+        assert sorted(got) == list(range(n))
+    steps = np.diff(got) % n
+    assert len(set(steps.tolist())) > n // 2  # no arithmetic progression
+
+
+def test_shard_counts_are_multinomial(spark):
+    """Counts of a source of share p over shards of m slots have variance m p (1 - p), not that of an even spread; and sums are exact."""
+    F, m = mixing.F, 256
+    work = mixing.Workspace(spark, "t")
+    share = [100_000, 50_000, 10_000, 0, 44_800]
+    ends = np.cumsum(share).tolist()
+    sources = spark.createDataFrame([(i, n, e - n, e) for i, (n, e) in enumerate(zip(share, ends, strict=True))], "_s long, _slots long, _from long, _to long")
+    slots = mixing.drawn_slots(work, sources, ends[-1], m, 5)
+    assert {r._s: (r.n, r.d, r.top) for r in slots.groupBy("_s").agg(F.count("*").alias("n"), F.count_distinct("_nth").alias("d"), F.max("_nth").alias("top")).collect()} == {i: (n, n, n - 1) for i, n in enumerate(share) if n}
+    assert slots.select("_shard", "_place").distinct().count() == ends[-1]
+    counts = {(r._shard, r._s): r["count"] for r in slots.groupBy("_shard", "_s").count().collect()}
+    shards = ends[-1] // m
+    for s in (0, 1, 4):
+        p = share[s] / ends[-1]
+        seen = np.array([counts.get((j, s), 0) for j in range(shards)])
+        assert abs(seen.mean() - m * p) < 1 and 0.8 < seen.var() / (m * p * (1 - p)) < 1.25
+
+
+def test_blocks_hold_the_words(spark):
+    """Shards made of blocks: every word comes from its source, as often as the documents' counts say."""
+    rows = [(i, " ".join(f"{s}{i}w{k}" for k in range(5 + i)), s) for i, s in enumerate("aabbbcca")]
+    docs = documents(spark, rows)
+    blocks = mixing.mixed_blocks(spark, docs, block_words=4).collect()
+    taken = {r.doc_id: r.taken for r in mixing.mix(spark, docs, block_words=4)[2].collect()}
+    counts = defaultdict(int)
+    for b in blocks:
+        for w in b.text.split():
+            counts[int(w[1 : w.index("w")])] += 1
+    assert dict(counts) == {i: n for i, n in taken.items() if n} and len({(b._shard, b._place) for b in blocks}) == len(blocks)
+
+
+def test_rows_of_null_and_repeated_ids_are_mixed(spark):
+    rows = [(None, "x " * 50, "a"), (None, "y " * 40, "b"), (1, "z " * 30, "b"), (1, "v " * 30, "b"), (2, "", "a"), (3, None, None)]
+    got = mixing.mixed_documents(spark, documents(spark, rows))
+    assert got.columns == documents(spark, rows).columns
+    found = {r.text[0] for r in got.collect()}
+    assert {"x", "y"} & found and found <= set("xyzv")
 
 
 def test_mix_query(spark):
