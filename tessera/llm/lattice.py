@@ -7,12 +7,12 @@ from itertools import combinations, product
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Workspace
 from .components import connected_components
-from .simhash import Links
+from .simhash import Links, tiles
 
 
 def shortest_vectors() -> np.ndarray:
@@ -137,25 +137,6 @@ def cell_links(rep: np.ndarray, looks: np.ndarray, found: np.ndarray, cell: np.n
     return count, links
 
 
-def tiles(entries: DataFrame, is_home: Column) -> DataFrame:
-    """One row for each tile that an entry takes part in: tile, looks, found. homes, probes: numbers of blocks of the cell, null where it isn't split.
-
-    A tile is a pair of blocks: of vectors i <= j, where j looks for i; or of probes and of vectors, where the probes look. Tiles of one cell have
-    different numbers; in a cell that isn't split there is one, null.
-    """
-    own = lambda blocks: F.pmod(F.xxhash64("rep"), F.greatest(blocks, F.lit(1)))
-    homes, probes = F.col("homes").cast("long"), F.col("probes").cast("long")
-    mine, other = own(homes), lambda n: F.sequence(F.lit(0).cast("long"), n - 1)
-    part = lambda tile, looks, found: F.struct(tile.alias("tile"), looks.alias("looks"), found.alias("found"))
-    with_homes = F.transform(other(homes), lambda j: part(F.least(mine, j) * homes + F.greatest(mine, j), mine >= j, mine <= j))
-    with_probes = F.transform(other(probes), lambda p: part((homes + p) * homes + mine, F.lit(False), F.lit(True)))
-    with_probes = F.when(probes > 0, with_probes).otherwise(F.array().cast("array<struct<tile:bigint,looks:boolean,found:boolean>>"))
-    of_probe = F.transform(other(homes), lambda j: part((homes + own(probes)) * homes + j, F.lit(True), F.lit(False)))
-    whole = F.array(part(F.lit(None).cast("long"), F.lit(True), is_home))
-    parts = F.when(F.col("homes").isNull(), whole).when(is_home, F.concat(with_homes, with_probes)).otherwise(of_probe)
-    return entries.withColumn("part", F.explode(parts)).select("rep", "cell", "place", "part.tile", "part.looks", "part.found")
-
-
 def embedding_groups(spark: SparkSession, vectors: DataFrame, least: float = 0.95, tables: int = 20, probes: int = 8, scale: float = 2.2, seed: int = 11, rows_per_bucket: int = 40_000, hot_cell: int = 4000, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """One row per vector: id, n_links (other vectors linked directly), component_id (smallest id reachable), kept (id = component_id).
 
@@ -202,7 +183,7 @@ def embedding_groups(spark: SparkSession, vectors: DataFrame, least: float = 0.9
     work.drop("entries")
     blocks_of = lambda kind: F.ceil(F.count_if(kind) / hot_cell).cast("int")
     hot = used.groupBy("cell").agg(blocks_of(is_home).alias("homes"), blocks_of(~is_home).alias("probes")).where("homes > 1 OR probes > 1")
-    looked = tiles(used.join(work.save(hot, "hot"), "cell", "left"), is_home)
+    looked = tiles(used.join(work.save(hot, "hot"), "cell", "left"), is_home, ("cell", "place"))
     buckets = max(1, -(-looked.where("tile IS NULL").count() // rows_per_bucket))
     bucket = F.when(F.col("tile").isNull(), F.pmod(F.xxhash64("cell"), F.lit(buckets))).otherwise(F.xxhash64("cell", "tile"))
     looked = looked.withColumn("bucket", bucket).withColumn("tile", F.coalesce("tile", F.lit(0)))

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Workspace
@@ -137,21 +138,22 @@ class Links:
             self.made += list(zip(a[first].tolist(), b[first].tolist(), strict=True))
 
 
-def bucket_links(part: np.ndarray, key: np.ndarray, fp: np.ndarray, is_probe: np.ndarray, row: np.ndarray, n: int, radius: int, chunk: int = 500_000) -> list[tuple[int, int]]:
-    """Links, as few as connect them, between rows of one bucket: a probe and an indexed row of equal part and key within ``radius``.
+def bucket_links(spot: np.ndarray, fp: np.ndarray, looks: np.ndarray, found: np.ndarray, row: np.ndarray, n: int, radius: int, chunk: int = 500_000) -> list[tuple[int, int]]:
+    """Links, as few as connect them, between rows of one bucket within ``radius`` that share a spot: each entry that looks meets those that are found there;
+    two that do both meet once.
 
     Candidates are compared in chunks, and pairs that are connected already are left out before, so that a group of near copies costs
     neither memory nor links by the square.
     """
     links = Links(n)
-    where = (part.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) ^ (key * np.uint64(0xD6E8FEB86659FD93))
-    order = np.argsort(where[~is_probe], kind="stable")
-    index, index_fp, index_row = where[~is_probe][order], fp[~is_probe][order], row[~is_probe][order]
-    probe, probe_fp, probe_row = where[is_probe], fp[is_probe], row[is_probe]
-    for a_where, a_fp, a_row in ((index, index_fp, index_row), (probe, probe_fp, probe_row)):  # equal keys first, then neighbouring ones
+    order = np.flatnonzero(found)[np.argsort(spot[found], kind="stable")]
+    index, index_fp, index_row = spot[order], fp[order], row[order]
+    only = looks & ~found
+    for inside, a_where, a_fp, a_row in ((looks[order], index, index_fp, index_row), (None, spot[only], fp[only], row[only])):  # equal keys first, then neighbouring ones
         lo, hi = np.searchsorted(index, a_where, "left"), np.searchsorted(index, a_where, "right")
-        if a_where is index:
+        if inside is not None:
             lo = np.arange(len(index)) + 1  # each pair once
+            hi = np.where(inside, hi, lo)
         count = np.maximum(hi - lo, 0)
         at, total = 0, np.cumsum(count)
         while at < len(count):
@@ -171,25 +173,47 @@ def bucket_links(part: np.ndarray, key: np.ndarray, fp: np.ndarray, is_probe: np
     return links.made
 
 
-def near_links(spark: SparkSession, work: Workspace, nodes: DataFrame, radius: int = 4, rows_per_bucket: int = 400_000, most_parts: int = 5) -> DataFrame:
+def tiles(entries: DataFrame, is_home: Column, keep: tuple[str, ...]) -> DataFrame:
+    """One row for each tile that an entry takes part in: rep, ``keep``, tile, looks, found. homes, probes: numbers of blocks of the entry's cell, null where it isn't split.
+
+    A tile is a pair of blocks: of homes i <= j, where j looks for i; or of probes and of homes, where the probes look. Tiles of one cell have
+    different numbers; in a cell that isn't split there is one, null.
+    """
+    own = lambda blocks: F.pmod(F.xxhash64("rep"), F.greatest(blocks, F.lit(1)))
+    homes, probes = F.col("homes").cast("long"), F.col("probes").cast("long")
+    mine, other = own(homes), lambda n: F.sequence(F.lit(0).cast("long"), n - 1)
+    part = lambda tile, looks, found: F.struct(tile.alias("tile"), looks.alias("looks"), found.alias("found"))
+    none = F.array().cast("array<struct<tile:bigint,looks:boolean,found:boolean>>")
+    with_homes = F.transform(other(homes), lambda j: part(F.least(mine, j) * homes + F.greatest(mine, j), mine >= j, mine <= j))
+    with_probes = F.transform(other(probes), lambda p: part((homes + p) * homes + mine, F.lit(False), F.lit(True)))
+    with_probes = F.when(probes > 0, with_probes).otherwise(none)
+    of_probe = F.transform(other(homes), lambda j: part((homes + own(probes)) * homes + j, F.lit(True), F.lit(False)))
+    whole = F.array(part(F.lit(None).cast("long"), F.lit(True), is_home))
+    of_probe = F.when(homes > 0, of_probe).otherwise(none)  # nobody to find
+    parts = F.when(F.col("homes").isNull(), whole).when(is_home, F.concat(with_homes, with_probes)).otherwise(of_probe)
+    return entries.withColumn("in_tile", F.explode(parts)).select("rep", *keep, "in_tile.tile", "in_tile.looks", "in_tile.found")
+
+
+def as_long(mask: int) -> int:
+    return mask - (1 << 64) if mask >> 63 else mask
+
+
+def near_links(spark: SparkSession, work: Workspace, nodes: DataFrame, radius: int = 4, rows_per_bucket: int = 400_000, most_parts: int = 5, hot_key: int = 20_000) -> DataFrame:
     """Links (a, b) that connect all nodes (rep, fp; distinct fp) whose fingerprints differ in at most ``radius`` bits.
 
     Bits are grouped into parts by correlation; for each number of parts the thresholds come from pick_thresholds, and the cheapest
     number is used. Every node is indexed under its key in each part and probes all keys within the part's threshold. Keys are
-    dealt by hash into buckets, as many as the rows need; each bucket compares inside (bucket_links).
+    dealt by hash into buckets, as many as the rows need; each bucket compares inside (bucket_links). A key with more than ``hot_key`` nodes or probes
+    is compared in tiles of two blocks, a group each (tiles), so that no task gets more of it than two blocks.
     """
     n = nodes.count()
     together = bit_counts(nodes)
     p = np.diag(together) / max(n, 1)
-    plans = []
-    for m in range(2, min(most_parts, radius + 1) + 1):
-        parts = correlated_parts(together, n, m)
-        masks = [int(masks_within(b, len(b))[-1]) if len(b) <= 1 else sum(1 << x for x in b) for b in parts]
-        signed = [x - (1 << 64) if x >> 63 else x for x in masks]
-        keyed = nodes.select(F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(s)) for s in signed])).alias("part", "key")).groupBy("part", "key").count()
-        exact = {r.part: float(r.pairs) for r in keyed.groupBy("part").agg(F.sum(F.col("count") * (F.col("count") - 1) / 2).alias("pairs")).collect()}
-        # what copies share is compared whatever the split; one pair a node is taken off, lest a group of near copies decide
-        plans.append((*pick_thresholds(parts, p, float(n), [max(0.0, exact.get(i, 0.0)) for i in range(m)], radius), parts))
+    choices = {m: correlated_parts(together, n, m) for m in range(2, min(most_parts, radius + 1) + 1)}
+    masks = [F.struct(F.lit(m).alias("m"), F.lit(k).alias("part"), F.col("fp").bitwiseAND(F.lit(as_long(sum(1 << x for x in bits)))).alias("key")) for m, parts in choices.items() for k, bits in enumerate(parts)]
+    keyed = nodes.select(F.explode(F.array(*masks)).alias("x")).groupBy("x.m", "x.part", "x.key").count()
+    exact = {(r.m, r.part): float(r.pairs) for r in keyed.groupBy("m", "part").agg(F.sum(F.col("count") * (F.col("count") - 1) / 2).alias("pairs")).collect()}
+    plans = [(*pick_thresholds(parts, p, float(n), [max(0.0, exact.get((m, i), 0.0)) for i in range(m)], radius), parts) for m, parts in choices.items()]
     _, thresholds, parts = min(plans, key=lambda x: x[0])
     probes = [masks_within(b, t) if t >= 0 else np.zeros(0, dtype=np.uint64) for b, t in zip(parts, thresholds, strict=True)]
     wholes = [np.uint64(sum(1 << x for x in b)) for b in parts]
@@ -203,16 +227,34 @@ def near_links(spark: SparkSession, work: Workspace, nodes: DataFrame, radius: i
                 for k, (whole, flips) in enumerate(zip(wholes, probes, strict=True)):
                     if len(flips):
                         key = (fp & whole)[:, None] ^ flips[None, :]
-                        where = (key * np.uint64(0x9E3779B97F4A7C15) + np.uint64(k)) >> np.uint64(20)
-                        yield pd.DataFrame({"bucket": (where % np.uint64(buckets)).ravel().astype(np.int32), "part": np.int8(k), "key": key.ravel().view(np.int64), "fp": np.repeat(fp, len(flips)).view(np.int64), "rep": np.repeat(rep, len(flips)), "probe": np.tile(np.arange(len(flips)) > 0, len(fp))})
+                        yield pd.DataFrame({"part": np.int8(k), "key": key.ravel().view(np.int64), "fp": np.repeat(fp, len(flips)).view(np.int64), "rep": np.repeat(rep, len(flips)), "probe": np.tile(np.arange(len(flips)) > 0, len(fp))})
 
     def compare(b: pd.DataFrame) -> pd.DataFrame:
         reps, row = np.unique(b["rep"].to_numpy(), return_inverse=True)
-        made = bucket_links(b["part"].to_numpy(), b["key"].to_numpy().view(np.uint64), b["fp"].to_numpy().view(np.uint64), b["probe"].to_numpy(), row, len(reps), radius)
+        spot = b["key"].to_numpy().view(np.uint64) * np.uint64(0xD6E8FEB86659FD93) ^ (b["part"].to_numpy().astype(np.uint64) + np.uint64(31) * b["tile"].to_numpy().astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+        made = bucket_links(spot, b["fp"].to_numpy().view(np.uint64), b["looks"].to_numpy(), b["found"].to_numpy(), row, len(reps), radius)
         return pd.DataFrame([(reps[x], reps[y]) for x, y in made], columns=["a", "b"])
 
-    rows = nodes.select("rep", "fp").mapInPandas(spread, f"bucket int, part byte, key long, fp long, rep {kind}, probe boolean")
-    return rows.groupBy("bucket").applyInPandas(compare, f"a {kind}, b {kind}")
+    rows = nodes.select("rep", "fp").mapInPandas(spread, f"part byte, key long, fp long, rep {kind}, probe boolean")
+    # Only keys within reach of one that many nodes have can have hot_key probes or nodes.
+    many = hot_key // (4 * max(len(x) for x in probes))
+    crowds = []
+    for k, (whole, flips) in enumerate(zip(wholes, probes, strict=True)):
+        if len(flips):
+            full = nodes.groupBy(F.col("fp").bitwiseAND(F.lit(as_long(int(whole)))).alias("key")).count().where(F.col("count") > many)
+            crowds.append(full.select(F.lit(k).cast("byte").alias("part"), F.explode(F.array(*[F.col("key").bitwiseXOR(F.lit(as_long(int(x)))) for x in flips])).alias("key")))
+    crowd = work.save(functools.reduce(DataFrame.unionByName, crowds).distinct(), "crowded_keys")
+    if crowd.isEmpty():
+        looked = rows.select("rep", "part", "key", "fp", F.lit(0).cast("long").alias("tile"), F.lit(True).alias("looks"), (~F.col("probe")).alias("found"))
+        bucket = F.pmod(F.xxhash64("part", "key"), F.lit(buckets))
+    else:
+        blocks_of = lambda kind: F.ceil(F.count_if(kind) / hot_key).cast("int")
+        hot = rows.join(crowd, ["part", "key"], "left_semi").groupBy("part", "key").agg(blocks_of(~F.col("probe")).alias("homes"), blocks_of(F.col("probe")).alias("probes")).where("homes > 1 OR probes > 1")
+        looked = tiles(rows.join(work.save(hot, "hot_keys"), ["part", "key"], "left"), ~F.col("probe"), ("part", "key", "fp"))
+        bucket = F.when(F.col("tile").isNull(), F.pmod(F.xxhash64("part", "key"), F.lit(buckets))).otherwise(F.xxhash64("part", "key", "tile"))
+        looked = looked.withColumn("bucket", bucket).withColumn("tile", F.coalesce("tile", F.lit(0)))
+        bucket = F.col("bucket")
+    return looked.withColumn("bucket", bucket).groupBy("bucket").applyInPandas(compare, f"a {kind}, b {kind}")
 
 
 def simhash_groups(spark: SparkSession, docs: DataFrame, radius: int = 4, words: int = 4, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -234,6 +276,7 @@ def simhash_groups(spark: SparkSession, docs: DataFrame, radius: int = 4, words:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """The document with the smallest id of each group, with all its columns; rows of null id stay, repeated ids keep one row."""
+    """The document with the smallest id of each group, with all its columns; rows of null id stay, and so do all rows that
+    repeat the id that stays."""
     stay = simhash_groups(spark, docs, id_col=id_col, **options).where(f"`{id_col}` <> component_id").select(F.col(id_col).alias("_copy")).distinct()
     return docs.join(stay, docs[id_col] == stay["_copy"], "left_anti")

@@ -55,6 +55,34 @@ def test_simhash(spark):
     assert sorted(map(tuple, got), key=repr) == expected([(i, t) for i, t, _ in rows])
 
 
+def test_hot_keys_are_tiled(spark):
+    """Many near fingerprints under one key: tiles give the components of all pairs, and no group gets all of them."""
+    rng = np.random.default_rng(4)
+    base = [int(rng.integers(0, 2**63)) for _ in range(3)]
+    fps = {base[int(rng.integers(0, 3))] ^ (1 << int(rng.integers(0, 16))) ^ (1 << int(rng.integers(0, 63))) for _ in range(900)} | {int(x) for x in rng.integers(0, 2**63, 300)}
+    nodes = spark.createDataFrame([(i, f) for i, f in enumerate(sorted(fps))], "rep long, fp long")
+    links = simhash.near_links(spark, simhash.Workspace(spark, "t"), nodes, hot_key=50, rows_per_bucket=500).collect()
+    values = sorted(fps)
+    assert all((values[r.a] ^ values[r.b]).bit_count() <= 4 for r in links)
+
+    def components(pairs):
+        up = list(range(len(values)))
+
+        def root(x):
+            while up[x] != x:
+                up[x] = up[up[x]]
+                x = up[x]
+            return x
+
+        for a, b in pairs:
+            up[root(a)] = root(b)
+        return [root(x) for x in range(len(values))]
+
+    every = [(a, b) for a in range(len(values)) for b in range(a) if (values[a] ^ values[b]).bit_count() <= 4]
+    got, want = components([(r.a, r.b) for r in links]), components(every)
+    assert len(set(zip(got, want, strict=True))) == len(set(got)) == len(set(want))
+
+
 def test_simhash_queries(spark):
     rows = [(r.doc_id, r.text) for r in read(spark, SF, "documents").collect()]
     assert sorted(map(tuple, QUERIES["op9_simhash_near_dedup"](spark, SF).collect()), key=repr) == expected(rows)
@@ -148,7 +176,7 @@ def test_hot_cells_are_tiled(spark):
     entries = spark.createDataFrame([(i, 5, int(i >= 100)) for i in range(300)], "rep long, cell long, place int")
     for homes, probes in ((5, 10), (1, 10), (5, 0)):
         part = entries.where(f"place = 0 AND rep < {homes * 20} OR place = 1 AND rep < {100 + probes * 20}")
-        found = lattice.tiles(part.selectExpr("*", f"{homes} AS homes", f"{probes} AS probes"), lattice.F.col("place") == 0).collect()
+        found = lattice.tiles(part.selectExpr("*", f"{homes} AS homes", f"{probes} AS probes"), lattice.F.col("place") == 0, ("cell", "place")).collect()
         pairs = []
         for t in {r.tile for r in found}:
             mine = [r for r in found if r.tile == t]
