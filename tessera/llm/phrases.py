@@ -47,28 +47,49 @@ def recurring_passages(contents: list[bytes], owners: list[int], lasts: list[int
 
 
 class Phrases:
-    """An Aho-Corasick automaton over word numbers: the windows of ``width`` words of passages, each with the smallest owner."""
+    """An Aho-Corasick automaton over the words of passages that finds all their windows of ``width`` words in a text.
+
+    The automaton holds the pieces of half a window that a passage falls into: every window has one of them inside, so that the automaton has a node a word and not one
+    for each word of each window. Where a text hits a piece, the passage is compared with the text to both sides, word by word.
+    """
 
     def __init__(self, passages: list[tuple[bytes, int]], width: int):
         import ahocorasick
 
         self.number: dict[bytes, int] = {}
-        self.width, self.empty = width, not passages
-        self.automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
-        for passage, owner in sorted(passages, key=lambda x: -x[1]):  # smaller owners overwrite larger ones
-            words = tuple([self.number.setdefault(w, len(self.number) + 1) for w in passage.split(b" ")])
-            for j in range(len(words) - width + 1):
-                self.automaton.add_word(words[j : j + width], owner)
-        if not self.empty:
+        self.width, self.piece = width, (width + 1) // 2
+        self.automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
+        number = self.number
+        for passage, owner in passages:
+            words = tuple([number.setdefault(w, len(number) + 1) for w in passage.split(b" ")])
+            for at in range(0, len(words) - self.piece + 1, self.piece):
+                piece = words[at : at + self.piece]
+                have = self.automaton.get(piece, None)
+                if have is None:
+                    self.automaton.add_word(piece, [(words, at, owner)])
+                else:
+                    have.append((words, at, owner))
+        if len(self.automaton):
             self.automaton.make_automaton()
 
-    def occurrences(self, text: bytes) -> list[tuple[int, int]]:
-        """(first word, owner) of every phrase in a text."""
-        if self.empty:
+    def occurrences(self, text: bytes) -> list[tuple[int, int, int]]:
+        """(first window, end, owner) of every run of windows in a text that a passage has."""
+        if not len(self.automaton):
             return []
-        get = self.number.get
+        get, width = self.number.get, self.width
         words = tuple([get(w, 0) for w in text.split(b" ")])
-        return [(end - self.width + 1, owner) for end, owner in self.automaton.iter(words)]
+        out, n = [], len(words)
+        for last, hits in self.automaton.iter(words):
+            for passage, at, owner in hits:
+                lo, left = last - self.piece + 1, at
+                while lo > 0 and left > 0 and words[lo - 1] == passage[left - 1]:
+                    lo, left = lo - 1, left - 1
+                hi, right, most = last + 1, at + self.piece, len(passage)
+                while hi < n and right < most and words[hi] == passage[right]:
+                    hi, right = hi + 1, right + 1
+                if hi - lo >= width:
+                    out.append((lo, hi - width + 1, owner))
+        return out
 
 
 def streamed(rows: DataFrame, width: int) -> DataFrame:
@@ -88,9 +109,9 @@ def streamed(rows: DataFrame, width: int) -> DataFrame:
                 if phrases is None:
                     phrases = Phrases(passages, width)
                 bits = 0
-                for i, o in phrases.occurrences(content):
+                for i, end, o in phrases.occurrences(content):
                     if o < owner:
-                        bits |= 1 << i
+                        bits |= (1 << end) - (1 << i)
                 if bits:
                     out.append((row, first, bits.to_bytes((bits.bit_length() + 7) // 8, "little")))
             yield pd.DataFrame(out, columns=["_row", "first", "bits"])
@@ -99,7 +120,7 @@ def streamed(rows: DataFrame, width: int) -> DataFrame:
     return dealt.mapInPandas(run, "_row long, first long, bits binary")
 
 
-def remove_phrases(spark: SparkSession, docs: DataFrame, width: int = 13, gram: int = 6, shard_bytes: int = 2_000_000, stream_bytes: int = 64_000_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def remove_phrases(spark: SparkSession, docs: DataFrame, width: int = 13, gram: int = 6, shard_bytes: int = 1_000_000, crowd_bytes: int = 2_000_000, stream_bytes: int = 8_000_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Removes words covered by a window of ``width`` words that also starts in a document of smaller id: _id, text, n_words, n_removed.
 
     1. Whole copies of a text become one text, owned by the smallest id.
@@ -110,7 +131,7 @@ def remove_phrases(spark: SparkSession, docs: DataFrame, width: int = 13, gram:
        anchors that recur, each through the automaton of its anchor's shard, which finds every occurrence of every phrase. What lies outside them
        holds no phrase, since each window has its anchor inside. A shard with more than ``stream_bytes`` of stretches goes to several tasks,
        each with the same automaton.
-    4. Anchors with more than ``shard_bytes`` of different stretches would make a shard of their own that is too large for one automaton. Their
+    4. Anchors with more than ``crowd_bytes`` of different stretches would make a shard of their own that is too large for one automaton. Their
        windows meet by a digest of their content, combined before the shuffle (first_by_window).
     5. The covered words go. Windows are judged on the input.
 
@@ -132,13 +153,14 @@ def remove_phrases(spark: SparkSession, docs: DataFrame, width: int = 13, gram:
 
     texts, members = distinct_texts(work, docs, id_col, text_col)
     segments = candidate_segments(work, spec, False, cut)
-    distinct, _, crowded = distinct_segments(work, segments, shard_bytes, same_text=False)
-    seeds = spark.read.parquet(f"{work.root}/seeds")
-    any_crowded = not crowded.isEmpty()
+    distinct, _, crowded = distinct_segments(work, segments, crowd_bytes, same_text=False)
+    hot = spark.read.parquet(f"{work.root}/seeds").where("crowded").select("seed")
+    n_hot = hot.count()
+    any_crowded, hot = n_hot > 0, F.broadcast(hot) if n_hot < MOST_SPLIT else hot
     total = segments.agg(F.sum(F.length("content"))).first()[0] or 0
     shards = max(1, -(-(distinct.agg(F.sum(F.length("content"))).first()[0] or 0) // shard_bytes))
     shard = F.pmod(F.xxhash64("seed"), F.lit(shards)).alias("shard")
-    small = lambda df: df.join(seeds.where("crowded"), "seed", "left_anti") if any_crowded else df
+    small = lambda df: df.join(hot, "seed", "left_anti") if any_crowded else df
     passages = small(distinct).select(shard, "content", "owner", "last").groupBy("shard").applyInPandas(confirm, "shard long, content binary, owner long")
     passages = work.save(passages, "passages")
     if not any_crowded:
@@ -153,7 +175,7 @@ def remove_phrases(spark: SparkSession, docs: DataFrame, width: int = 13, gram:
     streams = stretches.join(full, "shard", "left").select("shard", F.pmod(F.xxhash64("row"), subs).cast("int").alias("sub"), F.lit(1).alias("kind"), "owner", "row", "first", "content")
     flags = streamed(compiled.unionByName(streams), width)
     if any_crowded:
-        flags = flags.unionByName(crowded_flags(work, segments, distinct, crowded, width))
+        flags = flags.unionByName(crowded_flags(work, segments.join(hot, "seed", "left_semi"), crowded, width))
     answers = work.save(flags.groupBy("_row").agg(F.collect_list(F.struct("first", "bits")).alias("found")), "answers")
     work.drop("segments", "distinct", "passages")
 
@@ -162,8 +184,7 @@ def remove_phrases(spark: SparkSession, docs: DataFrame, width: int = 13, gram:
             out = []
             for key, text, own, found in zip(*(b[c] for c in ("_key", "_text", "_own", "found")), strict=True):
                 words = text.encode().split()
-                flags = [x["first"] + np.flatnonzero(np.unpackbits(np.frombuffer(x["bits"], dtype=np.uint8), bitorder="little")) for x in found] if found is not None else []
-                gone = covered(np.concatenate(flags), width, len(words)) if flags else np.zeros(len(words), dtype=bool)
+                gone = covered([x["first"] for x in found], [0] * len(found), [x["bits"] for x in found], width, len(words), "little") if found is not None else np.zeros(len(words), dtype=bool)
                 out += [(key, b" ".join([w for w, g in zip(words, gone.tolist(), strict=True) if not g]).decode(), len(words), int(gone.sum()))] * own
             yield pd.DataFrame(out, columns=["_id", "text", "n_words", "n_removed"])
 
@@ -176,7 +197,7 @@ def remove_phrases(spark: SparkSession, docs: DataFrame, width: int = 13, gram:
     return owners.unionByName(copies).withColumnRenamed("_id", id_col)
 
 
-def crowded_flags(work: Workspace, segments: DataFrame, distinct: DataFrame, crowded: DataFrame, width: int) -> DataFrame:
+def crowded_flags(work: Workspace, segments: DataFrame, crowded: DataFrame, width: int) -> DataFrame:
     """(_row, first, bits) of the stretches around crowded anchors."""
     found = first_by_window(work, crowded, lambda c: spaced_windows(c, width))
     found = work.save(named(crowded).select("sid", "seed", "segment", "segment2", "owner", "windows").join(found, "sid", "left").drop("sid"), "crowded_found")

@@ -32,9 +32,15 @@ def common(a: bytes, b: bytes) -> int:
     return lo
 
 
-def longest_shared(rows: DataFrame, name: str) -> DataFrame:
-    """Adds to rows (seed, side, ...) the length that ``side`` shares at most with that of another row of its seed. Sorted, the neighbours share most."""
-    schema = rows.select("*", F.lit(0).alias(name)).drop("side").schema
+def longest_shared(rows: DataFrame, name: str, other_side: bool) -> DataFrame:
+    """Adds to rows (seed, side, at, content, ...) the length that ``side`` shares at most with that of another row of its seed. Sorted, the neighbours share most.
+    ``other_side`` puts what comes before the anchor, backwards, in the place of side; else side goes."""
+    schema = rows.select("*", F.lit(0).alias(name))
+    schema = (schema if other_side else schema.drop("side")).schema
+
+    def given(b: pd.DataFrame, best: np.ndarray) -> pd.DataFrame:
+        b = b.assign(**{name: best.astype(np.int32)})
+        return b.assign(side=[c[:at][::-1] for c, at in zip(b["content"], b["at"], strict=True)])[schema.names] if other_side else b[schema.names]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held, shared = None, 0  # the last row and what it shares with the one before it
@@ -46,9 +52,9 @@ def longest_shared(rows: DataFrame, name: str) -> DataFrame:
             with_next = [common(side[k], side[k + 1]) if seed[k] == seed[k + 1] else 0 for k in range(len(b) - 1)]
             best = np.maximum([shared, *with_next[:-1]], with_next) if with_next else np.zeros(0, dtype=np.int64)
             held, shared = b.iloc[-1:], with_next[-1] if with_next else shared
-            yield b.iloc[:-1].assign(**{name: best.astype(np.int32)})[schema.names]
+            yield given(b.iloc[:-1], best)
         if held is not None:
-            yield held.assign(**{name: np.int32(shared)})[schema.names]
+            yield given(held, np.array([shared]))
 
     return rows.repartition("seed").sortWithinPartitions("seed", "side").mapInPandas(run, schema)
 
@@ -60,9 +66,9 @@ def trimmed(segments: DataFrame, width: int) -> DataFrame:
     follows the anchor, and by what comes before it, backwards; a window that reaches further on a side than its segment shares with any other there is unique.
     """
     right = F.expr("substring(content, at + 1)")
-    rows = longest_shared(segments.select("sid", "seed", "owner", "start", "windows", "at", "content", right.alias("side")), "right")
-    rows = longest_shared(rows.withColumn("side", F.reverse(F.hex(F.expr("substring(content, 1, at)"))).cast("binary")), "left")
-    low = F.greatest(F.lit(0), F.col("at") - F.expr("`left` div 2"))  # two hex digits a byte
+    rows = longest_shared(segments.select("sid", "seed", "owner", "start", "windows", "at", "content", right.alias("side")), "right", True)
+    rows = longest_shared(rows, "left", False)
+    low = F.greatest(F.lit(0), F.col("at") - F.col("left"))
     high = F.least(F.col("windows") - 1, F.col("at") + F.col("right") - width)
     rows = rows.withColumn("skip", low.cast("int")).withColumn("_high", high.cast("int")).where("skip <= _high")
     n = F.col("_high") - F.col("skip") + 1
@@ -191,7 +197,7 @@ def doubled(work: Workspace, segments: DataFrame, width: int, length: int) -> Da
     return later_places(pairs)
 
 
-def remove_substrings(spark: SparkSession, docs: DataFrame, width: int = 100, gram: int = 40, length: int = 25, crowd_bytes: int = 3_000_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def remove_substrings(spark: SparkSession, docs: DataFrame, width: int = 100, gram: int = 40, length: int = 50, crowd_bytes: int = 3_000_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Removes bytes covered by a ``width``-byte string that also starts earlier: _id, kept (binary), n_bytes, n_spans.
 
     Earlier is a smaller id, or the same id and an earlier start.
@@ -233,23 +239,26 @@ def remove_substrings(spark: SparkSession, docs: DataFrame, width: int = 100, gr
             out = []
             for key, first, owner, start, n, found in zip(*(b[c] for c in ("_key", "first", "owner", "start", "windows", "found")), strict=True):
                 earlier = np.full(n, (owner, start) < (key, first))
-                for x in found if found is not None else ():
+                for x in found:
                     i, m = x["i"], x["n"]
                     earlier[i : i + m] = (x["o"], x["s"]) < (key, first + i)
                 out.append(np.packbits(earlier).tobytes() if earlier.any() else None)
-            yield b[["_row", "first"]].assign(bits=out).dropna()
-
-    flags = named(segments.select("_row", "_key", "first", "seed", "content")).join(located, ["seed", "segment", "segment2"]).select("_row", "_key", "first", "owner", "start", "windows", "found").mapInPandas(flag, "_row long, first long, bits binary")
-    answers = work.save(flags.groupBy("_row").agg(F.collect_list("first").alias("at"), F.collect_list("bits").alias("bits")), "answers")
+            yield b[["_row", "first", "windows"]].assign(bits=out).dropna()
+
+    every = named(segments.select("_row", "_key", "first", "seed", "content")).join(located, ["seed", "segment", "segment2"])
+    earlier = F.struct("owner", "start") < F.struct("_key", "first")
+    whole = every.where(F.col("found").isNull() & earlier).select("_row", "first", "windows", F.lit(None).cast("binary").alias("bits"))
+    parts = every.where("found IS NOT NULL").select("_row", "_key", "first", "owner", "start", "windows", "found").mapInPandas(flag, "_row long, first long, windows int, bits binary")
+    lists = [F.collect_list(c).alias(n) for c, n in (("first", "at"), ("windows", "n"), (F.coalesce("bits", F.lit(bytearray())), "bits"))]
+    answers = work.save(whole.unionByName(parts).groupBy("_row").agg(*lists), "answers")
     work.drop("segments", "distinct", "trimmed", "late", "found", "located")
 
     def strip(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out = []
-            for key, text, own, at, bits in zip(*(b[c] for c in ("_key", "_text", "_own", "at", "bits")), strict=True):
+            for key, text, own, at, n, bits in zip(*(b[c] for c in ("_key", "_text", "_own", "at", "n", "bits")), strict=True):
                 raw = np.frombuffer(text.encode(), dtype=np.uint8)
-                flags = [a + np.flatnonzero(np.unpackbits(np.frombuffer(x, dtype=np.uint8))) for a, x in zip(at, bits, strict=True)] if at is not None else []
-                gone = covered(np.concatenate(flags), width, len(raw)) if flags else np.zeros(len(raw), dtype=bool)
+                gone = covered(at, n, bits, width, len(raw)) if at is not None else np.zeros(len(raw), dtype=bool)
                 n = int((gone & ~np.concatenate([[False], gone[:-1]])).sum())
                 out += [(key, raw[~gone].tobytes(), len(raw), n)] * own
             yield pd.DataFrame(out, columns=["_id", "kept", "n_bytes", "n_spans"])

@@ -228,9 +228,15 @@ def first_by_window(work: Workspace, segments: DataFrame, split) -> DataFrame:
     return runs_of(late.select("sid", "i", F.col("e.owner").alias("o"), F.col("e.start").alias("s")))
 
 
-def covered(flags: np.ndarray, width: int, n: int) -> np.ndarray:
-    """Which of n tokens some flagged window covers."""
+def covered(at: np.ndarray, windows: np.ndarray, bits: list[bytes], width: int, n: int, bitorder: str = "big") -> np.ndarray:
+    """Which of n tokens are covered by flagged windows, given in runs: the first window of each, how many windows it has, and a bit for each, none if all are flagged."""
     step = np.zeros(n + 1, dtype=np.int64)
-    np.add.at(step, flags, 1)
-    np.add.at(step, flags + width, -1)
+    whole = np.array([not len(x) for x in bits], dtype=bool)
+    begin, end = [np.asarray(at)[whole]], [np.asarray(at)[whole] + np.asarray(windows)[whole]]
+    for a, x in zip(np.asarray(at)[~whole].tolist(), [x for x in bits if len(x)], strict=True):
+        one = a + np.flatnonzero(np.unpackbits(np.frombuffer(x, dtype=np.uint8), bitorder=bitorder))
+        begin.append(one)
+        end.append(one + 1)
+    np.add.at(step, np.concatenate(begin), 1)
+    np.add.at(step, np.concatenate(end) + (width - 1), -1)
     return np.cumsum(step[:n]) > 0

@@ -53,7 +53,7 @@ def byte_rows(rows, width):
 @pytest.mark.parametrize(("width", "gram"), [(13, 6), (4, 2)])
 def test_phrases(spark, width, gram):
     rows = odd_rows(width)
-    got = phrases.remove_phrases(spark, documents(spark, rows), width, gram, shard_bytes=5000)
+    got = phrases.remove_phrases(spark, documents(spark, rows), width, gram, shard_bytes=5000, crowd_bytes=5000)
     found = sorted(((r.doc_id, r.n_words, r.n_removed, r.text) for r in got.collect()), key=repr)
     assert found == phrase_rows([(i, t) for i, t, _ in rows], width)
 
@@ -74,7 +74,7 @@ def test_dense_repetition(spark):
     got = suffixes.remove_substrings(spark, documents(spark, rows), crowd_bytes=1000).collect()
     assert sorted(((r.doc_id, r.n_bytes, r.n_bytes - len(r.kept), r.n_spans, hashlib.sha256(r.kept).hexdigest()) for r in got), key=repr) == byte_rows([(i, t) for i, t, _ in rows], 100)
     spaced = [(i, " ".join(t), "s") for i, t in enumerate(texts)]
-    got = phrases.remove_phrases(spark, documents(spark, spaced), shard_bytes=1000).collect()
+    got = phrases.remove_phrases(spark, documents(spark, spaced), shard_bytes=1000, crowd_bytes=1000).collect()
     assert sorted(((r.doc_id, r.n_words, r.n_removed, r.text) for r in got), key=repr) == phrase_rows([(i, t) for i, t, _ in spaced], 13)
 
 
@@ -100,7 +100,7 @@ def test_repeated_and_null_ids_with_different_texts(spark):
     rows = [(i, f"{own()} {rng.choice(shared)} {own()}", "s") for i in (5, 5, 5, 7, 7, 9, None, None, None, None)]
     rows += [rows[0], rows[6], (7, rows[0][1], "s"), (None, rows[3][1], "s"), (5, shared[0], "s"), (None, "short", "s"), (None, "other", "s"), (7, "", "s"), (7, None, "s")]
     pairs = [(i, t) for i, t, _ in rows]
-    got = phrases.remove_phrases(spark, documents(spark, rows), shard_bytes=1000).collect()
+    got = phrases.remove_phrases(spark, documents(spark, rows), shard_bytes=1000, crowd_bytes=1000).collect()
     assert sorted(((r.doc_id, r.n_words, r.n_removed, r.text) for r in got), key=repr) == phrase_rows(pairs, 13)
     got = suffixes.remove_substrings(spark, documents(spark, rows), crowd_bytes=1000).collect()
     assert sorted(((r.doc_id, r.n_bytes, r.n_bytes - len(r.kept), r.n_spans, hashlib.sha256(r.kept).hexdigest()) for r in got), key=repr) == byte_rows(pairs, 100)
@@ -122,7 +122,7 @@ def test_crowded_anchor(spark, monkeypatch):
 
     plain = phrases.recurring_passages
     monkeypatch.setattr(phrases, "recurring_passages", noted)
-    got = phrases.remove_phrases(spark, documents(spark, rows), shard_bytes=1000).collect()
+    got = phrases.remove_phrases(spark, documents(spark, rows), shard_bytes=1000, crowd_bytes=1000).collect()
     assert sorted(((r.doc_id, r.n_words, r.n_removed, r.text) for r in got), key=repr) == phrase_rows(pairs, 13)
     got = suffixes.remove_substrings(spark, documents(spark, rows), width=40, gram=16, crowd_bytes=1000).collect()
     assert sorted(((r.doc_id, r.n_bytes, r.n_bytes - len(r.kept), r.n_spans, hashlib.sha256(r.kept).hexdigest()) for r in got), key=repr) == byte_rows(pairs, 40)
