@@ -13,8 +13,8 @@ from tessera.llm.queries import tokenizer_path
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the lexicon, learned from the labels of these documents, doesn't predict toxic."""
-    return toxicity.drop_toxic(spark, docs, read(spark, sf_dir, "labels"))
+    """Documents that the lexicon doesn't predict toxic. It is learned from the labels of rows that aren't held out (see toxicity.held_out)."""
+    return toxicity.drop_toxic(spark, docs, read(spark, sf_dir, "labels"), train=lambda key: ~toxicity.held_out(key))
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,7 +50,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Applies the stages to documents; each result is written to the shared folder and read again by the next."""
+    """Applies the stages to documents; each result is written to the shared folder and read again by the next.
+
+    Null texts count as empty: they are never toxic, and equal each other. Rows of null id pass every stage like others; equal ones become one. An id that names several
+    texts keeps each. Very long texts are used whole. A document without words is not mixed. An empty table gives an empty result.
+    """
     work, docs = Workspace(spark, "pipeline"), read(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         docs = work.save(stage(spark, docs, sf_dir), name)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import sys
 import unicodedata
 from collections.abc import Iterator
 from html import unescape
@@ -12,8 +13,8 @@ from pyspark.sql import DataFrame
 
 #: Fixed values of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title xmp iframe noembed noframes noscript template".split())
-UNSEEN = frozenset("head script style title template iframe noembed noframes noscript object audio video canvas svg math select datalist map area meta link base".split())
+RAW = frozenset("script style textarea title xmp iframe noembed noframes noscript".split())
+UNSEEN = frozenset("head script style title template iframe noembed noframes noscript object audio video canvas svg math datalist map area meta link base".split())
 BLOCK = frozenset("address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table ul".split())
 #: Blocks with an empty line around them.
 SPACED = frozenset("blockquote dl fieldset figure h1 h2 h3 h4 h5 h6 hr ol p pre table ul menu".split())
@@ -28,12 +29,20 @@ CLOSES = {
 ENDS_P = BLOCK - {"body", "html", "optgroup", "option", "legend", "li"} | {"li"}
 SCOPE = frozenset({"table", "td", "th", "caption", "button", "html"})
 
-_TOKEN = re.compile(r"<!--(?:.*?-->|.*$)|<(?:!|\?)[^>]*>|</([a-zA-Z][^\s/>]*)[^>]*>|<([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+#: What may start markup, and what matters inside a tag.
+_MARKUP, _NAME, _STOP = re.compile(r"<(?:!--|[!?]|/?[a-zA-Z])"), re.compile(r"[a-zA-Z][^\s/>]*"), re.compile(r"[>\"']")
 _ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 _HIDING = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
+_RULE = re.compile(r"([^{}]*)\{([^{}]*)\}")
+_SELECTOR = re.compile(r"(?:[a-z][a-z0-9]*)?(?:[.#][\w-]+)*")
+_SHOWING = re.compile(r"display\s*:\s*(?!none)[a-z]|visibility\s*:\s*visible", re.I)
 _BLANKS = re.compile(r"[ \t\n\r\f]+")
 
 
+#: Elements open at a time, and frames that rendering them takes at most.
+DEPTH, RECURSION = 500, 4000
+
+
 class Node:
     __slots__ = ("children", "hidden", "marks", "tag")
 
@@ -49,12 +58,87 @@ def attributes(text: str) -> dict[str, str]:
     return out
 
 
+class Reader:
+    """Reads markup from a page, in time in proportion to its length."""
+
+    def __init__(self, source: str):
+        self.source = source
+        self.last_quote = {q: source.rfind(q) for q in "\"'"}
+
+    def end_of_tag(self, at: int) -> int:
+        """Place after the > that ends a tag: outside quotes, where a quote that nothing closes is an ordinary character. The end of the page, if there is none."""
+        while m := _STOP.search(self.source, at):
+            if m[0] == ">":
+                return m.end()
+            at = self.source.find(m[0], m.end()) + 1 if self.last_quote[m[0]] > m.start() else m.end()
+        return len(self.source) + 1
+
+    def next(self, at: int) -> tuple[int, int, str, str, str] | None:
+        """(start, end, kind, name, attributes) of the next piece of markup from a place on; kind is "", "start" or "end"."""
+        m = _MARKUP.search(self.source, at)
+        if not m:
+            return None
+        begin = m.start()
+        if m[0] == "<!--":
+            stop = self.source.find("-->", begin + 2)
+            return begin, len(self.source) if stop < 0 else max(stop, begin + 2) + 3, "", "", ""
+        if m[0][1] in "!?":
+            stop = self.source.find(">", begin)
+            return begin, len(self.source) if stop < 0 else stop + 1, "", "", ""
+        closing = m[0][1] == "/"
+        name = _NAME.match(self.source, begin + 1 + closing)
+        stop = self.end_of_tag(name.end())
+        if stop > len(self.source):
+            return begin, len(self.source), "", "", ""  # a tag that never ends shows nothing
+        return begin, stop, "end" if closing else "start", name[0].lower(), self.source[name.end() : stop - 1]
+
+
+def hiding_rules(sheets: list[str]) -> list[tuple[str, frozenset, frozenset, bool]]:
+    """(tag, classes, ids, hides) of the rules of style sheets whose selector is a tag, classes and ids of one element. At-rules are left out."""
+    out = []
+    for sheet in sheets:
+        sheet = re.sub(r"/\*.*?(?:\*/|$)", "", sheet, flags=re.S)
+        plain, depth, skip = [], 0, None
+        for part in re.split(r"([{}@;])", sheet):
+            if part == "@" and skip is None:
+                skip = depth
+            depth += (part == "{") - (part == "}")
+            if skip is None:
+                plain.append(part)
+            elif depth == skip and part in "};" and part:
+                skip = None
+        for selectors, body in _RULE.findall("".join(plain)):
+            hides = bool(_HIDING.search(body))
+            if not hides and not _SHOWING.search(body):
+                continue
+            for one in selectors.lower().split(","):
+                one = one.strip()
+                if one and _SELECTOR.fullmatch(one):
+                    tag = re.match(r"[a-z0-9]*", one)[0]
+                    out.append((tag, frozenset(re.findall(r"\.([\w-]+)", one)), frozenset(re.findall(r"#([\w-]+)", one)), hides))
+    return out
+
+
+def apply_rules(root: Node, rules: list[tuple[str, frozenset, frozenset, bool]]) -> None:
+    """Hides what the last fitting rule hides; attributes of the element itself are stronger."""
+    todo = [root]
+    while todo:
+        node = todo.pop()
+        todo += [c for c in node.children if isinstance(c, Node)]
+        if node.hidden or _SHOWING.search(node.marks.get("style", "")):
+            continue
+        classes, own = set(node.marks.get("class", "").lower().split()), node.marks.get("id", "").lower()
+        for tag, wanted, ids, hides in rules:
+            if (not tag or tag == node.tag) and wanted <= classes and ids <= {own}:
+                node.hidden = hides
+
+
 def tree(source: str) -> Node:
     """Builds the tree. Missing html, head, body, tbody, tr and end tags are implied; stray end tags are ignored; what follows an unclosed tag sits inside it."""
     html = Node("html")
     head, body = Node("head"), Node("body")
     html.children = [head, body]
-    stack, at, in_head = [body], 0, True
+    stack, at, in_head, reader, sheets = [body], 0, True, Reader(source), []
 
     def close(tags: set[str], stop: set[str] | frozenset[str]) -> None:
         for i in range(len(stack) - 1, 0, -1):
@@ -73,15 +157,15 @@ def tree(source: str) -> Node:
             stack[-1].children.append(unescape(text))
 
     while at < len(source):
-        m = _TOKEN.search(source, at)
-        if not m:
+        found = reader.next(at)
+        if not found:
             say(source[at:])
             break
-        if m.start() > at:
-            say(source[at : m.start()])
-        at, end, start = m.end(), m[1], m[2]
+        begin, stop, kind, name, inside = found
+        if begin > at:
+            say(source[at:begin])
+        at, end, start = stop, name if kind == "end" else "", name if kind == "start" else ""
         if end:
-            end = end.lower()
             if end == "p" and not any(n.tag == "p" for n in stack):
                 stack[-1].children.append(Node("p"))
             elif end == "br":
@@ -96,8 +180,8 @@ def tree(source: str) -> Node:
                     if stack[i].tag == "table":
                         break
         elif start:
-            tag = start.lower()
-            marks = attributes(m[3]) if m[3] else {}
+            tag = start
+            marks = attributes(inside) if inside else {}
             if tag in ("html", "head", "body"):
                 in_head = in_head and tag != "body"
                 if tag != "head":
@@ -122,10 +206,14 @@ def tree(source: str) -> Node:
                 stop = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>", re.I).search(source, at)
                 inner = source[at : stop.start() if stop else len(source)]
                 node.children.append(unescape(inner) if tag in ("textarea", "title") else inner)
+                if tag == "style":
+                    sheets.append(inner)
                 at = stop.end() if stop else len(source)
-            elif tag not in VOID and len(stack) < 500:
-                if where is not head:
+            elif tag not in VOID and len(stack) < DEPTH:
+                if where is not head or tag == "template":
                     stack.append(node)
+    if sheets and (rules := hiding_rules(sheets)):
+        apply_rules(html, rules)
     return html
 
 
@@ -171,35 +259,63 @@ def cell_width(s: str) -> int:
     return sum(0 if unicodedata.combining(c) else 2 if unicodedata.east_asian_width(c) in "WF" else 1 for c in s) if not s.isascii() else len(s)
 
 
+SECTIONS = ("tbody", "thead", "tfoot")
+#: Between rows and cells these are no boxes of their own.
+SEE_THROUGH = ("form", *SECTIONS)
+
+
 def rows_of(node: Node) -> Iterator[Node]:
     for c in node.children:
         if isinstance(c, Node) and not c.hidden:
             if c.tag == "tr":
                 yield c
-            elif c.tag in ("tbody", "thead", "tfoot"):
+            elif c.tag in SEE_THROUGH:
                 yield from rows_of(c)
 
 
+def cells_of(row: Node) -> Iterator[Node]:
+    for c in row.children:
+        if isinstance(c, Node) and not c.hidden:
+            if c.tag in ("td", "th"):
+                yield c
+            elif c.tag == "form":
+                yield from cells_of(c)
+
+
+def strays(node: Node) -> Iterator[str | Node]:
+    """What a table holds outside its cells and captions, in order."""
+    for c in node.children:
+        if isinstance(c, str):
+            if c.strip():
+                yield c
+        elif not c.hidden:
+            if c.tag in ("tr", *SECTIONS) or (c.tag == "form" and any(isinstance(x, Node) and x.tag in ("tr", "td", "th", *SECTIONS) for x in c.children)):
+                yield " "
+                yield from strays(c)
+                yield " "
+            elif c.tag not in ("td", "th", "caption", "colgroup", "col"):
+                yield c
+
+
 def number(s: str, least: int) -> int:
     return min(1000, max(least, int(s))) if s.strip().isdigit() else least
 
 
-def table_lines(node: Node, depth: int) -> list[str]:
+def table_lines(node: Node) -> list[str]:
     """Rows as lines, their cells padded to columns two spaces apart; cells of several lines go on below; column and row spans keep their places."""
     grid: list[dict[int, tuple[list[str], int]]] = []
     held: dict[int, int] = {}
     for tr in rows_of(node):
         row: dict[int, tuple[list[str], int]] = {}
         col, down = 0, {k: v - 1 for k, v in held.items() if v > 1}
-        for c in tr.children:
-            if isinstance(c, Node) and c.tag in ("td", "th") and not c.hidden:
-                while held.get(col, 0) > 0:
-                    col += 1
-                span, deep = number(c.marks.get("colspan", ""), 1), number(c.marks.get("rowspan", ""), 1)
-                row[col] = (render(c, depth + 1).split("\n"), span)
-                if deep > 1:
-                    down.update(dict.fromkeys(range(col, col + span), deep - 1))
-                col += span
+        for c in cells_of(tr):
+            while held.get(col, 0) > 0:
+                col += 1
+            span, deep = number(c.marks.get("colspan", ""), 1), number(c.marks.get("rowspan", ""), 1)
+            row[col] = (render(c).split("\n"), span)
+            if deep > 1:
+                down.update(dict.fromkeys(range(col, col + span), deep - 1))
+            col += span
         held = down
         grid.append(row)
     widths: dict[int, int] = {}
@@ -225,7 +341,16 @@ def table_lines(node: Node, depth: int) -> list[str]:
     return out
 
 
-def put(node: Node, page: Page, pre: bool, lists: tuple, depth: int) -> None:
+def options_of(node: Node) -> Iterator[Node]:
+    for c in node.children:
+        if isinstance(c, Node) and not c.hidden:
+            if c.tag == "option":
+                yield c
+            else:
+                yield from options_of(c)
+
+
+def put(node: Node, page: Page, pre: bool, lists: tuple) -> None:
     for c in node.children:
         if isinstance(c, str):
             page.text(c, pre)
@@ -244,24 +369,21 @@ def put(node: Node, page: Page, pre: bool, lists: tuple, depth: int) -> None:
         elif c.tag == "table":
             page.gap()
             for cap in (x for x in c.children if isinstance(x, Node) and x.tag == "caption" and not x.hidden):
-                put(cap, page, pre, (), depth + 1)
+                put(cap, page, pre, ())
                 page.push()
-            for x in c.children:  # what a table holds outside its rows stands before it
-                if isinstance(x, str) and x.strip():
-                    page.text(x, pre)
-                elif isinstance(x, Node) and x.tag not in ("caption", "tbody", "thead", "tfoot", "tr", "colgroup", "col") and not x.hidden:
-                    holder = Node("div")
-                    holder.children = [x]
-                    put(holder, page, pre, lists, depth + 1)
+            for x in strays(c):  # it stands before the table
+                holder = Node("div")
+                holder.children = [x]
+                put(holder, page, pre, lists)
             page.push()
-            for line in table_lines(c, depth):
+            for line in table_lines(c):
                 page.line = line
                 page.push()
             page.gap()
         elif c.tag in ("ul", "ol", "menu"):
             (page.push if lists else page.gap)()
             start = c.marks.get("start", "")
-            put(c, page, pre, (*lists, [int(start) if re.fullmatch(r"-?\d{1,9}", start) else 1] if c.tag == "ol" else None), depth)
+            put(c, page, pre, (*lists, [int(start) if re.fullmatch(r"-?\d{1,9}", start) else 1] if c.tag == "ol" else None))
             (page.push if lists else page.gap)()
         elif c.tag == "li":
             page.push()
@@ -273,42 +395,54 @@ def put(node: Node, page: Page, pre: bool, lists: tuple, depth: int) -> None:
                 lists[-1][0] += 1
             page.line = "  " * max(0, len(lists) - 1) + mark
             before, bare = len(page.lines), page.line
-            put(c, page, pre, lists, depth)
+            put(c, page, pre, lists)
             if len(page.lines) == before and page.line == bare:
                 page.line = ""
             page.push()
+        elif c.tag == "details" and "open" not in c.marks:
+            page.push()
+            for x in [x for x in c.children if isinstance(x, Node) and x.tag == "summary"][:1]:
+                put(x, page, pre, lists)
+            page.push()
+        elif c.tag == "select" and "multiple" not in c.marks and number(c.marks.get("size", ""), 1) == 1:
+            options = list(options_of(c))
+            for x in ([x for x in options if "selected" in x.marks] or options)[:1]:
+                put(x, page, False, lists)
         elif c.tag in BLOCK:
             inside_item = c.tag == "p" and page.line.lstrip() and re.fullmatch(r"\s*(?:-|\d+\.) ", page.line)
             if not inside_item:
                 (page.gap if c.tag in SPACED else page.push)()
             if c.tag == "dd":
                 page.line = "  "
-            put(c, page, pre or c.tag == "pre", lists, depth)
+            put(c, page, pre or c.tag == "pre", lists)
             (page.gap if c.tag in SPACED else page.push)()
         else:
-            put(c, page, pre or c.tag == "textarea", lists, depth)
+            put(c, page, pre or c.tag == "textarea", lists)
 
 
-def render(node: Node, depth: int = 0) -> str:
+def render(node: Node) -> str:
     page = Page()
-    if not node.hidden and depth < 40:
-        put(node, page, False, (), depth)
+    if not node.hidden:
+        put(node, page, False, ())
     return page.done()
 
 
 def text_of(source: str | None) -> str:
+    if sys.getrecursionlimit() < RECURSION:
+        sys.setrecursionlimit(RECURSION)
     return render(tree((source or "").replace("\r\n", "\n").replace("\x00", "")))
 
 
 def extract_text(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", keep: tuple[str, ...] = ("url",)) -> DataFrame:
     """One row per page: id, the columns of ``keep``, text (all visible text as laid out) and n_chars. No shuffle; each page on its own.
 
-    Hidden: what browsers don't show (head, script, style, template, media and the like), the hidden attribute, inline display:none or
-    visibility:hidden, closed dialogs. Paragraphs, headings, lists, tables and the like have an empty line around them, other blocks a line of their
+    Hidden: what browsers don't show (head, script, style, template, media and the like), the hidden attribute, display:none and
+    visibility:hidden, inline or by a style sheet's rule for a tag, class or id, closed dialogs, all but the summary of closed details, all but the chosen option of a
+    select. What stands in a table outside its cells comes before it. Paragraphs, headings, lists, tables and the like have an empty line around them, other blocks a line of their
     own; white space collapses except in pre; list items get "- " or their number, indented by depth; table cells are aligned in columns.
 
-    A null or empty page gives an empty text. Broken markup never fails: unclosed tags end with their parents, an unclosed comment or raw element runs to the
-    end. Nesting beyond 500 elements is read as if closed. Repeated rows return each; very long pages are read whole. An empty table gives an
+    A null or empty page gives an empty text. Broken markup never fails: unclosed tags end with their parents, an unclosed comment, tag or raw element runs to the
+    end, a quote that nothing closes counts as a letter. Nesting beyond 500 elements is read as if closed. Repeated rows return each; very long pages are read whole. An empty table gives an
     empty result. Other columns are ignored; ``keep`` must not name text or n_chars.
     """
     rows = pages.select(pages[id_col], *(pages[c] for c in keep), pages[html_col].alias("_html"))

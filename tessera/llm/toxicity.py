@@ -108,15 +108,15 @@ def signature(words: list[str]) -> int:
     return int(h.min().view(np.int64)) if len(h) else 0
 
 
-def learn_lexicon(labelled: DataFrame, min_log_odds: float = 3.0, least: int = 4, most: int = 16, limit: int = 20_000, text_col: str = "text") -> dict[str, float]:
+def learn_lexicon(labelled: DataFrame, min_log_odds: float = 3.0, least: int = 4, most: int = 16, text_col: str = "text") -> dict[str, float]:
     """Weighted terms from rows (text, toxic): word beginnings and whole words that mark toxic texts.
 
-    Every labelled text counts, near copies mostly as one (see signature). Spark counts, for each folded word, the toxic and the other texts that
-    hold it, and adds these up for the words' beginnings of ``least`` to ``most`` letters; so inflected forms that the labels never
+    Every labelled text counts, near copies together as one text with the words of all (see signature). Spark counts, for each folded word, the toxic and the other texts
+    that hold it, and adds these up for the words' beginnings of ``least`` to ``most`` letters; so inflected forms that the labels never
     show are covered. A term counts if its smoothed log odds reach ``min_log_odds`` and it is in so many toxic texts that among all terms less than
     one in twenty would be there by chance. Of nested terms with almost the same counts the longest stays, and none that a
-    shorter chosen one implies. A term ends with a space if it is a whole word. The weight is the log odds. The
-    model keeps the ``limit`` heaviest terms; that is the bound on what the driver and the tasks hold.
+    shorter chosen one implies. A term ends with a space if it is a whole word. The weight is the log odds. The labelled texts, of which there is a
+    bound (see score_documents), bound what the driver and the tasks hold. Counts are sums, so that the lexicon is the same however rows are dealt.
     """
 
     def words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -125,13 +125,13 @@ def learn_lexicon(labelled: DataFrame, min_log_odds: float = 3.0, least: int = 4
             yield pd.DataFrame({"sig": [signature(ws) for ws in lists], "toxic": b["_toxic"].to_numpy(), "words": [list(set(ws)) for ws in lists]})
 
     rows = labelled.select(labelled[text_col].alias("_text"), labelled["toxic"].cast("int").alias("_toxic")).where("_toxic IN (0, 1)")
-    texts = rows.mapInPandas(words, "sig long, toxic int, words array<string>").dropDuplicates(["sig", "toxic"])
-    texts = Workspace(labelled.sparkSession, "lexicon").save(texts, "texts")
-    n_pos, n_all = texts.agg(F.coalesce(F.sum("toxic"), F.lit(0)), F.count(F.lit(1))).first()
+    texts = Workspace(labelled.sparkSession, "lexicon").save(rows.mapInPandas(words, "sig long, toxic int, words array<string>"), "texts")
+    n_pos, n_all = texts.select("sig", "toxic").distinct().agg(F.coalesce(F.sum("toxic"), F.lit(0)), F.count(F.lit(1))).first()
     n_neg = n_all - n_pos
     if not n_pos or not n_neg:
         return {}
-    counted = texts.select(F.explode("words").alias("word"), "toxic").groupBy("word").agg(F.sum("toxic").alias("pos"), F.sum(1 - F.col("toxic")).alias("neg"))
+    held = texts.select("sig", "toxic", F.explode("words").alias("word")).distinct()
+    counted = held.groupBy("word").agg(F.sum("toxic").alias("pos"), F.sum(1 - F.col("toxic")).alias("neg"))
     lengths = f"sequence({least}, least({most}, length(word)))"
     begins = counted.where(F.length("word") >= least).select(F.explode(F.expr(f"concat(array(concat(' ', word, ' ')), transform({lengths}, n -> concat(' ', substring(word, 1, n))))")).alias("term"), "pos", "neg")
     short = counted.where(F.length("word") < least).select(F.concat(F.lit(" "), "word", F.lit(" ")).alias("term"), "pos", "neg")
@@ -139,13 +139,20 @@ def learn_lexicon(labelled: DataFrame, min_log_odds: float = 3.0, least: int = 4
     chance = math.log(20.0 * max(1, counted.count())) / math.log(n_all / n_pos)
     odds = F.log((F.col("pos") + 0.5) / (F.lit(n_pos) + 1.0)) - F.log((F.col("neg") + 0.5) / (F.lit(n_neg) + 1.0))
     found = terms.withColumn("weight", odds).where((F.col("pos") >= max(3.0, chance)) & (F.col("weight") >= min_log_odds))
-    found = {r.term: (r.pos, r.weight) for r in found.orderBy(F.desc("weight"), "term").limit(limit).collect()}
+    return chosen_terms({r.term: (r.pos, r.weight) for r in found.orderBy(F.desc("weight"), "term").collect()})
+
+
+def chosen_terms(found: dict[str, tuple[int, float]]) -> dict[str, float]:
+    """From terms with their counts and weights, heaviest first: the shortest of nested ones, lengthened while a longer one has almost its count."""
+    longer: dict[str, list[str]] = {}
+    for t in found:
+        longer.setdefault(t[:-1], []).append(t)
     chosen: dict[str, float] = {}
     for term in sorted(found, key=lambda t: (len(t.rstrip()), t.endswith(" "), t)):
         if any(term[:i] in chosen for i in range(2, len(term))):
             continue
-        while longer := [t for t in found if t != term and len(t) == len(term) + 1 and t.startswith(term) and found[t][0] >= 0.9 * found[term][0]]:
-            term = longer[0]
+        while near := [t for t in longer.get(term, ()) if found[t][0] >= 0.9 * found[term][0]]:
+            term = near[0]
         chosen[term] = found[term][1]
     return chosen
 

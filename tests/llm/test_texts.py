@@ -28,6 +28,36 @@ def test_exceptions_and_length():
     assert toxicity.features("scummy", match)[:2] == (0.0, 0) and toxicity.features(None, match) == (0.0, 0, 0)
 
 
+def test_scores_against_a_plain_matcher(spark):
+    """Every text of the smallest table, its terms found by trying all places, against the automata inside Spark."""
+    docs = read(spark, "/root/testdata/sf0.001", "documents")
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    common = sorted({w for t in texts.values() for w in toxicity.fold(t).split() if len(w) > 4})[::7]
+    lexicon = {f" {w[:5]}": 1.0 + len(w) for w in common} | {f" {w} ": 2.5 for w in common[::3]}
+    exceptions = tuple(" ".join(toxicity.fold(t).split()[3:5]) for t in list(texts.values())[:40] if len(toxicity.fold(t).split()) > 5)
+    for r in toxicity.measured(docs, lexicon, exceptions, "doc_id", "text").collect():
+        folded, best = toxicity.fold(texts[r._id]), {}
+        for term, weight in lexicon.items():
+            at = folded.find(term)
+            while at >= 0:
+                best[at] = max(best.get(at, 0.0), weight)
+                at = folded.find(term, at + 1)
+        for phrase in map(toxicity.fold, exceptions):
+            at = folded.find(phrase)
+            while at >= 0:
+                best = {a: w for a, w in best.items() if not at <= a < at + len(phrase) - 1}
+                at = folded.find(phrase, at + 1)
+        assert (r.hits, r.words) == (len(best), len(folded.split())) and abs(r.weight - sum(best.values())) < 1e-6
+
+
+def test_lexicon_does_not_depend_on_partitions(spark):
+    docs, labels = read(spark, SF, "documents"), read(spark, SF, "labels")
+    rows = docs.join(labels, "doc_id").select("text", "toxic")
+    one, two = (toxicity.learn_lexicon(rows.repartition(n)) for n in (3, 7))
+    assert one == two and one
+    assert toxicity.chosen_terms({" abcd": (10, 3.0), " abcde": (10, 3.5), " abcdef": (4, 4.0), " wxyz": (9, 3.2), " wxyz ": (3, 3.9)}) == {" abcde": 3.5, " wxyz": 3.2}
+
+
 def test_held_out_accuracy(spark):
     got = {r.doc_id: r for r in QUERIES["op1_toxicity"](spark, SF).collect()}
     truth = {r.doc_id: r.toxic for r in read(spark, SF, "labels").collect()}
@@ -77,6 +107,67 @@ def test_layout():
     assert html.text_of("<div>" * 3000 + "deep").strip() == "deep"
 
 
+def words(text):
+    return re.findall(r"\w+", html.text_of(text))
+
+
+def test_broken_and_hidden():
+    deep = "<table><tr><td>a" * 45 + " deep" + "</table>" * 45
+    assert words(deep).count("a") == 45 and "deep" in words(deep)
+    assert words('<p title="x>hello') == ["hello"] and words('<p title="x>hello</p><p title="y">z') == ["z"] and words("<p title='a>b'>c<br") == ["c"]
+    assert words("<style>.h{display:none} /* .k{display:none} */ #i, b.c { visibility:hidden } @media print{.k{display:none}} .s{display:none} .s{display:block}</style><p class=h>no</p><p class='k'>yes</p><i id=i>no</i><b class=c>no</b><b>so</b><p class=s>seen") == ["yes", "so", "seen"]
+    assert words("<details><summary>s</summary>no</details><details open><summary>t</summary>u</details>") == ["s", "t", "u"]
+    assert words("<select><option>a<option selected>b</select> <select><optgroup><option>c<option>d</select> <select multiple><option>e<option>f</select>") == ["b", "c", "e", "f"]
+    assert sorted(words("<table><tbody>stray<tr>text<td>cell</td><form><td>in</td></form></tr><form><tr><td>row</table>")) == ["cell", "in", "row", "stray", "text"]
+
+
+def test_long_broken_pages():
+    import time
+
+    began = time.perf_counter()
+    for bad in ('<p title="' * 60_000, "<!-- " * 100_000, "<a '" * 100_000, "<" * 500_000, "<p>" * 100_000, "<!" * 200_000, "<style>" + "{" * 100_000, "<b x=1 " * 60_000):
+        html.text_of(bad + "end")
+    assert time.perf_counter() - began < 60
+
+
+def test_random_pages_against_plain_order():
+    """Well-formed random pages: the words of what isn't hidden, in order, as a walk over the page gives them."""
+    import random
+
+    rng, n = random.Random(6), [0]
+
+    def make(depth, hidden):
+        out, seen = "", []
+        for _ in range(rng.randint(1, 4)):
+            kind = rng.choice(["text", "text", "div", "p", "b", "ul", "table", "hide", "pre", "script", "comment"] if depth < 5 else ["text"])
+            if kind == "text":
+                n[0] += 1
+                out += f" w{n[0]} "
+                seen += [] if hidden else [f"w{n[0]}"]
+            elif kind in ("script", "comment"):
+                out += "<script>if (a < b) no()</script>" if kind == "script" else "<!-- <p>no -->"
+            elif kind == "hide":
+                inner, _ = make(depth + 1, True)
+                out += rng.choice(["<div hidden>{}</div>", "<div style='display:none'>{}</div>", "<template>{}</template>"]).format(inner)
+            elif kind == "ul":
+                items = [make(depth + 1, hidden) for _ in range(2)]
+                out += "<ul>" + "".join(f"<li>{i}</li>" for i, _ in items) + "</ul>"
+                seen += [w for _, s in items for w in s]
+            elif kind == "table":
+                cells = [make(9, hidden) for _ in range(4)]
+                out += f"<table><tr><td>{cells[0][0]}</td><td>{cells[1][0]}</td></tr><tr><td>{cells[2][0]}</td><td>{cells[3][0]}</td></tr></table>"
+                seen += [w for _, s in cells for w in s]
+            else:
+                inner, s = make(9 if kind == "p" else depth + 1, hidden)
+                out += f"<{kind}>{inner}</{kind}>"
+                seen += s
+        return out, seen
+
+    for _ in range(200):
+        page, want = make(0, False)
+        assert re.findall(r"w\d+", html.text_of(page)) == want, page
+
+
 def test_pages(spark):
     clash = tuple("x" for _ in CLASHING.split(", "))
     rows = [(1, "u", PAGE), (2, "u", None), (3, None, ""), (None, "u", "<p>x"), (1, "u", PAGE)]
