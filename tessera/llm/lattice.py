@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations, product
 
@@ -23,6 +24,8 @@ def shortest_vectors() -> np.ndarray:
 
 
 NEAREST = shortest_vectors()
+#: Scale of the projections for 50,000 vectors.
+SCALE = 2.2
 
 
 def _d8(y: np.ndarray) -> np.ndarray:
@@ -60,7 +63,7 @@ def cells(x: np.ndarray, tables: int, probes: int, scale: float, seed: int) -> n
     for t, p in enumerate(projections(x.shape[1], tables, seed)):
         y = x @ p * scale
         home = e8(y)
-        best = np.argpartition(-((y - home) @ NEAREST.T), probes, axis=1)[:, :probes] if probes else np.zeros((len(x), 0), dtype=np.int64)
+        best = np.argpartition(-((y - home) @ NEAREST.T), min(probes, len(NEAREST) - 1), axis=1)[:, :probes] if probes else np.zeros((len(x), 0), dtype=np.int64)
         points = np.concatenate([home[:, None, :], home[:, None, :] + NEAREST[best]], axis=1)
         key = ((2 * points).astype(np.int64).astype(np.uint64) * weights).sum(axis=2, dtype=np.uint64) + np.uint64(t * 1000003 + x.shape[1])
         key = (key ^ (key >> np.uint64(31))) * np.uint64(0xD6E8FEB86659FD93)
@@ -68,6 +71,38 @@ def cells(x: np.ndarray, tables: int, probes: int, scale: float, seed: int) -> n
     return out
 
 
+def meeting_chance(dims: int, least: float, probes: int, scale: float, seed: int, pairs: int = 600, tables: int = 4) -> float:
+    """Chance that two unit vectors of cosine ``least`` meet in a table: the mean over random pairs and a few tables."""
+    rng = np.random.Generator(np.random.PCG64([seed, dims, 9]))
+    x = rng.standard_normal((pairs, dims))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    y = rng.standard_normal((pairs, dims))
+    y -= (x * y).sum(axis=1, keepdims=True) * x
+    y /= np.maximum(np.linalg.norm(y, axis=1, keepdims=True), 1e-12)
+    y = least * x + np.sqrt(max(0.0, 1 - least * least)) * y
+    a, b = (cells(v, tables, probes, scale, seed) for v in (x, y))
+    return float(((a == b[:, :, :1]).any(axis=2) | (b == a[:, :, :1]).any(axis=2)).mean())
+
+
+def plan_tables(n: int, dims: int, least: float, recall: float, seed: int) -> tuple[float, int, int]:
+    """(scale, tables, probes) for n vectors, such that a pair of cosine ``least`` meets with chance ``recall``.
+
+    The scale grows with n, so that cells stay small; with it the chance to meet in a table falls, and the number of tables grows. Of several numbers of
+    probes the one with the fewest cells in all is taken.
+    """
+    scale = SCALE * (max(n, 1) / 50_000) ** (1 / 12)
+    if dims < 2 or least >= 1:
+        return scale, 1, 8
+    plans = []
+    for probes in (0, 1, 2, 4, 8, 16, 32):
+        chance = min(meeting_chance(dims, least, probes, scale, seed), 0.999999)
+        if chance > 0:
+            tables = max(1, math.ceil(math.log(1 - recall) / math.log(1 - chance)))
+            plans.append((tables * (1 + probes), tables, probes))
+    _, tables, probes = min(plans)
+    return scale, tables, probes
+
+
 def unit(vectors: list) -> np.ndarray:
     x = np.array(vectors, dtype=np.float64)
     x = x / np.abs(x).max(axis=1, keepdims=True)
@@ -137,14 +172,16 @@ def cell_links(rep: np.ndarray, looks: np.ndarray, found: np.ndarray, cell: np.n
     return count, links
 
 
-def embedding_groups(spark: SparkSession, vectors: DataFrame, least: float = 0.95, tables: int = 20, probes: int = 8, scale: float = 2.2, seed: int = 11, rows_per_bucket: int = 40_000, hot_cell: int = 4000, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def embedding_groups(spark: SparkSession, vectors: DataFrame, least: float = 0.95, recall: float = 0.99, seed: int = 11, rows_per_bucket: int = 300_000, hot_cell: int = 4000, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """One row per vector: id, n_links (other vectors linked directly), component_id (smallest id reachable), kept (id = component_id).
 
     * Equal vectors are one node with a count, named by the smallest id.
-    * In each of ``tables`` tables a random projection to eight dimensions, times ``scale`` (which grows slowly with the number of vectors), is decoded to its E8
-      lattice point; a vector lies in that cell, and looks into it and the ``probes`` neighbouring cells nearest to it.
+    * In each of several tables a random projection to eight dimensions, times a scale that grows slowly with the number of vectors, is decoded to its E8
+      lattice point; a vector lies in that cell, and looks into it and the neighbouring cells nearest to it. The numbers of tables and of neighbouring
+      cells follow from the number of vectors, so that a pair of cosine ``least`` meets with chance ``recall`` at any size (plan_tables).
     * Vectors that meet in a cell are compared by cosine in double precision; only pairs of at least ``least`` are linked. Tasks count each
       pair in one cell only (cell_links) and return counts and a forest of links, not pairs.
+    * Cells are dealt to buckets. Of a vector a bucket gets its numbers once, as they are stored, and for each cell an id.
     * A cell with more than ``hot_cell`` vectors or probes is compared in tiles: both are dealt to blocks of about ``hot_cell``, and each two blocks
       of vectors, and each block of probes and block of vectors, meet once in a group of their own. No group holds more than two blocks of a
       split cell, but all pairs of a cell are compared: copies and comparisons grow with the square of its vectors.
@@ -156,51 +193,65 @@ def embedding_groups(spark: SparkSession, vectors: DataFrame, least: float = 0.9
     """
     work = Workspace(spark, "lattice")
     kind = vectors.schema[id_col].dataType.simpleString()
-    rows = vectors.select(vectors[id_col].alias("_id"), vectors[vector_col].cast("array<double>").alias("_v"))
+    number = "<f4" if vectors.schema[vector_col].dataType.elementType.simpleString() == "float" else "<f8"
+    rows = vectors.select(vectors[id_col].alias("_id"), vectors[vector_col].cast("array<float>" if number == "<f4" else "array<double>").alias("_v"))
 
     def digest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame({"_id": b["_id"], "bytes": [(np.array(v, dtype=np.float64) + 0.0).tobytes() if usable(v) else None for v in b["_v"]]})
+            yield pd.DataFrame({"_id": b["_id"], "bytes": [(np.array(v, dtype=np.float64) + 0.0).astype(number).tobytes() if usable(v) else None for v in b["_v"]]})
 
     coded = work.save(rows.mapInPandas(digest, f"_id {kind}, bytes binary"), "coded")
     nodes = coded.where("bytes IS NOT NULL").groupBy("bytes").agg(F.min("_id").alias("first_id"), F.count(F.lit(1)).alias("copies"))
     nodes = work.save(nodes.withColumn("rep", F.monotonically_increasing_id()), "nodes")
-    n = nodes.count()
-    size, wide = scale * (max(n, 1) / 50_000) ** (1 / 12), tables * (1 + probes)
+    n, longest = nodes.agg(F.count(F.lit(1)), F.max(F.length("bytes"))).first()
+    scale, tables, probes = plan_tables(n, (longest or 0) // int(number[2]), least, recall, seed)
+    wide = tables * (1 + probes)
 
     def spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for _, same in b.groupby(b["bytes"].map(len)):
                 for at in range(0, len(same), 256):
                     part = same.iloc[at : at + 256]
-                    keys = cells(unit([np.frombuffer(v) for v in part["bytes"]]), tables, probes, size, seed)
+                    keys = cells(unit([np.frombuffer(v, dtype=number) for v in part["bytes"]]), tables, probes, scale, seed)
                     yield pd.DataFrame({"cell": keys.ravel().view(np.int64), "place": np.tile(np.arange(wide, dtype=np.int32), len(part)), "rep": np.repeat(part["rep"].to_numpy(), wide)})
 
     entries = work.save(nodes.select("rep", "bytes").mapInPandas(spread, "cell long, place int, rep long"), "entries")
     is_home = F.col("place") % (1 + probes) == 0
-    # a cell that nobody lies in needs no probes
-    used = work.save(entries.join(entries.where(is_home).select("cell").distinct(), "cell", "left_semi"), "used")
-    work.drop("entries")
+    # a cell that one vector only lies in, and none looks into, links nothing; neither does one that nobody lies in
     blocks_of = lambda kind: F.ceil(F.count_if(kind) / hot_cell).cast("int")
-    hot = used.groupBy("cell").agg(blocks_of(is_home).alias("homes"), blocks_of(~is_home).alias("probes")).where("homes > 1 OR probes > 1")
-    looked = tiles(used.join(work.save(hot, "hot"), "cell", "left"), is_home, ("cell", "place"))
-    buckets = max(1, -(-looked.where("tile IS NULL").count() // rows_per_bucket))
+    useful = entries.groupBy("cell").agg(F.count(F.lit(1)).alias("rows"), blocks_of(is_home).alias("homes"), blocks_of(~is_home).alias("probes")).where("rows > 1 AND homes > 0")
+    hot = (F.col("homes") > 1) | (F.col("probes") > 1)
+    useful = useful.select("cell", F.when(hot, F.col("homes")).alias("homes"), F.when(hot, F.col("probes")).alias("probes"))
+    used = work.save(entries.join(useful, "cell"), "used")
+    work.drop("entries")
+    looked = tiles(used, is_home, ("cell", "place"))
+    buckets = max(1, -(-used.count() // rows_per_bucket))
     bucket = F.when(F.col("tile").isNull(), F.pmod(F.xxhash64("cell"), F.lit(buckets))).otherwise(F.xxhash64("cell", "tile"))
     looked = looked.withColumn("bucket", bucket).withColumn("tile", F.coalesce("tile", F.lit(0)))
+    carried = looked.select("bucket", "rep").distinct().join(nodes.select("rep", "bytes", "copies"), "rep")
+    empty = [F.lit(0).cast("long").alias("cell"), F.lit(-1).alias("place"), F.lit(0).cast("long").alias("tile"), F.lit(False).alias("looks"), F.lit(False).alias("found")]
+    carried = carried.select("bucket", "rep", *empty, "bytes", "copies")
+    looked = looked.select("bucket", "rep", "cell", "place", "tile", "looks", "found", F.lit(None).cast("binary").alias("bytes"), F.lit(0).cast("long").alias("copies"))
 
     def compare(b: pd.DataFrame) -> pd.DataFrame:
         out = []
-        for _, g in b.groupby(b["bytes"].map(len)):
-            reps, first, rep = np.unique(g["rep"].to_numpy(), return_index=True, return_inverse=True)
-            x = unit([np.frombuffer(v) for v in g["bytes"].iloc[first]])
+        vector = b["place"].to_numpy() < 0
+        given, entry = b[vector].sort_values("rep"), b[~vector]
+        length = given["bytes"].map(len).to_numpy()
+        for size in np.unique(length):
+            own = given[length == size]
+            reps = own["rep"].to_numpy()
+            x = unit([np.frombuffer(v, dtype=number) for v in own["bytes"]])
+            g = entry[np.isin(entry["rep"].to_numpy(), reps)]
             place = g["place"].to_numpy()
-            found, links = cell_links(rep, g["looks"].to_numpy(), g["found"].to_numpy(), g["cell"].to_numpy().view(np.uint64), g["tile"].to_numpy(), place // (1 + probes), x, lambda part: cells(part, tables, probes, size, seed), g["copies"].to_numpy()[first], least)
+            rep = np.searchsorted(reps, g["rep"].to_numpy())
+            found, links = cell_links(rep, g["looks"].to_numpy(), g["found"].to_numpy(), g["cell"].to_numpy().view(np.uint64), g["tile"].to_numpy(), place // (1 + probes), x, lambda part: cells(part, tables, probes, scale, seed), own["copies"].to_numpy(), least)
             hit = np.flatnonzero(found)
             out += zip(reps[hit].tolist(), [None] * len(hit), found[hit].tolist(), strict=True)
             out += [(int(reps[i]), int(reps[j]), 0) for i, j in links.made]
         return pd.DataFrame(out, columns=["a", "b", "n"]).astype({"b": "Int64"})
 
-    found = work.save(looked.join(nodes.select("rep", "bytes", "copies"), "rep").groupBy("bucket").applyInPandas(compare, "a long, b long, n long"), "found")
+    found = work.save(looked.unionByName(carried).groupBy("bucket").applyInPandas(compare, "a long, b long, n long"), "found")
     counts = found.groupBy("a").agg(F.sum("n").alias("n")).select(F.col("a").alias("rep"), "n")
     roots = connected_components(work, found.where("b IS NOT NULL").select("a", "b")).select(F.col("node").alias("rep"), "root")
     named = nodes.select("rep", "bytes", "copies", "first_id").join(counts, "rep", "left").join(roots, "rep", "left").withColumn("root", F.coalesce("root", "rep"))

@@ -188,7 +188,7 @@ def remove_phrases(spark: SparkSession, docs: DataFrame, width: int = 13, gram:
                 out += [(key, b" ".join([w for w, g in zip(words, gone.tolist(), strict=True) if not g]).decode(), len(words), int(gone.sum()))] * own
             yield pd.DataFrame(out, columns=["_id", "text", "n_words", "n_removed"])
 
-    owners = texts.join(answers, "_row", "left").mapInPandas(strip, "_id long, text string, n_words long, n_removed long")
+    owners = texts.join(answers.hint("shuffle_hash"), "_row", "left").mapInPandas(strip, "_id long, text string, n_words long, n_removed long")
     n = F.coalesce(F.regexp_count("_text", F.lit(WORD)), F.lit(0)).cast("bigint")
     short = F.when(n < width, F.array_join(F.regexp_extract_all("_text", F.lit(WORD), F.lit(0)), " ")).otherwise("")
     copied = work.spark.read.parquet(f"{work.root}/distinct_texts").select("_row", n.alias("n_words"), short.alias("text"))

@@ -245,7 +245,7 @@ def remove_substrings(spark: SparkSession, docs: DataFrame, width: int = 100, gr
                 out.append(np.packbits(earlier).tobytes() if earlier.any() else None)
             yield b[["_row", "first", "windows"]].assign(bits=out).dropna()
 
-    every = named(segments.select("_row", "_key", "first", "seed", "content")).join(located, ["seed", "segment", "segment2"])
+    every = named(segments.select("_row", "_key", "first", "seed", "content")).join(located.hint("shuffle_hash"), ["seed", "segment", "segment2"])
     earlier = F.struct("owner", "start") < F.struct("_key", "first")
     whole = every.where(F.col("found").isNull() & earlier).select("_row", "first", "windows", F.lit(None).cast("binary").alias("bits"))
     parts = every.where("found IS NOT NULL").select("_row", "_key", "first", "owner", "start", "windows", "found").mapInPandas(flag, "_row long, first long, windows int, bits binary")
@@ -263,7 +263,7 @@ def remove_substrings(spark: SparkSession, docs: DataFrame, width: int = 100, gr
                 out += [(key, raw[~gone].tobytes(), len(raw), n)] * own
             yield pd.DataFrame(out, columns=["_id", "kept", "n_bytes", "n_spans"])
 
-    owners = texts.join(answers, "_row", "left").mapInPandas(strip, "_id long, kept binary, n_bytes long, n_spans long")
+    owners = texts.join(answers.hint("shuffle_hash"), "_row", "left").mapInPandas(strip, "_id long, kept binary, n_bytes long, n_spans long")
     n = F.octet_length("_text").cast("bigint")
     copied = work.spark.read.parquet(f"{work.root}/distinct_texts").select("_row", n.alias("n_bytes"), F.when(n < width, F.col("_text")).otherwise("").cast("binary").alias("kept"))
     copies = members.join(copied, "_row").select("_id", "kept", "n_bytes", (F.col("n_bytes") >= width).cast("bigint").alias("n_spans"))

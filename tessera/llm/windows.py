@@ -21,6 +21,8 @@ from .common import Workspace
 
 #: Stands for a null id: later than all others.
 LAST = (1 << 63) - 1
+#: More than any text has tokens.
+PLACES = 1 << 40
 U = np.uint64
 _BASE, _MIX = 0x9E3779B97F4A7C15, U(0xD6E8FEB86659FD93)
 _BYTES = np.random.Generator(np.random.PCG64(20240229)).integers(0, 2**64, 256, dtype=np.uint64)
@@ -160,7 +162,7 @@ def candidate_segments(work: Workspace, spec: Spec, same_text: bool, cut) -> Dat
                     out += zip([row] * len(first), [key] * len(first), first.tolist(), (end - first).tolist(), (place[first] - first).tolist(), own.tolist(), cut(text, first, end), strict=True)
                 yield pd.DataFrame(out, columns=["_row", "_key", "first", "windows", "at", "seed", "content"])
 
-    found = texts.select("_row", "_key", "_text").join(marks, "_row").mapInPandas(segments, "_row long, _key long, first long, windows int, at int, seed long, content binary")
+    found = texts.select("_row", "_key", "_text").join(marks.hint("shuffle_hash"), "_row").mapInPandas(segments, "_row long, _key long, first long, windows int, at int, seed long, content binary")
     out = work.save(found, "segments")
     work.drop("marks")
     return out
@@ -170,11 +172,13 @@ def distinct_segments(work: Workspace, segments: DataFrame, crowd_bytes: int, sa
     """(distinct, contested, crowded). distinct has one row per seed and content: sid (its number), seed, owner and start (the earliest place),
     last (the last text), again (whether it occurs again: in a later text, or with ``same_text`` also in the same one), windows, at, content. Equal segments combine
     before the shuffle. contested are those of seeds with several contents; crowded those of seeds with more than ``crowd_bytes`` of them, which are not in contested."""
-    earliest, latest = F.min(F.struct("_key", "first")).alias("e"), F.max(F.struct("_key", "first")).alias("l")
+    place = F.col("_key").cast("decimal(19,0)") * F.lit(PLACES).cast("decimal(14,0)") + F.col("first")  # in order of text, then place; one number, so that the aggregation hashes
     facts = ("windows", "at")
-    rows = segments.groupBy("seed", "content").agg(earliest, latest, *[F.any_value(c).alias(c) for c in facts])
-    again = F.col("e") < F.col("l") if same_text else F.col("e._key") < F.col("l._key")
-    rows = rows.select("seed", "content", *facts, F.col("e._key").alias("owner"), F.col("e.first").alias("start"), F.col("l._key").alias("last"), again.alias("again"))
+    rows = segments.groupBy("seed", "content").agg(F.min(place).alias("e"), F.max(place).alias("l"), *[F.any_value(c).alias(c) for c in facts])
+    start = F.pmod("e", F.lit(PLACES).cast("decimal(14,0)"))
+    text = lambda c: F.expr(f"({c} - pmod({c}, {PLACES})) div {PLACES}")
+    again = F.col("e") < F.col("l") if same_text else text("e") < text("l")
+    rows = rows.select("seed", "content", *facts, text("e").alias("owner"), start.cast("bigint").alias("start"), text("l").alias("last"), again.alias("again"))
     distinct = work.save(rows.withColumn("sid", F.monotonically_increasing_id()), "distinct")
     seeds = distinct.groupBy("seed").agg(F.count(F.lit(1)).alias("contents"), F.sum(F.length("content")).alias("size")).where("contents > 1")
     seeds = work.save(seeds.select("seed", (F.col("size") > crowd_bytes).alias("crowded")), "seeds")

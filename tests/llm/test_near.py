@@ -156,6 +156,21 @@ def test_lattice_recall(spark):
     assert sum(got.values()) >= 0.95 * sum(want.values())
 
 
+def test_lattice_recall_at_any_size():
+    """The tables planned for a thousand to 10^11 vectors let pairs just above the threshold meet; other pairs than those planned with."""
+    rng = np.random.default_rng(5)
+    x = rng.standard_normal((400, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    y = rng.standard_normal((400, 64))
+    y -= (x * y).sum(axis=1, keepdims=True) * x
+    y = 0.951 * x + math.sqrt(1 - 0.951**2) * y / np.linalg.norm(y, axis=1, keepdims=True)
+    for n in (10**3, 10**9, 10**11):
+        scale, tables, probes = lattice.plan_tables(n, 64, 0.95, 0.99, 11)
+        a, b = (lattice.cells(v, tables, probes, scale, 11) for v in (x, y))
+        meet = ((a == b[:, :, :1]) | (b == a[:, :, :1])).any(axis=(1, 2))
+        assert meet.mean() >= 0.95, (n, scale, tables, probes)
+
+
 def test_lattice_query(spark):
     rows = [(r.vec_id, list(r.embedding)) for r in read(spark, SF, "embeddings").collect()]
     got = {r.vec_id: (r.n_links, r.component_id) for r in QUERIES["op5_lattice_near_dedup"](spark, SF).collect()}
