@@ -89,11 +89,17 @@ def detail(claims: DataFrame) -> DataFrame:
     return rows.groupBy(F.col("subject_id").alias("task_id")).agg(current("HAS_TASK_STATUS", "object_value").alias("state"), current("ASSIGNED_TO", "object_id").alias("owner_id"), current("DUE_ON", "object_id").alias("due_id"), F.count(F.lit(1)).alias("n_claims"), F.array_sort(F.collect_set("source_id")).alias("sources"))
 
 
-def due_bucket(due_on: Column, today: Column, due_at: Column | None = None, now: Column | None = None) -> Column:
-    """overdue, due_today or upcoming; by the instant if there is one, else by calendar day."""
-    by_day = F.when(due_on < today, "overdue").when(due_on == today, "due_today").otherwise("upcoming")
-    by_day = F.when(due_on.isNull(), None).otherwise(by_day)
-    return by_day if due_at is None else F.when(due_at.isNotNull() & (due_at < now), "overdue").otherwise(by_day)
+def due_bucket(due_on: Column, today: str, within_days: int, due_at: Column | None = None, now: Column | None = None, zone: str = "UTC") -> Column:
+    """overdue, due_today or upcoming; null for what has no date or lies more than ``within_days`` ahead. A task with an instant is overdue before ``now``, and the days end
+    at midnight of the caller's zone; other tasks go by calendar day."""
+    day = F.to_date(F.lit(today))
+    until = F.date_format(F.date_add(day, within_days), "yyyy-MM-dd")
+    by_day = F.when(due_on < today, "overdue").when(due_on == today, "due_today").when(due_on <= until, "upcoming")
+    if due_at is None:
+        return by_day
+    ends = lambda n: F.to_utc_timestamp(F.date_add(day, n).cast("timestamp"), zone)
+    by_time = F.when(due_at < now, "overdue").when(due_at < ends(1), "due_today").when(due_at < ends(within_days + 1), "upcoming")
+    return F.when(due_at.isNotNull(), by_time).otherwise(by_day)
 
 
 def statusless(nodes: DataFrame, claims: DataFrame, limit: int | None = None) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import contains_ci
-from ..functions.vector import cosine
+from ..functions.vector import nearest_in_blocks
 
 #: Reuse and review thresholds of a proposed definition, the most raw points of a series, relative change that counts as flat.
 REUSE, REVIEW, RAW_CAP, FLAT = 0.85, 0.70, 5000, 0.01
@@ -68,13 +68,18 @@ def trend(recent: Column, base: Column) -> Column:
     )
 
 
-def movers(summary: DataFrame) -> DataFrame:
-    """Latest value against the first baseline there is of 7, 30 and 90 days, largest relative move first, ties by metric."""
+def movers(summary: DataFrame, limit: int | None = None) -> DataFrame:
+    """Latest value against the first average there is of 7, 30 and 90 days, largest move in proportion to it first, ties by metric. A move of at most one percent is flat.
+    Metrics without an average have no delta, direction or window and move by 0; those without a value are left out."""
     base = F.coalesce("avg_7d", "avg_30d", "avg_90d")
     delta = F.col("latest") - base
-    size = F.when(base == 0, F.abs(delta)).otherwise(F.abs(F.try_divide(delta, base)))
-    rows = summary.select("metric", "latest", base.alias("baseline"), delta.alias("delta"), F.when(delta > 0, "up").when(delta < 0, "down").otherwise("flat").alias("direction"), size.alias("magnitude"))
-    return rows.where(F.col("baseline").isNotNull()).orderBy(F.desc("magnitude"), "metric")
+    window = F.when(F.col("avg_7d").isNotNull(), "7d").when(F.col("avg_30d").isNotNull(), "30d").when(F.col("avg_90d").isNotNull(), "90d")
+    share = F.abs(F.try_divide(delta, F.abs(base)))
+    direction = F.when(delta.isNull(), None).when(F.when(base == 0, delta == 0).otherwise(share <= FLAT), "flat").when(delta > 0, "up").otherwise("down")
+    size = F.coalesce(F.when(base == 0, F.abs(delta)).otherwise(share), F.lit(0.0))
+    rows = summary.where(F.col("latest").isNotNull()).select("metric", "latest", base.alias("baseline"), delta.alias("delta"), direction.alias("direction"), window.alias("window"), size.alias("magnitude"))
+    rows = rows.orderBy(F.desc("magnitude"), "metric")
+    return rows if limit is None else rows.limit(limit)
 
 
 def catalogue(observations: DataFrame, definitions: DataFrame, search: str | None = None, with_points: bool = False) -> DataFrame:
@@ -93,18 +98,17 @@ def check_observations(rows: DataFrame, definitions: DataFrame) -> DataFrame:
     return found.withColumn("error", error).drop("_known")
 
 
-def resolve_definitions(proposed: DataFrame, known: DataFrame, reuse: float = REUSE, review: float = REVIEW) -> DataFrame:
+def resolve_definitions(proposed: DataFrame, known: DataFrame, reuse: float = REUSE, review: float = REVIEW, block_rows: int = 20_000) -> DataFrame:
     """For proposals (slug, vector) against known ones: reuse by equal slug or close vector, create with review, or create.
 
-    Known definitions are a small table of the tenant; each proposal meets all of them, and a maximum keeps the closest.
+    Only proposals without an equal slug are compared by vector: with all known ones, in blocks of about ``block_rows`` a side (nearest_in_blocks).
     """
-    same = proposed.join(known.select("slug").withColumn("_same", F.col("slug")), "slug", "left")
-    pairs = same.where("_same IS NULL").select("slug", "vector").crossJoin(F.broadcast(known.select(F.col("slug").alias("k"), F.col("vector").alias("kv"))))
-    best = pairs.groupBy("slug").agg(F.max(F.struct(F.round(cosine(F.col("vector"), F.col("kv")), 6).alias("sim"), F.col("k"))).alias("b"))
+    same = proposed.join(known.select("slug").distinct().withColumn("_same", F.col("slug")), "slug", "left")
+    best = nearest_in_blocks(same.where("_same IS NULL").select("slug", "vector"), known, "slug", "vector", 1, block_rows).select("slug", F.col("match").alias("k"), F.col("similarity").alias("sim"))
     out = same.select("slug", "_same").join(best, "slug", "left")
-    sim = F.col("b.sim")
+    sim = F.col("sim")
     action = F.when(F.col("_same").isNotNull(), "reuse").when(sim >= reuse, "reuse").when(sim >= review, "create_review").otherwise("create")
-    return out.select("slug", action.alias("action"), F.coalesce("_same", F.when(sim >= reuse, F.col("b.k"))).alias("definition"), F.when(F.col("_same").isNull(), sim).alias("similarity"))
+    return out.select("slug", action.alias("action"), F.coalesce("_same", F.when(sim >= reuse, F.col("k"))).alias("definition"), F.when(F.col("_same").isNull(), sim).alias("similarity"))
 
 
 def replace_by_source(stored: DataFrame, pushed: DataFrame) -> DataFrame:

@@ -61,14 +61,21 @@ def commitment_history(t):
     return C.history(t.task_claims.unionByName(t.owner_claims)).select("task_id", "predicate", "value", "stated_at")
 
 
-@query(f"WITH {_joined(True, 'trusted')} SELECT CASE WHEN due_on IS NULL THEN NULL WHEN due_on < '1998-07-01' THEN 'overdue' WHEN due_on = '1998-07-01' THEN 'due_today' ELSE 'upcoming' END AS bucket, count(*) AS n FROM j WHERE raw_status IN ('pending', 'in_progress') GROUP BY ALL", _NEEDS)
+@query(f"WITH {_joined(True, 'trusted')} SELECT CASE WHEN due_on < '1998-07-01' THEN 'overdue' WHEN due_on = '1998-07-01' THEN 'due_today' WHEN due_on <= '1998-07-31' THEN 'upcoming' END AS bucket, count(*) AS n FROM j WHERE raw_status IN ('pending', 'in_progress') GROUP BY ALL", _NEEDS)
 def commitments_overdue_buckets(t):
-    return C.open_commitments(_claims(t), t.nodes).groupBy(C.due_bucket(F.col("due_on"), F.lit("1998-07-01")).alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
+    return C.open_commitments(_claims(t), t.nodes).groupBy(C.due_bucket(F.col("due_on"), "1998-07-01", 30).alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("WITH s AS (SELECT o_orderkey AS k, CASE o_orderkey % 6 WHEN 0 THEN ' To-Do ' WHEN 1 THEN 'In Progress' WHEN 2 THEN 'CANCELED' WHEN 3 THEN 'completed' WHEN 4 THEN 'started' ELSE 'blocked?' END AS raw FROM orders) SELECT k, CASE raw WHEN ' To-Do ' THEN 'pending' WHEN 'In Progress' THEN 'in_progress' WHEN 'CANCELED' THEN 'abandoned' WHEN 'completed' THEN 'done' WHEN 'started' THEN 'in_progress' END AS status FROM s")
+_SPELLINGS = (
+    ("pending", "pending"), (" To-Do ", "pending"), ("todo", "pending"), ("Not started", "pending"), ("In Progress", "in_progress"), ("doing", "in_progress"), ("STARTED", "in_progress"), ("wip", "in_progress"),
+    ("done", "done"), ("completed", "done"), ("Complete", "done"), ("finished", "done"), ("abandoned", "abandoned"), ("CANCELED", "abandoned"), ("cancelled", "abandoned"), ("dropped", "abandoned"), ("failed", "abandoned"),
+    ("open", None), ("planned", None), ("active", None), ("ongoing", None), ("closed", None), ("blocked?", None),
+)
+
+
+@query("SELECT o_orderkey AS k, CASE o_orderkey % 23 " + " ".join(f"WHEN {i} THEN " + (f"'{s}'" if s else "NULL") for i, (_, s) in enumerate(_SPELLINGS)) + " END AS status FROM orders")
 def coerce_status(t):
-    raw = F.element_at(F.array(*map(F.lit, (" To-Do ", "In Progress", "CANCELED", "completed", "started", "blocked?"))), (F.col("o_orderkey") % 6 + 1).cast("int"))
+    raw = F.element_at(F.array(*[F.lit(r) for r, _ in _SPELLINGS]), (F.col("o_orderkey") % len(_SPELLINGS) + 1).cast("int"))
     return t.orders.select(F.col("o_orderkey").alias("k"), coerce_task_status(raw).alias("status"))
 
 

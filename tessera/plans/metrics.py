@@ -51,7 +51,11 @@ def metric_trend(t):
     return M.summaries(t.observations, t.definitions, _now()).select("metric", "trend")
 
 
-@query(_STATS + "SELECT metric, round(coalesce(avg_7d, avg_30d, avg_90d), 6) AS baseline, CASE WHEN latest > coalesce(avg_7d, avg_30d, avg_90d) THEN 'up' WHEN latest < coalesce(avg_7d, avg_30d, avg_90d) THEN 'down' ELSE 'flat' END AS direction, round(abs(latest - coalesce(avg_7d, avg_30d, avg_90d)) / abs(coalesce(avg_7d, avg_30d, avg_90d)), 6) AS magnitude FROM sm", "observations definitions")
+_BASE = "coalesce(avg_7d, avg_30d, avg_90d)"
+_MOVE = f"CASE WHEN {_BASE} = 0 THEN CASE WHEN latest = 0 THEN 0 ELSE abs(latest) END ELSE abs((latest - {_BASE}) / {_BASE}) END"
+
+
+@query(_STATS + f"SELECT metric, round({_BASE}, 6) AS baseline, CASE WHEN latest IS NULL OR {_BASE} IS NULL THEN NULL WHEN latest = {_BASE} OR ({_BASE} <> 0 AND {_MOVE} <= 0.01) THEN 'flat' WHEN latest > {_BASE} THEN 'up' ELSE 'down' END AS direction, round(coalesce({_MOVE}, 0), 6) AS magnitude FROM sm WHERE latest IS NOT NULL", "observations definitions")
 def metric_movers(t):
     return M.movers(M.summaries(t.observations, t.definitions, _now())).select("metric", F.round("baseline", 6).alias("baseline"), "direction", F.round("magnitude", 6).alias("magnitude"))
 
@@ -78,7 +82,9 @@ def metric_patch(t):
     return M.patch_definitions(t.definitions, patches).select("metric", "label", F.col("valid_min").cast("double").alias("valid_min"), "error")
 
 
-@query("WITH k AS (SELECT 'd' || vec_id AS slug, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id % 50 = 0), p AS (SELECT 'd' || vec_id AS slug, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id % 10 = 0), m AS (SELECT p.slug, max(round(list_cosine_similarity(p.v, k.v), 6)) AS sim, arg_max(k.slug, (round(list_cosine_similarity(p.v, k.v), 6), k.slug)) AS best FROM p, k WHERE p.slug NOT IN (SELECT slug FROM k) GROUP BY p.slug) SELECT p.slug, CASE WHEN k.slug IS NOT NULL OR sim >= 0.85 THEN 'reuse' WHEN sim >= 0.3 THEN 'create_review' ELSE 'create' END AS action, coalesce(k.slug, CASE WHEN sim >= 0.85 THEN best END) AS definition, sim AS similarity FROM p LEFT JOIN k USING (slug) LEFT JOIN m ON m.slug = p.slug")
+@query("WITH k AS (SELECT 'd' || vec_id AS slug, embedding::DOUBLE[] AS v FROM embeddings), p AS (SELECT CASE WHEN vec_id % 40 = 0 THEN 'd' ELSE 'n' END || vec_id AS slug, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id % 20 = 0), s AS (SELECT p.slug, k.slug AS k, round(list_cosine_similarity(p.v, k.v), 6) AS sim FROM p, k WHERE p.slug LIKE 'n%'), m AS (SELECT slug, max(sim) AS sim, max(k) FILTER (WHERE top) AS best FROM (SELECT *, sim = max(sim) OVER (PARTITION BY slug) AS top FROM s) GROUP BY slug) SELECT p.slug, CASE WHEN p.slug LIKE 'd%' OR sim >= 0.85 THEN 'reuse' WHEN sim >= 0.3 THEN 'create_review' ELSE 'create' END AS action, CASE WHEN p.slug LIKE 'd%' THEN p.slug WHEN sim >= 0.85 THEN best END AS definition, sim AS similarity FROM p LEFT JOIN m USING (slug)")
 def metric_resolution(t):
-    v = t.embeddings.select(F.concat(F.lit("d"), "vec_id").alias("slug"), F.col("embedding").alias("vector"), "vec_id")
-    return M.resolve_definitions(v.where("vec_id % 10 = 0").drop("vec_id"), v.where("vec_id % 50 = 0").drop("vec_id"), review=0.3)
+    slug = lambda letter: F.concat(letter, F.col("vec_id").cast("string")).alias("slug")
+    known = t.embeddings.select(slug(F.lit("d")), F.col("embedding").alias("vector"))
+    proposed = t.embeddings.where("vec_id % 20 = 0").select(slug(F.when(F.col("vec_id") % 40 == 0, "d").otherwise("n")), F.col("embedding").alias("vector"))
+    return M.resolve_definitions(proposed, known, review=0.3)

@@ -75,9 +75,9 @@ def first_source_per_node(t):
 _LABEL = "lower(regexp_replace(trim({0}), '\\s+', ' ', 'g'))"
 
 
-@query(f"SELECT a.node_id, b.node_id AS match_id FROM nodes a JOIN nodes b ON a.node_type = b.node_type AND {_LABEL.format('a.label')} = {_LABEL.format('b.label')} AND a.node_id <> b.node_id WHERE a.node_id IN ('X1', 'X2', 'X3')", "nodes")
+@query(f"SELECT a.node_id, b.node_id AS match_id FROM nodes a JOIN nodes b ON a.user_id = b.user_id AND a.node_type = b.node_type AND {_LABEL.format('a.label')} = {_LABEL.format('b.label')} AND a.node_id <> b.node_id", "nodes")
 def identity_canonical_label(t):
-    return I.by_label(t.nodes.where(F.col("node_id").isin("X1", "X2", "X3")), t.nodes)
+    return I.by_label(t.nodes, t.nodes)
 
 
 @query("SELECT DISTINCT n.node_id, a.node_id AS match_id FROM nodes n JOIN aliases a ON a.user_id = n.user_id AND a.normalized_alias_text = lower(trim(n.label)) AND a.node_id <> n.node_id WHERE n.node_type = 'Object'", "nodes aliases")
@@ -85,18 +85,26 @@ def identity_alias(t):
     return I.by_alias(t.nodes.where("node_type = 'Object'"), t.aliases)
 
 
-@query("WITH p AS (SELECT * FROM node_vectors WHERE node_id IN ('X5', 'X6', 'X7', 'X8')), s AS (SELECT p.node_id, v.node_id AS match_id, round(list_cosine_similarity(v.embedding::DOUBLE[], p.embedding::DOUBLE[]), 6) AS similarity, p.label = v.label AS same FROM p JOIN node_vectors v ON v.node_id <> p.node_id), r AS (SELECT *, row_number() OVER (PARTITION BY node_id ORDER BY similarity DESC, match_id) AS n FROM s WHERE similarity >= 0.1), q AS (SELECT *, row_number() OVER (PARTITION BY node_id ORDER BY similarity DESC, match_id) AS k FROM r WHERE n <= 25 AND same) SELECT node_id, match_id, similarity FROM q WHERE k <= 5", "node_vectors")
+def _nearest(table: str) -> str:
+    """Candidates of every twentieth vector among all, as SQL: the 25 nearest of the tenant, of these the five nearest of the kind."""
+    return f"p AS (SELECT * FROM {table} WHERE CAST(substr(node_id, 2) AS BIGINT) % 20 = 0), s AS (SELECT p.node_id, v.node_id AS match_id, round(list_cosine_similarity(v.embedding::DOUBLE[], p.embedding::DOUBLE[]), 6) AS similarity, p.label = v.label AS same FROM p JOIN {table} v ON v.node_id <> p.node_id AND v.user_id = p.user_id), r AS (SELECT *, row_number() OVER (PARTITION BY node_id ORDER BY similarity DESC, match_id) AS n FROM s), q AS (SELECT *, row_number() OVER (PARTITION BY node_id ORDER BY similarity DESC, match_id) AS k FROM r WHERE n <= 25 AND similarity >= 0.1 AND same), near AS (SELECT node_id, match_id, similarity FROM q WHERE k <= 5)"
+
+
+def _twentieth(vectors):
+    return vectors.where(F.expr("CAST(substr(node_id, 2) AS BIGINT) % 20 = 0"))
+
+
+@query(f"WITH {_nearest('node_vectors')} SELECT node_id, match_id, similarity FROM near", "node_vectors")
 def identity_embedding(t):
-    return I.by_vector(t.node_vectors.where(F.col("node_id").isin("X5", "X6", "X7", "X8")), t.node_vectors, 0.1)
+    return I.by_vector(_twentieth(t.node_vectors), t.node_vectors, 0.1)
 
 
 _PROFILE = "pr AS (SELECT DISTINCT subject_id AS node_id, predicate || '|' || coalesce(object_id, object_value) AS k FROM claims WHERE status = 'active' AND asserted_by_kind <> 'assistant_inferred')"
 
 
-@query(f"WITH {_PROFILE}, c AS (SELECT 'C' || c_custkey AS node_id, 'C' || (c_custkey + 25) AS match_id FROM customer), b AS (SELECT c.node_id, c.match_id, count(*) AS common FROM c JOIN pr p ON p.node_id = c.node_id JOIN pr q ON q.node_id = c.match_id AND q.k = p.k GROUP BY ALL), n AS (SELECT node_id, count(*) AS n FROM pr GROUP BY node_id) SELECT b.node_id, b.match_id, round(common / (x.n + y.n - common)::DOUBLE, 6) AS similarity FROM b JOIN n x ON x.node_id = b.node_id JOIN n y ON y.node_id = b.match_id WHERE round(common / (x.n + y.n - common)::DOUBLE, 6) >= 0.6", "claims")
+@query(f"WITH {_PROFILE}, {_nearest('person_vectors')}, b AS (SELECT c.node_id, c.match_id, count(*) AS common FROM near c JOIN pr p ON p.node_id = c.node_id JOIN pr q ON q.node_id = c.match_id AND q.k = p.k GROUP BY ALL), m AS (SELECT node_id, count(*) AS n FROM pr GROUP BY node_id) SELECT b.node_id, b.match_id, round(common / (x.n + y.n - common)::DOUBLE, 6) AS similarity FROM b JOIN m x ON x.node_id = b.node_id JOIN m y ON y.node_id = b.match_id WHERE round(common / (x.n + y.n - common)::DOUBLE, 6) >= 0.25", "claims person_vectors")
 def identity_profile_jaccard(t):
-    pairs = t.customer.select(F.concat(F.lit("C"), "c_custkey").alias("node_id"), F.concat(F.lit("C"), F.col("c_custkey") + 25).alias("match_id"))
-    return I.by_profile(I.profiles(t.claims), pairs)
+    return I.by_profile(I.profiles(t.claims), I.by_vector(_twentieth(t.person_vectors), t.person_vectors, 0.1).drop("similarity"), 0.25)
 
 
 _SCOPES = "sc AS (SELECT node_id, user_id, node_type, label, CASE WHEN (length(node_id) + ascii(substr(node_id, length(node_id), 1))) % 3 = 0 THEN 'reference' ELSE 'personal' END AS scope FROM nodes)"
@@ -111,12 +119,12 @@ def dedup_groups(t):
     return I.duplicate_groups(t.nodes, _scopes(t)).withColumn("members", F.array_join("members", ","))
 
 
-@query(f"WITH {_SCOPES} SELECT node_type, {_LABEL.format('label')} AS canonical_label, count(DISTINCT scope) AS scopes FROM sc WHERE node_type IN ('Person', 'Location', 'Object', 'Concept', 'Organization') GROUP BY ALL HAVING count(DISTINCT scope) >= 2", "nodes")
+@query(f"WITH {_SCOPES} SELECT user_id, node_type, {_LABEL.format('label')} AS canonical_label, string_agg(DISTINCT scope, ',' ORDER BY scope) AS scopes FROM sc WHERE node_type IN ('Person', 'Location', 'Object', 'Concept', 'Organization') GROUP BY ALL HAVING count(DISTINCT scope) >= 2", "nodes")
 def cross_scope_collisions(t):
     return I.cross_scope(t.nodes, _scopes(t))
 
 
-@query(f"WITH {_SCOPES}, c AS (SELECT a.node_id, b.node_id AS m FROM sc a JOIN sc b ON a.node_type = b.node_type AND {_LABEL.format('a.label')} = {_LABEL.format('b.label')} AND a.node_id <> b.node_id AND a.scope = b.scope WHERE a.node_type = 'Object'), n AS (SELECT node_id, count(DISTINCT m) AS k, min(m) AS m FROM c GROUP BY node_id), al AS (SELECT a.node_id, count(DISTINCT x.node_id) AS k, min(x.node_id) AS m FROM sc a JOIN aliases x ON x.user_id = a.user_id AND x.normalized_alias_text = lower(trim(a.label)) AND x.node_id <> a.node_id JOIN sc b ON b.node_id = x.node_id AND b.scope = a.scope WHERE a.node_type = 'Object' GROUP BY a.node_id) SELECT s.node_id, CASE WHEN n.k = 1 THEN n.m WHEN n.k > 1 THEN NULL WHEN al.k = 1 THEN al.m END AS match_id, CASE WHEN n.k = 1 THEN 'label' WHEN n.k > 1 THEN 'ambiguous' WHEN al.k = 1 THEN 'alias' WHEN al.k > 1 THEN 'ambiguous' ELSE 'none' END AS signal FROM sc s LEFT JOIN n USING (node_id) LEFT JOIN al USING (node_id) WHERE s.node_type = 'Object'", "nodes aliases")
+@query(f"WITH {_SCOPES}, c AS (SELECT a.node_id, b.node_id AS m FROM sc a JOIN sc b ON a.user_id = b.user_id AND a.node_type = b.node_type AND {_LABEL.format('a.label')} = {_LABEL.format('b.label')} AND a.node_id <> b.node_id AND a.scope = b.scope WHERE a.node_type = 'Object'), n AS (SELECT node_id, count(DISTINCT m) AS k, min(m) AS m FROM c GROUP BY node_id), al AS (SELECT a.node_id, count(DISTINCT x.node_id) AS k, min(x.node_id) AS m FROM sc a JOIN aliases x ON x.user_id = a.user_id AND x.normalized_alias_text = lower(trim(a.label)) AND x.node_id <> a.node_id JOIN sc b ON b.node_id = x.node_id AND b.scope = a.scope WHERE a.node_type = 'Object' GROUP BY a.node_id) SELECT s.node_id, CASE WHEN n.k = 1 THEN n.m WHEN n.k > 1 THEN NULL WHEN al.k = 1 THEN al.m END AS match_id, CASE WHEN n.k = 1 THEN 'label' WHEN n.k > 1 THEN 'ambiguous' WHEN al.k = 1 THEN 'alias' WHEN al.k > 1 THEN 'ambiguous' ELSE 'none' END AS signal FROM sc s LEFT JOIN n USING (node_id) LEFT JOIN al USING (node_id) WHERE s.node_type = 'Object'", "nodes aliases")
 def identity_decision(t):
     objects = t.nodes.where("node_type = 'Object'")
     return I.decide(objects, [("label", I.by_label(objects, t.nodes)), ("alias", I.by_alias(objects, t.aliases))], _scopes(t)).select("node_id", "match_id", "signal")
@@ -136,25 +144,32 @@ def orphan_nodes(t):
     return H.orphans(t.nodes, t.claims, t.aliases).select("node_id")
 
 
-@query(f"WITH {_TOUCH}, f AS (SELECT x AS node_id, count(*) AS n, count(*) FILTER (WHERE status = 'active') AS act, count(*) FILTER (WHERE asserted_by_kind = 'assistant_inferred') AS weak, max(stated_at) AS last_at FROM tc JOIN claims USING (claim_id) GROUP BY x), g AS (SELECT n.node_id, coalesce(f.n, 0) AS n, coalesce(act, 0) AS act, coalesce(weak, 0) AS weak, date_diff('day', coalesce(last_at, created_at)::DATE, {_NOW}::DATE) AS days FROM nodes n LEFT JOIN f USING (node_id)) SELECT node_id, round(0.40::DOUBLE * least(1.0, greatest(0.0, days / 365.0::DOUBLE)) + 0.25::DOUBLE / (1 + act) + 0.20::DOUBLE * CASE WHEN n = 0 THEN 1.0 ELSE weak / n::DOUBLE END + 0.15::DOUBLE * CASE WHEN n = 0 THEN 1.0 ELSE 1 - act / n::DOUBLE END, 3) AS score FROM g", "nodes claims")
+@query(f"WITH {_TOUCH}, f AS (SELECT x AS node_id, count(*) AS n, count(*) FILTER (WHERE status = 'active') AS act, count(*) FILTER (WHERE status = 'active' AND asserted_by_kind NOT IN ('assistant_inferred', 'system')) AS sure, max(stated_at) AS last_at FROM tc JOIN claims USING (claim_id) GROUP BY x), g AS (SELECT n.node_id, coalesce(f.n, 0) AS n, coalesce(act, 0) AS act, coalesce(sure, 0) AS sure, greatest(0, floor(date_diff('second', greatest(created_at, coalesce(last_at, created_at)), {_NOW}) / 86400.0::DOUBLE)) AS days, EXISTS (SELECT 1 FROM aliases a WHERE a.node_id = n.node_id) OR EXISTS (SELECT 1 FROM source_links l WHERE l.node_id = n.node_id) AS known FROM nodes n LEFT JOIN f USING (node_id)), h AS (SELECT *, CASE WHEN n = 0 THEN 1.0::DOUBLE ELSE (n - act) / n::DOUBLE END AS decay FROM g) SELECT node_id, round(0.40::DOUBLE * least(1.0, days / 365.0::DOUBLE) + 0.25::DOUBLE / (1 + act) + 0.20::DOUBLE * CASE WHEN sure > 0 THEN 0 ELSE 1 END + 0.15::DOUBLE * decay, 3) AS score, concat_ws('; ', CASE WHEN n = 0 AND NOT known THEN 'no evidence (no claims, sources, or aliases)' END, 'idle ' || CAST(days AS BIGINT) || 'd', CASE WHEN act = 0 AND (n > 0 OR known) THEN 'no active claims' WHEN act = 1 THEN 'weakly connected (1 active claim)' WHEN act = 2 THEN 'weakly connected (2 active claims)' END, CASE WHEN sure = 0 AND n > 0 THEN 'assistant-inferred only (no grounded claims)' END, CASE WHEN decay >= 0.5 AND n > act THEN CAST(floor(decay * 100 + 0.5) AS BIGINT) || '% of claims superseded' END) AS reasons FROM h", "nodes claims aliases source_links")
 def stale_node_score(t):
-    return H.stale_scores(t.nodes, t.claims, _now()).select("node_id", "score")
+    return H.stale_scores(t.nodes, t.claims, _now(), aliases=t.aliases, links=t.source_links).select("node_id", "score", F.array_join("reasons", "; ").alias("reasons"))
+
+
+def _allowed(types: tuple[str, ...], kind: str) -> str:
+    return "TRUE" if "*" in types else f"{kind} IN ({', '.join(repr(x) for x in types)})"
 
 
-_BAD = "bad AS (SELECT c.*, s.node_type AS st, coalesce(o.node_type, 'value') AS ot FROM claims c JOIN nodes s ON s.node_id = subject_id LEFT JOIN nodes o ON o.node_id = object_id WHERE status = 'active' AND NOT ((predicate = 'HAS_STATUS' AND object_value IS NOT NULL) OR (predicate = 'HAS_TASK_STATUS' AND s.node_type = 'Task') OR (predicate = 'ASSIGNED_TO' AND s.node_type = 'Task' AND o.node_type IN ('Person', 'Organization')) OR (predicate = 'DUE_ON' AND s.node_type = 'Task' AND o.node_type = 'Temporal') OR (predicate = 'RELATED_TO' AND s.node_type IN ('Person', 'Concept')) OR (predicate = 'LOCATED_IN' AND s.node_type = 'Person' AND o.node_type = 'Location')))"
+_FIT = "CASE predicate " + " ".join(f"WHEN '{p}' THEN {_allowed(s, 'st')} AND {_allowed(o, 'ot')}" for p, (s, o) in H.SHAPES.items()) + " END"
+_TURNED = "CASE predicate " + " ".join(f"WHEN '{p}' THEN {_allowed(s, 'ot')} AND {_allowed(o, 'st')}" for p, (s, o) in H.SHAPES.items()) + " END"
+_ENDS = f"en AS (SELECT c.*, s.node_type AS st, o.node_type AS ot FROM shape_claims c JOIN nodes s ON s.node_id = subject_id JOIN nodes o ON o.node_id = object_id), fi AS (SELECT *, {_FIT} AS fits, {_TURNED} AS turned FROM en)"
+_OWNERS, _OWNABLE = (f"({', '.join(repr(x) for x in xs)})" for xs in H.SHAPES["OWNS"])
 
 
-@query(f"WITH {_BAD} SELECT predicate, count(*) AS invalid FROM bad GROUP BY predicate", "claims nodes")
+@query(f"WITH {_ENDS} SELECT predicate, count(*) AS invalid FROM fi WHERE NOT fits GROUP BY predicate", "shape_claims nodes")
 def predicate_shape_audit(t):
-    return H.shape_audit(t.claims, t.nodes).select("predicate", "invalid")
+    return H.shape_audit(t.shape_claims, t.nodes).select("predicate", "invalid")
 
 
-@query(f"WITH {_BAD} SELECT claim_id, CASE WHEN ot IN ('Person', 'Concept') THEN 'invert' ELSE 'retract' END AS action, CASE WHEN ot IN ('Person', 'Concept') THEN object_id ELSE subject_id END AS new_subject_id FROM bad", "claims nodes")
+@query(f"WITH {_ENDS}, x AS (SELECT *, CASE WHEN predicate = 'OWNED_BY' THEN CASE WHEN st = 'Task' AND ot = 'Person' THEN 'legacy_task_assignment' WHEN st = 'Person' AND ot = 'Task' THEN 'legacy_task_assignment_inverted' WHEN st IN {_OWNABLE} AND ot IN {_OWNERS} THEN 'legacy_passive_ownership' WHEN st IN {_OWNERS} AND ot IN {_OWNABLE} THEN 'legacy_active_ownership' ELSE 'legacy_ambiguous_ownership' END WHEN NOT fits AND turned THEN 'valid_when_inverted' END AS reason FROM fi) SELECT claim_id, reason, CASE WHEN reason LIKE '%task_assignment%' THEN 'ASSIGNED_TO' WHEN reason LIKE '%ownership' THEN CASE WHEN reason LIKE '%ambiguous%' THEN 'RELATED_TO' ELSE 'OWNS' END ELSE predicate END AS predicate, CASE WHEN reason LIKE '%inverted' OR reason LIKE '%passive%' THEN object_id ELSE subject_id END AS subject_id, CASE WHEN reason LIKE '%inverted' OR reason LIKE '%passive%' THEN subject_id ELSE object_id END AS object_id FROM x WHERE reason IS NOT NULL", "shape_claims nodes")
 def predicate_shape_repair(t):
-    return H.shape_repair(t.claims, t.nodes)
+    return H.shape_repair(t.shape_claims, t.nodes)
 
 
-@query(f"WITH r AS (SELECT *, round(ln(1 + count(*) OVER (PARTITION BY subject_id)) + least(greatest(date_diff('day', stated_at::DATE, {_NOW}::DATE), 0), 365) * 0.01::DOUBLE, 9) AS score FROM status_claims WHERE scope = 'personal' AND asserted_by_kind <> 'assistant_inferred'), c AS (SELECT *, row_number() OVER (PARTITION BY subject_id ORDER BY score DESC, claim_id) AS n FROM r) SELECT claim_id, subject_id, score FROM c WHERE n <= 5 ORDER BY score DESC, claim_id LIMIT 40", "status_claims")
+@query(f"WITH r AS (SELECT *, round(ln(1 + count(*) OVER (PARTITION BY subject_id)) + least(greatest(date_diff('second', stated_at, {_NOW}) / 86400.0::DOUBLE, 0), 365) * 0.01::DOUBLE, 9) AS score FROM status_claims WHERE scope = 'personal' AND asserted_by_kind <> 'assistant_inferred'), c AS (SELECT *, row_number() OVER (PARTITION BY subject_id ORDER BY score DESC, claim_id) AS n FROM r) SELECT claim_id, subject_id, score FROM c WHERE n <= 5 ORDER BY score DESC, claim_id LIMIT 40", "status_claims")
 def atlas_rank(t):
     return H.atlas_rank(t.status_claims, _now())
 

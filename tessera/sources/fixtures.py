@@ -55,10 +55,18 @@ TABLES = {
     "redirects": "SELECT 'X' || CAST(p_partkey AS STRING) AS from_id, 'X' || CAST(p_partkey - 1 AS STRING) AS to_id FROM {part} WHERE p_partkey % 10 = 9",
     "observations": "SELECT event_id AS observation_id, event_type AS metric, 'u' || CAST(user_id % 5 AS STRING) AS user_id, value, ts AS occurred_at FROM {events}",
     "definitions": "SELECT DISTINCT event_type AS metric, upper(event_type) AS label, CASE WHEN event_type < 'm' THEN 'avg' ELSE 'sum' END AS aggregation_hint, CAST(0 AS DOUBLE) AS valid_min, CAST(400 AS DOUBLE) AS valid_max, event_type > 's' AS needs_review FROM {events}",
-    "node_vectors": "SELECT 'X' || CAST(vec_id AS STRING) AS node_id, embedding, label FROM {embeddings}",
+    "node_vectors": "SELECT 'X' || CAST(vec_id AS STRING) AS node_id, 'u' || CAST(vec_id % 5 AS STRING) AS user_id, embedding, label FROM {embeddings}",
+    "person_vectors": "SELECT 'C' || CAST(vec_id AS STRING) AS node_id, 'u' || CAST(vec_id % 5 AS STRING) AS user_id, embedding, label FROM {embeddings}",
     "turns": "SELECT 'conv-' || CAST(conv_id AS STRING) AS conversation_id, conv_id, turn, role, text FROM {conversations}",
 }
 _CLAIM_PARTS = ("status_claims", "task_claims", "owner_claims", "due_claims", "use_claims", "place_claims")
+#: Claims of every predicate that the registry of shapes knows, most of them of a wrong shape.
+_EVERY = ("PARTICIPATED_IN", "OCCURRED_AT", "OCCURRED_ON", "RECORDED_ON", "INVOLVED_ITEM", "EXHIBITED_EMOTION", "TAGGED_WITH", "ASSIGNED_TO", "DUE_ON", "PRECEDES", "FOLLOWS", "WORKS_AT", "FOUNDED", "CREATED", "LOCATED_IN", "PART_OF", "USES", "OWNS", "AFFILIATED_WITH", "RELATED_TO", "OWNED_BY", "HAS_STATUS")
+_ANY = "CASE {0} % 22 " + " ".join(f"WHEN {i} THEN '{p}'" for i, p in enumerate(_EVERY)) + " END AS predicate"
+TABLES["shape_claims"] = " UNION ALL ".join(
+    f"SELECT '{letter}' || CAST(o_orderkey AS STRING) AS claim_id, {subject} AS subject_id, {target} AS object_id, CAST(NULL AS STRING) AS object_value, {_ANY.format(key)}, 'active' AS status FROM {{orders}}"
+    for letter, subject, target, key in (("a", _TASK, _CUST, "o_orderkey"), ("b", _CUST, _TASK, "(o_orderkey + 1)"), ("c", _CUST, "'N' || CAST(o_custkey % 25 AS STRING)", "(o_orderkey + 2)"), ("d", "'N' || CAST(o_custkey % 25 AS STRING)", _CUST, "(o_orderkey + 3)"), ("e", "'X' || CAST(o_orderkey % 200 AS STRING)", "'O' || CAST(o_orderkey % 10 AS STRING)", "(o_orderkey + 4)"))
+)
 TABLES["claims"] = " UNION ALL ".join(f"({TABLES[p]})" for p in _CLAIM_PARTS)
 
 

@@ -15,10 +15,11 @@ FEEDS_ATLAS = ("HAS_STATUS", "HAS_PREFERENCE", "HAS_GOAL")
 FORCE_REFRESH = ("HAS_STATUS", "HAS_TASK_STATUS")
 STRUCTURAL_TYPES = ("Temporal", "Atlas", "AssistantDream")
 OPEN_STATUSES = ("pending", "in_progress")
-#: Spellings of task states, normalised (lower case, blanks and dashes as underscores).
+#: Spellings of task states, normalised (lower case, blanks and dashes as underscores), beside the states themselves.
 TASK_STATUS = {
-    "pending": "pending", "todo": "pending", "to_do": "pending", "open": "pending", "not_started": "pending", "planned": "pending", "in_progress": "in_progress", "started": "in_progress", "active": "in_progress",
-    "ongoing": "in_progress", "doing": "in_progress", "done": "done", "completed": "done", "complete": "done", "finished": "done", "closed": "done", "abandoned": "abandoned", "cancelled": "abandoned", "canceled": "abandoned", "dropped": "abandoned",
+    "pending": "pending", "in_progress": "in_progress", "done": "done", "abandoned": "abandoned",
+    "completed": "done", "complete": "done", "finished": "done", "cancelled": "abandoned", "canceled": "abandoned", "dropped": "abandoned", "failed": "abandoned",
+    "todo": "pending", "to_do": "pending", "not_started": "pending", "doing": "in_progress", "started": "in_progress", "wip": "in_progress",
 }
 
 
