@@ -50,51 +50,51 @@ class Phrases:
     """An Aho-Corasick automaton over the words of passages that finds all their windows of ``width`` words in a text.
 
     The automaton holds the pieces of half a window that a passage falls into: every window has one of them inside, so that the automaton has a node a word and not one
-    for each word of each window. Where a text hits a piece, the passage is compared with the text to both sides, word by word.
+    for each word of each window. The windows around a piece that a text hits are looked up word by word, each with its smallest owner.
     """
 
     def __init__(self, passages: list[tuple[bytes, int]], width: int):
         import ahocorasick
 
         self.number: dict[bytes, int] = {}
+        self.owner: dict[tuple[int, ...], int] = {}
         self.width, self.piece = width, (width + 1) // 2
-        self.automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
-        number = self.number
+        self.automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
+        number, owners, piece = self.number, self.owner, self.piece
         for passage, owner in passages:
             words = tuple([number.setdefault(w, len(number) + 1) for w in passage.split(b" ")])
-            for at in range(0, len(words) - self.piece + 1, self.piece):
-                piece = words[at : at + self.piece]
-                have = self.automaton.get(piece, None)
-                if have is None:
-                    self.automaton.add_word(piece, [(words, at, owner)])
-                else:
-                    have.append((words, at, owner))
-        if len(self.automaton):
+            for at in range(0, len(words) - piece + 1, piece):
+                self.automaton.add_word(words[at : at + piece], 1)
+            for at in range(len(words) - width + 1):
+                window = words[at : at + width]
+                if owners.get(window, owner) >= owner:
+                    owners[window] = owner
+        if owners:
             self.automaton.make_automaton()
 
-    def occurrences(self, text: bytes) -> list[tuple[int, int, int]]:
-        """(first window, end, owner) of every run of windows in a text that a passage has."""
-        if not len(self.automaton):
-            return []
-        get, width = self.number.get, self.width
+    def earlier(self, text: bytes, than: int) -> tuple[int, int]:
+        """(how many windows a text has, a bit for each that has an owner smaller than ``than``)."""
+        get, width, owner = self.number.get, self.width, self.owner.get
         words = tuple([get(w, 0) for w in text.split(b" ")])
-        out, n = [], len(words)
-        for last, hits in self.automaton.iter(words):
-            for passage, at, owner in hits:
-                lo, left = last - self.piece + 1, at
-                while lo > 0 and left > 0 and words[lo - 1] == passage[left - 1]:
-                    lo, left = lo - 1, left - 1
-                hi, right, most = last + 1, at + self.piece, len(passage)
-                while hi < n and right < most and words[hi] == passage[right]:
-                    hi, right = hi + 1, right + 1
-                if hi - lo >= width:
-                    out.append((lo, hi - width + 1, owner))
-        return out
+        n = len(words) - width + 1
+        bits, done = 0, 0
+        if self.owner:
+            for last, _ in self.automaton.iter(words):
+                for at in range(max(done, last - width + 1), min(last - self.piece + 2, n)):
+                    if owner(words[at : at + width], than) < than:
+                        bits |= 1 << at
+                done = max(done, last - self.piece + 2)
+        return n, bits
+
+
+def packed(n: int, bits: int) -> bytes:
+    """The bits of n windows; nothing if all are set."""
+    return b"" if bits == (1 << n) - 1 else bits.to_bytes((n + 7) // 8, "little")
 
 
 def streamed(rows: DataFrame, width: int) -> DataFrame:
     """Rows (shard, sub, kind, owner, row, first, content): of a shard and sub first its passages (kind 0, with owner), which are compiled, then stretches of documents (kind 1,
-    owner is the document's), which stream through. Gives (_row, first, bits): windows of a stretch that start in a document of smaller id."""
+    owner is the document's), which stream through. Gives (_row, first, windows, bits): the windows of a stretch that start in a document of smaller id (see packed)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         at, passages, phrases = None, [], None
@@ -108,16 +108,13 @@ def streamed(rows: DataFrame, width: int) -> DataFrame:
                     continue
                 if phrases is None:
                     phrases = Phrases(passages, width)
-                bits = 0
-                for i, end, o in phrases.occurrences(content):
-                    if o < owner:
-                        bits |= (1 << end) - (1 << i)
+                n, bits = phrases.earlier(content, owner)
                 if bits:
-                    out.append((row, first, bits.to_bytes((bits.bit_length() + 7) // 8, "little")))
-            yield pd.DataFrame(out, columns=["_row", "first", "bits"])
+                    out.append((row, first, n, packed(n, bits)))
+            yield pd.DataFrame(out, columns=["_row", "first", "windows", "bits"])
 
     dealt = rows.repartition("shard", "sub").sortWithinPartitions("shard", "sub", "kind")
-    return dealt.mapInPandas(run, "_row long, first long, bits binary")
+    return dealt.mapInPandas(run, "_row long, first long, windows int, bits binary")
 
 
 def remove_phrases(spark: SparkSession, docs: DataFrame, width: int = 13, gram: int = 6, shard_bytes: int = 1_000_000, crowd_bytes: int = 2_000_000, stream_bytes: int = 8_000_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -176,15 +173,16 @@ def remove_phrases(spark: SparkSession, docs: DataFrame, width: int = 13, gram:
     flags = streamed(compiled.unionByName(streams), width)
     if any_crowded:
         flags = flags.unionByName(crowded_flags(work, segments.join(hot, "seed", "left_semi"), crowded, width))
-    answers = work.save(flags.groupBy("_row").agg(F.collect_list(F.struct("first", "bits")).alias("found")), "answers")
+    lists = [F.collect_list(c).alias(n) for c, n in (("first", "at"), ("windows", "n"), ("bits", "bits"))]
+    answers = work.save(flags.groupBy("_row").agg(*lists), "answers")
     work.drop("segments", "distinct", "passages")
 
     def strip(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out = []
-            for key, text, own, found in zip(*(b[c] for c in ("_key", "_text", "_own", "found")), strict=True):
+            for key, text, own, at, n, bits in zip(*(b[c] for c in ("_key", "_text", "_own", "at", "n", "bits")), strict=True):
                 words = text.encode().split()
-                gone = covered([x["first"] for x in found], [0] * len(found), [x["bits"] for x in found], width, len(words), "little") if found is not None else np.zeros(len(words), dtype=bool)
+                gone = covered(at, n, bits, width, len(words), "little") if at is not None else np.zeros(len(words), dtype=bool)
                 out += [(key, b" ".join([w for w, g in zip(words, gone.tolist(), strict=True) if not g]).decode(), len(words), int(gone.sum()))] * own
             yield pd.DataFrame(out, columns=["_id", "text", "n_words", "n_removed"])
 
@@ -198,7 +196,7 @@ def remove_phrases(spark: SparkSession, docs: DataFrame, width: int = 13, gram:
 
 
 def crowded_flags(work: Workspace, segments: DataFrame, crowded: DataFrame, width: int) -> DataFrame:
-    """(_row, first, bits) of the stretches around crowded anchors."""
+    """(_row, first, windows, bits) of the stretches around crowded anchors."""
     found = first_by_window(work, crowded, lambda c: spaced_windows(c, width))
     found = work.save(named(crowded).select("sid", "seed", "segment", "segment2", "owner", "windows").join(found, "sid", "left").drop("sid"), "crowded_found")
 
@@ -209,8 +207,8 @@ def crowded_flags(work: Workspace, segments: DataFrame, crowded: DataFrame, widt
                 earlier = np.full(n, owner < key)
                 for x in found if found is not None else ():
                     earlier[x["i"] : x["i"] + x["n"]] = x["o"] < key
-                out.append(np.packbits(earlier, bitorder="little").tobytes() if earlier.any() else None)
-            yield b[["_row", "first"]].assign(bits=out).dropna()
+                out.append((b"" if earlier.all() else np.packbits(earlier, bitorder="little").tobytes()) if earlier.any() else None)
+            yield b[["_row", "first", "windows"]].assign(bits=out).dropna()
 
     every = named(segments.select("_row", "_key", "first", "seed", "content")).join(found, ["seed", "segment", "segment2"])
-    return every.select("_row", "_key", "first", "owner", "windows", "found").mapInPandas(flag, "_row long, first long, bits binary")
+    return every.select("_row", "_key", "first", "owner", "windows", "found").mapInPandas(flag, "_row long, first long, windows int, bits binary")
