@@ -1,6 +1,6 @@
 """Queries that show the operators on the star schema."""
 
-from . import claims, commitments, graph, metrics, rollup, search  # noqa: F401
+from . import claims, commitments, graph, metrics, more, rollup, search  # noqa: F401
 from .registry import QUERIES as ALL_QUERIES
 from .registry import SQL as ALL_SQL
 
