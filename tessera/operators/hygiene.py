@@ -45,7 +45,7 @@ SHAPES = {
 
 def orphans(nodes: DataFrame, claims: DataFrame, aliases: DataFrame, before: Column | None = None) -> DataFrame:
     """Nodes that no claim touches or speaks for and that have no alias."""
-    used = endpoints(claims, speakers=True).select("node_id").union(aliases.select("node_id"))
+    used = endpoints(claims, speakers=True).select("node_id").union(aliases.select("node_id")).distinct()  # each task names a node once, before the shuffle
     out = nodes.join(used, "node_id", "left_anti")
     return out if before is None else out.where(F.col("created_at") < before)
 

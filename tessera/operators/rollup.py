@@ -28,18 +28,22 @@ def work_set(days: DataFrame, pending: DataFrame, today: Column, start: str | No
 
 
 def day_texts(entries: DataFrame, entry_cap: int = ENTRY_CAP, day_cap: int = DAY_CAP) -> DataFrame:
-    """Text of each day (day, at, id, text): its newest entries in time order, as many as fit; how many older ones were left out.
+    """Text of each day from its entries (day, at, id, node_type, label, description): the day, then one line an entry in time order, its newest entries as many as fit,
+    after a line that says how many older ones were left out. Entries without label and description are left out, and a day without others has no text.
 
     Lengths are positive, so a running sum from the newest entry on says where to stop.
     """
-    rows = entries.withColumn("line", F.concat(F.lit("- "), truncate(F.col("text"), entry_cap)))
+    rows = entries.where(F.col("label").isNotNull() | F.col("description").isNotNull())
+    said = F.when(F.coalesce("description", F.lit("")) != "", F.concat(F.lit(": "), "description")).otherwise("")
+    line = F.concat(F.lit("- ["), "node_type", F.lit("] "), F.coalesce("label", F.lit("(unlabeled)")), said)
+    rows = rows.withColumn("line", truncate(line, entry_cap))
     newest = W.partitionBy("day").orderBy(F.desc("at"), F.desc("id")).rowsBetween(W.unboundedPreceding, W.currentRow)
     rows = rows.withColumn("_sum", F.sum(F.length("line") + 1).over(newest))
     fits = F.col("_sum") <= day_cap
     kept = F.transform(F.array_sort(F.collect_list(F.when(fits, F.struct("at", "id", "line")))), lambda x: x["line"])
     out = rows.groupBy("day").agg(kept.alias("_lines"), F.count_if(~fits).alias("omitted"))
-    head = F.when(F.col("omitted") > 0, F.concat(F.lit("("), F.col("omitted").cast("string"), F.lit(" older omitted)\n"))).otherwise("")
-    return out.select("day", F.concat(head, F.array_join("_lines", "\n")).alias("text"), "omitted")
+    older = F.when(F.col("omitted") > 0, F.array(F.concat(F.lit("("), F.col("omitted").cast("string"), F.lit(" older entries omitted for length)")))).otherwise(F.array().cast("array<string>"))
+    return out.select("day", F.array_join(F.concat(F.array(F.concat(F.lit("Day: "), "day")), older, "_lines"), "\n").alias("text"), "omitted")
 
 
 def parent_texts(summaries: DataFrame, kind: str) -> DataFrame:

@@ -36,11 +36,17 @@ def rollup_work_set(t):
     return U.work_set(U.touched_days(_days(t), F.lit("2001-07-01 00:00:00").cast("timestamp_ntz")), pending, F.to_date(F.lit("2001-07-20")))
 
 
-_ENTRIES = "en AS (SELECT strftime(o_orderdate, '%Y-%m') AS day, o_orderdate AS at, o_orderkey AS id, '- Order ' || o_orderkey || ' ' || o_orderpriority AS line FROM orders), s AS (SELECT *, sum(length(line) + 1) OVER (PARTITION BY day ORDER BY at DESC, id DESC ROWS UNBOUNDED PRECEDING) AS n FROM en), d AS (SELECT day, CASE WHEN count(*) FILTER (WHERE n > 2000) > 0 THEN '(' || count(*) FILTER (WHERE n > 2000) || ' older omitted)' || chr(10) ELSE '' END || string_agg(line, chr(10) ORDER BY at, id) FILTER (WHERE n <= 2000) AS text, count(*) FILTER (WHERE n > 2000) AS omitted FROM s GROUP BY day)"
+_ENTRIES = (
+    "en AS (SELECT strftime(o_orderdate, '%Y-%m') AS day, o_orderdate AS at, o_orderkey AS id, CASE WHEN o_orderkey % 3 <> 0 THEN 'Order ' || o_orderkey END AS label, CASE WHEN o_orderkey % 5 = 1 THEN repeat('long ', 130) WHEN o_orderkey % 2 = 0 THEN o_orderpriority END AS said FROM orders), "
+    "ln AS (SELECT *, '- [Task] ' || coalesce(label, '(unlabeled)') || coalesce(': ' || said, '') AS whole FROM en WHERE label IS NOT NULL OR said IS NOT NULL), cu AS (SELECT *, CASE WHEN length(whole) <= 600 THEN whole ELSE substr(whole, 1, 599) || '…' END AS line FROM ln), "
+    "s AS (SELECT *, sum(length(line) + 1) OVER (PARTITION BY day ORDER BY at DESC, id DESC ROWS UNBOUNDED PRECEDING) AS n FROM cu), d AS (SELECT day, 'Day: ' || day || CASE WHEN count(*) FILTER (WHERE n > 2000) > 0 THEN chr(10) || '(' || count(*) FILTER (WHERE n > 2000) || ' older entries omitted for length)' ELSE '' END || chr(10) || string_agg(line, chr(10) ORDER BY at, id) FILTER (WHERE n <= 2000) AS text, count(*) FILTER (WHERE n > 2000) AS omitted FROM s GROUP BY day)"
+)
 
 
 def _texts(t):
-    entries = t.orders.select(P.month_key(F.col("o_orderdate")).alias("day"), F.col("o_orderdate").alias("at"), F.col("o_orderkey").alias("id"), F.concat(F.lit("Order "), "o_orderkey", F.lit(" "), "o_orderpriority").alias("text"))
+    key = F.col("o_orderkey")
+    label, said = F.when(key % 3 != 0, F.concat(F.lit("Order "), key.cast("string"))), F.when(key % 5 == 1, F.repeat(F.lit("long "), F.lit(130))).when(key % 2 == 0, F.col("o_orderpriority"))
+    entries = t.orders.select(P.month_key(F.col("o_orderdate")).alias("day"), F.col("o_orderdate").alias("at"), key.alias("id"), F.lit("Task").alias("node_type"), label.alias("label"), said.alias("description"))
     return U.day_texts(entries, day_cap=2000)
 
 
@@ -99,9 +105,9 @@ def chunk_markdown(t):
     return N.chunks(t.documents)
 
 
-@query("SELECT doc_id, regexp_replace(regexp_replace(lower(substr(text, 1, 60)), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS slug, CASE WHEN length(text) <= 20 THEN text ELSE substr(text, 1, 19) || '…' END AS short FROM documents")
+@query("SELECT doc_id, regexp_replace(regexp_replace(lower(text), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS slug, CASE WHEN length(text) <= 20 THEN text ELSE substr(text, 1, 19) || '…' END AS short FROM documents")
 def text_functions(t):
-    return t.documents.select("doc_id", X.slugify(F.col("text").substr(1, 60)).alias("slug"), X.truncate(F.col("text"), 20).alias("short"))
+    return t.documents.select("doc_id", X.slugify(F.col("text")).alias("slug"), X.truncate(F.col("text"), 20).alias("short"))
 
 
 @query("SELECT source_id, coalesce(json_extract_string(metadata, '$.title'), json_extract_string(metadata, '$.filename')) AS title FROM source_rows", "source_rows")

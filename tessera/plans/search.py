@@ -49,7 +49,7 @@ def trigram_match(t):
 
 @query()
 def lexical_search(t):
-    return R.lexical(t.documents, "text", 'tion OR ando "of the" -zzz', 50, "doc_id").select("doc_id", "score", R.highlight(F.col("lang"), "en").alias("lang"))
+    return R.lexical(t.documents, "text", 'tion OR ando "of the" -zzz', 50, "doc_id").select("doc_id", "score", F.regexp_count(R.highlight(F.col("text"), "tion OR ando"), F.lit("<mark>")).alias("marks"))
 
 
 @query()

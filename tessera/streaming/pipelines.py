@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -58,8 +59,16 @@ def current(spark: SparkSession, state_path: str, before: int | None = None) ->
     return spark.read.parquet(f"{state_path}/{found[-1]}") if found else None
 
 
-def run_to_table(df: DataFrame, name: str, mode: str = "complete", configure: Callable | None = None) -> DataFrame:
-    """Runs a stream over all that is there into an in-memory table; for tests and demonstrations."""
-    q = df.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
+def run_to_table(df: DataFrame, name: str, mode: str = "complete") -> DataFrame:
+    """Runs a stream over all that is there. Each batch of a complete stream replaces the table under the shared folder, so that the result never passes the driver."""
+    spark = df.sparkSession
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = tempfile.mkdtemp(prefix="tessera-")
+    path = f"{root}/{name}-{uuid.uuid4().hex}"
+    write = "overwrite" if mode == "complete" else "append"
+    q = df.writeStream.foreachBatch(lambda batch, _: batch.write.mode(write).parquet(f"{path}/rows")).option("checkpointLocation", f"{path}/checkpoint").outputMode(mode).trigger(availableNow=True).start()
     q.awaitTermination()
-    return df.sparkSession.table(name)
+    return spark.read.schema(df.schema).parquet(f"{path}/rows")
