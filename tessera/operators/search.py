@@ -141,3 +141,42 @@ def embedding_text(kind: str, *parts: Column) -> Column:
         predicate, statement, status, stated = parts
         return F.concat_ws(" ", predicate, statement, F.concat(F.lit("status="), status), F.concat(F.lit("statedAt="), stated))
     return F.concat_ws("\n" if kind == "metric" else ": ", *parts)
+
+
+def explicit_search(nodes: DataFrame, node_vectors: DataFrame, claims: DataFrame, claim_vectors: DataFrame, sources: DataFrame, query_vector: list[float], query: str, limit: int, types: tuple[str, ...] = (), stated: tuple[Column, Column] | None = None, scope: str = "personal") -> DataFrame:
+    """Hits of four legs, nodes and claims each by vector and by words, of max(2 * limit, 20) rows a leg: kind, node_id, claim_id, text, highlight, score, source_id, title.
+
+    Each kind fuses its two legs by reciprocal ranks; hits of both go in order of score, node and claim. Claims are active ones of the scope; ``types`` keeps nodes of some types, ``stated``
+    claims of a time. Claims bring the title of their source, nodes have many and bring none.
+    """
+    leg = max(2 * limit, 20)
+    shown = nodes.where(F.col("label").isNotNull())
+    shown = shown.where(F.col("node_type").isin(*types)) if types else shown
+    said = claims.where((F.col("status") == "active") & (F.col("scope") == scope))
+    said = said.where((F.col("stated_at") >= stated[0]) & (F.col("stated_at") <= stated[1])) if stated else said
+
+    def fused(rows: DataFrame, vectors: DataFrame, id_col: str, text_col: str) -> DataFrame:
+        near = vector_topk(vectors.select(id_col, "embedding").join(rows.select(id_col), id_col, "left_semi"), query_vector, leg, id_col=id_col)
+        words = lexical(rows, text_col, query, leg, id_col)
+        found = fuse([ranked(near, "similarity", id_col).select(id_col, "rank"), ranked(words, "score", id_col).select(id_col, "rank")], id_col)
+        return found.join(rows, id_col).join(words.select(id_col, F.lit(True).alias("_word")), id_col, "left").withColumn("highlight", F.when(F.col("_word"), highlight(F.col(text_col), query)).otherwise(F.col(text_col)))
+
+    none = F.lit(None).cast("string")
+    n = fused(shown, node_vectors, "node_id", "label").select(F.lit("node").alias("kind"), "node_id", none.alias("claim_id"), F.col("label").alias("text"), "highlight", "score", none.alias("source_id"), none.alias("title"))
+    c = fused(said, claim_vectors, "claim_id", "statement").join(sources.select("source_id", F.coalesce(F.get_json_object("metadata", "$.title"), "external_id").alias("title")), "source_id", "left")
+    c = c.select(F.lit("claim").alias("kind"), F.col("subject_id").alias("node_id"), "claim_id", F.col("statement").alias("text"), "highlight", "score", "source_id", "title")
+    return n.unionByName(c).orderBy(F.desc("score"), "node_id", F.col("claim_id").asc_nulls_first()).limit(limit)
+
+
+def memory_search(nodes: DataFrame, node_vectors: DataFrame, claims: DataFrame, claim_vectors: DataFrame, query_vector: list[float], limit: int, least: float = SEARCH_LEAST) -> DataFrame:
+    """Nodes and active claims of at least ``least`` similarity, ``limit`` of each, and the nodes one step from any of them: kind, id, similarity (null for neighbours)."""
+    active = claims.where("status = 'active'")
+    n = vector_topk(node_vectors.select("node_id", "embedding"), query_vector, limit, least).select(F.lit("node").alias("kind"), F.col("node_id").alias("id"), "similarity")
+    c = vector_topk(claim_vectors.select("claim_id", "embedding").join(active.select("claim_id"), "claim_id", "left_semi"), query_vector, limit, least, "claim_id")
+    ends = endpoints(active.join(c.select("claim_id"), "claim_id", "left_semi")).select("node_id").union(n.select(F.col("id").alias("node_id"))).distinct()
+    edges = active.where(F.col("object_id").isNotNull())
+    step = edges.select(F.col("subject_id").alias("node_id"), F.col("object_id").alias("id")).union(edges.select(F.col("object_id").alias("node_id"), F.col("subject_id").alias("id")))
+    near = step.join(ends, "node_id", "left_semi").select("id").distinct().join(ends.withColumnRenamed("node_id", "id"), "id", "left_anti")
+    near = near.join(nodes.select(F.col("node_id").alias("id")), "id", "left_semi")
+    hits = n.unionByName(c.select(F.lit("claim").alias("kind"), F.col("claim_id").alias("id"), "similarity"))
+    return hits.unionByName(near.select(F.lit("neighbour").alias("kind"), "id", F.lit(None).cast("double").alias("similarity")))

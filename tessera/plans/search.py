@@ -200,3 +200,17 @@ def scope_flags(t):
     nodes = t.place_claims.select(F.col("subject_id").alias("node_id")).distinct()
     none = t.source_links.where("1 = 0")
     return effective_scope(nodes, t.place_claims.withColumn("object_id", F.lit(None).cast("string")), none, t.source_rows).groupBy(F.col("effective_scope").alias("effective")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def _statement_vectors(t):
+    return t.embeddings.select(F.concat(F.lit("S"), F.col("vec_id").cast("string")).alias("claim_id"), "embedding")
+
+
+@query()
+def explicit_search(t):
+    return R.explicit_search(t.nodes, t.node_vectors, t.claims, _statement_vectors(t), t.source_rows, _Q, "steel", 10, types=("Object",))
+
+
+@query(f"WITH act AS (SELECT * FROM claims WHERE status = 'active'), n AS (SELECT node_id AS id, {_SIM} AS similarity FROM node_vectors WHERE {_SIM} >= 0.1 ORDER BY similarity DESC, id LIMIT 8), v AS (SELECT 'S' || vec_id AS node_id, embedding FROM embeddings), c AS (SELECT node_id AS id, {_SIM} AS similarity FROM v WHERE node_id IN (SELECT claim_id FROM act) AND {_SIM} >= 0.1 ORDER BY similarity DESC, id LIMIT 8), e AS (SELECT subject_id AS id FROM act WHERE claim_id IN (SELECT id FROM c) UNION SELECT object_id FROM act WHERE claim_id IN (SELECT id FROM c) AND object_id IS NOT NULL UNION SELECT id FROM n), h AS (SELECT object_id AS id FROM act WHERE object_id IS NOT NULL AND subject_id IN (SELECT id FROM e) UNION SELECT subject_id FROM act WHERE object_id IN (SELECT id FROM e)) SELECT 'node' AS kind, id, similarity FROM n UNION ALL SELECT 'claim', id, similarity FROM c UNION ALL SELECT 'neighbour', id, NULL FROM h WHERE id NOT IN (SELECT id FROM e) AND id IN (SELECT node_id FROM nodes)", "claims nodes node_vectors")
+def memory_search(t):
+    return R.memory_search(t.nodes, t.node_vectors, t.claims, _statement_vectors(t), _Q, 8, 0.1)
