@@ -182,7 +182,7 @@ def remove_phrases(spark: SparkSession, docs: DataFrame, width: int = 13, gram:
             out = []
             for key, text, own, at, n, bits in zip(*(b[c] for c in ("_key", "_text", "_own", "at", "n", "bits")), strict=True):
                 words = text.encode().split()
-                gone = covered(at, n, bits, width, len(words), "little") if at is not None else np.zeros(len(words), dtype=bool)
+                gone = covered(at, n, bits, width, len(words)) if at is not None else np.zeros(len(words), dtype=bool)
                 out += [(key, b" ".join([w for w, g in zip(words, gone.tolist(), strict=True) if not g]).decode(), len(words), int(gone.sum()))] * own
             yield pd.DataFrame(out, columns=["_id", "text", "n_words", "n_removed"])
 
@@ -200,15 +200,9 @@ def crowded_flags(work: Workspace, segments: DataFrame, crowded: DataFrame, widt
     found = first_by_window(work, crowded, lambda c: spaced_windows(c, width))
     found = work.save(named(crowded).select("sid", "seed", "segment", "segment2", "owner", "windows").join(found, "sid", "left").drop("sid"), "crowded_found")
 
-    def flag(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            out = []
-            for key, owner, n, found in zip(*(b[c] for c in ("_key", "owner", "windows", "found")), strict=True):
-                earlier = np.full(n, owner < key)
-                for x in found if found is not None else ():
-                    earlier[x["i"] : x["i"] + x["n"]] = x["o"] < key
-                out.append((b"" if earlier.all() else np.packbits(earlier, bitorder="little").tobytes()) if earlier.any() else None)
-            yield b[["_row", "first", "windows"]].assign(bits=out).dropna()
-
-    every = named(segments.select("_row", "_key", "first", "seed", "content")).join(found, ["seed", "segment", "segment2"])
-    return every.select("_row", "_key", "first", "owner", "windows", "found").mapInPandas(flag, "_row long, first long, windows int, bits binary")
+    every = named(segments.select("_row", "_key", "first", "seed", "content")).join(found.hint("shuffle_hash"), ["seed", "segment", "segment2"])
+    whole = F.col("owner") < F.col("_key")
+    rest = every.where(~whole & F.col("found").isNotNull()).withColumn("run", F.explode("found")).where(F.col("run.o") < F.col("_key"))
+    none = F.lit(bytearray()).alias("bits")
+    runs = rest.select("_row", (F.col("first") + F.col("run.i")).alias("first"), F.col("run.n").alias("windows"), none)
+    return every.where(whole).select("_row", "first", "windows", none).unionByName(runs)

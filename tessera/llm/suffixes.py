@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Workspace
-from .windows import _BYTES, LAST, Spec, candidate_segments, covered, distinct_segments, distinct_texts, first_by_window, named, runs_of, spans
+from .windows import _BYTES, LAST, Spec, candidate_segments, covered, distinct_segments, distinct_texts, first_by_window, flagged_runs, named, runs_of, spans
 
 #: Bytes of segments that a task hashes at a time.
 CHUNK = 1 << 20
@@ -234,31 +234,16 @@ def remove_substrings(spark: SparkSession, docs: DataFrame, width: int = 100, gr
     located = named(distinct).select("sid", "seed", "segment", "segment2", "owner", "start", "windows", "again").join(found, "sid", "left").where("again OR found IS NOT NULL")
     located = work.save(located.drop("sid", "again"), "located")
 
-    def flag(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            out = []
-            for key, first, owner, start, n, found in zip(*(b[c] for c in ("_key", "first", "owner", "start", "windows", "found")), strict=True):
-                earlier = np.full(n, (owner, start) < (key, first))
-                for x in found:
-                    i, m = x["i"], x["n"]
-                    earlier[i : i + m] = (x["o"], x["s"]) < (key, first + i)
-                out.append(np.packbits(earlier).tobytes() if earlier.any() else None)
-            yield b[["_row", "first", "windows"]].assign(bits=out).dropna()
-
     every = named(segments.select("_row", "_key", "first", "seed", "content")).join(located.hint("shuffle_hash"), ["seed", "segment", "segment2"])
-    earlier = F.struct("owner", "start") < F.struct("_key", "first")
-    whole = every.where(F.col("found").isNull() & earlier).select("_row", "first", "windows", F.lit(None).cast("binary").alias("bits"))
-    parts = every.where("found IS NOT NULL").select("_row", "_key", "first", "owner", "start", "windows", "found").mapInPandas(flag, "_row long, first long, windows int, bits binary")
-    lists = [F.collect_list(c).alias(n) for c, n in (("first", "at"), ("windows", "n"), (F.coalesce("bits", F.lit(bytearray())), "bits"))]
-    answers = work.save(whole.unionByName(parts).groupBy("_row").agg(*lists), "answers")
+    answers = work.save(flagged_runs(every, F.struct("owner", "start") < F.struct("_key", "first"), F.struct("run.o", "run.s") < F.struct("_key", "at")), "answers")
     work.drop("segments", "distinct", "trimmed", "late", "found", "located")
 
     def strip(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out = []
-            for key, text, own, at, n, bits in zip(*(b[c] for c in ("_key", "_text", "_own", "at", "n", "bits")), strict=True):
+            for key, text, own, at, n in zip(*(b[c] for c in ("_key", "_text", "_own", "at", "n")), strict=True):
                 raw = np.frombuffer(text.encode(), dtype=np.uint8)
-                gone = covered(at, n, bits, width, len(raw)) if at is not None else np.zeros(len(raw), dtype=bool)
+                gone = covered(at, n, None, width, len(raw)) if at is not None else np.zeros(len(raw), dtype=bool)
                 n = int((gone & ~np.concatenate([[False], gone[:-1]])).sum())
                 out += [(key, raw[~gone].tobytes(), len(raw), n)] * own
             yield pd.DataFrame(out, columns=["_id", "kept", "n_bytes", "n_spans"])

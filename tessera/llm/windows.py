@@ -14,7 +14,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import Workspace
@@ -232,15 +232,29 @@ def first_by_window(work: Workspace, segments: DataFrame, split) -> DataFrame:
     return runs_of(late.select("sid", "i", F.col("e.owner").alias("o"), F.col("e.start").alias("s")))
 
 
-def covered(at: np.ndarray, windows: np.ndarray, bits: list[bytes], width: int, n: int, bitorder: str = "big") -> np.ndarray:
+def flagged_runs(segments: DataFrame, earlier: Column, run_earlier: Column) -> DataFrame:
+    """Per text (_row) the runs of windows that occur earlier, as lists at (first windows) and n, from segments (_row, first, windows, found).
+
+    Where the segment as a whole occurs earlier, all its windows do, since the places in found are earlier still; else those runs of found that lie earlier than here. ``run_earlier`` says
+    so of a run (i, n, o, s) that begins here at ``at``.
+    """
+    whole = segments.where(earlier).select("_row", F.col("first").alias("at"), F.col("windows").alias("n"))
+    rest = segments.where(~earlier & F.col("found").isNotNull()).withColumn("run", F.explode("found")).withColumn("at", F.col("first") + F.col("run.i"))
+    runs = whole.unionByName(rest.where(run_earlier).select("_row", "at", F.col("run.n").alias("n")))
+    return runs.groupBy("_row").agg(F.collect_list("at").alias("at"), F.collect_list("n").alias("n"))
+
+
+def covered(at: np.ndarray, windows: np.ndarray, bits: list[bytes] | None, width: int, n: int) -> np.ndarray:
     """Which of n tokens are covered by flagged windows, given in runs: the first window of each, how many windows it has, and a bit for each, none if all are flagged."""
-    step = np.zeros(n + 1, dtype=np.int64)
-    whole = np.array([not len(x) for x in bits], dtype=bool)
-    begin, end = [np.asarray(at)[whole]], [np.asarray(at)[whole] + np.asarray(windows)[whole]]
-    for a, x in zip(np.asarray(at)[~whole].tolist(), [x for x in bits if len(x)], strict=True):
-        one = a + np.flatnonzero(np.unpackbits(np.frombuffer(x, dtype=np.uint8), bitorder=bitorder))
-        begin.append(one)
-        end.append(one + 1)
+    step, at, windows = np.zeros(n + 1, dtype=np.int64), np.asarray(at, dtype=np.int64), np.asarray(windows, dtype=np.int64)
+    begin, end = [at], [at + windows]
+    if bits is not None:
+        whole = np.array([not len(x) for x in bits], dtype=bool)
+        begin, end = [at[whole]], [at[whole] + windows[whole]]
+        for a, x in zip(at[~whole].tolist(), [x for x in bits if len(x)], strict=True):
+            one = a + np.flatnonzero(np.unpackbits(np.frombuffer(x, dtype=np.uint8), bitorder="little"))
+            begin.append(one)
+            end.append(one + 1)
     np.add.at(step, np.concatenate(begin), 1)
     np.add.at(step, np.concatenate(end) + (width - 1), -1)
     return np.cumsum(step[:n]) > 0
