@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -50,31 +51,48 @@ def conversation_xml(turns: DataFrame) -> DataFrame:
     return turns.groupBy("conversation_id").agg(F.concat(F.lit("<conversation>\n"), body, F.lit("\n</conversation>")).alias("xml"))
 
 
-def pack_sections(text: str | None, most: int = 6000) -> list[str]:
-    """Sections at first- and second-level headings, packed into chunks of at most ``most`` characters; longer sections are cut at empty lines, and longer
-    paragraphs by length. A heading stays with what follows."""
-    parts: list[str] = []
-    for line in (text or "").splitlines(keepends=True):
-        if not parts or line.startswith(("# ", "## ")):
-            parts.append("")
-        parts[-1] += line
-    small: list[str] = []
-    for p in parts:
-        if len(p) <= most:
-            small.append(p)
-            continue
-        for q in p.split("\n\n"):
-            q = q.strip("\n")
-            while q:
-                small.append(q[:most] + "\n\n" if len(q) > most - 2 else q + "\n\n")
-                q = q[most:]
+_TOP_HEADING, _HEADING_ONLY, _BLANK_LINES = re.compile(r"(?m)^(?=#{1,2}\s)"), re.compile(r"#{1,6}\s[^\n]*"), re.compile(r"\n\s*\n+")
+
+
+def filled(units: list[str], most: int) -> list[str]:
+    """Units joined by an empty line, as many as fit into ``most`` characters; one that is longer stands alone."""
     out: list[str] = []
-    for s in small:
-        if out and len(out[-1]) + len(s) <= most and not (s.startswith(("# ", "## ")) and len(out[-1]) > most // 2):
-            out[-1] += s
+    room = -1
+    for unit in units:
+        if len(unit) + 2 <= room:
+            out[-1] += "\n\n" + unit
+            room -= len(unit) + 2
         else:
-            out.append(s)
-    return [o.strip() for o in out if o.strip()]
+            out.append(unit)
+            room = most - len(unit)
+    return out
+
+
+def paragraphs(section: str) -> list[str]:
+    """Paragraphs of a section; one that is only a heading goes with the next."""
+    out: list[str] = []
+    heading = False
+    for p in filter(None, (p.strip() for p in _BLANK_LINES.split(section))):
+        glue, heading = heading, not heading and bool(_HEADING_ONLY.fullmatch(p))
+        if glue:
+            out[-1] += "\n\n" + p
+        else:
+            out.append(p)
+    return out
+
+
+def pack_sections(text: str | None, most: int = 6000) -> list[str]:
+    """Sections at first- and second-level headings, packed into chunks of at most ``most`` characters. A longer section is packed by itself from its paragraphs; a paragraph that is
+    longer still is a chunk of its own and isn't cut."""
+    out: list[str] = []
+    run: list[str] = []
+    for section in filter(None, (s.strip() for s in _TOP_HEADING.split(text or ""))):
+        if len(section) <= most:
+            run.append(section)
+            continue
+        out += filled(run, most) + filled(paragraphs(section), most)
+        run = []
+    return out + filled(run, most)
 
 
 def chunks(docs: DataFrame, most: int = 6000) -> DataFrame:

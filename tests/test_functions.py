@@ -72,7 +72,10 @@ def test_search_syntax(spark):
 def test_chunks_keep_all_words():
     text = "# A\nintro\n\n## B\n" + "word " * 300 + "\n\n## C\nshort\n"
     chunks = N.pack_sections(text, 400)
-    assert max(map(len, chunks)) <= 400 and " ".join(" ".join(chunks).split()).replace(" ", "") == "".join(text.split())
+    assert [c[:4] for c in chunks] == ["# A\n", "## B", "## C"] and len(chunks[1]) == len("## B\n" + "word " * 300) - 1  # no paragraph is cut
+    assert N.pack_sections("# A\n\nx\n\n## B\n\ny\n\n## C\n\nz", 22) == ["# A\n\nx\n\n## B\n\ny", "## C\n\nz"]
+    assert N.pack_sections("## B\n\n" + "p " * 10 + "\n\n### h\n\n" + "q " * 10, 30) == ["## B\n\np p p p p p p p p p", "### h\n\nq q q q q q q q q q"]
+    assert " ".join(" ".join(chunks).split()).replace(" ", "") == "".join(text.split())
     assert N.pack_sections(None) == [] and N.pack_sections("plain") == ["plain"]
 
 
