@@ -58,3 +58,18 @@ def ancestors(day: Column) -> Column:
 def complete(key: Column, today: Column) -> Column:
     """Whether a period lies wholly before a date."""
     return last_day_of(key) < today
+
+
+def local_instant(date: Column, time: Column, zone: Column) -> Column:
+    """The instant (UTC) of a local date and HH:mm in an IANA zone; null unless date, time and zone have the right form."""
+    ok = date.rlike(r"^\d{4}-\d{2}-\d{2}$") & time.rlike(r"^([01]\d|2[0-3]):[0-5]\d$") & zone.rlike(r"^(UTC|[A-Za-z_]+(/[A-Za-z0-9_+-]+)+)$")
+    return F.when(ok, F.to_utc_timestamp(F.try_to_timestamp(F.concat_ws(" ", date, time), F.lit("yyyy-MM-dd HH:mm")), zone))
+
+
+def day_start(date: Column, zone: Column) -> Column:
+    return local_instant(date, F.lit("00:00"), zone)
+
+
+def safe_timestamp(value: Column, now: Column) -> Column:
+    """A time from text, and ``now`` for what isn't one."""
+    return F.coalesce(F.try_to_timestamp(value), now)

@@ -105,3 +105,13 @@ def json_flag(c: Column, key: str) -> Column:
 def stable_id(prefix: str, *parts: Column) -> Column:
     """A reproducible id: prefix and 26 hex digits of a digest."""
     return F.concat(F.lit(f"{prefix}_"), F.sha2(F.concat_ws("\x1f", *parts), 256).substr(1, 26))
+
+
+def locate_verbatim(content: Column, quote: Column, most: int = 240) -> Column:
+    """The words of a quote as they stand in a text, byte for byte: where it occurs as it is, else where it occurs with other white space between its words. Null for blank and
+    longer quotes, and where it isn't found. Case counts."""
+    needle = F.regexp_replace(quote, r"(?U)^\s+|\s+$", "")
+    words = F.transform(F.split(needle, r"(?U)\s+"), lambda w: F.regexp_replace(w, r"([\\^$.|?*+()\[\]{}])", r"\\$1"))
+    loose = F.call_function("regexp_extract", content, F.concat(F.lit("(?U)"), F.array_join(words, r"\s+")), F.lit(0))
+    found = F.when(F.contains(content, needle), needle).when(loose != "", loose)
+    return F.when((needle != "") & (F.length(needle) <= most), found)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.text import json_flag
+from ..functions.text import json_flag, locate_verbatim
 from ..operators import commitments as C
 from ..operators import graph as G
 from ..operators import graph_writes as X
@@ -306,3 +306,19 @@ def rollup_watermark(t):
 def week_days(t):
     weeks = t.orders.select(F.concat(F.expr("extract(YEAROFWEEK FROM o_orderdate)"), F.lit("-W"), F.lpad(F.weekofyear("o_orderdate").cast("string"), 2, "0")).alias("key")).distinct()
     return U.week_days(weeks)
+
+
+@query("WITH d AS (SELECT doc_id, regexp_replace(regexp_replace(substr(text, 5, 30), '^\\s+', ''), '\\s+$', '') AS quote FROM documents WHERE text IS NOT NULL) SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN NULL WHEN quote <> '' THEN regexp_replace(quote, '\\s+', ' ', 'g') END AS found FROM d")
+def verbatim_quotes(t):
+    quote = F.substring("text", 5, 30)
+    asked = F.when(F.col("doc_id") % 3 == 0, F.concat(quote, F.lit("(not there)"))).when(F.col("doc_id") % 3 == 1, F.concat(F.lit(" "), F.regexp_replace(quote, r"\s+", "\n  "))).otherwise(quote)
+    found = locate_verbatim(F.col("text"), asked)
+    return t.documents.where("text IS NOT NULL").select("doc_id", F.regexp_replace(found, r"\s+", " ").alias("found"))
+
+
+@query("SELECT k, CASE WHEN k % 2 = 0 THEN CAST(d AS VARCHAR) ELSE '2000-01-01 00:00:00' END AS at FROM (SELECT o_orderkey AS k, o_orderdate AS d FROM orders)")
+def safe_dates(t):
+    from ..functions.period import safe_timestamp
+
+    text = F.when(F.col("o_orderkey") % 2 == 0, F.col("o_orderdate").cast("string")).otherwise("not a date")
+    return t.orders.select(F.col("o_orderkey").alias("k"), safe_timestamp(text, F.lit("2000-01-01 00:00:00").cast("timestamp")).alias("at"))

@@ -106,3 +106,18 @@ def test_stream_equals_batch(spark, tmp_path):
         q.awaitTermination()
     whole = apply_lifecycle(frame(spark, rows))
     assert sorted(current(spark, state).select(*whole.columns).collect()) == sorted(whole.collect())
+
+
+def test_local_instants(spark):
+    from datetime import datetime
+    from zoneinfo import ZoneInfo
+
+    from tessera.functions.period import day_start, local_instant
+
+    rows = [("2024-07-01", "09:30", "Europe/Oslo"), ("2024-01-15", "23:59", "America/New_York"), ("2024-03-31", "12:00", "Asia/Tokyo"), ("2024-01-01", "24:00", "UTC"), ("x", "09:30", "UTC"), ("2024-01-01", "09:30", "nowhere")]
+    df = spark.createDataFrame(rows, "d string, t string, z string").select("*", F.date_format(local_instant(F.col("d"), F.col("t"), F.col("z")), "yyyy-MM-dd HH:mm").alias("i"), F.date_format(day_start(F.col("d"), F.col("z")), "yyyy-MM-dd HH:mm").alias("s"))
+    got = {(r.d, r.t, r.z): (r.i, r.s) for r in df.collect()}
+    for d, t, z in rows[:3]:
+        utc = lambda x, z=z: datetime.fromisoformat(x).replace(tzinfo=ZoneInfo(z)).astimezone(ZoneInfo("UTC")).strftime("%Y-%m-%d %H:%M")
+        assert got[d, t, z] == (utc(f"{d} {t}"), utc(f"{d} 00:00"))
+    assert all(got[r][0] is None for r in rows[3:])
