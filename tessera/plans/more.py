@@ -71,9 +71,9 @@ def json_flags(t):
     return t.events.select("event_id", json_flag(meta, "hidden").alias("flagged"))
 
 
-@query("SELECT user_id, 'manual' AS type, user_id || '/manual' AS ref FROM (SELECT DISTINCT user_id FROM nodes) WHERE user_id <> 'u1'", "nodes")
+@query("SELECT user_id, 'manual' AS type, user_id || '/manual' AS ref FROM (SELECT DISTINCT user_id FROM nodes) WHERE user_id NOT IN ('u1', 'u3')", "nodes")
 def system_sources(t):
-    stored = t.nodes.where("user_id = 'u1'").select("user_id", F.lit("manual").alias("type")).limit(1)
+    stored = t.nodes.where("user_id IN ('u1', 'u3')").select("user_id", F.lit("manual").alias("type"))
     return X.system_sources(t.nodes, stored, "manual", _at("2001-01-01")).select("user_id", "type", F.concat_ws("/", "user_id", "external_id").alias("ref"))
 
 
