@@ -65,7 +65,8 @@ def upsert(stored: DataFrame, new: DataFrame, key: list[str], order: str) -> Dat
 
 def system_sources(users: DataFrame, stored: DataFrame, kind: str, at: Column) -> DataFrame:
     """A source of a kind for each user who has none."""
-    rows = users.select("user_id").distinct().join(stored.where(F.col("type") == kind).select("user_id"), "user_id", "left_anti")
+    have = stored.where(F.col("type") == kind).select("user_id", F.lit(True).alias("_have")).distinct()
+    rows = users.select("user_id").distinct().join(have, "user_id", "left").where("_have IS NULL")
     return rows.select(stable_id("src", F.col("user_id"), F.lit(kind)).alias("source_id"), "user_id", F.lit(kind).alias("type"), F.lit(kind).alias("external_id"), at.alias("created_at"))
 
 
