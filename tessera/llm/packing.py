@@ -77,7 +77,7 @@ def ids_of(texts: list[bytes], path: str) -> list[bytes]:
 
 
 def pieces_of(docs: DataFrame, tokenizer: str, size: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per piece: id, piece, start, length, ids_crc32, ids (binary). Each document is its ids and then ``end_id``; only a
+    """One row per piece: id, piece, start, length, ids_crc32. Each document is its ids and then ``end_id``; only a
     document longer than ``size`` is cut, every ``size`` ids. A null text is empty and gives one piece of one id."""
     end = np.array([end_id], dtype="<u4").tobytes()
     kind = docs.schema[id_col].dataType.simpleString()
