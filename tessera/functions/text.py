@@ -73,19 +73,6 @@ def dice(a: Column, b: Column) -> Column:
     return F.when(total == 0, F.lit(0.0)).otherwise(2.0 * F.size(F.array_intersect(x, y)) / total)
 
 
-def trigrams(c: Column) -> Column:
-    """Distinct trigrams of the words, each padded by two blanks before and one after."""
-    words = F.filter(F.split(F.lower(c), r"[^\p{L}\p{N}]+"), lambda w: w != "")
-    grams = F.transform(words, lambda w: F.transform(F.sequence(F.lit(1), F.length(w) + 1), lambda i: F.substr(F.concat(F.lit("  "), w, F.lit(" ")), i, F.lit(3))))
-    return F.array_distinct(F.flatten(grams))
-
-
-def trigram_similarity(query: Column, text: Column) -> Column:
-    """Share of the query's trigrams that the text has."""
-    q = trigrams(query)
-    return F.when(F.size(q) == 0, 0.0).otherwise(F.size(F.array_intersect(q, trigrams(text))) / F.size(q))
-
-
 def coerce_task_status(c: Column) -> Column:
     """Canonical task state of a spelling, null if none."""
     return lookup(TASK_STATUS, F.regexp_replace(F.lower(F.trim(c)), r"[\s-]+", "_"))

@@ -21,36 +21,37 @@ def cosine(a: Column, b: Column) -> Column:
 def nearest_in_blocks(queries: DataFrame, known: DataFrame, id_col: str, vector_col: str, k: int, block_rows: int = 20_000, within: tuple[str, ...] = (), keep: tuple[str, ...] = ()) -> DataFrame:
     """The k most similar known rows of each query: id, match, similarity (rounded to six places) and ``keep`` of the match; ties to the larger match if k is 1, else to the smaller.
 
-    Both sides are dealt to blocks of about ``block_rows`` by hash, and each two blocks meet in a group of their own, which keeps k rows a query; a window merges them.
-    So no side is broadcast, and no task holds more than two blocks. ``within`` are columns that must be equal; a row does not match itself.
+    Rows meet only where the ``within`` columns are equal. Both sides of such a tenant are dealt to blocks of about ``block_rows`` by hash, and each two blocks meet in a group of their own, which
+    keeps k rows a query; a window merges them. So no side is broadcast, no task holds more than two blocks, and tenants never travel to each other. A row does not match itself.
+    This is the exact scan; VectorIndex finds the same through lists.
     """
-    sizes = [max(1, -(-df.count() // block_rows)) for df in (queries, known)]
-    block = lambda df, n: F.pmod(F.xxhash64(id_col), F.lit(n))
-    other = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     tenant = F.concat_ws("\0", *[F.col(c).cast("string") for c in within]) if within else F.lit("")
-    vector = F.col(vector_col).cast("array<double>").alias("v")
-    q = queries.where(F.col(vector_col).isNotNull()).select(F.lit(True).alias("asks"), F.col(id_col).alias("id"), tenant.alias("tenant"), vector, block(queries, sizes[0]).cast("int").alias("i"), other(sizes[1]).alias("j"))
-    r = known.where(F.col(vector_col).isNotNull()).select(F.lit(False).alias("asks"), F.col(id_col).alias("id"), tenant.alias("tenant"), vector, other(sizes[0]).alias("i"), block(known, sizes[1]).cast("int").alias("j"))
-    kind = queries.schema[id_col].dataType.simpleString()
-
-    def closest(b: pd.DataFrame) -> pd.DataFrame:
+    take = lambda df: df.where(F.col(vector_col).isNotNull()).select(tenant.alias("tenant"), F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
+    blocks = lambda df, name: df.groupBy("tenant").agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias(name))
+    q, r = take(queries), take(known)
+    sizes = blocks(q, "_q").join(blocks(r, "_r"), "tenant")
+    deal = lambda df, own, other, i, j: df.join(sizes, "tenant").select("tenant", "id", "v", F.pmod(F.xxhash64("id"), F.col(own)).cast("int").alias(i), F.explode(F.sequence(F.lit(0), F.col(other) - 1)).alias(j))
+    kind, keys = queries.schema[id_col].dataType.simpleString(), ["tenant", "i", "j"]
+
+    def closest(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         out: list[tuple] = []
-        for _, g in b.groupby("tenant"):
-            left, right = g[g["asks"]], g[~g["asks"]]
-            if not len(left) or not len(right):
-                continue
+        if len(left) and len(right):
             x, y = (np.stack(side["v"].to_numpy()).astype(np.float64) for side in (left, right))
-            ids = right["id"].to_numpy()
-            norms = np.linalg.norm(y, axis=1)
-            for n, v in zip(left["id"], x, strict=True):
-                size = np.linalg.norm(v) * norms
-                near = np.round(np.divide(y @ v, size, out=np.full(len(y), -np.inf), where=size > 0), 6)
-                near[ids == n] = -np.inf
-                top = np.lexsort((ids, -near)) if k > 1 else np.lexsort((ids, near))[::-1]
-                out += [(n, ids[t], float(near[t])) for t in top[:k] if near[t] > -np.inf]
+            ids, norms = right["id"].to_numpy(), np.linalg.norm(y, axis=1)
+            for start in range(0, len(x), 256):
+                part, names = x[start : start + 256], left["id"].to_numpy()[start : start + 256]
+                size = np.linalg.norm(part, axis=1)[:, None] * norms[None, :]
+                near = np.round(np.divide(part @ y.T, size, out=np.full(size.shape, -np.inf), where=size > 0), 6)
+                near[names[:, None] == ids[None, :]] = -np.inf
+                edge = np.partition(near, -k, axis=1)[:, -k] if len(ids) > k else np.full(len(near), -np.inf)
+                for n, row, least in zip(names, near, edge, strict=True):
+                    at = np.flatnonzero((row >= least) & (row > -np.inf))
+                    order = np.lexsort((ids[at], -row[at])) if k > 1 else np.lexsort((ids[at], row[at]))[::-1]
+                    out += [(n, ids[t], float(row[t])) for t in at[order[:k]]]
         return pd.DataFrame(out, columns=["id", "match", "similarity"])
 
-    found = q.unionByName(r).groupBy("i", "j").applyInPandas(closest, f"id {kind}, match {kind}, similarity double")
+    asked, held = deal(q, "_q", "_r", "i", "j"), deal(r, "_r", "_q", "j", "i")
+    found = asked.groupBy(*keys).cogroup(held.groupBy(*keys)).applyInPandas(closest, f"id {kind}, match {kind}, similarity double")
     order = [F.desc("similarity"), F.col("match") if k > 1 else F.desc("match")]
     best = found.withColumn("_n", F.row_number().over(W.partitionBy("id").orderBy(*order))).where(F.col("_n") <= k).drop("_n")
     facts = known.select(F.col(id_col).alias("match"), *keep)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions.period import DAY
 from ..vocab import STRUCTURAL_TYPES
-from .filters import endpoints
+from .filters import endpoints, in_scope, without_inferred
 
 
 def both_ways(claims: DataFrame) -> DataFrame:
@@ -18,12 +18,18 @@ def both_ways(claims: DataFrame) -> DataFrame:
     return half("subject_id", "object_id").unionByName(half("object_id", "subject_id").where("node_id <> other_id"))
 
 
-def one_hop(claims: DataFrame, nodes: DataFrame, seeds: DataFrame, limit: int | None = 50) -> DataFrame:
-    """Neighbours of seed nodes, each once with its smallest claim, seeds left out, in order of id."""
+def one_hop(claims: DataFrame, nodes: DataFrame, seeds: DataFrame, limit: int | None = 50, user_id: str | None = None, reference: bool = False, inferred: bool = False) -> DataFrame:
+    """Labelled neighbours of seed nodes by active claims, each once with its smallest claim, seeds left out, in order of id.
+
+    Personal claims that the assistant didn't infer; ``reference`` and ``inferred`` add the others. user_id: only that user's claims."""
     ids = seeds.select("node_id").distinct()
-    near = both_ways(claims).join(ids, "node_id", "left_semi").groupBy(F.col("other_id").alias("id")).agg(F.min("claim_id").alias("claim_id"))
+    usable = claims.where((F.col("status") == "active") & F.col("object_id").isNotNull())
+    usable = usable.where(F.col("user_id") == user_id) if user_id else usable
+    usable = in_scope(usable, include_reference=reference)
+    usable = usable if inferred else without_inferred(usable)
+    near = both_ways(usable).join(ids, "node_id", "left_semi").groupBy(F.col("other_id").alias("id")).agg(F.min("claim_id").alias("claim_id"))
     near = near.join(ids.withColumnRenamed("node_id", "id"), "id", "left_anti")
-    out = nodes.join(near.withColumnRenamed("id", "node_id"), "node_id").select("node_id", "node_type", "label", "claim_id").orderBy("node_id")
+    out = nodes.where(F.col("label").isNotNull()).join(near.withColumnRenamed("id", "node_id"), "node_id").select("node_id", "node_type", "label", "claim_id").orderBy("node_id")
     return out if limit is None else out.limit(limit)
 
 
@@ -76,18 +82,26 @@ def timeline(claims: DataFrame, nodes: DataFrame, limit: int, offset: int = 0, t
     return page.join(per_day, "day", "left").select("day", F.coalesce("node_count", F.lit(0)).alias("node_count"), "nodes")
 
 
-def nodes_on_day(claims: DataFrame, nodes: DataFrame, day: str, types: tuple[str, ...] = ()) -> DataFrame:
-    seed = nodes.where((F.col("node_type") == "Temporal") & (F.col("label") == day)).select("node_id")
-    near = one_hop(claims, nodes, seed, None)
+def nodes_on_day(claims: DataFrame, nodes: DataFrame, day: str, types: tuple[str, ...] = (), user_id: str | None = None) -> DataFrame:
+    """The first 50 neighbours of a day by trusted personal claims; of these those of some types."""
+    days = nodes.where(F.col("user_id") == user_id) if user_id else nodes
+    seed = days.where((F.col("node_type") == "Temporal") & (F.col("label") == day)).select("node_id")
+    near = one_hop(claims, nodes, seed, user_id=user_id)
     return near.where(F.col("node_type").isin(*types)) if types else near
 
 
-def day_report(claims: DataFrame, nodes: DataFrame, day: str) -> DataFrame:
-    """Statements of a day by predicate, as one text each."""
-    seed = nodes.where((F.col("node_type") == "Temporal") & (F.col("label") == day)).select("node_id")
-    hits = endpoints(claims).join(seed, "node_id", "left_semi").select("claim_id", "predicate", "subject_id").distinct()
-    lines = hits.join(nodes.select(F.col("node_id").alias("subject_id"), "label"), "subject_id")
-    return lines.groupBy("predicate").agg(F.array_join(F.array_sort(F.collect_list(F.concat(F.lit("- "), "label"))), "\n").alias("text"))
+def day_report(claims: DataFrame, nodes: DataFrame, day: str, user_id: str) -> DataFrame:
+    """What active claims connect with a day of a user, as one text: day, node_count, text. Nodes stand once under each predicate, in order of predicate and id."""
+    own = nodes.where(F.col("user_id") == user_id)
+    seed = own.where((F.col("node_type") == "Temporal") & (F.col("label") == day)).select("node_id")
+    active = claims.where((F.col("user_id") == user_id) & (F.col("status") == "active") & F.col("object_id").isNotNull())
+    hits = both_ways(active).join(seed, "node_id", "left_semi").select("predicate", F.col("other_id").alias("node_id")).distinct().join(own, "node_id")
+    description = F.coalesce("description", F.lit("")) if "description" in own.columns else F.lit("")
+    line = F.concat(F.lit("- **"), F.coalesce("label", F.lit("Unnamed")), F.lit("** (id: "), "node_id", F.lit("): "), description, F.lit("\n"))
+    lines = hits.groupBy("predicate").agg(F.array_sort(F.collect_list(F.struct("node_id", line.alias("line")))).alias("found"))
+    parts = lines.select("predicate", F.transform("found", lambda x: x["node_id"]).alias("ids"), F.concat(F.lit("## "), "predicate", F.lit("\n\n"), F.array_join(F.transform("found", lambda x: x["line"]), ""), F.lit("\n")).alias("part"))
+    whole = parts.groupBy(F.lit(day).alias("day")).agg(F.size(F.array_distinct(F.flatten(F.collect_list("ids")))).alias("node_count"), F.array_sort(F.collect_list("part")).alias("parts"))
+    return whole.select("day", "node_count", F.concat(F.lit(f"# Memories from {day}\n\n"), F.array_join("parts", "")).alias("text"))
 
 
 def recent_changes(claims: DataFrame, nodes: DataFrame, start: Column, end: Column, limit: int, structural: bool = False) -> DataFrame:

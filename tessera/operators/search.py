@@ -6,16 +6,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.text import trigram_similarity
 from ..functions.vector import cosine
-from .filters import endpoints
-
-#: Fusion constant, trigram threshold, least similarity of memory search.
-FUSION_K, TRIGRAM_LEAST, SEARCH_LEAST = 60, 0.3, 0.40
-#: English stop words of the token match.
-STOP = frozenset("a an and are as at be but by for if in into is it no not of on or such that the their then there these they this to was will with".split())
-
+from ..storage import new_folder, saved
+from .filters import endpoints, in_scope, scope_support, stated_between, valid_at, with_status, without_inferred
+from .graph import one_hop, sources_of_nodes
+from .textindex import TextIndex
 
+#: Fusion constant, least similarity of memory search.
+FUSION_K, SEARCH_LEAST = 60, 0.40
 def vector_topk(vectors: DataFrame, query: list[float], k: int, least: float | None = None, id_col: str = "node_id") -> DataFrame:
     """The k most similar rows of one query, similarity rounded to six places, ties by id. A top-k per task, then one merge; no full sort."""
     q = F.array(*[F.lit(float(x)) for x in query])
@@ -24,62 +22,10 @@ def vector_topk(vectors: DataFrame, query: list[float], k: int, least: float | N
     return rows.orderBy(F.desc("similarity"), id_col).limit(k)
 
 
-def tokens(c: Column) -> Column:
-    """Lower-case words without stop words, plural and common verb endings cut."""
-    words = F.filter(F.split(F.lower(c), r"[^\p{L}\p{N}]+"), lambda w: (w != "") & ~w.isin(*sorted(STOP)))
-    return F.transform(words, stem)
-
-
-def stem(w: Column) -> Column:
-    return F.when(F.length(w) <= 3, w).otherwise(F.regexp_replace(F.regexp_replace(w, r"(?<=..)ies$", "y"), r"(?<=...)(?:ing|ed|es|s)$", ""))
-
-
-def parse_query(text: str) -> tuple[list[list[str]], list[str], list[str]]:
-    """Alternatives of required words, phrases and excluded words: blanks mean and, OR means or, quotes a phrase, minus not."""
-    import re
-
-    phrases = re.findall(r'"([^"]+)"', text)
-    groups, banned, either = [], [], False
-    for w in re.sub(r'"[^"]*"', " ", text).split():
-        if w == "OR":
-            either = True
-        elif w.startswith("-") and len(w) > 1:
-            banned.append(w[1:].lower())
-        elif w.lower() not in STOP:
-            (groups[-1].append if either and groups else lambda x: groups.append([x]))(w.lower())
-            either = False
-    return groups, [p.lower() for p in phrases], banned
-
-
-def lexical(rows: DataFrame, text_col: str, query: str, limit: int, id_col: str) -> DataFrame:
-    """Rows that match the query by words or, where it has neither phrases nor exclusions, by trigrams.
-
-    Rank: matched query words times two plus trigram similarity, over one plus the logarithm of the text's word count; a deterministic rank of our own.
-    Words compare by stem; phrases compare as written, ignoring case.
-    """
-    groups, phrases, banned = parse_query(query)
-    words = tokens(F.col(text_col))
-    has = lambda w: F.array_contains(words, stem(F.lit(w)))
-    match, hits = F.lit(True), F.lit(0)
-    for g in groups:
-        any_of = has(g[0])
-        for w in g[1:]:
-            any_of = any_of | has(w)
-        match, hits = match & any_of, hits + any_of.cast("int")
-    for p in phrases:
-        match = match & F.contains(F.lower(text_col), F.lit(p))
-    for w in banned:
-        match = match & ~has(w)
-    near = trigram_similarity(F.lit(" ".join(w for g in groups for w in g)), F.col(text_col))
-    fuzzy = near >= TRIGRAM_LEAST if not phrases and not banned else F.lit(False)
-    score = F.round((2.0 * hits + near) / (1 + F.log1p(F.size(words))), 6)
-    return rows.where(F.col(text_col).isNotNull() & (match | fuzzy)).withColumn("score", score).orderBy(F.desc("score"), id_col).limit(limit)
-
-
-def highlight(c: Column, query: str) -> Column:
-    """Marks the query's words in a text."""
-    words = [w for g in parse_query(query)[0] for w in g]
-    return F.regexp_replace(c, rf"(?i)\b({'|'.join(words)})\b", "<mark>$1</mark>") if words else c
+def lexical(rows: DataFrame, text_col: str, query: str, limit: int, id_col: str, fuzzy: bool = True) -> DataFrame:
+    """Rows that match the query by words or by their letters: id, score (cover-density rank), similarity, headline. Builds the index; keep a TextIndex where several queries are asked."""
+    found = TextIndex.build(rows, id_col, F.col(text_col), fuzzy).search(query, limit)
+    return found.select(F.col("id").alias(id_col), F.col("rank").alias("score"), "similarity", "headline")
 
 
 def fuse(rankings: list[DataFrame], id_col: str, k: int = FUSION_K) -> DataFrame:
@@ -91,16 +37,16 @@ def fuse(rankings: list[DataFrame], id_col: str, k: int = FUSION_K) -> DataFrame
     return every.groupBy(id_col).agg(F.round(F.sum(1.0 / (k + F.col("rank"))), 9).alias("score")).orderBy(F.desc("score"), id_col)
 
 
-def ranked(rows: DataFrame, score: str, id_col: str) -> DataFrame:
+def ranked(rows: DataFrame, score: str, id_col: str, *more: str) -> DataFrame:
     """Rank from 0 of a short list, as searches return it."""
-    return rows.withColumn("rank", F.row_number().over(W.orderBy(F.desc(score), id_col)) - 1)
+    return rows.withColumn("rank", F.row_number().over(W.orderBy(F.desc(score), *[F.desc(c) for c in more], id_col)) - 1)
 
 
 def hybrid(vectors: DataFrame, texts: DataFrame, text_col: str, query_vector: list[float], query: str, limit: int, id_col: str = "node_id") -> DataFrame:
     """Vector and lexical legs of max(2 * limit, 20) each, fused."""
     leg = max(2 * limit, 20)
     v = ranked(vector_topk(vectors, query_vector, leg, id_col=id_col), "similarity", id_col).select(id_col, "rank")
-    t = ranked(lexical(texts, text_col, query, leg, id_col), "score", id_col).select(id_col, "rank")
+    t = ranked(lexical(texts, text_col, query, leg, id_col), "score", id_col, "similarity").select(id_col, "rank")
     return fuse([v, t], id_col).limit(limit)
 
 
@@ -143,40 +89,64 @@ def embedding_text(kind: str, *parts: Column) -> Column:
     return F.concat_ws("\n" if kind == "metric" else ": ", *parts)
 
 
-def explicit_search(nodes: DataFrame, node_vectors: DataFrame, claims: DataFrame, claim_vectors: DataFrame, sources: DataFrame, query_vector: list[float], query: str, limit: int, types: tuple[str, ...] = (), stated: tuple[Column, Column] | None = None, scope: str = "personal") -> DataFrame:
-    """Hits of four legs, nodes and claims each by vector and by words, of max(2 * limit, 20) rows a leg: kind, node_id, claim_id, text, highlight, score, source_id, title.
+def searchable_nodes(nodes: DataFrame, claims: DataFrame, links: DataFrame, sources: DataFrame, user_id: str | None = None, scope: str | None = "personal", types: tuple[str, ...] = (), without: tuple[str, ...] = ()) -> DataFrame:
+    """The labelled nodes that a search may return: of the user, with support in the scope by a source or an active claim (None: any), of some types or without some."""
+    mine = (lambda df: df.where(F.col("user_id") == user_id)) if user_id else (lambda df: df)
+    found = mine(nodes).where(F.col("label").isNotNull())
+    found = found.where(F.col("node_type").isin(*types)) if types else found
+    found = found.where(~F.col("node_type").isin(*without)) if without else found
+    return scope_support(found, mine(claims), links, mine(sources), scope) if scope else found
+
+
+def searchable_claims(claims: DataFrame, user_id: str | None = None, scope: str | None = "personal", at: Column | None = None, stated: tuple[Column | None, Column | None] = (None, None), inferred: bool = False, statuses: tuple[str, ...] = ("active",)) -> DataFrame:
+    """The claims that a search may return: of the user, scope and states, still valid, said within a time, those that the assistant inferred only on request."""
+    found = with_status(claims.where(F.col("user_id") == user_id) if user_id else claims, statuses)
+    found = in_scope(found, scope, scope is None)
+    found = found if inferred else without_inferred(found)
+    return stated_between(valid_at(found, at if at is not None else F.current_timestamp()), *stated)
+
+
+def _near(rows: DataFrame, vectors: DataFrame, id_col: str, query_vector: list[float], k: int, least: float | None = None) -> DataFrame:
+    return vector_topk(vectors.select(id_col, "embedding").join(rows.select(id_col), id_col, "left_semi"), query_vector, k, least, id_col)
 
-    Each kind fuses its two legs by reciprocal ranks; hits of both go in order of score, node and claim. Claims are active ones of the scope; ``types`` keeps nodes of some types, ``stated``
-    claims of a time. Claims bring the title of their source, nodes have many and bring none.
+
+def explicit_search(nodes: DataFrame, node_vectors: DataFrame, claims: DataFrame, claim_vectors: DataFrame, links: DataFrame, sources: DataFrame, query_vector: list[float], query: str, limit: int, types: tuple[str, ...] = (),
+                    stated: tuple[Column | None, Column | None] = (None, None), scope: str = "personal", user_id: str | None = None, at: Column | None = None) -> DataFrame:
+    """Hits of four legs, nodes and claims each by vector and by words, of max(2 * limit, 20) rows a leg: kind, node_id, node_type, claim_id, text, highlight, score, source_id, source_type, title, author, stated_at.
+
+    Each kind fuses its two legs by reciprocal ranks; hits of both go in order of score, node and claim. The words are looked up in a text index of the rows that may be
+    found. ``types`` keeps nodes of some types, ``stated`` claims of a time. Claims bring their source, nodes have many and bring none.
     """
-    leg = max(2 * limit, 20)
-    shown = nodes.where(F.col("label").isNotNull())
-    shown = shown.where(F.col("node_type").isin(*types)) if types else shown
-    said = claims.where((F.col("status") == "active") & (F.col("scope") == scope))
-    said = said.where((F.col("stated_at") >= stated[0]) & (F.col("stated_at") <= stated[1])) if stated else said
+    work, leg = new_folder(nodes.sparkSession, "search"), max(2 * limit, 20)
+    shown = searchable_nodes(nodes, claims, links, sources, user_id, scope, types)
+    said = searchable_claims(claims, user_id, scope, at, stated)
 
     def fused(rows: DataFrame, vectors: DataFrame, id_col: str, text_col: str) -> DataFrame:
-        near = vector_topk(vectors.select(id_col, "embedding").join(rows.select(id_col), id_col, "left_semi"), query_vector, leg, id_col=id_col)
-        words = lexical(rows, text_col, query, leg, id_col)
-        found = fuse([ranked(near, "similarity", id_col).select(id_col, "rank"), ranked(words, "score", id_col).select(id_col, "rank")], id_col)
-        return found.join(rows, id_col).join(words.select(id_col, F.lit(True).alias("_word")), id_col, "left").withColumn("highlight", F.when(F.col("_word"), highlight(F.col(text_col), query)).otherwise(F.col(text_col)))
+        rows = saved(rows, f"{work}/{id_col}")  # read by both legs and by the hits
+        words = saved(lexical(rows, text_col, query, leg, id_col), f"{work}/{id_col}_words")
+        near = _near(rows, vectors, id_col, query_vector, leg)
+        found = fuse([ranked(near, "similarity", id_col).select(id_col, "rank"), ranked(words, "score", id_col, "similarity").select(id_col, "rank")], id_col)
+        return found.join(rows, id_col).join(words.select(id_col, "headline"), id_col, "left").withColumn("highlight", F.coalesce("headline", text_col))
 
     none = F.lit(None).cast("string")
-    n = fused(shown, node_vectors, "node_id", "label").select(F.lit("node").alias("kind"), "node_id", none.alias("claim_id"), F.col("label").alias("text"), "highlight", "score", none.alias("source_id"), none.alias("title"))
-    c = fused(said, claim_vectors, "claim_id", "statement").join(sources.select("source_id", F.coalesce(F.get_json_object("metadata", "$.title"), "external_id").alias("title")), "source_id", "left")
-    c = c.select(F.lit("claim").alias("kind"), F.col("subject_id").alias("node_id"), "claim_id", F.col("statement").alias("text"), "highlight", "score", "source_id", "title")
+    n = fused(shown, node_vectors, "node_id", "label")
+    n = n.select(F.lit("node").alias("kind"), "node_id", "node_type", none.alias("claim_id"), F.col("label").alias("text"), "highlight", "score", *[none.alias(c) for c in ("source_id", "source_type", "title", "author")], F.lit(None).cast("timestamp_ntz").alias("stated_at"))
+    facts = sources.select("source_id", F.col("type").alias("source_type"), *[F.get_json_object("metadata", f"$.{c}").alias(c) for c in ("title", "author")])
+    c = fused(said, claim_vectors, "claim_id", "statement").join(facts, "source_id", "left")
+    c = c.select(F.lit("claim").alias("kind"), F.col("subject_id").alias("node_id"), none.alias("node_type"), "claim_id", F.col("statement").alias("text"), "highlight", "score", "source_id", "source_type", "title", "author", F.col("stated_at").cast("timestamp_ntz").alias("stated_at"))
     return n.unionByName(c).orderBy(F.desc("score"), "node_id", F.col("claim_id").asc_nulls_first()).limit(limit)
 
 
-def memory_search(nodes: DataFrame, node_vectors: DataFrame, claims: DataFrame, claim_vectors: DataFrame, query_vector: list[float], limit: int, least: float = SEARCH_LEAST) -> DataFrame:
-    """Nodes and active claims of at least ``least`` similarity, ``limit`` of each, and the nodes one step from any of them: kind, id, similarity (null for neighbours)."""
-    active = claims.where("status = 'active'")
-    n = vector_topk(node_vectors.select("node_id", "embedding"), query_vector, limit, least).select(F.lit("node").alias("kind"), F.col("node_id").alias("id"), "similarity")
-    c = vector_topk(claim_vectors.select("claim_id", "embedding").join(active.select("claim_id"), "claim_id", "left_semi"), query_vector, limit, least, "claim_id")
-    ends = endpoints(active.join(c.select("claim_id"), "claim_id", "left_semi")).select("node_id").union(n.select(F.col("id").alias("node_id"))).distinct()
-    edges = active.where(F.col("object_id").isNotNull())
-    step = edges.select(F.col("subject_id").alias("node_id"), F.col("object_id").alias("id")).union(edges.select(F.col("object_id").alias("node_id"), F.col("subject_id").alias("id")))
-    near = step.join(ends, "node_id", "left_semi").select("id").distinct().join(ends.withColumnRenamed("node_id", "id"), "id", "left_anti")
-    near = near.join(nodes.select(F.col("node_id").alias("id")), "id", "left_semi")
-    hits = n.unionByName(c.select(F.lit("claim").alias("kind"), F.col("claim_id").alias("id"), "similarity"))
-    return hits.unionByName(near.select(F.lit("neighbour").alias("kind"), "id", F.lit(None).cast("double").alias("similarity")))
+def memory_search(nodes: DataFrame, node_vectors: DataFrame, claims: DataFrame, claim_vectors: DataFrame, links: DataFrame, sources: DataFrame, query_vector: list[float], limit: int, least: float = SEARCH_LEAST, user_id: str | None = None,
+                  without: tuple[str, ...] = (), at: Column | None = None) -> DataFrame:
+    """Personal nodes and trusted personal claims of at least ``least`` similarity, ``limit`` of each, and the first 50 nodes one step from any of them: kind, id, similarity (null for neighbours), source_ids."""
+    work = new_folder(nodes.sparkSession, "search")
+    shown, said = searchable_nodes(nodes, claims, links, sources, user_id, without=without), searchable_claims(claims, user_id, at=at)
+    n = _near(shown, node_vectors, "node_id", query_vector, limit, least).select(F.lit("node").alias("kind"), F.col("node_id").alias("id"), "similarity")
+    c = _near(said, claim_vectors, "claim_id", query_vector, limit, least).select(F.lit("claim").alias("kind"), F.col("claim_id").alias("id"), "similarity")
+    hits = saved(n.unionByName(c), f"{work}/hits")
+    found = hits.where("kind = 'claim'").select(F.col("id").alias("claim_id"))
+    ends = endpoints(claims.join(found, "claim_id", "left_semi")).select("node_id").union(hits.where("kind = 'node'").select("id")).distinct()
+    near = one_hop(claims, nodes, saved(ends, f"{work}/ends"), user_id=user_id).select(F.lit("neighbour").alias("kind"), F.col("node_id").alias("id"), F.lit(None).cast("double").alias("similarity"))
+    out = hits.unionByName(saved(near, f"{work}/near"))
+    return out.join(sources_of_nodes(links.join(out.select(F.col("id").alias("node_id")), "node_id", "left_semi")).withColumnRenamed("node_id", "id"), "id", "left").select("kind", "id", "similarity", "source_ids")

@@ -25,9 +25,29 @@ def _seeds(t):
     return t.nodes.where(F.col("node_id").isin("C1", "C2", "N3"))
 
 
-@query(f"WITH {_E}, {_SEEDS}, h AS (SELECT b, min(claim_id) AS claim_id FROM e WHERE a IN (SELECT node_id FROM seeds) GROUP BY b) SELECT n.node_id, node_type, label, claim_id FROM h JOIN nodes n ON n.node_id = h.b WHERE b NOT IN (SELECT node_id FROM seeds) ORDER BY n.node_id LIMIT 50", "claims nodes")
+def _usable(user: str) -> str:
+    """Edges of a user's active personal claims that the assistant didn't infer, from either end."""
+    return f"""us AS (SELECT * FROM claims WHERE status = 'active' AND scope = 'personal' AND asserted_by_kind <> 'assistant_inferred' AND user_id = '{user}' AND object_id IS NOT NULL),
+        ue AS (SELECT subject_id AS a, object_id AS b, claim_id FROM us UNION ALL SELECT object_id, subject_id, claim_id FROM us WHERE object_id <> subject_id)"""
+
+
+@query(
+    f"""WITH {_usable("u1")}, {_SEEDS}, h AS (SELECT b, min(claim_id) AS claim_id FROM ue WHERE a IN (SELECT node_id FROM seeds) GROUP BY b)
+    SELECT n.node_id, node_type, label, claim_id FROM h JOIN nodes n ON n.node_id = h.b
+    WHERE label IS NOT NULL AND b NOT IN (SELECT node_id FROM seeds) ORDER BY n.node_id LIMIT 50""",
+    "claims nodes",
+)
 def one_hop_neighbors(t):
-    return G.one_hop(_active(t), t.nodes, _seeds(t))
+    return G.one_hop(t.claims, t.nodes, _seeds(t), user_id="u1")
+
+
+@query(
+    f"""WITH {_E.replace("status = 'active'", "status = 'active' AND user_id = 'u1'")}, {_SEEDS}, h AS (SELECT b, min(claim_id) AS claim_id FROM e WHERE a IN (SELECT node_id FROM seeds) GROUP BY b)
+    SELECT n.node_id, claim_id FROM h JOIN nodes n ON n.node_id = h.b WHERE label IS NOT NULL AND b NOT IN (SELECT node_id FROM seeds)""",
+    "claims nodes",
+)
+def one_hop_all_scopes(t):
+    return G.one_hop(t.claims, t.nodes, _seeds(t), None, "u1", reference=True, inferred=True).select("node_id", "claim_id")
 
 
 _HOPS = f"WITH {_E}, {_SEEDS}, h1 AS (SELECT DISTINCT b AS id FROM e WHERE a IN (SELECT node_id FROM seeds) AND b NOT IN (SELECT node_id FROM seeds)), h2 AS (SELECT DISTINCT b AS id FROM e WHERE a IN (SELECT id FROM h1) AND b NOT IN (SELECT id FROM h1) AND b NOT IN (SELECT node_id FROM seeds)), f AS (SELECT node_id, 0 AS hop FROM seeds UNION ALL SELECT id, 1 FROM h1 UNION ALL SELECT id, 2 FROM h2) "
@@ -67,14 +87,27 @@ def timeline_days(t):
     return G.timeline(_active(t), t.nodes, 20, 5, ("Task",)).withColumn("nodes", F.array_join("nodes", ","))
 
 
-@query(f"WITH {_E} SELECT DISTINCT n.node_id, n.label FROM e JOIN nodes n ON n.node_id = b WHERE a = 'day:1997-03-03' AND node_type = 'Task'", "claims nodes")
+@query(
+    f"""WITH {_usable("u0")}, h AS (SELECT DISTINCT n.node_id, n.node_type, n.label FROM ue JOIN nodes n ON n.node_id = b WHERE a = 'day:1997-03-03' ORDER BY n.node_id LIMIT 50)
+    SELECT node_id, label FROM h WHERE node_type = 'Task'""",
+    "claims nodes",
+)
 def nodes_by_type_on_day(t):
-    return G.nodes_on_day(_active(t), t.nodes, "1997-03-03", ("Task",)).select("node_id", "label")
-
-
-@query(f"WITH {_ENDS} SELECT c.predicate, string_agg('- ' || label, chr(10) ORDER BY '- ' || label) AS text FROM ends x JOIN claims c USING (claim_id) JOIN nodes n ON n.node_id = c.subject_id WHERE x.node_id = 'day:1997-03-03' GROUP BY c.predicate", "claims nodes")
+    return G.nodes_on_day(t.claims, t.nodes, "1997-03-03", ("Task",), "u0").select("node_id", "label")
+
+
+@query(
+    """WITH d AS (
+        SELECT label AS day, node_id FROM nodes WHERE user_id = 'u0' AND node_type = 'Temporal' AND label = (SELECT max(label) FROM nodes WHERE node_type = 'Temporal' AND label < '1998')),
+    e AS (SELECT predicate, subject_id AS a, object_id AS b FROM claims WHERE user_id = 'u0' AND status = 'active' UNION SELECT predicate, object_id, subject_id FROM claims WHERE user_id = 'u0' AND status = 'active'),
+    h AS (SELECT DISTINCT day, predicate, n.node_id, n.label FROM d JOIN e ON e.a = d.node_id JOIN nodes n ON n.node_id = e.b AND n.user_id = 'u0' AND n.node_id <> d.node_id),
+    p AS (SELECT day, '## ' || predicate || chr(10) || chr(10) || string_agg('- **' || label || '** (id: ' || node_id || '): ' || chr(10), '' ORDER BY node_id) || chr(10) AS part FROM h GROUP BY day, predicate)
+    SELECT day, (SELECT count(DISTINCT node_id) FROM h)::INTEGER AS node_count, '# Memories from ' || day || chr(10) || chr(10) || string_agg(part, '' ORDER BY part) AS text FROM p GROUP BY day""",
+    "claims nodes",
+)
 def day_memories(t):
-    return G.day_report(_active(t), t.nodes, "1997-03-03")
+    day = t.nodes.where("node_type = 'Temporal' AND label < '1998'").agg(F.max("label")).first()[0]
+    return G.day_report(t.claims, t.nodes, day, "u0")
 
 
 @query("WITH w AS (SELECT TIMESTAMP '1998-01-01 00:00:00' AS s, TIMESTAMP '1998-01-08 00:00:00' AS e), ch AS (SELECT 'claim' AS kind, claim_id AS id, created_at AS c, updated_at AS u FROM claims WHERE object_id IS NULL OR object_id NOT LIKE 'day:%' UNION ALL SELECT 'node', node_id, created_at, created_at FROM nodes WHERE node_type <> 'Temporal') SELECT kind, id, CASE WHEN c >= s AND c < e THEN 'added' ELSE 'updated' END AS change, CAST(CASE WHEN u >= s AND u < e THEN greatest(c, u) ELSE c END AS VARCHAR) AS \"at\" FROM ch, w WHERE (c >= s AND c < e) OR (u >= s AND u < e) ORDER BY \"at\" DESC, kind, id LIMIT 300", "claims nodes")

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.text import trigram_similarity
 from ..operators import hygiene as H
 from ..operators import identity as I
 from ..operators import search as R
 from ..operators.filters import effective_scope
+from ..operators.textindex import TextIndex, word_similarity
 from .registry import query
 
 _Q = [1.0 if i % 3 == 0 else -0.5 if i % 3 == 1 else 0.25 for i in range(64)]
@@ -39,22 +39,42 @@ def rrf_fusion(t):
     return R.fuse([a, R.ranked(longest, "n", "node_id").select("node_id", "rank")], "node_id")
 
 
-_GRAMS = "list_distinct(flatten(list_transform(list_filter(regexp_split_to_array(lower({0}), '[^a-z0-9]+'), lambda w: w <> ''), lambda w: list_transform(range(1, length(w) + 2), lambda i: substring('  ' || w || ' ', i, 3)))))"
+_GRAMS = "flatten(list_transform(list_filter(regexp_split_to_array(lower({0}), '[^a-z0-9]+'), lambda w: w <> ''), lambda w: list_transform(range(1, length(w) + 2), lambda i: substring('  ' || w || ' ', i, 3))))"
 
 
-@query(f"SELECT p_partkey, round(len(list_intersect({_GRAMS.format(chr(39) + 'stel pump' + chr(39))}, {_GRAMS.format('p_name')})) / len({_GRAMS.format(chr(39) + 'stel pump' + chr(39))})::DOUBLE, 6) AS similarity FROM part")
+@query(
+    f"""WITH q AS (SELECT list_distinct({_GRAMS.format("'stel pump'")}) AS q), g AS (SELECT p_partkey, {_GRAMS.format("p_name")} AS g FROM part),
+    e AS (SELECT p_partkey, unnest(range(1, len(g) + 1)) AS i, g FROM g), x AS (SELECT p_partkey, i, unnest(range(i, len(g) + 1)) AS j, g FROM e),
+    s AS (SELECT p_partkey, len(list_intersect(q, g[i:j])) AS common, len(list_distinct(list_concat(q, g[i:j]))) AS total FROM x, q)
+    SELECT p_partkey, round(max(common / total::DOUBLE), 6) AS similarity FROM s GROUP BY p_partkey"""
+)
 def trigram_match(t):
-    return t.part.select("p_partkey", F.round(trigram_similarity(F.lit("stel pump"), F.col("p_name")), 6).alias("similarity"))
+    return t.part.select("p_partkey", F.round(word_similarity("stel pump", F.col("p_name")), 6).alias("similarity"))
 
 
 @query()
 def lexical_search(t):
-    return R.lexical(t.documents, "text", 'tion OR ando "of the" -zzz', 50, "doc_id").select("doc_id", "score", F.regexp_count(R.highlight(F.col("text"), "tion OR ando"), F.lit("<mark>")).alias("marks"))
+    found = R.lexical(t.documents, "text", 'ones "hest the are" OR enly thes -tire', 50, "doc_id", fuzzy=False)
+    return found.select("doc_id", "score", F.regexp_count("headline", F.lit("<mark>")).alias("marks"))
+
+
+@query()
+def lexical_nodes(t):
+    among = R.searchable_nodes(t.nodes, t.claims, t.source_links, t.source_rows, "u1", types=("Object",))
+    return TextIndex.build(among, "node_id", F.col("label")).search("blue rodd", 30).select(F.col("id").alias("node_id"), "rank", "similarity", "headline")
+
+
+@query()
+def lexical_claims(t):
+    """The index holds the statements of all claims; which may be found is decided by the join."""
+    among = R.searchable_claims(t.claims, "u1", at=_now(), stated=(F.lit("1995-01-01").cast("timestamp"), F.lit("1996-12-31").cast("timestamp")))
+    found = TextIndex.build(t.claims, "claim_id", F.col("statement")).search("statuses", 40, among.select(F.col("claim_id").alias("id")))
+    return found.select(F.col("id").alias("claim_id"), "rank", "headline")
 
 
 @query()
 def hybrid_search(t):
-    return R.hybrid(t.node_vectors, t.nodes.where("node_type = 'Object'"), "label", _Q, "steel", 10)
+    return R.hybrid(t.node_vectors, t.nodes.where("node_type = 'Object'"), "label", _Q, "steel rod", 10)
 
 
 @query("WITH act AS (SELECT * FROM claims WHERE status = 'active'), f AS (SELECT subject_id AS node_id, predicate, arg_max(object_value, (stated_at, claim_id)) AS v FROM act WHERE object_value IS NOT NULL AND asserted_by_kind <> 'assistant_inferred' GROUP BY ALL), g AS (SELECT node_id, string_agg(predicate || '=' || v, ';' ORDER BY predicate || '=' || v) AS facts FROM f GROUP BY node_id) SELECT n.node_id, n.label, facts, (SELECT min(source_id) FROM source_links l WHERE l.node_id = n.node_id) AS source_id FROM nodes n LEFT JOIN g USING (node_id) WHERE node_type = 'Person'", "claims nodes source_links")
@@ -208,9 +228,29 @@ def _statement_vectors(t):
 
 @query()
 def explicit_search(t):
-    return R.explicit_search(t.nodes, t.node_vectors, t.claims, _statement_vectors(t), t.source_rows, _Q, "steel", 10, types=("Object",))
-
-
-@query(f"WITH act AS (SELECT * FROM claims WHERE status = 'active'), n AS (SELECT node_id AS id, {_SIM} AS similarity FROM node_vectors WHERE {_SIM} >= 0.1 ORDER BY similarity DESC, id LIMIT 8), v AS (SELECT 'S' || vec_id AS node_id, embedding FROM embeddings), c AS (SELECT node_id AS id, {_SIM} AS similarity FROM v WHERE node_id IN (SELECT claim_id FROM act) AND {_SIM} >= 0.1 ORDER BY similarity DESC, id LIMIT 8), e AS (SELECT subject_id AS id FROM act WHERE claim_id IN (SELECT id FROM c) UNION SELECT object_id FROM act WHERE claim_id IN (SELECT id FROM c) AND object_id IS NOT NULL UNION SELECT id FROM n), h AS (SELECT object_id AS id FROM act WHERE object_id IS NOT NULL AND subject_id IN (SELECT id FROM e) UNION SELECT subject_id FROM act WHERE object_id IN (SELECT id FROM e)) SELECT 'node' AS kind, id, similarity FROM n UNION ALL SELECT 'claim', id, similarity FROM c UNION ALL SELECT 'neighbour', id, NULL FROM h WHERE id NOT IN (SELECT id FROM e) AND id IN (SELECT node_id FROM nodes)", "claims nodes node_vectors")
+    return R.explicit_search(t.nodes, t.node_vectors, t.claims, _statement_vectors(t), t.source_links, t.source_rows, _Q, "status rods", 10, types=("Object",), at=_now())
+
+
+_SUPPORT = """u AS (SELECT * FROM claims WHERE status = 'active' AND user_id = 'u1'),
+    sup AS (SELECT subject_id AS node_id FROM u WHERE scope = 'personal' UNION SELECT object_id FROM u WHERE scope = 'personal' AND object_id IS NOT NULL
+            UNION SELECT node_id FROM source_links l JOIN source_rows s ON s.source_id = l.source_id WHERE s.scope = 'personal' AND s.user_id = 'u1')"""
+
+
+@query(
+    f"""WITH {_SUPPORT},
+    n AS (SELECT node_id AS id, {_SIM} AS similarity FROM node_vectors WHERE {_SIM} >= 0.1 AND node_id IN (SELECT node_id FROM nodes WHERE user_id = 'u1' AND node_type <> 'Temporal' AND node_id IN (SELECT node_id FROM sup))
+          ORDER BY similarity DESC, id LIMIT 8),
+    v AS (SELECT 'S' || vec_id AS id, embedding FROM embeddings),
+    c AS (SELECT id, {_SIM} AS similarity FROM v WHERE {_SIM} >= 0.1 AND id IN (SELECT claim_id FROM u WHERE scope = 'personal' AND asserted_by_kind <> 'assistant_inferred' AND (valid_to IS NULL OR valid_to > {_NOW}))
+          ORDER BY similarity DESC, id LIMIT 8),
+    ends AS (SELECT subject_id AS id FROM u WHERE claim_id IN (SELECT id FROM c) UNION SELECT object_id FROM u WHERE claim_id IN (SELECT id FROM c) AND object_id IS NOT NULL UNION SELECT id FROM n),
+    e AS (SELECT subject_id AS a, object_id AS b FROM u WHERE object_id IS NOT NULL AND scope = 'personal' AND asserted_by_kind <> 'assistant_inferred'),
+    h AS (SELECT b AS id FROM e WHERE a IN (SELECT id FROM ends) UNION SELECT a FROM e WHERE b IN (SELECT id FROM ends)),
+    near AS (SELECT id FROM h WHERE id NOT IN (SELECT id FROM ends) AND id IN (SELECT node_id FROM nodes WHERE label IS NOT NULL) ORDER BY id LIMIT 50),
+    every AS (SELECT 'node' AS kind, id, similarity FROM n UNION ALL SELECT 'claim', id, similarity FROM c UNION ALL SELECT 'neighbour', id, NULL FROM near)
+    SELECT kind, id, similarity, (SELECT string_agg(source_id, ',' ORDER BY source_id) FROM source_links l WHERE l.node_id = every.id) AS source_ids FROM every""",
+    "claims nodes node_vectors source_links source_rows",
+)
 def memory_search(t):
-    return R.memory_search(t.nodes, t.node_vectors, t.claims, _statement_vectors(t), _Q, 8, 0.1)
+    found = R.memory_search(t.nodes, t.node_vectors, t.claims, _statement_vectors(t), t.source_links, t.source_rows, _Q, 8, 0.1, "u1", ("Temporal",), _now())
+    return found.withColumn("source_ids", F.array_join("source_ids", ","))
