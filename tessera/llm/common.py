@@ -60,3 +60,10 @@ def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z only. An all-ASCII text takes the quicker built-in."""
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
 
+
+def free_name(name: str, *tables: DataFrame) -> str:
+    """A column name that none of the tables has, whatever the case."""
+    taken = {c.lower() for t in tables for c in t.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name

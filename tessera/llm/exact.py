@@ -76,6 +76,14 @@ def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     hashed = [F.to_json(F.struct(f.name)) if "map<" in f.dataType.simpleString() else F.col(f"`{f.name}`") for f in docs.schema]
     whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
     rows = docs.select(docs[id_col].alias("_own_id"), digest_of(normalise(F.coalesce(docs[text_col], F.lit("")))).alias("_own_digest"), F.xxhash64(*hashed).alias("_hash"), whole.alias("_row"))
-    first = rows.groupBy("_own_id", "_own_digest").agg(F.min_by("_row", "_hash").alias("_row"))
-    found = first.join(stay, F.col("_own_id").eqNullSafe(F.col("_kept_id")) & (F.col("_own_digest") == F.col("_kept_digest")), "left_semi")
-    return found.select("_row.*")
+    # Which row stays is found from ids, digests and hashes; whole rows travel once, to meet the ones that stay.
+    first = rows.groupBy("_own_id", "_own_digest", "_hash").agg(F.count(F.lit(1)).alias("_n")).groupBy("_own_id", "_own_digest").agg(F.min(F.struct("_hash", "_n")).alias("_first"))
+    first = first.join(stay, F.col("_own_id").eqNullSafe(F.col("_kept_id")) & (F.col("_own_digest") == F.col("_kept_digest")), "left_semi")
+    first = Workspace(docs.sparkSession, "exact").save(first.select("_own_id", "_own_digest", "_first.*"), "stay")
+    same = [rows["_own_id"].eqNullSafe(F.col("_id")), rows["_own_digest"] == F.col("_digest"), rows["_hash"] == F.col("_h")]
+    once = first.select(F.col("_own_id").alias("_id"), F.col("_own_digest").alias("_digest"), F.col("_hash").alias("_h"), "_n")
+    alone = rows.join(once.where("_n = 1"), same, "left_semi").select("_row.*")
+    if once.where("_n > 1").isEmpty():
+        return alone
+    twins = rows.join(once.where("_n > 1"), same, "left_semi").groupBy("_own_id", "_own_digest").agg(F.any_value("_row").alias("_row"))
+    return alone.unionByName(twins.select("_row.*"))

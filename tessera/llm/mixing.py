@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import WORD, Workspace
+from .common import WORD, Workspace, free_name
 
 #: Tables of sources or pieces of them are broadcast up to so many rows.
 BROADCAST_ROWS = 100_000
@@ -176,10 +176,10 @@ def mix(spark: SparkSession, docs: DataFrame, weights: tuple[float, ...] = (1, 2
 
 def mixed_blocks(spark: SparkSession, docs: DataFrame, text_col: str = "text", **options) -> DataFrame:
     """The mix itself: _shard, _place, _s and text, the words of the block in that slot joined by one space. Blocks are cut from the documents once and join the slots by index."""
-    work = Workspace(spark, "blocks")
-    rows = work.save(docs.withColumn("_mix_row", F.monotonically_increasing_id()), "rows")
-    slots, pieces, _ = mix(spark, rows, text_col=text_col, row_col="_mix_row", **options)
-    texts = rows.select(F.col("_mix_row").alias("_row"), F.regexp_extract_all(text_col, F.lit(WORD), F.lit(0)).alias("_all"))
+    work, row = Workspace(spark, "blocks"), free_name("_mix_row", docs)
+    rows = work.save(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
+    slots, pieces, _ = mix(spark, rows, text_col=text_col, row_col=row, **options)
+    texts = rows.select(F.col(row).alias("_row"), F.regexp_extract_all(text_col, F.lit(WORD), F.lit(0)).alias("_all"))
     cut = F.array_join(F.slice("_all", (F.col("_skip") + 1).cast("int"), F.col("_words").cast("int")), " ")
     parts = pieces.join(texts, "_row").select("_s", "_block", "_at", cut.alias("_t"))
     blocks = parts.groupBy("_s", "_block").agg(F.array_sort(F.collect_list(F.struct("_at", "_t"))).alias("_parts"))
@@ -191,11 +191,12 @@ def mixed_documents(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id"
     """The mix in whole documents: each with all its columns, as many times as the mix takes its words, taken / size. The fraction is
     rounded up or down by a hash of the id and its place in its source, up as often as it says, so that sources keep their share. Every row counts by itself, also
     of null and repeated ids. Documents without words go."""
-    rows = Workspace(spark, "mixed").save(docs.withColumn("_mix_row", F.monotonically_increasing_id()), "rows")
-    taken = mix(spark, rows, id_col=id_col, seed=seed, row_col="_mix_row", **options)[2]
+    row, times, copy = (free_name(c, docs) for c in ("_mix_row", "_copies", "_copy"))
+    rows = Workspace(spark, "mixed").save(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
+    taken = mix(spark, rows, id_col=id_col, seed=seed, row_col=row, **options)[2]
     share = F.col("taken") / F.col("size")
     chance = F.pmod(F.xxhash64(id_col, "_first", F.lit(seed), F.lit("copies")), F.lit(1 << 30)) / float(1 << 30)
     copies = F.floor(share) + (chance < share - F.floor(share)).cast("bigint")
-    times = taken.where("size > 0").select(F.col("_row").alias("_mix_row"), copies.cast("int").alias("_copies")).where("_copies > 0")
-    found = rows.join(times, "_mix_row").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
+    counts = taken.where("size > 0").select(F.col("_row").alias(row), copies.cast("int").alias(times)).where(F.col(times) > 0)
+    found = rows.join(counts, row).withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(times))))
     return found.select(*[F.col(f"`{c}`") for c in docs.columns])

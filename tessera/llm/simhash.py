@@ -38,14 +38,14 @@ def fingerprint(text: str | None, words: int = 4, seed: int = 42) -> int:
 
 
 def fingerprints(docs: DataFrame, words: int = 4, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Id (as _id) and fingerprint (fp, its 64 bits as a bigint) of each document."""
+    """Id (as _id), digest of the text (_digest) and fingerprint (fp, its 64 bits as a bigint) of each document."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame({"_id": b["_id"], "fp": np.array([fingerprint(t, words, seed) for t in b["_text"]], dtype=np.uint64).view(np.int64)})
+            yield pd.DataFrame({"_id": b["_id"], "_digest": b["_digest"], "fp": np.array([fingerprint(t, words, seed) for t in b["_text"]], dtype=np.uint64).view(np.int64)})
 
-    rows = docs.select(docs[id_col].alias("_id"), docs[text_col].alias("_text"))
-    return rows.mapInPandas(run, f"_id {docs.schema[id_col].dataType.simpleString()}, fp long")
+    rows = docs.select(docs[id_col].alias("_id"), docs[text_col].alias("_text"), F.md5(F.coalesce(docs[text_col], F.lit(""))).alias("_digest"))
+    return rows.mapInPandas(run, f"_id {docs.schema[id_col].dataType.simpleString()}, _digest string, fp long")
 
 
 def bit_counts(fps: DataFrame) -> np.ndarray:
@@ -257,26 +257,38 @@ def near_links(spark: SparkSession, work: Workspace, nodes: DataFrame, radius: i
     return looked.withColumn("bucket", bucket).groupBy("bucket").applyInPandas(compare, f"a {kind}, b {kind}")
 
 
+def _components(spark: SparkSession, docs: DataFrame, radius: int, words: int, seed: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """(_id, _digest, fp) of each document, and (fp, component_id, _root) of each fingerprint. Fingerprints are the nodes, so that links through rows without an id hold."""
+    work = Workspace(spark, "simhash")
+    fps = work.save(fingerprints(docs, words, seed, id_col, text_col), "fps")
+    nodes = work.save(fps.groupBy("fp").agg(F.min("_id").alias("_least")), "nodes")
+    links = work.save(near_links(spark, work, nodes.select(F.col("fp").alias("rep"), "fp"), radius), "links")
+    roots = connected_components(work, links)
+    named = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "_least", F.coalesce("root", "fp").alias("_root"))
+    least = named.groupBy("_root").agg(F.min("_least").alias("component_id"))
+    return fps, named.join(least, "_root").select("fp", "component_id", "_root")
+
+
 def simhash_groups(spark: SparkSession, docs: DataFrame, radius: int = 4, words: int = 4, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: id, fingerprint (16 hex digits) and component_id, the smallest id reachable over links of fingerprints
     that differ in at most ``radius`` bits; itself if none.
 
-    Equal fingerprints are one node from the start, named by their smallest id. Nulls, empty texts and texts without words have fingerprint 0 and
+    Equal fingerprints are one node from the start. Nulls, empty texts and texts without words have fingerprint 0 and
     are linked like any other; texts of fewer words than a shingle are one shingle. Very long texts count with all their shingles.
-    Rows with a null id get their component through their fingerprint; nodes of null ids alone get a null. Repeated rows return once each. An
+    Rows with a null id link like others; a component of null ids alone gets a null. Repeated rows return once each. An
     empty table gives an empty result. Other columns are ignored.
     """
-    work = Workspace(spark, "simhash")
-    fps = work.save(fingerprints(docs, words, seed, id_col, text_col), "fps")
-    nodes = work.save(fps.groupBy("fp").agg(F.min("_id").alias("rep")), "nodes")
-    links = work.save(near_links(spark, work, nodes.where("rep IS NOT NULL"), radius), "links")
-    roots = connected_components(work, links)
-    named = nodes.join(roots, nodes["rep"] == roots["node"], "left").select("fp", F.coalesce("root", "rep").alias("component_id"))
+    fps, named = _components(spark, docs, radius, words, seed, id_col, text_col)
     return fps.join(named, "fp").select(F.col("_id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def drop_near_copies(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """The document with the smallest id of each group, with all its columns; rows of null id stay, and so do all rows that
-    repeat the id that stays."""
-    stay = simhash_groups(spark, docs, id_col=id_col, **options).where(f"`{id_col}` <> component_id").select(F.col(id_col).alias("_copy")).distinct()
-    return docs.join(stay, docs[id_col] == stay["_copy"], "left_anti")
+def drop_near_copies(spark: SparkSession, docs: DataFrame, radius: int = 4, words: int = 4, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One document of each component, with all its columns: that with the smallest id, nulls last, and of these the smallest digest of the text. Rows are told apart by id and text, so
+    that an id that names texts of several components keeps one in each that it is the smallest of; rows that repeat both stay or go together."""
+    fps, named = _components(spark, docs, radius, words, seed, id_col, text_col)
+    rows = fps.join(named, "fp").select("_root", F.struct(F.col("_id").isNull().alias("last"), F.col("_id").alias("id"), F.col("_digest").alias("digest")).alias("_key"))
+    first = rows.groupBy("_root").agg(F.min("_key").alias("_first"))
+    lost = rows.join(first, "_root").where("_key <> _first").select(F.col("_key.id").alias("_copy"), F.col("_key.digest").alias("_copy_digest")).distinct()
+    lost = Workspace(spark, "simhash").save(lost, "lost")
+    digest = F.md5(F.coalesce(docs[text_col], F.lit("")))
+    return docs.join(lost, docs[id_col].eqNullSafe(lost["_copy"]) & (digest == lost["_copy_digest"]), "left_anti")

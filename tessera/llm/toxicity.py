@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Workspace
+from .common import Workspace, free_name
 
 #: Letters that look like a Latin letter. Fixed values, chosen by shape.
 HOMOGLYPHS = {
@@ -238,8 +238,8 @@ def normalised():
     return F.log1p(F.col("weight") / F.sqrt(1 + F.col("words") / 100.0))
 
 
-def score_documents(docs: DataFrame, labels: DataFrame, train=None, exceptions: tuple[str, ...] = EXCEPTIONS, threshold: float = 0.7, max_labels: int = 40_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Score every whole text: id, score (0 to 1), predicted, hits, words.
+def score_documents(docs: DataFrame, labels: DataFrame, train=None, exceptions: tuple[str, ...] = EXCEPTIONS, threshold: float = 0.7, max_labels: int = 40_000, id_col: str = "doc_id", text_col: str = "text", extra: tuple[str, ...] = ()) -> DataFrame:
+    """Score every whole text: id, score (0 to 1), predicted, hits, words and the ``extra`` columns of the documents.
 
     labels has the id and toxic (0 or 1; others are ignored). ``train`` is a condition on the id column: only labels where it holds are
     learned from, and of more than ``max_labels`` of them a sample by hash of the id of about that size; so the ids to learn from have a bound, and
@@ -255,19 +255,23 @@ def score_documents(docs: DataFrame, labels: DataFrame, train=None, exceptions:
     n = known.count()
     if n > max_labels:
         known = known.where(F.pmod(F.xxhash64("_key", F.lit("labels")), F.lit(1_000_000)) < int(1_000_000 * max_labels / n))
-    texts = docs.select(docs[id_col].alias(id_col), docs[text_col].alias(text_col))
+    texts = docs.select(docs[id_col].alias(id_col), docs[text_col].alias(text_col), *[docs[c] for c in extra])
     labelled = texts.join(F.broadcast(known), texts[id_col] == known["_key"]).select(texts[id_col], texts[text_col], "toxic")
     lexicon = learn_lexicon(labelled, text_col=text_col)
     a, b = calibrate(measured(labelled, lexicon, exceptions, id_col, text_col, ("toxic",)))
     score = 1 / (1 + F.exp(-F.greatest(F.lit(-30.0), F.least(F.lit(30.0), F.lit(a) + F.lit(b) * normalised()))))
-    done = measured(texts, lexicon, exceptions, id_col, text_col).withColumn("score", score)
-    return done.select(F.col("_id").alias(id_col), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "hits", "words")
-
-
-def drop_toxic(spark: SparkSession, docs: DataFrame, labels: DataFrame, train=None, id_col: str = "doc_id", **options) -> DataFrame:
-    """The documents that score_documents doesn't predict toxic, with all their columns. Rows with a null id stay."""
-    scored = Workspace(spark, "toxicity").save(score_documents(docs, labels, train, id_col=id_col, **options).where("predicted = 1").select(F.col(id_col).alias("_bad")).distinct(), "rejected")
-    return docs.join(scored, docs[id_col] == scored["_bad"], "left_anti")
+    done = measured(texts, lexicon, exceptions, id_col, text_col, extra).withColumn("score", score)
+    return done.select(F.col("_id").alias(id_col), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "hits", "words", *extra)
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, labels: DataFrame, train=None, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The documents that score_documents doesn't predict toxic, with all their columns. Rows are told apart by id and text, so that a toxic text goes whatever its id, and a clean one
+    stays that shares its id, or has none."""
+    own = free_name("text_digest", docs)
+    marked = docs.withColumn(own, F.md5(F.coalesce(docs[text_col], F.lit(""))))
+    bad = score_documents(marked, labels, train, id_col=id_col, text_col=text_col, extra=(own,), **options).where("predicted = 1")
+    bad = Workspace(spark, "toxicity").save(bad.select(F.col(id_col).alias("_bad"), F.col(own).alias("_digest")).distinct(), "rejected")
+    return marked.join(bad, marked[id_col].eqNullSafe(bad["_bad"]) & (marked[own] == bad["_digest"]), "left_anti").drop(own)
 
 
 def held_out(key):

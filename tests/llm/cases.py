@@ -4,7 +4,7 @@ import random
 
 WORDS = "alpha Beta gamma DELTA eps zeta eta theta iota kappa lambda mu nu xi pi rho sigma tau Straße naïve мир дом 中文 x1".split()
 #: Columns whose names the operators use inside; an operator must not trip over them.
-CLASHING = "_id string, _text string, _key string, _norm string, size string, kept string, seed string, fp string, weight string, bytes string"
+CLASHING = "_id string, _text string, _key string, _norm string, size string, kept string, seed string, fp string, weight string, bytes string, _copies string, _copy string, _mix_row string, text_digest string, _digest string"
 
 
 def documents(spark, rows, partitions=3):

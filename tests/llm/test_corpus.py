@@ -1,5 +1,6 @@
 """op6, op10 and the pipeline: targets, round trips and a brute-force run of all stages."""
 
+import random
 import zlib
 from collections import defaultdict
 
@@ -206,3 +207,26 @@ def test_pipeline(spark):
     result = corpus_pipeline.run(spark, SF).collect()
     assert {r.doc_id for r in result} == set(copies)
     checked_packing([(r.doc_id, r.text) for r in mixed], result)
+
+
+def test_stages_keep_rows_of_null_and_repeated_ids(spark):
+    """Toxic texts go whatever their id; a clean text stays that shares an id with one, or has none. No stage loses a text that nothing else holds."""
+    rng = random.Random(2)
+    bad = ["you filthy scumbag", "total scumbag filth", "scumbag and filthy liar"]
+    labelled = [(i, f"{rng.choice(bad)} {i} {rng.choice(bad)}" if i % 2 else f"a calm walk by river number {i} in spring", "a") for i in range(80)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(80)], "doc_id long, toxic int")
+    rows = [*labelled, (500, "clean words about gardens", "a"), (500, bad[0] + " " + bad[1], "a"), (None, bad[2] + " " + bad[0], "b"), (None, "calm unlabelled text of nobody", "b"), (None, None, None)]
+    left = {(r.doc_id, r.text) for r in toxicity.drop_toxic(spark, documents(spark, rows), labels).collect()}
+    assert {(500, "clean words about gardens"), (None, "calm unlabelled text of nobody"), (None, None)} <= left
+    assert not any("scumbag" in (t or "") for i, t in left if i is None or i >= 500)
+    odd = documents(spark, odd_rows())
+    unique = {(t or "").encode().lower() for _, t, _ in odd_rows()}
+    once = corpus_pipeline.STAGES[1][1](spark, odd, SF)
+    assert sorted((r.text or "").encode().lower() for r in once.collect()) == sorted(unique) and once.columns == odd.columns
+    near = corpus_pipeline.STAGES[2][1](spark, once, SF)
+    mixed = corpus_pipeline.STAGES[3][1](spark, near, SF)
+    assert near.columns == odd.columns and mixed.columns == odd.columns and set(mixed.select("doc_id", "text").collect()) <= set(near.select("doc_id", "text").collect())
+    packed = corpus_pipeline.STAGES[4][1](spark, mixed, SF)
+    assert packed.select("doc_id").distinct().count() <= mixed.select("doc_id").distinct().count()
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, odd.limit(0), SF).count() == 0, name

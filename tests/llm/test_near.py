@@ -199,3 +199,29 @@ def test_hot_cells_are_tiled(spark):
             pairs += [tuple(sorted((a.rep, b.rep))) for a in mine if a.looks for b in mine if b.found and a.rep != b.rep and (not a.found or a.rep < b.rep)]
         n, m = homes * 20, probes * 20
         assert len(pairs) == len(set(pairs)) == n * (n - 1) // 2 + n * m
+
+
+def test_links_through_rows_without_an_id(spark):
+    """Fingerprints near a null id's, in a chain: all have one component, and the stage keeps one row of it, and every text that no other is near."""
+    rng = random.Random(6)
+    words = [f"w{rng.randint(0, 10**6)}" for _ in range(400)]
+    chain = [" ".join(words)]
+    while len(chain) < 9:
+        words[rng.randrange(400)] = f"w{rng.randint(0, 10**6)}"
+        chain.append(" ".join(words))
+    fps = [plain_fingerprint(t) for t in chain]
+    rows = [(None if k % 2 else 10 + k, t, "a") for k, t in enumerate(chain)] + [(10, "quite another text of its own", "a"), (12, "and a third one, unlike the others", "b"), (None, "nobody has this text", "a"), (None, "", "a"), (None, None, "a")]
+    nodes = [plain_fingerprint(t) for _, t, _ in rows]
+    groups = roots(list(range(len(rows))), lambda x, y: (nodes[x] ^ nodes[y]).bit_count() <= 4)
+    least = {g: min((rows[i][0] for i, h in enumerate(groups) if h == g and rows[i][0] is not None), default=None) for g in set(groups)}
+    got = simhash.simhash_groups(spark, documents(spark, rows)).collect()
+    assert sorted(map(tuple, got), key=repr) == sorted(((i, f"{f:016x}", least[g]) for (i, _, _), f, g in zip(rows, nodes, groups, strict=True)), key=repr)
+    assert len(set(groups[: len(chain)])) < len(chain) and len(fps) == 9
+    left = simhash.drop_near_copies(spark, documents(spark, rows)).collect()
+    kept = {(r.doc_id, r.text) for r in left}
+    assert {(10, "quite another text of its own"), (12, "and a third one, unlike the others"), (None, "nobody has this text")} <= kept
+    fp = lambda t: nodes[[x for _, x, _ in rows].index(t)]
+    for g in set(groups):
+        mine = {nodes[i] for i, h in enumerate(groups) if h == g}
+        assert len({(i, t or "") for i, t in kept if fp(t) in mine}) == 1
+        assert all(i == least[g] for i, t in kept if fp(t) in mine)
