@@ -24,7 +24,8 @@ def vector_topk(vectors: DataFrame, query: list[float], k: int, least: float | N
 
 def lexical(rows: DataFrame, text_col: str, query: str, limit: int, id_col: str, fuzzy: bool = True) -> DataFrame:
     """Rows that match the query by words or by their letters: id, score (cover-density rank), similarity, headline. Builds the index; keep a TextIndex where several queries are asked."""
-    found = TextIndex.build(rows, id_col, F.col(text_col), fuzzy).search(query, limit)
+    among = rows.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    found = TextIndex.build(among, "id", F.col("text"), fuzzy, members=False).search(query, limit, among)
     return found.select(F.col("id").alias(id_col), F.col("rank").alias("score"), "similarity", "headline")
 
 

@@ -159,27 +159,28 @@ class TextIndex:
     a third of all texts spreads over many files. Equal texts are indexed once: a key is the digest of a text. Null texts have no entry; empty ones are found by nothing.
     """
 
-    def __init__(self, spark, folder: str):
+    def __init__(self, spark, folder: str, names: tuple[str, ...] = ("postings", "grams", "texts", "members")):
         self.folder = folder
-        self.postings, self.grams, self.texts, self.members = (spark.read.parquet(f"{folder}/{name}") for name in ("postings", "grams", "texts", "members"))
+        self.postings, self.grams, self.texts, self.members = (spark.read.parquet(f"{folder}/{name}") if name in names else None for name in ("postings", "grams", "texts", "members"))
 
     @classmethod
-    def build(cls, rows: DataFrame, id_col: str, text: Column, fuzzy: bool = True) -> TextIndex:
-        """fuzzy: whether trigrams are indexed, which suits labels and statements, not long documents."""
+    def build(cls, rows: DataFrame, id_col: str, text: Column, fuzzy: bool = True, members: bool = True) -> TextIndex:
+        """fuzzy: whether trigrams are indexed, which suits labels and statements, not long documents. members: whether the index knows who has a text; if not, searches say among whom they look."""
         spark = rows.sparkSession
         folder = new_folder(spark, "textindex")
-        given = rows.select(F.col(id_col).alias("id"), text.alias("text")).where(F.col("text").isNotNull()).withColumn("key", F.unhex(F.md5("text")))
-        given.select("key", "id").repartitionByRange("key", "id").sortWithinPartitions("key").write.parquet(f"{folder}/members")
-        texts = given.groupBy("key").agg(F.any_value("text").alias("text")).repartitionByRange("key").sortWithinPartitions("key")
-        texts = saved(texts, f"{folder}/texts")
-        texts.mapInPandas(_postings, "term string, key binary, places array<int>").repartitionByRange("term", "key").sortWithinPartitions("term").write.parquet(f"{folder}/postings")
-        grams = texts.mapInPandas(_grams, "gram string, key binary") if fuzzy else spark.createDataFrame([], "gram string, key binary")
-        grams.repartitionByRange("gram", "key").sortWithinPartitions("gram").write.parquet(f"{folder}/grams")
-        return cls(spark, folder)
+        given = rows.select(F.col(id_col).alias("id"), text.alias("text")).where(F.col("text").isNotNull()).withColumn("key", key_of(F.col("text")))
+        texts = _sorted(given.groupBy("key").agg(F.any_value("text").alias("text")), f"{folder}/texts", "key")
+        _sorted(texts.mapInPandas(_postings, "term string, key binary, places array<int>"), f"{folder}/postings", "term", "key")
+        if members:
+            _sorted(given.select("key", "id"), f"{folder}/members", "key", "id")
+        if fuzzy:
+            _sorted(texts.mapInPandas(_grams, "gram string, key binary"), f"{folder}/grams", "gram", "key")
+        return cls(spark, folder, ("postings", "texts", *["members"] * members, *["grams"] * fuzzy))
 
     def match(self, query: str) -> DataFrame:
         """(key, rank, similarity) of the texts that match by words, or by a word similarity of at least 0.3 (whatever the operators in the query)."""
-        return _any_of(self._by_words(parse(query)), self._by_extent(query))
+        words = self._by_words(parse(query))
+        return words if self.grams is None else _any_of(words, self._by_extent(query))
 
     def _by_words(self, query: Query) -> DataFrame:
         held = self.postings.where(F.col("term").isin(query.terms)).groupBy("key").agg(F.collect_list(F.struct("term", "places")).alias("held"))
@@ -201,14 +202,29 @@ class TextIndex:
         return near.where(F.col("similarity") >= FUZZY_LEAST).select("key", F.lit(0.0).alias("rank"), "similarity")
 
     def search(self, query: str, limit: int, among: DataFrame | None = None) -> DataFrame:
-        """The best ``limit`` of the ids that match, of ``among`` (a table with a column id) where given: id, rank, similarity, text and headline. Order: rank, similarity, id."""
-        found = self.match(query).join(self.members, "key")
-        found = found if among is None else found.join(among.select("id"), "id", "left_semi")
+        """The best ``limit`` of the ids that match: id, rank, similarity, text and headline. Order: rank, similarity, id.
+
+        among: a table of the ids that may be found, with their texts in a column text if the index has no members."""
+        if self.members is None:
+            found = among.select("id", key_of(F.col("text")).alias("key")).join(self.match(query), "key")
+        else:
+            found = self.match(query).join(self.members, "key")
+            found = found if among is None else found.join(among.select("id"), "id", "left_semi")
         top = found.orderBy(F.desc("rank"), F.desc("similarity"), "id").limit(limit)
         shown = top.join(self.texts, "key").select("id", "rank", "similarity", "text", headline(parse(query), F.col("text")).alias("headline"))
         return shown.orderBy(F.desc("rank"), F.desc("similarity"), "id")
 
 
+def key_of(text: Column) -> Column:
+    return F.unhex(F.md5(text))
+
+
+def _sorted(rows: DataFrame, path: str, *by: str) -> DataFrame:
+    """Writes rows dealt by range and sorted. They are written as they come first, since dealing by range looks at its input twice."""
+    rows = saved(rows, f"{path}-unsorted")
+    return saved(rows.repartitionByRange(*by).sortWithinPartitions(*by), path)
+
+
 def _any_of(*found: DataFrame) -> DataFrame:
     every = found[0]
     for more in found[1:]:

@@ -39,7 +39,7 @@ def best_of(near: np.ndarray, ids: np.ndarray, k: int, larger: bool = False) ->
 class VectorIndex:
     """Vectors (tenant, list, part, id, vector) of unit length as a table sorted by tenant and list, the centroids, and of each list its size and widest angle.
 
-    Centroids come from k-means on at most ``TRAINED_ON`` vectors; every vector is indexed. Rows of null or zero vectors are in no list. A list with more than
+    Centroids come from k-means on at most ``TRAINED_ON`` vectors; every vector is indexed. Rows of null or zero vectors are in no list and ask for nothing. A list with more than
     ``PART_ROWS`` vectors of a tenant is dealt into parts, so that copies of one vector don't meet in one task. Searches return similarities rounded to six places, ties to the smaller id; a vector doesn't find its own id.
     """
 
@@ -88,7 +88,7 @@ class VectorIndex:
         folder, probes = new_folder(self.spark, "vectorsearch"), probes or max(1, math.isqrt(len(self.centroids)))
         tenant = F.col(tenant_col).cast("string") if tenant_col else F.lit("")
         asked = queries.where(F.col(vector_col).isNotNull()).select(F.coalesce(tenant, F.lit("")).alias("tenant"), F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("vector"))
-        asked = saved(asked, f"{folder}/asked")
+        asked = saved(asked.where(F.exists("vector", lambda x: x != 0)), f"{folder}/asked")
         rows = self.lists if among is None else self.lists.join(among.select("id").distinct(), "id", "left_semi")
         first = saved(self._meet(self._opened(asked, probes, None), rows, k, least), f"{folder}/first")
         if not exact:

@@ -9,6 +9,7 @@ from ..operators import identity as I
 from ..operators import search as R
 from ..operators.filters import effective_scope
 from ..operators.textindex import TextIndex, word_similarity
+from ..operators.vectorindex import VectorIndex
 from .registry import query
 
 _Q = [1.0 if i % 3 == 0 else -0.5 if i % 3 == 1 else 0.25 for i in range(64)]
@@ -39,6 +40,29 @@ def rrf_fusion(t):
     return R.fuse([a, R.ranked(longest, "n", "node_id").select("node_id", "rank")], "node_id")
 
 
+@query(
+    """WITH p AS (SELECT * FROM node_vectors WHERE CAST(substr(node_id, 2) AS BIGINT) % 20 = 0),
+    s AS (SELECT p.node_id, v.node_id AS match, round(list_cosine_similarity(v.embedding::DOUBLE[], p.embedding::DOUBLE[]), 6) AS similarity
+          FROM p JOIN node_vectors v ON v.node_id <> p.node_id AND v.user_id = p.user_id)
+    SELECT node_id, match, similarity FROM s QUALIFY row_number() OVER (PARTITION BY node_id ORDER BY similarity DESC, match) <= 10""",
+    "node_vectors",
+)
+def vector_index_exact(t):
+    """Every twentieth node asks the index of all nodes, by user, exactly."""
+    index = VectorIndex.build(t.node_vectors, "node_id", "embedding", "user_id")
+    return index.search(_twentieth(t.node_vectors), "node_id", "embedding", 10, "user_id", exact=True)
+
+
+@query()
+def vector_index_recall(t):
+    """How many lists are opened for a recall of 0.95, and what share of the true ten nearest the queries then find."""
+    index = VectorIndex.build(t.node_vectors, "node_id", "embedding", "user_id")
+    probes, asks = index.plan_probes(0.95), _twentieth(t.node_vectors)
+    true, got = (index.search(asks, "node_id", "embedding", 10, "user_id", probes=probes, exact=exact).select("node_id", "match") for exact in (True, False))
+    hit = true.join(got.withColumn("hit", F.lit(1)), ["node_id", "match"], "left")
+    return hit.agg(F.lit(len(index.centroids)).alias("lists"), F.lit(probes).alias("probes"), F.count(F.lit(1)).alias("true_matches"), F.round(F.count("hit") / F.count(F.lit(1)), 4).alias("recall"))
+
+
 _GRAMS = "flatten(list_transform(list_filter(regexp_split_to_array(lower({0}), '[^a-z0-9]+'), lambda w: w <> ''), lambda w: list_transform(range(1, length(w) + 2), lambda i: substring('  ' || w || ' ', i, 3))))"
 
 

@@ -72,7 +72,7 @@ def test_blocks_by_tenant(spark, k):
 
 
 def test_empty(spark):
-    rows, _ = table(spark, 5)
+    rows, _ = table(spark, 12)
     index = VectorIndex.build(rows.limit(0), "name", "v")
     assert index.search(rows, "name", "v", 3, exact=True).count() == 0 and index.plan_probes() == 1
     assert VectorIndex.build(rows, "name", "v").search(rows.limit(0), "name", "v", 3).count() == 0
