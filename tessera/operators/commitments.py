@@ -17,37 +17,41 @@ from .filters import provenance_band
 SORTS = ("due", "status", "label", "stated_at", "created_at")
 
 
-def _branches(claims: DataFrame, nodes: DataFrame, band: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Status, owner and due claims, each narrowed before any join. The band binds the status; owners and due dates are trusted for the trusted band, unbound otherwise."""
-    active = claims.where(F.col("status") == "active")
-    side = provenance_band(active, "trusted" if band == "trusted" else "all")
+def _branches(claims: DataFrame, nodes: DataFrame, band: str, user_id: str | None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Status, owner and due claims, each narrowed before any join: active ones of scope personal, of one user if given. The band binds the status; owners and due dates are trusted for the trusted band,
+    unbound otherwise. Everything joins within a user."""
+    active = claims.where((F.col("status") == "active") & (F.col("scope") == "personal"))
+    active = active.where(F.col("user_id") == user_id) if user_id else active
+    side = provenance_band(active, "trusted" if band == "trusted" else "all").where(F.col("object_id").isNotNull())
     labels = nodes.select("node_id", "label")
     state = provenance_band(active, band).where(F.col("predicate") == "HAS_TASK_STATUS").select("user_id", F.col("subject_id").alias("task_id"), "claim_id", F.col("object_value").alias("raw_status"), "stated_at", "created_at", "source_id", "asserted_by_kind")
-    owner = side.where(F.col("predicate") == "ASSIGNED_TO").select(F.col("subject_id").alias("task_id"), F.col("object_id").alias("owner_id"), F.col("stated_at").alias("owner_at"))
+    owner = side.where(F.col("predicate") == "ASSIGNED_TO").select("user_id", F.col("subject_id").alias("task_id"), F.col("object_id").alias("owner_id"), F.col("stated_at").alias("owner_at"))
     owner = owner.join(labels.select(F.col("node_id").alias("owner_id"), F.col("label").alias("owner_label")), "owner_id", "left")
-    due = side.where(F.col("predicate") == "DUE_ON").select(F.col("subject_id").alias("task_id"), F.col("object_id").alias("due_id"), F.col("stated_at").alias("due_at"))
-    due = due.join(labels.where(F.col("label").rlike(DAY)).select(F.col("node_id").alias("due_id"), F.col("label").alias("due_on")), "due_id", "left")
+    due = side.where(F.col("predicate") == "DUE_ON").select("user_id", F.col("subject_id").alias("task_id"), F.col("object_id").alias("due_id"), F.col("stated_at").alias("due_at"))
+    due = due.join(labels.select(F.col("node_id").alias("due_id"), F.col("label").alias("due_on")), "due_id", "left")
     return state, owner, due
 
 
-def _joined(claims: DataFrame, nodes: DataFrame, band: str) -> DataFrame:
-    state, owner, due = _branches(claims, nodes, band)
-    tasks = nodes.where(F.col("node_type") == "Task").select(F.col("node_id").alias("task_id"), "label")
-    return state.join(tasks, "task_id").join(owner, "task_id", "left").join(due, "task_id", "left")
+def _joined(claims: DataFrame, nodes: DataFrame, band: str, user_id: str | None = None) -> DataFrame:
+    state, owner, due = _branches(claims, nodes, band, user_id)
+    tasks = nodes.where(F.col("node_type") == "Task").select("user_id", F.col("node_id").alias("task_id"), "label")
+    key = ["user_id", "task_id"]
+    return state.join(tasks, key).join(owner, key, "left").join(due, key, "left")
 
 
-def open_commitments(claims: DataFrame, nodes: DataFrame, band: str = "trusted", due_before: str | None = None) -> DataFrame:
-    """Open tasks, one row each: the newest by status, then owner, then due claim wins."""
-    rows = _joined(claims, nodes, band).where(F.col("raw_status").isin(*OPEN_STATUSES))
+def open_commitments(claims: DataFrame, nodes: DataFrame, band: str = "trusted", due_before: str | None = None, owned_by: str | None = None, user_id: str | None = None) -> DataFrame:
+    """Open tasks, one row each: the newest by status, then owner, then due claim wins, of the rows that the owner and the due day leave. A due label that is no day counts as no due day."""
+    rows = _joined(claims, nodes, band, user_id).where(F.col("raw_status").isin(*OPEN_STATUSES))
+    rows = rows if owned_by is None else rows.where(F.col("owner_id") == owned_by)
+    rows = rows if due_before is None else rows.where(F.col("due_on").rlike(DAY) & (F.col("due_on") <= due_before))
     rows = rows.withColumn("status", coerce_task_status(F.col("raw_status"))).where(F.col("status").isin(*OPEN_STATUSES))
-    newest = W.partitionBy("task_id").orderBy(*[F.col(c).desc_nulls_first() for c in ("stated_at", "created_at", "owner_at", "due_at")], F.desc("claim_id"), "owner_id", "due_on")
-    rows = rows.withColumn("_n", F.row_number().over(newest)).where("_n = 1").drop("_n")
-    return rows if due_before is None else rows.where(F.col("due_on") <= due_before)
+    newest = W.partitionBy("user_id", "task_id").orderBy(*[F.col(c).desc_nulls_first() for c in ("stated_at", "created_at", "owner_at", "due_at")], F.desc("claim_id"), "owner_id", "due_on")
+    return rows.withColumn("_n", F.row_number().over(newest)).where("_n = 1").drop("_n")
 
 
-def list_commitments(claims: DataFrame, nodes: DataFrame, band: str = "all", statuses: tuple[str, ...] | None = None, search: str | None = None) -> DataFrame:
-    """All tasks with a state, every combination of claims a row. States are filtered as written, and afterwards rows of unknown spelling go."""
-    rows = _joined(claims, nodes, band)
+def list_commitments(claims: DataFrame, nodes: DataFrame, band: str = "all", statuses: tuple[str, ...] | None = None, search: str | None = None, user_id: str | None = None) -> DataFrame:
+    """All personal tasks with a state, every combination of claims a row. States are filtered as written, and afterwards rows of unknown spelling go."""
+    rows = _joined(claims, nodes, band, user_id)
     rows = rows.where(F.col("raw_status").isin(*statuses)) if statuses else rows
     rows = rows.where(contains_ci(F.col("label"), search)) if search else rows
     return rows.withColumn("status", coerce_task_status(F.col("raw_status"))).where("status IS NOT NULL")

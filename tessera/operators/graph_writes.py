@@ -133,19 +133,6 @@ def extraction_outcome(extracted: DataFrame, nodes: DataFrame, sources: DataFram
     return rows.select("claim_id", outcome.alias("outcome"))
 
 
-def apply_operations(claims: DataFrame, operations: DataFrame, at: Column) -> DataFrame:
-    """Claims after cleanup operations (claim_id, op): retract and contradict end active claims, promote makes the user confirm an inferred one. Of several for a claim the strongest
-    counts: retract, contradict, promote. Operations on claims that aren't active do nothing."""
-    rank = F.create_map(F.lit("retract"), F.lit(1), F.lit("contradict"), F.lit(2), F.lit("promote"), F.lit(3))
-    one = operations.where(F.col("op").isin("retract", "contradict", "promote")).groupBy("claim_id").agg(F.min_by("op", rank[F.col("op")]).alias("_op"))
-    rows = claims.join(one, "claim_id", "left").withColumn("_op", F.when(F.col("status") == "active", F.col("_op")))
-    ends = F.col("_op").isin("retract", "contradict")
-    status = F.when(F.col("_op") == "retract", "retracted").when(F.col("_op") == "contradict", "contradicted").otherwise(F.col("status"))
-    kind = F.when((F.col("_op") == "promote") & (F.col("asserted_by_kind") == "assistant_inferred"), "user_confirmed").otherwise(F.col("asserted_by_kind"))
-    rows = rows.withColumn("valid_to", F.when(ends, at).otherwise(F.col("valid_to"))).withColumn("status", status).withColumn("asserted_by_kind", kind)
-    return rows.select(*claims.columns)
-
-
 def temp_ids(mentions: DataFrame, known: DataFrame) -> DataFrame:
     """Ids for the temporary ones of extraction batches (batch, temp_id, user_id, node_type, label): the known node of the same tenant, type and canonical label, else a new id.
     Mentions of one batch with one label share it."""

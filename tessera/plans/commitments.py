@@ -11,12 +11,19 @@ from .registry import query
 _NEEDS = "task_claims owner_claims due_claims nodes"
 
 
-def _joined(trusted_side: bool, band: str) -> str:
+def _joined(trusted_side: bool, band: str, user: str = "") -> str:
     side = " AND asserted_by_kind <> 'assistant_inferred'" if trusted_side else ""
     where = {"trusted": "s.asserted_by_kind <> 'assistant_inferred'", "candidate": "s.asserted_by_kind = 'assistant_inferred'", "all": "true"}[band]
-    return f"""j AS (SELECT s.subject_id AS task_id, s.claim_id, s.object_value AS raw_status, n.label, ow.object_id AS owner_id, om.label AS owner_label, substr(du.object_id, 5) AS due_on, s.stated_at
-      FROM task_claims s JOIN nodes n ON n.node_id = s.subject_id LEFT JOIN (SELECT * FROM owner_claims WHERE true{side}) ow ON ow.subject_id = s.subject_id LEFT JOIN nodes om ON om.node_id = ow.object_id
-      LEFT JOIN (SELECT * FROM due_claims WHERE true{side}) du ON du.subject_id = s.subject_id WHERE {where})"""
+    own = "status = 'active' AND scope = 'personal'" + (f" AND user_id = '{user}'" if user else "")
+    return f"""j AS (
+      SELECT s.subject_id AS task_id, s.claim_id, s.object_value AS raw_status, n.label, ow.object_id AS owner_id, om.label AS owner_label, dm.label AS due_on, s.stated_at
+      FROM (SELECT * FROM task_claims WHERE {own}) s
+      JOIN nodes n ON n.node_id = s.subject_id AND n.user_id = s.user_id AND n.node_type = 'Task'
+      LEFT JOIN (SELECT * FROM owner_claims WHERE {own}{side}) ow ON ow.subject_id = s.subject_id AND ow.user_id = s.user_id
+      LEFT JOIN nodes om ON om.node_id = ow.object_id
+      LEFT JOIN (SELECT * FROM due_claims WHERE {own}{side}) du ON du.subject_id = s.subject_id AND du.user_id = s.user_id
+      LEFT JOIN nodes dm ON dm.node_id = du.object_id
+      WHERE {where})"""
 
 
 def _claims(t):
@@ -28,9 +35,17 @@ def open_commitments(t):
     return C.open_commitments(_claims(t), t.nodes).select("task_id", "status", "label", "owner_label", "due_on")
 
 
-@query(f"WITH {_joined(False, 'candidate')} SELECT task_id, raw_status AS status, owner_id, due_on FROM j WHERE raw_status IN ('pending', 'in_progress') AND due_on <= '1997-06-30'", _NEEDS)
+@query(f"WITH {_joined(True, 'trusted', 'u2')} SELECT task_id, raw_status AS status, due_on FROM j WHERE raw_status IN ('pending', 'in_progress') AND owner_id = (SELECT min(owner_id) FROM j)", _NEEDS)
+def commitments_of_owner(t):
+    """Of one user, the tasks of one of the owners."""
+    owner = t.owner_claims.where("user_id = 'u2' AND scope = 'personal' AND asserted_by_kind <> 'assistant_inferred'").join(t.task_claims.where("scope = 'personal' AND asserted_by_kind <> 'assistant_inferred'").select("subject_id"), "subject_id", "left_semi")
+    least = owner.agg(F.min("object_id")).first()[0]
+    return C.open_commitments(_claims(t), t.nodes, owned_by=least, user_id="u2").select("task_id", "status", "due_on")
+
+
+@query(f"WITH {_joined(False, 'candidate', 'u1')} SELECT task_id, raw_status AS status, owner_id, due_on FROM j WHERE raw_status IN ('pending', 'in_progress') AND due_on <= '1997-06-30'", _NEEDS)
 def candidate_commitments(t):
-    return C.open_commitments(_claims(t), t.nodes, "candidate", "1997-06-30").select("task_id", "status", "owner_id", "due_on")
+    return C.open_commitments(_claims(t), t.nodes, "candidate", "1997-06-30", user_id="u1").select("task_id", "status", "owner_id", "due_on")
 
 
 @query(f"WITH {_joined(False, 'all')}, r AS (SELECT *, row_number() OVER (ORDER BY label, task_id) AS n FROM j WHERE raw_status = 'done' AND contains(lower(label), 'order 1')) SELECT task_id, label, raw_status AS status FROM r WHERE n BETWEEN 41 AND 61", _NEEDS)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import json_flag, locate_verbatim
@@ -15,6 +16,7 @@ from ..operators import metrics as M
 from ..operators import reads as D
 from ..operators import rollup as U
 from ..operators import search as R
+from ..operators.cleanup import apply_cleanup
 from .registry import query
 
 _CANON = "lower(regexp_replace(trim({0}), '\\s+', ' ', 'g'))"
@@ -151,11 +153,33 @@ def claims_reattributed(t):
     return X.reattribute(t.owner_claims, moves, _at("2002-01-01")).select("subject_id", "object_id", "status", "asserted_by_kind")
 
 
-@query("SELECT claim_id, CASE WHEN k % 6 = 0 THEN 'retracted' WHEN k % 10 = 0 THEN 'contradicted' ELSE 'active' END AS status, CASE WHEN k % 6 <> 0 AND k % 10 <> 0 AND k % 7 = 0 AND asserted_by_kind = 'assistant_inferred' THEN 'user_confirmed' ELSE asserted_by_kind END AS asserted_by_kind FROM (SELECT *, CAST(substr(claim_id, 2) AS BIGINT) AS k FROM status_claims)", "status_claims")
+_CITED = "('user', 'user_confirmed', 'participant', 'document_author')"
+
+
+@query(
+    f"""WITH u AS (SELECT *, min(claim_id) OVER (PARTITION BY subject_id) AS cited_id, CAST(split_part(claim_id, '-', 2) AS BIGINT) % 3 AS k FROM use_claims),
+    j AS (SELECT u.*, c.status AS cs, c.asserted_by_kind AS ck, c.scope AS csc FROM u JOIN use_claims c ON c.claim_id = u.cited_id),
+    o AS (SELECT claim_id, status, CASE
+        WHEN k = 0 THEN CASE WHEN asserted_by_kind = 'assistant_inferred' THEN 'applied' ELSE 'error' END
+        WHEN k = 1 THEN CASE WHEN claim_id = cited_id OR cs <> 'active' OR ck NOT IN {_CITED} OR csc <> scope THEN 'error' ELSE 'applied' END END AS outcome, k FROM j)
+    SELECT claim_id, CASE WHEN outcome = 'applied' THEN CASE k WHEN 0 THEN 'retracted' ELSE 'contradicted' END ELSE status END AS status, outcome FROM o""",
+    "use_claims",
+)
 def cleanup_operations(t):
-    k = F.expr("CAST(substr(claim_id, 2) AS BIGINT)")
-    ops = X.union_all([t.status_claims.where(k % n == 0).select("claim_id", F.lit(op).alias("op")) for n, op in ((6, "retract"), (10, "contradict"), (7, "promote"))])
-    return X.apply_operations(t.status_claims, ops, _at("2002-01-01")).select("claim_id", "status", "asserted_by_kind")
+    """A run for each task: a third of its claims are contradicted by its first claim, then a third are retracted."""
+    first = W.partitionBy("subject_id")
+    rows = t.use_claims.withColumn("cited_id", F.min("claim_id").over(first)).withColumn("seq", F.row_number().over(first.orderBy("claim_id")))
+    k = F.expr("CAST(split_part(claim_id, '-', 2) AS BIGINT) % 3")
+    null = F.lit(None).cast("string")
+    ops = X.union_all([
+        rows.where(k == n).select("user_id", F.col("subject_id").alias("run"), (F.col("seq") + after).alias("seq"), F.lit(kind).alias("kind"), "claim_id", cited.alias("cited_id"), null.alias("temp_id"), null.alias("object_temp_id"),
+                                  F.lit(None).cast("array<string>").alias("removed"), null.alias("text"), null.alias("node_type"), null.alias("predicate"), null.alias("object_value"))
+        for n, kind, after, cited in ((1, "contradict_claim", 0, F.col("cited_id")), (0, "retract_claim", 100_000, null))
+    ])
+    temps = t.nodes.where("1 = 0").select("user_id", F.col("node_id").alias("run"), F.col("node_id").alias("temp_id"), "node_id")
+    done = apply_cleanup(ops, temps, t.use_claims, t.nodes, t.source_links, t.source_rows, t.aliases, _at("2002-01-01"))
+    said = done.outcomes.join(ops.select("run", "seq", "claim_id"), ["run", "seq"]).select("claim_id", "outcome")
+    return done.claims.join(said, "claim_id", "left").select("claim_id", "status", "outcome")
 
 
 @query("SELECT o_orderkey AS k, CASE o_orderstatus WHEN 'O' THEN 'pending' WHEN 'P' THEN 'in_progress' ELSE o_orderstatus END AS state FROM orders")
