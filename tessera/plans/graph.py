@@ -98,15 +98,15 @@ def nodes_by_type_on_day(t):
 
 @query(
     """WITH d AS (
-        SELECT label AS day, node_id FROM nodes WHERE user_id = 'u0' AND node_type = 'Temporal' AND label = (SELECT max(label) FROM nodes WHERE node_type = 'Temporal' AND label < '1998')),
+        SELECT label AS day, node_id FROM nodes WHERE user_id = 'u0' AND node_type = 'Temporal' AND label = (SELECT max(substr(object_id, 5)) FROM due_claims WHERE user_id = 'u0' AND object_id < 'day:1998')),
     e AS (SELECT predicate, subject_id AS a, object_id AS b FROM claims WHERE user_id = 'u0' AND status = 'active' UNION SELECT predicate, object_id, subject_id FROM claims WHERE user_id = 'u0' AND status = 'active'),
     h AS (SELECT DISTINCT day, predicate, n.node_id, n.label FROM d JOIN e ON e.a = d.node_id JOIN nodes n ON n.node_id = e.b AND n.user_id = 'u0' AND n.node_id <> d.node_id),
     p AS (SELECT day, '## ' || predicate || chr(10) || chr(10) || string_agg('- **' || label || '** (id: ' || node_id || '): ' || chr(10), '' ORDER BY node_id) || chr(10) AS part FROM h GROUP BY day, predicate)
     SELECT day, (SELECT count(DISTINCT node_id) FROM h)::INTEGER AS node_count, '# Memories from ' || day || chr(10) || chr(10) || string_agg(part, '' ORDER BY part) AS text FROM p GROUP BY day""",
-    "claims nodes",
+    "claims due_claims nodes",
 )
 def day_memories(t):
-    day = t.nodes.where("node_type = 'Temporal' AND label < '1998'").agg(F.max("label")).first()[0]
+    day = t.due_claims.where("user_id = 'u0' AND object_id < 'day:1998'").agg(F.max(F.substring("object_id", 5, 10))).first()[0]
     return G.day_report(t.claims, t.nodes, day, "u0")
 
 
