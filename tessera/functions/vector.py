@@ -27,10 +27,15 @@ def nearest_in_blocks(queries: DataFrame, known: DataFrame, id_col: str, vector_
     """
     tenant = F.concat_ws("\0", *[F.col(c).cast("string") for c in within]) if within else F.lit("")
     take = lambda df: df.where(F.col(vector_col).isNotNull()).select(tenant.alias("tenant"), F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
-    blocks = lambda df, name: df.groupBy("tenant").agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias(name))
-    q, r = take(queries), take(known)
-    sizes = blocks(q, "_q").join(blocks(r, "_r"), "tenant")
-    deal = lambda df, own, other, i, j: df.join(sizes, "tenant").select("tenant", "id", "v", F.pmod(F.xxhash64("id"), F.col(own)).cast("int").alias(i), F.explode(F.sequence(F.lit(0), F.col(other) - 1)).alias(j))
+    if within:
+        blocks = lambda df, name: df.groupBy("tenant").agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias(name))
+        q, r = take(queries), take(known)
+        sizes = blocks(q, "_q").join(blocks(r, "_r"), "tenant")
+        q, r = q.join(sizes, "tenant"), r.join(sizes, "tenant")
+    else:  # one tenant: its sizes are two numbers
+        n, m = (F.lit(max(1, -(-df.count() // block_rows))) for df in (queries, known))
+        q, r = (take(df).withColumn("_q", n).withColumn("_r", m) for df in (queries, known))
+    deal = lambda df, own, other, i, j: df.select("tenant", "id", "v", F.pmod(F.xxhash64("id"), F.col(own)).cast("int").alias(i), F.explode(F.sequence(F.lit(0), F.col(other) - 1)).alias(j))
     kind, keys = queries.schema[id_col].dataType.simpleString(), ["tenant", "i", "j"]
 
     def closest(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
