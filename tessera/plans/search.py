@@ -143,7 +143,7 @@ def identity_embedding(t):
     return I.by_vector(_twentieth(t.node_vectors), t.node_vectors, 0.1)
 
 
-_PROFILE = "pr AS (SELECT DISTINCT subject_id AS node_id, predicate || '|' || coalesce(object_id, object_value) AS k FROM claims WHERE status = 'active' AND asserted_by_kind <> 'assistant_inferred')"
+_PROFILE = "pr AS (SELECT DISTINCT subject_id AS node_id, predicate || '|' || coalesce(object_id, object_value) AS k FROM claims WHERE status = 'active' AND asserted_by_kind IN ('user', 'user_confirmed', 'system'))"
 
 
 @query(f"WITH {_PROFILE}, {_nearest('person_vectors')}, b AS (SELECT c.node_id, c.match_id, count(*) AS common FROM near c JOIN pr p ON p.node_id = c.node_id JOIN pr q ON q.node_id = c.match_id AND q.k = p.k GROUP BY ALL), m AS (SELECT node_id, count(*) AS n FROM pr GROUP BY node_id) SELECT b.node_id, b.match_id, round(common / (x.n + y.n - common)::DOUBLE, 6) AS similarity FROM b JOIN m x ON x.node_id = b.node_id JOIN m y ON y.node_id = b.match_id WHERE round(common / (x.n + y.n - common)::DOUBLE, 6) >= 0.25", "claims person_vectors")
@@ -168,12 +168,6 @@ def cross_scope_collisions(t):
     return I.cross_scope(t.nodes, _scopes(t))
 
 
-@query(f"WITH {_SCOPES}, c AS (SELECT a.node_id, b.node_id AS m FROM sc a JOIN sc b ON a.user_id = b.user_id AND a.node_type = b.node_type AND {_LABEL.format('a.label')} = {_LABEL.format('b.label')} AND a.node_id <> b.node_id AND a.scope = b.scope WHERE a.node_type = 'Object'), n AS (SELECT node_id, count(DISTINCT m) AS k, min(m) AS m FROM c GROUP BY node_id), al AS (SELECT a.node_id, count(DISTINCT x.node_id) AS k, min(x.node_id) AS m FROM sc a JOIN aliases x ON x.user_id = a.user_id AND x.normalized_alias_text = lower(trim(a.label)) AND x.node_id <> a.node_id JOIN sc b ON b.node_id = x.node_id AND b.scope = a.scope WHERE a.node_type = 'Object' GROUP BY a.node_id) SELECT s.node_id, CASE WHEN n.k = 1 THEN n.m WHEN n.k > 1 THEN NULL WHEN al.k = 1 THEN al.m END AS match_id, CASE WHEN n.k = 1 THEN 'label' WHEN n.k > 1 THEN 'ambiguous' WHEN al.k = 1 THEN 'alias' WHEN al.k > 1 THEN 'ambiguous' ELSE 'none' END AS signal FROM sc s LEFT JOIN n USING (node_id) LEFT JOIN al USING (node_id) WHERE s.node_type = 'Object'", "nodes aliases")
-def identity_decision(t):
-    objects = t.nodes.where("node_type = 'Object'")
-    return I.decide(objects, [("label", I.by_label(objects, t.nodes)), ("alias", I.by_alias(objects, t.aliases))], _scopes(t)).select("node_id", "match_id", "signal")
-
-
 @query("WITH s AS (SELECT quality = 1 AS truth, length(text) / 4000.0 AS score FROM documents JOIN labels USING (doc_id)), th AS (SELECT unnest([0.1, 0.25, 0.5, 0.75, 0.9])::DOUBLE AS threshold), n AS (SELECT threshold, count(*) FILTER (WHERE score >= threshold AND truth) AS tp, count(*) FILTER (WHERE score >= threshold AND NOT truth) AS fp, count(*) FILTER (WHERE score < threshold AND truth) AS fn FROM s, th GROUP BY threshold) SELECT threshold, tp, fp, fn, round(coalesce(tp / nullif(tp + fp, 0)::DOUBLE, 0), 6) AS precision, round(coalesce(tp / nullif(tp + fn, 0)::DOUBLE, 0), 6) AS recall, round(coalesce(2.0::DOUBLE * tp / nullif(2 * tp + fp + fn, 0), 0), 6) AS f1 FROM n")
 def threshold_confusion(t):
     scored = t.documents.join(t.labels, "doc_id").select((F.col("quality") == 1).alias("truth"), (F.length("text") / 4000.0).alias("score"))

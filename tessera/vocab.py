@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 #: Trust in who asserted a claim.
 TRUST = {"user": 5, "user_confirmed": 5, "participant": 4, "document_author": 3, "assistant_inferred": 2, "system": 1}
 TRUSTED_USERS = ("user", "user_confirmed")
+#: Who must have said what a profile is made of, and what a digest may tell.
+PROFILE_KINDS = ("user", "user_confirmed", "system")
 #: Predicates of which a subject has one current value; DUE_ON only of a Task.
 SINGLE_CURRENT = ("HAS_STATUS", "HAS_TASK_STATUS", "ASSIGNED_TO")
 SINGLE_CURRENT_OF_TASK = ("DUE_ON",)
