@@ -1,15 +1,20 @@
-"""Structured Streaming: metric buckets and claims whose touched keys are resolved again."""
+"""Structured Streaming: metric buckets, claims whose touched keys are resolved again, and periods that fall due when they end."""
 
 from __future__ import annotations
 
-import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import StringType, StructField, StructType
 
-from ..operators.lifecycle import KEY, apply_lifecycle
+from ..operators.lifecycle import KEY, recompute
+from ..sinks import MergeTable
+from ..storage import shared_dir
 
 
 def event_buckets(events: DataFrame, width: str = "1 day", late: str = "1 hour") -> DataFrame:
@@ -30,44 +35,60 @@ def new_rows(rows: DataFrame, key: list[str], time: str, late: str) -> DataFrame
     return rows.withWatermark(time, late).dropDuplicatesWithinWatermark(key)
 
 
-def resolve_stream(claims: DataFrame, state_path: str, checkpoint: str) -> StreamingQuery:
+def claim_state(spark: SparkSession, path: str, claims: StructType, buckets: int = 64) -> MergeTable:
+    """The table that resolve_stream keeps: claims of any status with status, valid_from, valid_to and superseded_by as resolved, in buckets by key."""
+    last = ("status", "valid_from", "valid_to")
+    fields = [f for f in claims if f.name not in (*last, "superseded_by")] + [claims[c] for c in last] + [StructField("superseded_by", StringType())]
+    return MergeTable(spark, path, list(KEY), StructType([StructField(f.name, f.dataType) for f in fields]), buckets)
+
+
+def resolve_stream(claims: DataFrame, state_path: str, checkpoint: str, buckets: int = 64) -> StreamingQuery:
     """Keeps resolved claims under ``state_path``: every batch resolves again the keys it touches, from all their claims, so that late and repeated rows give the
-    same state as one run over everything. Each batch writes a new version; the last complete one counts, so a lost run is repeated safely."""
-
-    def fold(batch: DataFrame, version: int) -> None:
-        spark = batch.sparkSession
-        seen = current(spark, state_path, before=version)
-        rows = batch if seen is None else seen.select(*batch.columns).join(batch.select("claim_id"), "claim_id", "left_anti").unionByName(batch)
-        keys = batch.select(*KEY).distinct()
-        touched = rows.join(keys, [*KEY], "left_semi").select(*batch.columns)
-        done = apply_lifecycle(touched.dropDuplicates(["claim_id"]))
-        if seen is not None:
-            done = done.unionByName(seen.join(keys, [*KEY], "left_anti").select(*done.columns))
-        done.write.mode("overwrite").parquet(f"{state_path}/v={version:012d}")
+    same state as one run over everything. Only the buckets of those keys are read and written. A batch that is run again after a loss counts once. A claim id keeps its key for ever."""
+    table = claim_state(claims.sparkSession, state_path, claims.schema, buckets)
+
+    def fold(batch: DataFrame, number: int) -> None:
+        table.change(batch.dropDuplicates(["claim_id"]), lambda old, new: recompute(old, new), "claims", number)
 
     return claims.writeStream.foreachBatch(fold).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def current(spark: SparkSession, state_path: str, before: int | None = None) -> DataFrame | None:
-    """The newest version of the state, or the newest older than a batch."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(state_path)
-    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(path):
-        return None
-    found = sorted(s.getPath().getName() for s in fs.listStatus(path) if fs.exists(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS")))
-    found = [v for v in found if before is None or int(v[2:]) < before]
-    return spark.read.parquet(f"{state_path}/{found[-1]}") if found else None
+def due_periods(touches: DataFrame, late: str = "1 hour") -> DataFrame:
+    """Days, ISO weeks, months and years that rows (user_id, ts) of a stream touch, each once, when it has ended: user_id, level, key, due_at.
+
+    A touched period waits in the state with a timer at its end and leaves it when the watermark passes that. Rows that come within ``late`` count; repeated ones change nothing. Null users are a user
+    like others, rows without a time are left out. A period is one group, but all its rows of a batch are first cut to one.
+    """
+    rows = touches.select("user_id", F.col("ts").cast("timestamp").alias("ts")).where("ts IS NOT NULL").withWatermark("ts", late)
+    day = F.col("ts").cast("date")
+    week, month, year = (F.trunc(day, unit) for unit in ("week", "month", "year"))
+    iso = F.concat(F.extract(F.lit("YEAROFWEEK"), week).cast("string"), F.lit("-W"), F.lpad(F.weekofyear(week).cast("string"), 2, "0"))
+    part = lambda level, key, end: F.struct(F.lit(level).alias("level"), key.alias("key"), F.unix_millis(end.cast("timestamp")).alias("end"))
+    parts = F.array(
+        part("day", F.date_format(day, "yyyy-MM-dd"), F.date_add(day, 1)), part("week", iso, F.date_add(week, 7)),
+        part("month", F.date_format(month, "yyyy-MM"), F.add_months(month, 1)), part("year", F.date_format(year, "yyyy"), F.add_months(year, 12)),
+    )
+    spread = rows.withColumn("p", F.explode(parts)).select("user_id", "ts", "p.level", "p.key", "p.end").dropDuplicatesWithinWatermark(["user_id", "level", "key"])
+
+    def wait(period: tuple, _batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        end = period[3]
+        if state.hasTimedOut or state.getCurrentWatermarkMs() >= end:
+            if state.exists:
+                state.remove()
+            yield pd.DataFrame([period], columns=["user_id", "level", "key", "end"])
+        else:
+            state.update((True,))
+            state.setTimeoutTimestamp(int(end))
+
+    user = touches.schema["user_id"].dataType.simpleString()
+    out = spread.groupBy("user_id", "level", "key", "end").applyInPandasWithState(wait, f"user_id {user}, level string, key string, end long", "waits boolean", "append", GroupStateTimeout.EventTimeTimeout)
+    return out.select("user_id", "level", "key", F.timestamp_millis("end").alias("due_at"))
 
 
 def run_to_table(df: DataFrame, name: str, mode: str = "complete") -> DataFrame:
     """Runs a stream over all that is there. Each batch of a complete stream replaces the table under the shared folder, so that the result never passes the driver."""
     spark = df.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        root = tempfile.mkdtemp(prefix="tessera-")
-    path = f"{root}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     write = "overwrite" if mode == "complete" else "append"
     q = df.writeStream.foreachBatch(lambda batch, _: batch.write.mode(write).parquet(f"{path}/rows")).option("checkpointLocation", f"{path}/checkpoint").outputMode(mode).trigger(availableNow=True).start()
     q.awaitTermination()

@@ -10,9 +10,6 @@ from tessera.operators import commitments as C
 from tessera.operators import ingest as N
 from tessera.operators import search as R
 from tessera.sources.files import chat_export, vault
-from tessera.streaming.pipelines import current, resolve_stream
-
-from .test_lifecycle import claim, frame
 
 
 def one(spark, column):
@@ -94,19 +91,6 @@ def test_json_merge(spark):
     assert got == {"title": "old", "a": "2"}
 
 
-def test_stream_equals_batch(spark, tmp_path):
-    from tessera.operators.lifecycle import apply_lifecycle
-
-    rows = [claim(i, (i * 5) % 9, ("user", "assistant_inferred")[i % 2], subject=f"s{i % 3}") for i in range(12)]
-    src, state = str(tmp_path / "in"), str(tmp_path / "state")
-    for part in (rows[:5], rows[5:]):
-        frame(spark, part).coalesce(1).write.mode("append").parquet(src)
-        q = resolve_stream(spark.readStream.schema(frame(spark, rows).schema).parquet(src), state, str(tmp_path / "ck"))
-        q.awaitTermination()
-    whole = apply_lifecycle(frame(spark, rows))
-    assert sorted(current(spark, state).select(*whole.columns).collect()) == sorted(whole.collect())
-
-
 def test_local_instants(spark):
     from datetime import datetime
     from zoneinfo import ZoneInfo
