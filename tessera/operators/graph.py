@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.period import DAY
+from ..storage import new_folder, saved
 from ..vocab import STRUCTURAL_TYPES
 from .filters import endpoints, in_scope, without_inferred
 
@@ -104,16 +107,35 @@ def day_report(claims: DataFrame, nodes: DataFrame, day: str, user_id: str) -> D
     return whole.select("day", "node_count", F.concat(F.lit(f"# Memories from {day}\n\n"), F.array_join("parts", "")).alias("text"))
 
 
-def recent_changes(claims: DataFrame, nodes: DataFrame, start: Column, end: Column, limit: int, structural: bool = False) -> DataFrame:
-    """Claims and nodes created or updated in a window, newest first; a row created inside it counts as added."""
-    inside = lambda c: (F.col(c) >= start) & (F.col(c) < end)
-    changed = lambda df, kind, id_col: df.where(inside("created_at") | inside("updated_at")).select(F.lit(kind).alias("kind"), F.col(id_col).alias("id"), F.when(inside("created_at"), "added").otherwise("updated").alias("change"), F.when(inside("updated_at"), F.greatest("created_at", "updated_at")).otherwise(F.col("created_at")).alias("at"))
-    shown = nodes if structural else nodes.where(~F.col("node_type").isin(*STRUCTURAL_TYPES))
-    shown = shown if "updated_at" in shown.columns else shown.withColumn("updated_at", F.col("created_at"))
-    if not structural:
-        hidden = nodes.where(F.col("node_type").isin(*STRUCTURAL_TYPES)).select(F.col("node_id").alias("object_id"))
-        claims = claims.join(hidden, "object_id", "left_anti")
-    return changed(claims, "claim", "claim_id").unionByName(changed(shown, "node", "node_id")).orderBy(F.desc("at"), "kind", "id").limit(limit)
+def recent_changes(claims: DataFrame, nodes: DataFrame, sources: DataFrame, user_id: str, since: Column, until: Column, limit: int, types: tuple[str, ...] = ()) -> DataFrame:
+    """What is new in a user's memory within [since, until], as three feeds of rows (feed, id, change, at, label), each newest first by ``place``.
+
+    claim: active personal claims created or updated then, at most ``limit``; with ``types`` those with such a node at one of their ends. node: nodes created then, and older ones that one of those claims touches,
+    at most ``limit`` together, of ``types`` or else of any type but the structural ones. source: where those claims come from, titled by title or file name. A row created in the window is added, another updated.
+    """
+    work = new_folder(nodes.sparkSession, "changes")
+    inside = lambda c: F.col(c).between(since, until)
+    own = nodes.where(F.col("user_id") == user_id)
+    fit = F.col("node_type").isin(*types) if types else ~F.col("node_type").isin(*STRUCTURAL_TYPES)
+    rows = claims.where((F.col("user_id") == user_id) & (F.col("status") == "active") & (F.col("scope") == "personal") & (inside("created_at") | inside("updated_at")))
+    end = lambda side: nodes.select(F.col("node_id").alias(f"{side}_id"), F.col("label").alias(f"_{side}"), F.col("node_type").alias(f"_{side}_type"))
+    rows = rows.join(end("subject"), "subject_id")
+    if types:
+        rows = rows.join(end("object"), "object_id", "left").where(F.col("_subject_type").isin(*types) | F.coalesce(F.col("_object_type").isin(*types), F.lit(False)))
+    changed = F.when(F.col("created_at") >= since, "added").otherwise("updated")
+    rows = rows.withColumn("at", F.greatest("created_at", "updated_at")).orderBy(F.desc("at"), "claim_id").limit(limit)
+    said = saved(rows.select("claim_id", "subject_id", "object_id", "source_id", "at", changed.alias("change"), F.col("_subject").alias("label")), f"{work}/claims")  # at most ``limit`` rows, read three times
+    touched = endpoints(said).groupBy("node_id").agg(F.max("at").alias("at"))
+    added = own.where(inside("created_at") & fit).orderBy(F.desc("created_at"), "node_id").limit(limit).select("node_id", F.lit("added").alias("change"), F.col("created_at").alias("at"), "label")
+    older = own.where((F.col("created_at") < since) & fit).join(touched, "node_id").select("node_id", F.lit("updated").alias("change"), "at", "label")
+    n = added.unionByName(older).orderBy(F.desc("at"), "node_id").limit(limit)
+    text = lambda c: F.nullif(F.trim(F.get_json_object("metadata", f"$.{c}")), F.lit(""))
+    s = sources.where(F.col("user_id") == user_id).join(said.select("source_id").distinct(), "source_id", "left_semi")
+    s = s.select("source_id", F.lit(None).cast("string").alias("change"), F.coalesce("last_ingested_at", "created_at").alias("at"), F.coalesce(text("title"), text("filename")).alias("label"))
+    feeds = (("claim", said, "claim_id"), ("node", n, "node_id"), ("source", s, "source_id"))
+    parts = [df.select(F.lit(feed).alias("feed"), F.col(key).alias("id"), "change", "at", "label") for feed, df, key in feeds]
+    order = W.partitionBy("feed").orderBy(F.desc("at"), "id")  # at most ``limit`` rows a feed
+    return reduce(DataFrame.unionByName, parts).withColumn("place", F.row_number().over(order))
 
 
 def sample_pool(claims: DataFrame, least: int = 3, pool: int = 60) -> DataFrame:

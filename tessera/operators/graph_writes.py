@@ -9,11 +9,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import coerce_task_status, normalize_alias, normalize_label, stable_id
+from ..vocab import ORGANIZATION_WORDS
 from .hygiene import shaped
 
-#: Who says what a source's text says, if the claim names nobody. Fixed values.
-SPEAKER_OF = {"conversation": "user", "conversation_message": "user", "document": "document_author"}
-
 
 def create_nodes(proposed: DataFrame, at: Column) -> DataFrame:
     """New nodes (user_id, node_type, label) with ids that depend on the three, their canonical labels, and one row for repeated ones."""
@@ -76,33 +74,62 @@ def map_values(rows: DataFrame, column: str, mapping: dict[str, str]) -> DataFra
     return rows.join(F.broadcast(table), F.lower(F.trim(column)) == F.col("_from"), "left").withColumn(column, F.coalesce("_to", column)).drop("_from", "_to")
 
 
-def rewrite_predicates(claims: DataFrame, rules: list[tuple[str, str, str, str]]) -> DataFrame:
-    """Claims after rules (predicate, words of the statement, new predicate, new words): the first rule whose predicate and words a claim has changes both."""
-    predicate, statement = F.col("predicate"), F.col("statement")
-    for old, words, new, put in reversed(rules):
-        hit = (F.col("predicate") == old) & F.contains("statement", F.lit(words))
-        predicate, statement = F.when(hit, new).otherwise(predicate), F.when(hit, F.replace(F.col("statement"), F.lit(words), F.lit(put))).otherwise(statement)
-    return claims.withColumn("_p", predicate).withColumn("statement", statement).withColumn("predicate", F.col("_p")).drop("_p")
-
-
-def retype_organizations(nodes: DataFrame, claims: DataFrame, pattern: str, types: tuple[str, ...] = ("Concept", "Object")) -> DataFrame:
-    """Nodes that should be organizations: of the types given, with a label that the pattern fits or with an active claim that somebody works there, and that own nothing said of persons
-    only: nobody exhibits or participates in them."""
+def record_dates(claims: DataFrame, nodes: DataFrame, at: Column) -> DataFrame:
+    """Claims after system's own bookkeeping dates became RECORDED_ON: OCCURRED_ON claims of the system on a Temporal node whose statement has the generated form "... node occurred on ..." or
+    "... source occurred on ...". Others stay as they are."""
+    days = nodes.where("node_type = 'Temporal'").select(F.col("node_id").alias("object_id"), F.lit(True).alias("_day")).distinct()
+    generated = (F.col("predicate") == "OCCURRED_ON") & (F.col("asserted_by_kind") == "system") & F.col("statement").rlike(" (node|source) occurred on ")
+    open_rows = generated & F.col("object_id").isNotNull()
+    moved = claims.where(open_rows).join(days, "object_id", "left").select(*claims.columns, F.coalesce("_day", F.lit(False)).alias("_hit"))
+    rest = claims.where(~F.coalesce(open_rows, F.lit(False)))
+    put = lambda what: F.replace("statement", F.lit(f" {what} occurred on "), F.lit(f" {what} recorded on "))
+    text = F.when(F.contains("statement", F.lit(" node occurred on ")), put("node")).otherwise(put("source"))
+    new = {"predicate": F.lit("RECORDED_ON"), "statement": text, "updated_at": at}
+    return rest.unionByName(moved.select(*[F.when(F.col("_hit"), new[c]).otherwise(F.col(c)).alias(c) if c in new else F.col(c) for c in claims.columns]))
+
+
+def retype_organizations(nodes: DataFrame, claims: DataFrame) -> DataFrame:
+    """Persons, concepts and objects that are organizations, with their new type. Their words must name one (label, canonical label or description; of persons the label), and an active claim must place
+    them like one: somebody works there, founded it or is affiliated with it, or owns what its label calls one; or it is itself affiliated, creates, is located, owns or uses, has such a label, and
+    nobody took part in it. Persons who feel, found, have goals or preferences, take part or work somewhere, or have tasks, stay persons. One pass over the claims gives all these facts.
+    """
     active = claims.where("status = 'active'")
-    worked = active.where("predicate = 'WORKS_AT'").select(F.col("object_id").alias("node_id")).distinct().withColumn("_worked", F.lit(True))
-    person = active.where(F.col("predicate").isin("PARTICIPATED_IN", "EXHIBITED_EMOTION")).select(F.col("subject_id").alias("node_id"))
-    rows = nodes.where(F.col("node_type").isin(*types)).join(worked, "node_id", "left").where(F.col("label").rlike(f"(?i){pattern}") | F.col("_worked"))
-    return rows.drop("_worked").join(person, "node_id", "left_anti").withColumn("node_type", F.lit("Organization"))
-
-
-def provenance(claims: DataFrame, sources: DataFrame) -> DataFrame:
-    """Who asserted each extracted claim (claim_id, source_id, said_by_kind, said_by_id): what the claim itself says, else the kind that its source's type implies, else the assistant.
-    A participant without a speaker counts as the assistant's inference."""
-    kinds = F.create_map(*[F.lit(x) for kv in SPEAKER_OF.items() for x in kv])
-    rows = claims.join(sources.select("source_id", "type"), "source_id", "left")
-    kind = F.coalesce("said_by_kind", kinds[F.col("type")], F.lit("assistant_inferred"))
-    lost = (kind == "participant") & F.col("said_by_id").isNull()
-    return rows.select("claim_id", "source_id", F.when(lost, "assistant_inferred").otherwise(kind).alias("asserted_by_kind"), F.when(kind == "participant", F.col("said_by_id")).alias("asserted_by_id"))
+    said = lambda end, *names: F.coalesce(F.bool_or((F.col("end") == end) & F.col("predicate").isin(*names)), F.lit(False))
+    ends = active.select(F.explode(F.array(F.struct(F.lit("s").alias("end"), F.col("subject_id").alias("node_id")), F.struct(F.lit("o").alias("end"), F.col("object_id").alias("node_id")))).alias("e"), "predicate")
+    facts = ends.select("e.*", "predicate").where("node_id IS NOT NULL").groupBy("node_id").agg(
+        said("s", "EXHIBITED_EMOTION", "FOUNDED", "HAS_GOAL", "HAS_PREFERENCE", "PARTICIPATED_IN", "WORKS_AT").alias("_human"), said("o", "ASSIGNED_TO").alias("_assigned"), said("o", "WORKS_AT").alias("_worked"),
+        said("o", "FOUNDED", "AFFILIATED_WITH").alias("_joined"), said("o", "OWNS").alias("_owned"), said("s", "AFFILIATED_WITH", "CREATED", "LOCATED_IN", "OWNS", "USES").alias("_acts"), said("o", "PARTICIPATED_IN").alias("_event"),
+    )
+    word = rf"(?i)(^|[^\p{{L}}\p{{N}}])({ORGANIZATION_WORDS})([^\p{{L}}\p{{N}}]|$)"
+    name = F.concat_ws(" ", F.coalesce("label", F.lit("")), F.coalesce(normalize_label(F.col("label")), F.lit("")))
+    whole = F.concat_ws(" ", name, F.coalesce("description", F.lit(""))) if "description" in nodes.columns else name
+    rows = nodes.where(F.col("node_type").isin("Person", "Concept", "Object") & whole.rlike(word)).join(facts, "node_id")
+    named = name.rlike(word)
+    human = (F.col("node_type") == "Person") & (~named | F.col("_human") | F.col("_assigned"))
+    placed = F.col("_worked") | F.col("_joined") | (F.col("_owned") & named) | (F.col("_acts") & named & ~F.col("_event"))
+    return rows.where(~human & placed).select(*[F.lit("Organization").alias(c) if c == "node_type" else c for c in nodes.columns])
+
+
+def provenance(claims: DataFrame, sources: DataFrame, speakers: DataFrame) -> DataFrame:
+    """Who asserted each extracted claim (claim_id, source_id, said_by_kind, said_by_speaker); claims that name nobody who is known are left out.
+
+    ``speakers`` (source_id, speaker, node_id, is_self) makes a source a transcript: each of its claims must name one of its speakers, spelled so or else in other letter case (then the first by spelling); the
+    user's own words count as the user's, confirmed if the claim says so, and all others as that participant's. Without speakers a claim's own kind counts, except participant, which is skipped; a claim of no kind
+    is the document author's in a document, else the user's.
+    """
+    entry = F.struct("speaker", "node_id", "is_self")
+    heard = speakers.groupBy("source_id", F.lower("speaker").alias("_low")).agg(F.array_sort(F.collect_set(entry)).alias("_found"))  # the spellings of one name
+    transcripts = speakers.select("source_id", F.lit(True).alias("_transcript")).distinct()
+    label = F.trim(F.coalesce("said_by_speaker", F.lit("")))
+    rows = claims.withColumn("_label", label).withColumn("_low", F.lower("_label")).join(sources.select("source_id", "type"), "source_id", "left").join(transcripts, "source_id", "left").join(heard, ["source_id", "_low"], "left")
+    same = F.filter("_found", lambda x: x["speaker"] == F.col("_label"))
+    who = F.coalesce(F.try_element_at(same, F.lit(1)), F.try_element_at("_found", F.lit(1)))
+    rows = rows.withColumn("_who", F.when(F.col("_label") != "", who)).withColumn("_t", F.coalesce("_transcript", F.lit(False)))
+    own = F.when(F.col("said_by_kind") == "user_confirmed", "user_confirmed").otherwise("user")
+    plain = F.coalesce("said_by_kind", F.when(F.col("type") == "document", "document_author").otherwise("user"))
+    kept = rows.where(F.when(F.col("_t"), F.col("_who").isNotNull()).otherwise(F.coalesce(F.col("said_by_kind") != "participant", F.lit(True))))
+    kind = F.when(~F.col("_t"), plain).when(F.col("_who.is_self"), own).otherwise("participant")
+    return kept.select("claim_id", "source_id", kind.alias("asserted_by_kind"), F.when(F.col("_t") & ~F.col("_who.is_self"), F.col("_who.node_id")).alias("asserted_by_id"))
 
 
 def extraction_outcome(extracted: DataFrame, nodes: DataFrame, sources: DataFrame, stored: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.period import DAY, ancestors
+from ..vocab import FORCE_REFRESH, PROFILE_KINDS
 from .filters import endpoints
 from .graph import labelled
 
@@ -56,13 +57,13 @@ def hub_documents(links: DataFrame, nodes: DataFrame) -> DataFrame:
     return links.join(nodes.where("node_type = 'Document'").select("node_id"), "node_id", "left_semi").groupBy("source_id").agg(F.min("node_id").alias("node_id"))
 
 
-def recent_supersessions(claims: DataFrame, since: Column, most: int = 20) -> DataFrame:
-    """What single-valued facts changed lately, newest first: each superseded claim with its old and new value."""
-    by = W.partitionBy("subject_id", "predicate").orderBy("stated_at", "claim_id")
-    value = F.coalesce("object_value", "object_id")
-    rows = claims.withColumn("now", value).withColumn("was", F.lag(value).over(by))
-    changed = rows.where(F.col("was").isNotNull() & (F.col("was") != F.col("now")) & (F.col("stated_at") >= since))
-    return changed.orderBy(F.desc("stated_at"), "claim_id").limit(most).select("claim_id", "subject_id", "predicate", "was", "now", "stated_at")
+def recent_supersessions(claims: DataFrame, nodes: DataFrame, user_id: str, as_of: Column, most: int = 20) -> DataFrame:
+    """What of a user's personal facts ended in the day before ``as_of`` or later, newest first: trusted claims of predicates that must not be asked again, with their source and a line to show."""
+    ended = claims.where((F.col("user_id") == user_id) & (F.col("scope") == "personal") & F.col("predicate").isin(*FORCE_REFRESH) & F.col("status").isin("superseded", "contradicted", "retracted"))
+    ended = ended.where(F.col("asserted_by_kind").isin(*PROFILE_KINDS) & (F.col("updated_at") >= as_of - F.expr("INTERVAL '24' HOUR"))).orderBy(F.desc("updated_at"), "claim_id").limit(most)
+    rows = ended.join(nodes.select(F.col("node_id").alias("subject_id"), "label"), "subject_id", "left")
+    line = F.concat(F.lit("- "), F.coalesce("label", F.lit("(unlabeled)")), F.lit(": "), "statement", F.lit(" ["), "status", F.lit("]"))
+    return rows.select("claim_id", "source_id", line.alias("line"), "updated_at")
 
 
 def section(kind: str, lines: DataFrame, most: int = 20) -> DataFrame:

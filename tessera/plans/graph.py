@@ -110,9 +110,30 @@ def day_memories(t):
     return G.day_report(t.claims, t.nodes, day, "u0")
 
 
-@query("WITH w AS (SELECT TIMESTAMP '1998-01-01 00:00:00' AS s, TIMESTAMP '1998-01-08 00:00:00' AS e), ch AS (SELECT 'claim' AS kind, claim_id AS id, created_at AS c, updated_at AS u FROM claims WHERE object_id IS NULL OR object_id NOT LIKE 'day:%' UNION ALL SELECT 'node', node_id, created_at, created_at FROM nodes WHERE node_type <> 'Temporal') SELECT kind, id, CASE WHEN c >= s AND c < e THEN 'added' ELSE 'updated' END AS change, CAST(CASE WHEN u >= s AND u < e THEN greatest(c, u) ELSE c END AS VARCHAR) AS \"at\" FROM ch, w WHERE (c >= s AND c < e) OR (u >= s AND u < e) ORDER BY \"at\" DESC, kind, id LIMIT 300", "claims nodes")
+_CHANGES = """
+w AS (SELECT TIMESTAMP '1998-01-01 00:00:00' AS s, TIMESTAMP '1998-02-08 00:00:00' AS e),
+c AS (SELECT claim_id, subject_id, object_id, source_id, greatest(c.created_at, c.updated_at) AS moment, CASE WHEN c.created_at >= s THEN 'added' ELSE 'updated' END AS change, n.label, n.node_type AS st, o.node_type AS ot
+    FROM claims c JOIN nodes n ON n.node_id = subject_id LEFT JOIN nodes o ON o.node_id = object_id, w
+    WHERE c.user_id = 'u1' AND status = 'active' AND scope = 'personal' AND (c.created_at BETWEEN s AND e OR c.updated_at BETWEEN s AND e)),
+k AS (SELECT * FROM c WHERE {which} ORDER BY moment DESC, claim_id LIMIT 200),
+t AS (SELECT node_id, max(moment) AS moment FROM (SELECT subject_id AS node_id, moment FROM k UNION ALL SELECT object_id, moment FROM k WHERE object_id IS NOT NULL) GROUP BY node_id),
+nw AS (SELECT node_id, 'added' AS change, created_at AS moment, label FROM nodes, w WHERE user_id = 'u1' AND created_at BETWEEN s AND e AND {type}
+    UNION ALL SELECT n.node_id, 'updated', t.moment, label FROM nodes n JOIN t USING (node_id), w WHERE user_id = 'u1' AND created_at < s AND {type}),
+f AS (SELECT 'claim' AS feed, claim_id AS id, change, moment, label FROM k
+    UNION ALL SELECT 'node', * FROM (SELECT node_id, change, moment, label FROM nw ORDER BY moment DESC, node_id LIMIT 200)
+    UNION ALL SELECT 'source', source_id, NULL, coalesce(last_ingested_at, created_at), coalesce(nullif(trim(json_extract_string(metadata, '$.title')), ''), nullif(trim(json_extract_string(metadata, '$.filename')), '')) FROM source_rows
+        WHERE user_id = 'u1' AND source_id IN (SELECT source_id FROM k))
+SELECT feed, id, change, CAST(moment AS VARCHAR) AS "at", label, row_number() OVER (PARTITION BY feed ORDER BY moment DESC, id) AS place FROM f"""
+
+
+@query("WITH " + _CHANGES.format(which="TRUE", type="node_type NOT IN ('Temporal', 'Atlas', 'AssistantDream')"), "claims nodes source_rows")
 def recent_changes(t):
-    return G.recent_changes(t.claims, t.nodes, _at("1998-01-01 00:00:00"), _at("1998-01-08 00:00:00"), 300)
+    return G.recent_changes(t.claims, t.nodes, t.source_rows, "u1", _at("1998-01-01 00:00:00"), _at("1998-02-08 00:00:00"), 200)
+
+
+@query("WITH " + _CHANGES.format(which="st = 'Object' OR coalesce(ot = 'Object', FALSE)", type="node_type = 'Object'"), "claims nodes source_rows")
+def recent_changes_of_types(t):
+    return G.recent_changes(t.claims, t.nodes, t.source_rows, "u1", _at("1998-01-01 00:00:00"), _at("1998-02-08 00:00:00"), 200, ("Object",))
 
 
 @query(f"WITH {_ENDS} SELECT node_id, count(*) AS connections FROM ends GROUP BY node_id HAVING count(*) >= 3 ORDER BY connections DESC, node_id LIMIT 60", "claims")

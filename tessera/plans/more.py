@@ -17,6 +17,9 @@ from ..operators import reads as D
 from ..operators import rollup as U
 from ..operators import search as R
 from ..operators.cleanup import apply_cleanup
+from ..operators.lifecycle import apply_lifecycle
+from ..vocab import ORGANIZATION_WORDS
+from .claims import STATUS
 from .registry import query
 
 _CANON = "lower(regexp_replace(trim({0}), '\\s+', ' ', 'g'))"
@@ -187,22 +190,66 @@ def state_spellings(t):
     return X.map_values(t.orders.select(F.col("o_orderkey").alias("k"), F.col("o_orderstatus").alias("state")), "state", {"o": "pending", "p": "in_progress"})
 
 
-@query("SELECT claim_id, CASE WHEN predicate = 'RELATED_TO' THEN 'USES' WHEN predicate = 'DUE_ON' THEN 'OCCURRED_ON' ELSE predicate END AS predicate, CASE WHEN predicate = 'RELATED_TO' THEN replace(statement, 'uses part', 'makes use of') WHEN predicate = 'DUE_ON' THEN replace(statement, 'due on', 'falls on') ELSE statement END AS statement FROM claims", "claims")
+_DATED = (
+    "SELECT claim_id, object_id, CASE WHEN CAST(substr(claim_id, 2) AS BIGINT) % 5 = 0 THEN 'DUE_ON' ELSE 'OCCURRED_ON' END AS predicate, CASE WHEN CAST(substr(claim_id, 2) AS BIGINT) % 4 = 0 THEN asserted_by_kind ELSE 'system' END AS asserted_by_kind, "
+    "CASE CAST(substr(claim_id, 2) AS BIGINT) % 3 WHEN 0 THEN 'Task node occurred on ' || substr(object_id, 5) WHEN 1 THEN 'Document source occurred on ' || substr(object_id, 5) ELSE 'it occurred on a day' END AS statement, updated_at FROM {table}"
+)
+
+
+@query(
+    f"""WITH d AS ({_DATED.format(table='due_claims')} UNION ALL SELECT claim_id, object_id, 'OCCURRED_ON', 'system', 'Task node occurred on no day', updated_at FROM owner_claims),
+    h AS (SELECT d.*, coalesce(predicate = 'OCCURRED_ON' AND asserted_by_kind = 'system' AND n.node_type = 'Temporal' AND (statement LIKE '% node occurred on %' OR statement LIKE '% source occurred on %'), FALSE) AS hit FROM d LEFT JOIN nodes n ON n.node_id = object_id)
+    SELECT claim_id, CASE WHEN hit THEN 'RECORDED_ON' ELSE predicate END AS predicate, CASE WHEN hit THEN replace(replace(statement, ' node occurred on ', ' node recorded on '), ' source occurred on ', ' source recorded on ') ELSE statement END AS statement,
+        CASE WHEN hit THEN '2002-01-01 00:00:00' ELSE CAST(updated_at AS VARCHAR) END AS updated_at FROM h""",
+    "due_claims owner_claims nodes",
+)
 def predicate_rewrite(t):
-    rules = [("RELATED_TO", "uses part", "USES", "makes use of"), ("DUE_ON", "due on", "OCCURRED_ON", "falls on")]
-    return X.rewrite_predicates(t.claims, rules).select("claim_id", "predicate", "statement")
+    dated = t.spark.sql(_DATED.format(table="{due}"), due=t.due_claims)
+    other = t.owner_claims.select("claim_id", "object_id", F.lit("OCCURRED_ON").alias("predicate"), F.lit("system").alias("asserted_by_kind"), F.lit("Task node occurred on no day").alias("statement"), "updated_at")
+    return X.record_dates(dated.unionByName(other), t.nodes, _at("2002-01-01")).select("claim_id", "predicate", "statement", "updated_at")
 
 
-@query("SELECT n.node_id, 'Organization' AS node_type FROM nodes n WHERE n.node_type IN ('Object', 'Person') AND (regexp_matches(label, '(gear|000000007$)', 'i') OR EXISTS (SELECT 1 FROM shape_claims c WHERE c.object_id = n.node_id AND c.predicate = 'WORKS_AT')) AND NOT EXISTS (SELECT 1 FROM shape_claims c WHERE c.subject_id = n.node_id AND c.predicate IN ('PARTICIPATED_IN', 'EXHIBITED_EMOTION'))", "nodes shape_claims")
+_NAMED = (
+    "SELECT node_id, node_type, CASE try_cast(substr(node_id, 2) AS BIGINT) % 4 WHEN 0 THEN label || ' Labs' WHEN 1 THEN 'Team ' || label WHEN 2 THEN label || 'team' ELSE label END AS label, "
+    "CASE WHEN try_cast(substr(node_id, 2) AS BIGINT) % 5 = 0 THEN 'a Non-Profit, they say' END AS description FROM {table}"
+)
+_WORD = "'(?i)(^|[^\\p{L}\\p{N}])(" + ORGANIZATION_WORDS + ")([^\\p{L}\\p{N}]|$)'"
+
+
+@query(
+    f"""WITH n AS ({_NAMED.format(table='nodes')}), x AS (SELECT *, regexp_matches(coalesce(label, ''), {_WORD}) AS named, regexp_matches(coalesce(label, '') || ' ' || coalesce(description, ''), {_WORD}) AS worded FROM n),
+    a AS (SELECT * FROM shape_claims WHERE status = 'active')
+    SELECT node_id, 'Organization' AS node_type, label FROM x WHERE node_type IN ('Person', 'Concept', 'Object') AND worded
+    AND (node_type <> 'Person' OR (named AND node_id NOT IN (SELECT subject_id FROM a WHERE predicate IN ('EXHIBITED_EMOTION', 'FOUNDED', 'HAS_GOAL', 'HAS_PREFERENCE', 'PARTICIPATED_IN', 'WORKS_AT'))
+        AND node_id NOT IN (SELECT object_id FROM a WHERE predicate = 'ASSIGNED_TO')))
+    AND (node_id IN (SELECT object_id FROM a WHERE predicate IN ('WORKS_AT', 'FOUNDED', 'AFFILIATED_WITH')) OR (named AND node_id IN (SELECT object_id FROM a WHERE predicate = 'OWNS'))
+        OR (named AND node_id IN (SELECT subject_id FROM a WHERE predicate IN ('AFFILIATED_WITH', 'CREATED', 'LOCATED_IN', 'OWNS', 'USES')) AND node_id NOT IN (SELECT object_id FROM a WHERE predicate = 'PARTICIPATED_IN')))""",
+    "nodes shape_claims",
+)
 def organization_retype(t):
-    return X.retype_organizations(t.nodes, t.shape_claims, "(gear|000000007$)", ("Object", "Person")).select("node_id", "node_type")
+    nodes = t.spark.sql(_NAMED.format(table="{nodes}"), nodes=t.nodes)
+    return X.retype_organizations(nodes, t.shape_claims).select("node_id", "node_type", "label")
+
+
+_SAID = (
+    "SELECT claim_id, source_id, CASE CAST(substr(claim_id, 2) AS BIGINT) % 5 WHEN 0 THEN 'participant' WHEN 1 THEN 'user' WHEN 2 THEN 'user_confirmed' WHEN 3 THEN 'assistant_inferred' END AS said_by_kind, "
+    "CASE CAST(substr(claim_id, 2) AS BIGINT) % 7 WHEN 0 THEN ' me ' WHEN 1 THEN 'ME' WHEN 2 THEN 'Ann' WHEN 3 THEN 'ANN' WHEN 4 THEN 'aNN' WHEN 5 THEN 'Bob' END AS said_by_speaker FROM {table}"
+)
+_HEARD = "SELECT source_id, s.speaker, s.speaker || source_id AS node_id, s.speaker = 'me' AS is_self FROM {table} {unnest} WHERE CAST(substr(source_id, 4) AS BIGINT) % 3 = 1"
 
 
-@query("WITH x AS (SELECT c.claim_id, CASE CAST(substr(c.claim_id, 2) AS BIGINT) % 4 WHEN 0 THEN 'participant' WHEN 1 THEN 'user' END AS said, CASE WHEN CAST(substr(c.claim_id, 2) AS BIGINT) % 8 = 0 THEN c.subject_id END AS who, s.type FROM status_claims c LEFT JOIN source_rows s USING (source_id)) SELECT claim_id, CASE WHEN said = 'participant' AND who IS NULL THEN 'assistant_inferred' ELSE coalesce(said, CASE type WHEN 'conversation' THEN 'user' WHEN 'document' THEN 'document_author' END, 'assistant_inferred') END AS asserted_by_kind, CASE WHEN said = 'participant' THEN who END AS asserted_by_id FROM x", "status_claims source_rows")
+@query(
+    f"""WITH x AS ({_SAID.format(table='status_claims')}), p AS ({_HEARD.format(table='source_rows', unnest="CROSS JOIN (SELECT unnest(['me', 'Ann', 'ANN']) AS speaker) s")}),
+    y AS (SELECT x.*, r.type, x.source_id IN (SELECT source_id FROM p) AS transcript, trim(coalesce(said_by_speaker, '')) AS spoken FROM x LEFT JOIN source_rows r USING (source_id)),
+    z AS (SELECT y.*, coalesce((SELECT min(speaker) FROM p WHERE p.source_id = y.source_id AND p.speaker = spoken), (SELECT min(speaker) FROM p WHERE p.source_id = y.source_id AND lower(p.speaker) = lower(spoken))) AS who FROM y)
+    SELECT claim_id, CASE WHEN NOT transcript THEN coalesce(said_by_kind, CASE WHEN type = 'document' THEN 'document_author' ELSE 'user' END) WHEN who <> 'me' THEN 'participant' WHEN said_by_kind = 'user_confirmed' THEN 'user_confirmed' ELSE 'user' END AS asserted_by_kind,
+        CASE WHEN transcript AND who <> 'me' THEN who || source_id END AS asserted_by_id FROM z WHERE CASE WHEN transcript THEN who IS NOT NULL ELSE coalesce(said_by_kind <> 'participant', TRUE) END""",
+    "status_claims source_rows",
+)
 def claim_provenance(t):
-    k = F.expr("CAST(substr(claim_id, 2) AS BIGINT)")
-    rows = t.status_claims.select("claim_id", "source_id", F.when(k % 4 == 0, "participant").when(k % 4 == 1, "user").alias("said_by_kind"), F.when(k % 8 == 0, F.col("subject_id")).alias("said_by_id"))
-    return X.provenance(rows, t.source_rows).select("claim_id", "asserted_by_kind", "asserted_by_id")
+    rows = t.spark.sql(_SAID.format(table="{claims}"), claims=t.status_claims)
+    heard = t.spark.sql(_HEARD.format(table="{sources}", unnest="LATERAL VIEW explode(array('me', 'Ann', 'ANN')) s AS speaker"), sources=t.source_rows)
+    return X.provenance(rows, t.source_rows, heard).select("claim_id", "asserted_by_kind", "asserted_by_id")
 
 
 _EXTRACTED = (
@@ -273,9 +320,14 @@ def hub_documents(t):
     return D.hub_documents(t.source_links, t.nodes.withColumn("node_type", F.lit("Document")))
 
 
-@query("WITH r AS (SELECT claim_id, subject_id, predicate, object_value AS now, lag(object_value) OVER (PARTITION BY subject_id, predicate ORDER BY stated_at, claim_id) AS was, stated_at FROM status_claims) SELECT claim_id, subject_id, was, now FROM r WHERE was IS NOT NULL AND was <> now AND stated_at >= TIMESTAMP '2001-01-01 00:00:00' ORDER BY stated_at DESC, claim_id LIMIT 20", "status_claims")
+@query(
+    STATUS + """, e AS (SELECT c.claim_id, c.source_id, c.subject_id, c.statement, c.updated_at FROM resolved r JOIN status_claims c USING (claim_id) WHERE resolved_status = 'superseded' AND c.user_id = 'u1' AND scope = 'personal'
+        AND c.asserted_by_kind IN ('user', 'user_confirmed', 'system') AND c.updated_at >= TIMESTAMP '1997-12-31 00:00:00' ORDER BY c.updated_at DESC, claim_id LIMIT 20)
+    SELECT claim_id, source_id, '- ' || coalesce(label, '(unlabeled)') || ': ' || statement || ' [superseded]' AS line FROM e LEFT JOIN nodes ON node_id = subject_id""",
+    "status_claims nodes",
+)
 def recent_supersessions(t):
-    return D.recent_supersessions(t.status_claims, _at("2001-01-01")).select("claim_id", "subject_id", "was", "now")
+    return D.recent_supersessions(apply_lifecycle(t.status_claims), t.nodes, "u1", _at("1998-01-01")).select("claim_id", "source_id", "line")
 
 
 @query("WITH l AS (SELECT rank() OVER (ORDER BY claim_id) AS place, statement || ' of ' || subject_id AS line FROM status_claims ORDER BY claim_id LIMIT 20) SELECT 'preferences' AS kind, string_agg('- ' || line, chr(10) ORDER BY place) AS text FROM l", "status_claims")

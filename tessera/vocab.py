@@ -10,6 +10,11 @@ TRUST = {"user": 5, "user_confirmed": 5, "participant": 4, "document_author": 3,
 TRUSTED_USERS = ("user", "user_confirmed")
 #: Who must have said what a profile is made of, and what a digest may tell.
 PROFILE_KINDS = ("user", "user_confirmed", "system")
+#: Words of labels and descriptions that tell an organization.
+ORGANIZATION_WORDS = (
+    r"agency|association|bank|b\.?v\.?|business|chapter|club|collective|college|committee|community|company|cooperative|corp\.?|corporation|council|crew|department|employer|firm|foundation|gmbh|group|guild|inc\.?|"
+    r"institution|institute|labs?|llc|ltd\.?|ngo|non-?profit|office|org|organisation|organization|partnership|school|society|startup|studio|team|university"
+)
 #: Predicates of which a subject has one current value; DUE_ON only of a Task.
 SINGLE_CURRENT = ("HAS_STATUS", "HAS_TASK_STATUS", "ASSIGNED_TO")
 SINGLE_CURRENT_OF_TASK = ("DUE_ON",)
