@@ -32,10 +32,8 @@ SCOPE = frozenset({"table", "td", "th", "caption", "button", "html"})
 #: What may start markup, and what matters inside a tag.
 _MARKUP, _NAME, _STOP = re.compile(r"<(?:!--|[!?]|/?[a-zA-Z])"), re.compile(r"[a-zA-Z][^\s/>]*"), re.compile(r"[>\"']")
 _ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
-_HIDING = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
-_RULE = re.compile(r"([^{}]*)\{([^{}]*)\}")
+_DECLARED = re.compile(r"\s*(display|visibility)\s*:\s*([a-z-]+)\s*(!\s*important)?\s*", re.I)
 _SELECTOR = re.compile(r"(?:[a-z][a-z0-9]*)?(?:[.#][\w-]+)*")
-_SHOWING = re.compile(r"display\s*:\s*(?!none)[a-z]|visibility\s*:\s*visible", re.I)
 _BLANKS = re.compile(r"[ \t\n\r\f]+")
 
 
@@ -43,12 +41,26 @@ _BLANKS = re.compile(r"[ \t\n\r\f]+")
 DEPTH, RECURSION = 500, 4000
 
 
+def declared(body: str) -> dict[str, tuple[bool, bool]]:
+    """(important, hides) of display and visibility in a list of declarations; of equal importance the last stands."""
+    out: dict[str, tuple[bool, bool]] = {}
+    for one in body.split(";"):
+        if m := _DECLARED.fullmatch(one):
+            name, value, important = m[1].lower(), m[2].lower(), bool(m[3])
+            if important >= out.get(name, (False, False))[0]:
+                out[name] = important, value in (("none",) if name == "display" else ("hidden", "collapse"))
+    return out
+
+
 class Node:
-    __slots__ = ("children", "hidden", "marks", "tag")
+    __slots__ = ("children", "hidden", "inline", "marks", "tag")
 
     def __init__(self, tag: str, marks: dict[str, str] | None = None):
         self.tag, self.children, self.marks = tag, [], marks or {}
-        self.hidden = tag in UNSEEN or "hidden" in self.marks or (tag == "input" and self.marks.get("type", "").lower() == "hidden") or bool(_HIDING.search(self.marks.get("style", ""))) or (tag == "dialog" and "open" not in self.marks)
+        self.hidden = tag in UNSEEN or "hidden" in self.marks or (tag == "input" and self.marks.get("type", "").lower() == "hidden") or (tag == "dialog" and "open" not in self.marks)
+        #: Whether only its style hides it, which a rule may overrule.
+        self.inline = not self.hidden and "style" in self.marks and any(hides for _, hides in declared(self.marks["style"]).values())
+        self.hidden |= self.inline
 
 
 def attributes(text: str) -> dict[str, str]:
@@ -93,44 +105,75 @@ class Reader:
         return begin, stop, "end" if closing else "start", name[0].lower(), self.source[name.end() : stop - 1]
 
 
-def hiding_rules(sheets: list[str]) -> list[tuple[str, frozenset, frozenset, bool]]:
-    """(tag, classes, ids, hides) of the rules of style sheets whose selector is a tag, classes and ids of one element. At-rules are left out."""
-    out = []
-    for sheet in sheets:
-        sheet = re.sub(r"/\*.*?(?:\*/|$)", "", sheet, flags=re.S)
-        plain, depth, skip = [], 0, None
-        for part in re.split(r"([{}@;])", sheet):
-            if part == "@" and skip is None:
-                skip = depth
-            depth += (part == "{") - (part == "}")
-            if skip is None:
-                plain.append(part)
-            elif depth == skip and part in "};" and part:
-                skip = None
-        for selectors, body in _RULE.findall("".join(plain)):
-            hides = bool(_HIDING.search(body))
-            if not hides and not _SHOWING.search(body):
+def plain_rules(sheet: str) -> Iterator[tuple[str, str]]:
+    """(selectors, declarations) of a style sheet in order. Comments and at-rules with what they hold are left out."""
+    sheet = re.sub(r"/\*.*?(?:\*/|$)", "", sheet, flags=re.S)
+    plain, depth, skip = [], 0, None
+    for part in re.split(r"([{}@;])", sheet):
+        if part == "@" and skip is None:
+            skip = depth
+        depth += (part == "{") - (part == "}")
+        if skip is None:
+            plain.append(part)
+        elif depth == skip and part in "};" and part:
+            skip = None
+    for rule in "".join(plain).split("}")[:-1]:
+        head, brace, body = rule.rpartition("{")
+        if brace:
+            yield head.rpartition("{")[2], body
+
+
+class Sheets:
+    """Rules of style sheets whose selector is a tag, classes and an id of one element, for display and visibility.
+
+    A rule is filed once, under the one of its tag, classes and id that the fewest rules name, so that an element is tried only on rules filed under a name of its own. Rules of one
+    selector are one. The strongest declaration of each property wins: important ones first, then by id, number of classes, tag, and place.
+    """
+
+    def __init__(self, sheets: list[str]):
+        found: dict[tuple[str, frozenset[str]], dict[str, tuple]] = {}
+        for place, (selectors, body) in enumerate(rule for sheet in sheets for rule in plain_rules(sheet)):
+            if not (what := declared(body)):
                 continue
             for one in selectors.lower().split(","):
                 one = one.strip()
-                if one and _SELECTOR.fullmatch(one):
-                    tag = re.match(r"[a-z0-9]*", one)[0]
-                    out.append((tag, frozenset(re.findall(r"\.([\w-]+)", one)), frozenset(re.findall(r"#([\w-]+)", one)), hides))
-    return out
-
-
-def apply_rules(root: Node, rules: list[tuple[str, frozenset, frozenset, bool]]) -> None:
-    """Hides what the last fitting rule hides; attributes of the element itself are stronger."""
+                if not one or not _SELECTOR.fullmatch(one):
+                    continue
+                tag, names = re.match(r"[a-z0-9]*", one)[0], re.findall(r"[.#][\w-]+", one)
+                ids = sum(n[0] == "#" for n in names)
+                kept = found.setdefault((tag, frozenset(names)), {})
+                for prop, (important, hides) in what.items():
+                    kept[prop] = max(kept.get(prop, ()), ((important, ids, len(names) - ids, bool(tag), place), hides))
+        named: dict[str, int] = {}
+        for tag, names in found:
+            for name in (*names, *([tag] if tag else [])):
+                named[name] = named.get(name, 0) + 1
+        self.filed: dict[str, list[tuple[str, frozenset[str], dict[str, tuple]]]] = {}
+        for (tag, names), what in found.items():
+            under = min((*names, *([tag] if tag else [])), key=lambda n: (named[n], n))
+            self.filed.setdefault(under, []).append((tag, names, what))
+
+    def hides(self, node: Node) -> bool:
+        own = {node.tag, *("." + c for c in node.marks.get("class", "").lower().split())}
+        if "id" in node.marks:
+            own.add("#" + node.marks["id"].lower())
+        best = {prop: ((important, 1 << 30), hides) for prop, (important, hides) in declared(node.marks.get("style", "")).items()}
+        for name in own:
+            for tag, names, what in self.filed.get(name, ()):
+                if (not tag or tag == node.tag) and names <= own:
+                    for prop, one in what.items():
+                        best[prop] = max(best.get(prop, ()), one)
+        return any(hides for _, hides in best.values())
+
+
+def apply_rules(root: Node, sheets: Sheets) -> None:
+    """Hides what the sheets hide. What its tag or an attribute other than its style hides stays hidden."""
     todo = [root]
     while todo:
         node = todo.pop()
         todo += [c for c in node.children if isinstance(c, Node)]
-        if node.hidden or _SHOWING.search(node.marks.get("style", "")):
-            continue
-        classes, own = set(node.marks.get("class", "").lower().split()), node.marks.get("id", "").lower()
-        for tag, wanted, ids, hides in rules:
-            if (not tag or tag == node.tag) and wanted <= classes and ids <= {own}:
-                node.hidden = hides
+        if node.inline or not node.hidden:
+            node.hidden = sheets.hides(node)
 
 
 def tree(source: str) -> Node:
@@ -212,7 +255,7 @@ def tree(source: str) -> Node:
             elif tag not in VOID and len(stack) < DEPTH:
                 if where is not head or tag == "template":
                     stack.append(node)
-    if sheets and (rules := hiding_rules(sheets)):
+    if sheets and (rules := Sheets(sheets)).filed:
         apply_rules(html, rules)
     return html
 
@@ -437,7 +480,7 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", html_col: str = "htm
     """One row per page: id, the columns of ``keep``, text (all visible text as laid out) and n_chars. No shuffle; each page on its own.
 
     Hidden: what browsers don't show (head, script, style, template, media and the like), the hidden attribute, display:none and
-    visibility:hidden, inline or by a style sheet's rule for a tag, class or id, closed dialogs, all but the summary of closed details, all but the chosen option of a
+    visibility:hidden, inline or by the strongest rule of the style sheets for its tag, classes and id, closed dialogs, all but the summary of closed details, all but the chosen option of a
     select. What stands in a table outside its cells comes before it. Paragraphs, headings, lists, tables and the like have an empty line around them, other blocks a line of their
     own; white space collapses except in pre; list items get "- " or their number, indented by depth; table cells are aligned in columns.
 
