@@ -30,6 +30,8 @@ _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 #: Places in a text are this many bits of a key; longer texts are searched in pieces of that length that overlap.
 PLACE_BITS = 22
+#: Segments that a task hands over at a time. A text that repeats one token has a segment at every place.
+AT_ONCE = 50_000
 
 
 @dataclass(frozen=True)
@@ -149,18 +151,24 @@ def candidate_segments(work: Workspace, spec: Spec, same_text: bool, cut) -> Dat
     work.drop("pairs")
 
     def segments(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        columns = ["_row", "_key", "first", "windows", "at", "seed", "content"]
         for b in batches:
-            for at in range(0, len(b), 200):
-                out: list[tuple] = []
-                for row, key, text, seeds in zip(*(b[c].iloc[at : at + 200] for c in ("_row", "_key", "_text", "seeds")), strict=True):
-                    text = text.encode()
-                    place, hashes = anchors(tokens(text, spec), spec)
-                    first, end = runs(place)
-                    own = hashes[place[first]]
-                    hit = np.isin(own, np.asarray(seeds, dtype=np.int64).view(np.uint64))
-                    first, end, own = first[hit], end[hit], own[hit].view(np.int64)
-                    out += zip([row] * len(first), [key] * len(first), first.tolist(), (end - first).tolist(), (place[first] - first).tolist(), own.tolist(), cut(text, first, end), strict=True)
-                yield pd.DataFrame(out, columns=["_row", "_key", "first", "windows", "at", "seed", "content"])
+            out: list[tuple] = []
+            for row, key, text, seeds in zip(*(b[c] for c in ("_row", "_key", "_text", "seeds")), strict=True):
+                text = text.encode()
+                place, hashes = anchors(tokens(text, spec), spec)
+                first, end = runs(place)
+                own = hashes[place[first]]
+                hit = np.isin(own, np.asarray(seeds, dtype=np.int64).view(np.uint64))
+                first, end, own = first[hit], end[hit], own[hit].view(np.int64)
+                shift = place[first] - first
+                for s in range(0, len(first), AT_ONCE):
+                    f, e = first[s : s + AT_ONCE], end[s : s + AT_ONCE]
+                    out += zip([row] * len(f), [key] * len(f), f.tolist(), (e - f).tolist(), shift[s : s + AT_ONCE].tolist(), own[s : s + AT_ONCE].tolist(), cut(text, f, e), strict=True)
+                    if len(out) >= AT_ONCE:
+                        yield pd.DataFrame(out, columns=columns)
+                        out = []
+            yield pd.DataFrame(out, columns=columns)
 
     found = texts.select("_row", "_key", "_text").join(marks.hint("shuffle_hash"), "_row").mapInPandas(segments, "_row long, _key long, first long, windows int, at int, seed long, content binary")
     out = work.save(found, "segments")

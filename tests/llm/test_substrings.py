@@ -78,6 +78,15 @@ def test_dense_repetition(spark):
     assert sorted(((r.doc_id, r.n_words, r.n_removed, r.text) for r in got), key=repr) == phrase_rows([(i, t) for i, t, _ in spaced], 13)
 
 
+def test_one_token_over_and_over(spark):
+    """Texts of one letter or word have a segment at every place; they are handed over in slices."""
+    docs = spark.createDataFrame([(1, "a" * 150_000), (2, "a" * 120_000 + "b"), (3, "w " * 60_000), (4, "w " * 60_000)], "doc_id long, text string")
+    got = {r[0]: (r.n_bytes - len(r.kept), r.n_spans) for r in suffixes.remove_substrings(spark, docs).collect()}
+    assert got == {1: (149_999, 1), 2: (120_000, 1), 3: (119_998, 1), 4: (120_000, 1)}
+    got = {r[0]: (r.n_words, r.n_removed) for r in phrases.remove_phrases(spark, docs).collect()}
+    assert got == {1: (1, 0), 2: (1, 0), 3: (60_000, 0), 4: (60_000, 60_000)}
+
+
 def test_empty(spark):
     docs = documents(spark, odd_rows()).limit(0)
     assert phrases.remove_phrases(spark, docs).count() == 0 and suffixes.remove_substrings(spark, docs).count() == 0
