@@ -8,12 +8,14 @@ from pyspark.sql import functions as F
 
 from ..functions.vector import cosine
 from ..storage import new_folder, saved
-from .filters import endpoints, in_scope, scope_support, stated_between, valid_at, with_status, without_inferred
+from .filters import effective_scope, endpoints, in_scope, scope_support, stated_between, valid_at, with_status, without_inferred
 from .graph import one_hop, sources_of_nodes
 from .textindex import TextIndex
 
 #: Fusion constant, least similarity of memory search.
 FUSION_K, SEARCH_LEAST = 60, 0.40
+
+
 def vector_topk(vectors: DataFrame, query: list[float], k: int, least: float | None = None, id_col: str = "node_id") -> DataFrame:
     """The k most similar rows of one query, similarity rounded to six places, ties by id. A top-k per task, then one merge; no full sort."""
     q = F.array(*[F.lit(float(x)) for x in query])
@@ -151,3 +153,37 @@ def memory_search(nodes: DataFrame, node_vectors: DataFrame, claims: DataFrame,
     near = one_hop(claims, nodes, saved(ends, f"{work}/ends"), user_id=user_id).select(F.lit("neighbour").alias("kind"), F.col("node_id").alias("id"), F.lit(None).cast("double").alias("similarity"))
     out = hits.unionByName(saved(near, f"{work}/near"))
     return out.join(sources_of_nodes(links.join(out.select(F.col("id").alias("node_id")), "node_id", "left_semi")).withColumnRenamed("node_id", "id"), "id", "left").select("kind", "id", "similarity", "source_ids")
+
+
+def card_search(nodes: DataFrame, node_vectors: DataFrame, claims: DataFrame, claim_vectors: DataFrame, links: DataFrame, sources: DataFrame, aliases: DataFrame, query_vector: list[float], limit: int = 10, scope: str = "personal", least: float = SEARCH_LEAST,
+                user_id: str | None = None, without: tuple[str, ...] = (), at: Column | None = None) -> tuple[DataFrame, DataFrame]:
+    """(cards, evidence) of a search for nodes of one scope.
+
+    Candidates are the ``limit`` most similar nodes, then subject and object of each of the ``limit`` most similar trusted claims, each once, where it stands first. A candidate is kept
+    if the scope that all its claims and sources give it is the one asked for; later candidates move up until ``limit`` cards stand or none is left. A search for reference
+    looks among all scopes, one for personal among personal ones only. cards: pos from 0, scope and the columns of node_cards. evidence: pos, claim_id and
+    source_id of the claims found whose subject has a card. Candidates without a node of the user have no card. Claims that touch no candidate are left out before anything is gathered.
+    """
+    work, among = new_folder(nodes.sparkSession, "cards"), None if scope == "reference" else scope
+    mine = (lambda df: df.where(F.col("user_id") == user_id)) if user_id else (lambda df: df)
+    shown, said = searchable_nodes(nodes, claims, links, sources, user_id, among, without=without), searchable_claims(claims, user_id, among, at)
+    found = saved(ranked(_near(shown, node_vectors, "node_id", query_vector, limit, least), "similarity", "node_id").select("node_id", "rank"), f"{work}/nodes")
+    hits = ranked(_near(said, claim_vectors, "claim_id", query_vector, limit, least), "similarity", "claim_id").select("claim_id", "rank")
+    hits = saved(said.join(hits, "claim_id").select("claim_id", "rank", "source_id", "subject_id", "object_id"), f"{work}/claims")
+    ends = hits.select("rank", F.posexplode(F.array("subject_id", "object_id")).alias("end", "node_id")).where("node_id IS NOT NULL")
+    first = F.min(F.struct("part", "rank", "end")).alias("first")
+    candidates = found.select("node_id", F.lit(0).alias("part"), "rank", F.lit(0).alias("end")).unionByName(ends.select("node_id", F.lit(1).alias("part"), "rank", "end")).groupBy("node_id").agg(first)
+    candidates = saved(mine(nodes).join(candidates, "node_id"), f"{work}/candidates")  # at most three times ``limit``
+
+    ids = candidates.select("node_id")
+    touch = endpoints(mine(claims)).join(ids, "node_id", "left_semi")
+    signals = touch.select(F.col("node_id").alias("subject_id"), F.lit(None).cast("string").alias("object_id"), "scope")
+    near_links = links.join(ids, "node_id", "left_semi")
+    kept = effective_scope(candidates, signals, near_links, mine(sources)).where(F.col("effective_scope") == scope).orderBy("first").limit(limit)
+    kept = saved(kept.withColumn("pos", F.row_number().over(W.orderBy("first")) - 1), f"{work}/kept")
+
+    own = mine(claims).join(touch.select("claim_id"), "claim_id", "left_semi")
+    cards = node_cards(kept, own, near_links, aliases.join(ids, "node_id", "left_semi"))
+    cards = cards.join(kept.select("node_id", "pos", F.col("effective_scope").alias("scope")), "node_id")
+    evidence = hits.join(kept.select(F.col("node_id").alias("subject_id")), "subject_id", "left_semi").select(F.col("rank").alias("pos"), "claim_id", "source_id")
+    return cards, evidence

@@ -272,3 +272,51 @@ _SUPPORT = """u AS (SELECT * FROM claims WHERE status = 'active' AND user_id = '
 def memory_search(t):
     found = R.memory_search(t.nodes, t.node_vectors, t.claims, _statement_vectors(t), t.source_links, t.source_rows, _Q, 8, 0.1, "u1", ("Temporal",), _now())
     return found.withColumn("source_ids", F.array_join("source_ids", ","))
+
+
+def _cards_sql(scope: str) -> str:
+    """The card search in SQL: candidates in order, scope by all signals, cards with their facts, evidence of claims whose subject has a card."""
+    nodes = "AND node_id IN (SELECT node_id FROM sup)" if scope == "personal" else ""
+    claims = "AND scope = 'personal'" if scope == "personal" else ""
+    return f"""WITH every AS (SELECT * REPLACE (CASE WHEN object_id LIKE 'X%0' OR object_id LIKE 'X%5' THEN 'reference' WHEN object_id LIKE 'X%' THEN 'personal' ELSE scope END AS scope) FROM claims WHERE user_id = 'u1'),
+    u AS (SELECT * FROM every WHERE status = 'active'),
+    mine AS (SELECT l.node_id, s.scope FROM source_links l JOIN source_rows s ON s.source_id = l.source_id WHERE s.user_id = 'u1'),
+    sup AS (SELECT subject_id AS node_id FROM u WHERE scope = 'personal' UNION SELECT object_id FROM u WHERE scope = 'personal' AND object_id IS NOT NULL UNION SELECT node_id FROM mine WHERE scope = 'personal'),
+    own AS (SELECT * FROM nodes WHERE user_id = 'u1'),
+    n AS (SELECT node_id, {_SIM} AS similarity FROM node_vectors WHERE {_SIM} >= 0.1 AND node_id IN (SELECT node_id FROM own WHERE label IS NOT NULL AND node_type <> 'Temporal' {nodes}) ORDER BY similarity DESC, node_id LIMIT 12),
+    c AS (SELECT 'S' || vec_id AS claim_id, {_SIM} AS similarity FROM embeddings
+          WHERE {_SIM} >= 0.1 AND 'S' || vec_id IN (SELECT claim_id FROM u WHERE asserted_by_kind <> 'assistant_inferred' AND (valid_to IS NULL OR valid_to > {_NOW}) {claims}) ORDER BY similarity DESC, claim_id LIMIT 12),
+    h AS (SELECT claim_id, source_id, subject_id, object_id, row_number() OVER (ORDER BY similarity DESC, claim_id) - 1 AS r FROM c JOIN u USING (claim_id)),
+    pool AS (SELECT node_id, row_number() OVER (ORDER BY similarity DESC, node_id) AS place FROM n UNION ALL SELECT subject_id, 1000 + 2 * r FROM h UNION ALL SELECT object_id, 1001 + 2 * r FROM h WHERE object_id IS NOT NULL),
+    f AS (SELECT node_id, min(place) AS place FROM pool GROUP BY node_id),
+    sig AS (SELECT subject_id AS node_id, scope FROM every UNION ALL SELECT object_id, scope FROM every WHERE object_id IS NOT NULL UNION ALL SELECT node_id, scope FROM mine),
+    eff AS (SELECT node_id, CASE WHEN bool_and(scope = 'reference') THEN 'reference' ELSE 'personal' END AS scope FROM sig WHERE node_id IN (SELECT node_id FROM f) GROUP BY node_id),
+    kept AS (SELECT o.node_id, label, coalesce(eff.scope, 'personal') AS scope, row_number() OVER (ORDER BY place) - 1 AS pos FROM f JOIN own o ON o.node_id = f.node_id LEFT JOIN eff ON eff.node_id = f.node_id
+             WHERE coalesce(eff.scope, 'personal') = '{scope}' ORDER BY place LIMIT 12),
+    fact AS (SELECT subject_id AS node_id, predicate || '=' || arg_max(object_value, (stated_at, claim_id)) AS fact FROM u WHERE object_value IS NOT NULL AND asserted_by_kind <> 'assistant_inferred' GROUP BY subject_id, predicate)
+    SELECT 'card' AS kind, pos, node_id AS id, label, scope, (SELECT string_agg(fact, ';' ORDER BY fact) FROM fact WHERE fact.node_id = kept.node_id) AS facts,
+           (SELECT min(source_id) FROM source_links l WHERE l.node_id = kept.node_id) AS source_id FROM kept
+    UNION ALL SELECT 'evidence', r, claim_id, NULL, NULL, NULL, source_id FROM h WHERE subject_id IN (SELECT node_id FROM kept)"""
+
+
+def _cards(t, scope: str):
+    """Claims about parts whose number ends in 0 or 5 are reference, those about other parts personal, so that nodes of both scopes exist."""
+    target = F.col("object_id")
+    placed = F.when(target.like("X%0") | target.like("X%5"), "reference").when(target.like("X%"), "personal").otherwise(F.col("scope"))
+    cards, evidence = R.card_search(t.nodes, t.node_vectors, t.claims.withColumn("scope", placed), _statement_vectors(t), t.source_links, t.source_rows, t.aliases, _Q, 12, scope, 0.1, "u1", ("Temporal",), _now())
+    none = F.lit(None).cast("string")
+    cards = cards.select(F.lit("card").alias("kind"), "pos", F.col("node_id").alias("id"), "label", "scope", F.array_join("facts", ";").alias("facts"), "source_id")
+    return cards.unionByName(evidence.select(F.lit("evidence").alias("kind"), "pos", F.col("claim_id").alias("id"), *[none.alias(c) for c in ("label", "scope", "facts")], "source_id"))
+
+
+_CARD_TABLES = "claims nodes node_vectors source_links source_rows"
+
+
+@query(_cards_sql("personal"), _CARD_TABLES)
+def card_search_memory(t):
+    return _cards(t, "personal")
+
+
+@query(_cards_sql("reference"), _CARD_TABLES)
+def card_search_reference(t):
+    return _cards(t, "reference")
