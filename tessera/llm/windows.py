@@ -150,10 +150,15 @@ def candidate_segments(work: Workspace, spec: Spec, same_text: bool, cut) -> Dat
     marks = work.save(pairs.select("_row", "seed").join(repeated, "seed").groupBy("_row").agg(F.collect_list("seed").alias("seeds")), "marks")
     work.drop("pairs")
 
+    def whole(parts: list[tuple]) -> pd.DataFrame:
+        *numbers, contents = zip(*parts, strict=True)
+        names = ("_row", "_key", "first", "windows", "at", "seed")
+        return pd.DataFrame({n: np.concatenate(c) for n, c in zip(names, numbers, strict=True)} | {"content": [x for c in contents for x in c]})
+
     def segments(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        columns = ["_row", "_key", "first", "windows", "at", "seed", "content"]
         for b in batches:
-            out: list[tuple] = []
+            parts: list[tuple] = []
+            waiting = 0
             for row, key, text, seeds in zip(*(b[c] for c in ("_row", "_key", "_text", "seeds")), strict=True):
                 text = text.encode()
                 place, hashes = anchors(tokens(text, spec), spec)
@@ -164,11 +169,13 @@ def candidate_segments(work: Workspace, spec: Spec, same_text: bool, cut) -> Dat
                 shift = place[first] - first
                 for s in range(0, len(first), AT_ONCE):
                     f, e = first[s : s + AT_ONCE], end[s : s + AT_ONCE]
-                    out += zip([row] * len(f), [key] * len(f), f.tolist(), (e - f).tolist(), shift[s : s + AT_ONCE].tolist(), own[s : s + AT_ONCE].tolist(), cut(text, f, e), strict=True)
-                    if len(out) >= AT_ONCE:
-                        yield pd.DataFrame(out, columns=columns)
-                        out = []
-            yield pd.DataFrame(out, columns=columns)
+                    parts.append((np.full(len(f), row), np.full(len(f), key), f, (e - f).astype(np.int32), shift[s : s + AT_ONCE].astype(np.int32), own[s : s + AT_ONCE], cut(text, f, e)))
+                    waiting += len(f)
+                    if waiting >= AT_ONCE:
+                        yield whole(parts)
+                        parts, waiting = [], 0
+            if parts:
+                yield whole(parts)
 
     found = texts.select("_row", "_key", "_text").join(marks.hint("shuffle_hash"), "_row").mapInPandas(segments, "_row long, _key long, first long, windows int, at int, seed long, content binary")
     out = work.save(found, "segments")
