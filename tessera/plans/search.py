@@ -278,7 +278,7 @@ def _cards_sql(scope: str) -> str:
     """The card search in SQL: candidates in order, scope by all signals, cards with their facts, evidence of claims whose subject has a card."""
     nodes = "AND node_id IN (SELECT node_id FROM sup)" if scope == "personal" else ""
     claims = "AND scope = 'personal'" if scope == "personal" else ""
-    return f"""WITH every AS (SELECT * REPLACE (CASE WHEN object_id LIKE 'X%0' OR object_id LIKE 'X%5' THEN 'reference' WHEN object_id LIKE 'X%' THEN 'personal' ELSE scope END AS scope) FROM claims WHERE user_id = 'u1'),
+    return f"""WITH every AS (SELECT * REPLACE (CASE WHEN object_id LIKE 'X%1' THEN 'reference' WHEN object_id LIKE 'X%' THEN 'personal' ELSE scope END AS scope) FROM claims WHERE user_id = 'u1'),
     u AS (SELECT * FROM every WHERE status = 'active'),
     mine AS (SELECT l.node_id, s.scope FROM source_links l JOIN source_rows s ON s.source_id = l.source_id WHERE s.user_id = 'u1'),
     sup AS (SELECT subject_id AS node_id FROM u WHERE scope = 'personal' UNION SELECT object_id FROM u WHERE scope = 'personal' AND object_id IS NOT NULL UNION SELECT node_id FROM mine WHERE scope = 'personal'),
@@ -300,9 +300,9 @@ def _cards_sql(scope: str) -> str:
 
 
 def _cards(t, scope: str):
-    """Claims about parts whose number ends in 0 or 5 are reference, those about other parts personal, so that nodes of both scopes exist."""
+    """Claims about parts whose number ends in 1 are reference, those about other parts personal, so that nodes of both scopes exist."""
     target = F.col("object_id")
-    placed = F.when(target.like("X%0") | target.like("X%5"), "reference").when(target.like("X%"), "personal").otherwise(F.col("scope"))
+    placed = F.when(target.like("X%1"), "reference").when(target.like("X%"), "personal").otherwise(F.col("scope"))
     cards, evidence = R.card_search(t.nodes, t.node_vectors, t.claims.withColumn("scope", placed), _statement_vectors(t), t.source_links, t.source_rows, t.aliases, _Q, 12, scope, 0.1, "u1", ("Temporal",), _now())
     none = F.lit(None).cast("string")
     cards = cards.select(F.lit("card").alias("kind"), "pos", F.col("node_id").alias("id"), "label", "scope", F.array_join("facts", ";").alias("facts"), "source_id")
