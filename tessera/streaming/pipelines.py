@@ -3,13 +3,10 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import StringType, StructField, StructType
 
 from ..operators.lifecycle import KEY, recompute
@@ -56,33 +53,22 @@ def resolve_stream(claims: DataFrame, state_path: str, checkpoint: str, buckets:
 def due_periods(touches: DataFrame, late: str = "1 hour") -> DataFrame:
     """Days, ISO weeks, months and years that rows (user_id, ts) of a stream touch, each once, when it has ended: user_id, level, key, due_at.
 
-    A touched period waits in the state with a timer at its end and leaves it when the watermark passes that. Rows that come within ``late`` count; repeated ones change nothing. Null users are a user
-    like others, rows without a time are left out. A period is one group, but all its rows of a batch are first cut to one.
+    A touched period is a session that ends when the period does, so that all its rows fall into one; it leaves the state when the watermark passes that end. Rows count as long as their
+    period waits; repeated ones change nothing. Null users are a user like others, rows without a time are left out. State and timers are Spark's own: no row passes through Python.
     """
     rows = touches.select("user_id", F.col("ts").cast("timestamp").alias("ts")).where("ts IS NOT NULL").withWatermark("ts", late)
     day = F.col("ts").cast("date")
     week, month, year = (F.trunc(day, unit) for unit in ("week", "month", "year"))
     iso = F.concat(F.extract(F.lit("YEAROFWEEK"), week).cast("string"), F.lit("-W"), F.lpad(F.weekofyear(week).cast("string"), 2, "0"))
-    part = lambda level, key, end: F.struct(F.lit(level).alias("level"), key.alias("key"), F.unix_millis(end.cast("timestamp")).alias("end"))
+    part = lambda level, key, end: F.struct(F.lit(level).alias("level"), key.alias("key"), end.cast("timestamp").alias("end"))
     parts = F.array(
         part("day", F.date_format(day, "yyyy-MM-dd"), F.date_add(day, 1)), part("week", iso, F.date_add(week, 7)),
         part("month", F.date_format(month, "yyyy-MM"), F.add_months(month, 1)), part("year", F.date_format(year, "yyyy"), F.add_months(year, 12)),
     )
-    spread = rows.withColumn("p", F.explode(parts)).select("user_id", "ts", "p.level", "p.key", "p.end").dropDuplicatesWithinWatermark(["user_id", "level", "key"])
-
-    def wait(period: tuple, _batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        end = period[3]
-        if state.hasTimedOut or state.getCurrentWatermarkMs() >= end:
-            if state.exists:
-                state.remove()
-            yield pd.DataFrame([period], columns=["user_id", "level", "key", "end"])
-        else:
-            state.update((True,))
-            state.setTimeoutTimestamp(int(end))
-
-    user = touches.schema["user_id"].dataType.simpleString()
-    out = spread.groupBy("user_id", "level", "key", "end").applyInPandasWithState(wait, f"user_id {user}, level string, key string, end long", "waits boolean", "append", GroupStateTimeout.EventTimeTimeout)
-    return out.select("user_id", "level", "key", F.timestamp_millis("end").alias("due_at"))
+    spread = rows.withColumn("p", F.explode(parts)).select("user_id", "ts", "p.level", "p.key", "p.end")
+    left = F.concat((F.unix_micros("end") - F.unix_micros("ts")).cast("string"), F.lit(" microseconds"))
+    out = spread.groupBy("user_id", "level", "key", F.session_window("ts", left).alias("_w")).agg(F.count(F.lit(1)).alias("_n"))
+    return out.select("user_id", "level", "key", F.col("_w.end").alias("due_at"))
 
 
 def run_to_table(df: DataFrame, name: str, mode: str = "complete") -> DataFrame:

@@ -140,3 +140,10 @@ def test_periods_fall_due_once_when_they_end(spark, tmp_path):
                 ("month", f"{d:%Y-%m}"): datetime(d.year + d.month // 12, d.month % 12 + 1, 1), ("year", str(d.year)): datetime(d.year + 1, 1, 1)}
         want |= {(user, *k) for k, end in ends.items() if end < mark}
     assert len(got) == len(set(got)) and set(got) == want and ("u", "year", "2023") in want
+
+
+def test_waiting_periods_need_no_python(spark, tmp_path):
+    """A group in Python for each waiting period takes milliseconds a row."""
+    stream = spark.readStream.schema("user_id string, ts timestamp").parquet(str(tmp_path))
+    plan = due_periods(stream)._jdf.queryExecution().logical().toString()
+    assert "SessionWindow" in plan.replace("session_window", "SessionWindow") and "Pandas" not in plan and "Python" not in plan
