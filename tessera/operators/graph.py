@@ -85,11 +85,11 @@ def timeline(claims: DataFrame, nodes: DataFrame, limit: int, offset: int = 0, t
     return page.join(per_day, "day", "left").select("day", F.coalesce("node_count", F.lit(0)).alias("node_count"), "nodes")
 
 
-def nodes_on_day(claims: DataFrame, nodes: DataFrame, day: str, types: tuple[str, ...] = (), user_id: str | None = None) -> DataFrame:
-    """The first 50 neighbours of a day by trusted personal claims; of these those of some types."""
+def nodes_on_day(claims: DataFrame, nodes: DataFrame, day: str, types: tuple[str, ...] = (), user_id: str | None = None, limit: int | None = 50, reference: bool = False, inferred: bool = False) -> DataFrame:
+    """The first ``limit`` neighbours of a day (None: all), of these those of some types; by which claims is as in one_hop."""
     days = nodes.where(F.col("user_id") == user_id) if user_id else nodes
     seed = days.where((F.col("node_type") == "Temporal") & (F.col("label") == day)).select("node_id")
-    near = one_hop(claims, nodes, seed, user_id=user_id)
+    near = one_hop(claims, nodes, seed, limit, user_id, reference, inferred)
     return near.where(F.col("node_type").isin(*types)) if types else near
 
 

@@ -87,13 +87,9 @@ def timeline_days(t):
     return G.timeline(_active(t), t.nodes, 20, 5, ("Task",)).withColumn("nodes", F.array_join("nodes", ","))
 
 
-@query(
-    f"""WITH {_usable("u0")}, h AS (SELECT DISTINCT n.node_id, n.node_type, n.label FROM ue JOIN nodes n ON n.node_id = b WHERE a = 'day:1997-03-03' ORDER BY n.node_id LIMIT 50)
-    SELECT node_id, label FROM h WHERE node_type = 'Task'""",
-    "claims nodes",
-)
+@query(f"WITH {_E} SELECT DISTINCT n.node_id, n.label FROM e JOIN nodes n ON n.node_id = b WHERE a = 'day:1997-03-03' AND node_type = 'Task'", "claims nodes")
 def nodes_by_type_on_day(t):
-    return G.nodes_on_day(t.claims, t.nodes, "1997-03-03", ("Task",), "u0").select("node_id", "label")
+    return G.nodes_on_day(t.claims, t.nodes, "1997-03-03", ("Task",), limit=None, reference=True, inferred=True).select("node_id", "label")
 
 
 @query(
