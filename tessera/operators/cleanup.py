@@ -292,22 +292,28 @@ def apply_cleanup(operations: DataFrame, temps: DataFrame, claims: DataFrame, no
     ends = named.select(*key, F.explode(F.array_compact(F.array("subject_id", "object_id"))).alias("ref"))
     reads = saved(named.select(*key, F.col("claim_id").alias("ref")).union(ends).union(used.select(*key, F.col("node_id").alias("ref"))).distinct(), f"{folder}/reads")
 
-    # Runs belong together where one changes what the other reads: a claim, a chain of claims, a node that is merged or deleted, an alias.
+    # Runs belong together where one changes what the other reads: a claim, a chain of claims, a node that is merged or deleted, an alias. What only one run reads links nothing.
     written = used.where("kind IN ('merge_nodes', 'delete_node')").select("user_id", F.col("node_id").alias("ref")).union(named.select("user_id", F.col("claim_id").alias("ref"))).distinct()
     singles = F.col("predicate").isin(*SINGLE_CURRENT, *SINGLE_CURRENT_OF_TASK)
     chains = named.where(singles).select(*key, F.concat_ws("\x1f", "subject_id", "predicate").alias("ref")).union(used.where((F.col("kind") == "add_claim") & singles & (F.col("temp_id") == F.col("_temp"))).select(*key, F.concat_ws("\x1f", "node_id", "predicate").alias("ref")))
     names = used.where("kind IN ('add_alias', 'remove_alias')").select(*key, F.concat_ws("\x1f", "node_id", normalize_alias(F.col("text"))).alias("ref"))
-    shared = reads.join(written, ["user_id", "ref"], "left_semi").select(*key, "ref").union(chains).union(names)
-    run = lambda df: df.select(F.concat_ws("\x1f", F.lit("run"), "user_id", "run").alias("a"), (F.concat_ws("\x1f", F.lit("ref"), "user_id", "ref") if "ref" in df.columns else F.concat_ws("\x1f", F.lit("run"), "user_id", "run")).alias("b"))
-    groups = components(run(shared).union(run(ops)), f"{folder}/components").where(F.col("node").startswith("run\x1f"))
+    seen_by = lambda df, always: df.groupBy("user_id", "ref").agg(F.min("run").alias("_low"), F.max("run").alias("_high")).where("_low <> _high").select("user_id", "ref", "_low", F.lit(always).alias("_always"))
+    common = saved(seen_by(reads, False), f"{folder}/common")
+    links_by = common.join(written, ["user_id", "ref"], "left_semi").join(reads, ["user_id", "ref"])
+    links_by = links_by.select("user_id", "run", "_low").union(seen_by(chains.union(names), True).join(chains.union(names), ["user_id", "ref"]).select("user_id", "run", "_low"))
+    run = lambda c: F.concat_ws("\x1f", F.lit("run"), "user_id", c)
+    groups = components(links_by.select(run("run").alias("a"), run("_low").alias("b")), f"{folder}/components")
     parts = F.split("node", "\x1f")
-    of_run = saved(groups.select(F.get(parts, F.lit(1)).alias("user_id"), F.get(parts, F.lit(2)).alias("run"), F.col("root").alias("group")), f"{folder}/runs")
-    held = saved(reads.join(of_run, key).select("user_id", "group", "ref").distinct(), f"{folder}/held")
+    roots = saved(groups.select(F.get(parts, F.lit(1)).alias("user_id"), F.get(parts, F.lit(2)).alias("run"), F.col("root").alias("_root")), f"{folder}/runs")
+    grouped = lambda df: df.join(roots, key, "left").withColumn("group", F.coalesce("_root", run("run")))
+    placed = grouped(reads)
+    held = placed.where("_root IS NULL").select("user_id", "group", "ref").union(placed.where("_root IS NOT NULL").select("user_id", "group", "ref").distinct())
+    held = saved(held, f"{folder}/held")
 
-    state = _state(held, of_run, own, nodes, links, sources, aliases, temps, ops, allowed, folder)
+    state = _state(held, grouped, own, nodes, links, sources, aliases, temps, ops, allowed, folder)
     buckets = max(1, -(-ops.count() // 2000))
     bucket = F.pmod(F.xxhash64("group"), F.lit(buckets)).alias("bucket")
-    dealt = ops.join(of_run, key)
+    dealt = grouped(ops.where("user_id IS NOT NULL AND run IS NOT NULL")).drop("_root")
     done = dealt.groupBy(bucket).cogroup(state.groupBy(bucket)).applyInPandas(_apply, _DONE)
     done = saved(done, f"{folder}/done")
     outcomes = done.where("outcome IS NOT NULL").select("user_id", "run", "seq", "kind", "outcome", "message")
@@ -315,7 +321,7 @@ def apply_cleanup(operations: DataFrame, temps: DataFrame, claims: DataFrame, no
     return CleanupResult(outcomes=outcomes, effects=effects, **_after(effects, claims, nodes, links, aliases, at, folder))
 
 
-def _state(held, of_run, own, nodes, links, sources, aliases, temps, ops, allowed, folder) -> DataFrame:
+def _state(held, grouped, own, nodes, links, sources, aliases, temps, ops, allowed, folder) -> DataFrame:
     """The rows that groups see, of one shape: group, what, id, and what each kind needs."""
     null = F.lit(None).cast("string")
     empty = {c: null for c in ("subject", "object", "value", "predicate", "status", "kind", "scope", "source", "at", "made", "speaker")} | {"n": F.lit(0).cast("long"), "m": F.lit(0).cast("long")}
@@ -323,32 +329,38 @@ def _state(held, of_run, own, nodes, links, sources, aliases, temps, ops, allowe
     def shaped(df: DataFrame, what: str, **columns) -> DataFrame:
         return df.select("group", F.lit(what).alias("what"), *[(F.col(v) if isinstance(v, str) else v).alias(c) for c, v in ({"id": columns.pop("id")} | empty | columns).items()])
 
-    here = nodes.select(F.col("node_id").alias("ref"), "user_id", "node_type").join(held, ["user_id", "ref"])
-    # Claims that touch a group's nodes: by how many of their ends, and whether they are named or in a chain. The rest is only counted.
-    touch = endpoints(own, speakers=True).select("claim_id", "user_id", F.col("node_id").alias("ref")).join(held, ["user_id", "ref"])
-    singles = F.col("predicate").isin(*SINGLE_CURRENT, *SINGLE_CURRENT_OF_TASK)
-    ends = saved(touch.groupBy("group", "claim_id").agg(F.collect_set("ref").alias("ends")), f"{folder}/ends")
-    chains = own.where(singles).select("claim_id", "user_id", F.col("subject_id").alias("ref")).join(held, ["user_id", "ref"]).select("group", "claim_id")
-    by_name = own.select("claim_id", "user_id", F.col("claim_id").alias("ref")).join(held, ["user_id", "ref"]).select("group", "claim_id")
-    seen = saved(ends.where(F.size("ends") > 1).select("group", "claim_id").union(chains).union(by_name).distinct(), f"{folder}/seen")
+    # Claims that a group sees: named, in a chain, or between two of its nodes. One of an end and, for the last, the other end decides; the other claims are only counted, per node.
+    singles = F.coalesce(F.col("predicate").isin(*SINGLE_CURRENT, *SINGLE_CURRENT_OF_TASK), F.lit(False))
+    at = lambda ok, ref, other: F.when(ok & F.col(ref).isNotNull(), F.struct(F.col(ref).alias("ref"), (F.col(other) if other else null).alias("other")))
+    pairs = [at(F.col(a) != F.col(b), a, b) for a, b in (("subject_id", "object_id"), ("subject_id", "asserted_by_id"), ("object_id", "asserted_by_id"))]
+    spread = own.select("claim_id", "user_id", F.explode(F.array_compact(F.array(at(F.lit(True), "claim_id", None), at(singles, "subject_id", None), *pairs))).alias("_at")).select("claim_id", "user_id", "_at.*")
+    met = saved(spread.join(held, ["user_id", "ref"]).select("user_id", "group", "claim_id", "other"), f"{folder}/met")
+    both = met.where("other IS NOT NULL").join(held.withColumnRenamed("ref", "other"), ["user_id", "group", "other"], "left_semi").select("user_id", "group", "claim_id")
+    seen = met.where("other IS NULL").select("user_id", "group", "claim_id").union(both).distinct()
     text = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss.SSSSSS")
-    claims = shaped(seen.join(own, "claim_id"), "claim", id="claim_id", subject="subject_id", object="object_id", value="object_value", predicate="predicate", status="status", kind="asserted_by_kind", scope="scope", source="source_id", at=text("stated_at"), made=text("created_at"), speaker="asserted_by_id")
-    outside = ends.join(seen, ["group", "claim_id"], "left_anti").select("group", F.explode("ends").alias("ref")).groupBy("group", "ref").agg(F.count(F.lit(1)).alias("n"))
-    linked = links.join(sources.select("source_id", F.col("scope").alias("_scope"), F.col("user_id").alias("_owner")), "source_id", "left").select(F.col("node_id").alias("ref"), "_scope", "_owner")
-    linked = linked.join(held, "ref").groupBy("group", "ref").agg(F.count(F.lit(1)).alias("m"), F.collect_set("_scope").alias("_of_links"))
-    said = touch.join(own.select("claim_id", "scope", "subject_id", "object_id"), "claim_id").where((F.col("ref") == F.col("subject_id")) | (F.col("ref") == F.col("object_id"))).groupBy("group", "ref").agg(F.collect_set("scope").alias("_of_claims"))
-    rows = here.join(outside, ["group", "ref"], "left").join(linked, ["group", "ref"], "left").join(said, ["group", "ref"], "left")
+    seen = saved(seen.join(own, ["claim_id", "user_id"]), f"{folder}/seen")
+    claims = shaped(seen, "claim", id="claim_id", subject="subject_id", object="object_id", value="object_value", predicate="predicate", status="status", kind="asserted_by_kind", scope="scope", source="source_id", at=text("stated_at"), made=text("created_at"), speaker="asserted_by_id")
+    # What speaks for a node, counted once whatever groups hold it: its claims and their scopes (a speaker lends none), its links. Of the claims a group sees some, the others lie outside.
+    end = lambda c, said: F.when(F.col(c).isNotNull(), F.struct(F.col(c).alias("ref"), said.alias("said")))
+    speaks = F.when(F.coalesce(F.col("asserted_by_id") != F.col("subject_id"), F.lit(True)) & F.coalesce(F.col("asserted_by_id") != F.col("object_id"), F.lit(True)), end("asserted_by_id", null))
+    touch = own.select("user_id", F.explode(F.array_compact(F.array_distinct(F.array(end("subject_id", F.col("scope")), end("object_id", F.col("scope")), speaks)))).alias("_at")).select("user_id", "_at.*")
+    said = touch.groupBy("user_id", "ref").agg(F.count(F.lit(1)).alias("_all"), F.collect_set("said").alias("_of_claims"))
+    inside = endpoints(seen, speakers=True).groupBy("group", F.col("node_id").alias("ref")).agg(F.count(F.lit(1)).alias("_inside"))
+    linked = links.join(sources.select("source_id", F.col("scope").alias("_scope")), "source_id", "left").groupBy(F.col("node_id").alias("ref")).agg(F.count(F.lit(1)).alias("m"), F.collect_set("_scope").alias("_of_links"))
+    here = nodes.select(F.col("node_id").alias("ref"), "user_id", "node_type").join(held, ["user_id", "ref"])
+    rows = here.join(said, ["user_id", "ref"], "left").join(linked, "ref", "left").join(inside, ["group", "ref"], "left")
+    rows = rows.withColumn("n", F.coalesce("_all", F.lit(0)) - F.coalesce("_inside", F.lit(0)))
     none = F.array().cast("array<string>")
     scopes = F.array_join(F.array_union(F.coalesce("_of_links", none), F.coalesce("_of_claims", none)), ",")
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("long")
     out = claims.unionByName(shaped(rows, "node", id="ref", predicate="node_type", scope=scopes, n=zero("n"), m=zero("m")))
     out = out.unionByName(shaped(aliases.select(F.col("node_id").alias("ref"), "user_id", "normalized_alias_text").join(held, ["user_id", "ref"]), "alias", id="ref", value="normalized_alias_text"))
-    cited = ops.where("kind = 'promote_assertion'").join(of_run, ["user_id", "run"]).select("user_id", "group", F.col("cited_id").alias("source_id"))
-    lent = seen.join(own.select("claim_id", "user_id", "source_id"), "claim_id").select("user_id", "group", "source_id")
+    cited = grouped(ops.where("kind = 'promote_assertion'")).select("user_id", "group", F.col("cited_id").alias("source_id"))
+    lent = seen.select("user_id", "group", "source_id")
     out = out.unionByName(shaped(cited.union(lent).distinct().join(sources.select("source_id", "user_id", "scope"), ["source_id", "user_id"]), "source", id="source_id", scope="scope"))
-    out = out.unionByName(shaped(temps.join(of_run, ["user_id", "run"]), "temp", id="temp_id", subject="run", object="node_id"))
+    out = out.unionByName(shaped(grouped(temps), "temp", id="temp_id", subject="run", object="node_id"))
     if allowed is not None:
-        out = out.unionByName(shaped(allowed.join(of_run, ["user_id", "run"]), "allowed", id="claim_id", subject="run"))
+        out = out.unionByName(shaped(grouped(allowed), "allowed", id="claim_id", subject="run"))
     return out
 
 
@@ -402,7 +414,10 @@ def _after(effects: DataFrame, claims: DataFrame, nodes: DataFrame, links: DataF
     chained = every.where(single).unionByName(due)
     kept = [c for c in claims.columns if c != "superseded_by"]
     resolved = recompute(chained.select(*kept), changed.join(chained.select("claim_id"), "claim_id", "left_semi").select(*kept)) if kept else chained
-    rest = every.join(chained.select("claim_id"), "claim_id", "left_anti").select(*kept).withColumn("superseded_by", F.lit(None).cast("string"))
+    # The rest are rows of other predicates, and of those of tasks the ones whose subject is none.
+    free = every.where(~F.coalesce(single | F.col("predicate").isin(*SINGLE_CURRENT_OF_TASK), F.lit(False))).select(*claims.columns)
+    free = free.unionByName(every.where(F.col("predicate").isin(*SINGLE_CURRENT_OF_TASK) & ~single).join(tasks, "subject_id", "left_anti").select(*claims.columns))
+    rest = free.select(*kept).withColumn("superseded_by", F.lit(None).cast("string"))
     pick = effects.where("effect IN ('alias', 'no_alias')").withColumn("normalized_alias_text", normalize_alias(F.col("text")))
     last = pick.groupBy("user_id", "node_id", "normalized_alias_text").agg(F.max_by(F.struct("effect", "text"), F.struct("run", "seq")).alias("_last"))
     names = aliases.select("user_id", "node_id", "normalized_alias_text", "alias_text").join(last.drop("_last"), ["user_id", "node_id", "normalized_alias_text"], "left_anti")

@@ -163,3 +163,22 @@ def test_components(spark):
     edges = [(f"n{i:03d}", f"n{i + 1:03d}") for i in range(40)] + [("x", "y"), ("y", "z"), ("q", "q")]
     got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a string, b string"), new_folder(spark, "t")).collect()}
     assert got == {**{f"n{i:03d}": "n000" for i in range(41)}, "x": "x", "y": "x", "z": "x", "q": "q"}
+
+
+def test_runs_that_share_nothing_make_no_edges(spark, monkeypatch):
+    """Runs of one user that only read a common node are groups of their own; the components see no row of them."""
+    from tessera.operators import cleanup
+
+    w, edges = World(), []
+    w.node("u", "part", "Object")
+    for n in range(4):
+        w.node("u", f"task{n}", "Task")
+        w.claim("u", f"k{n}", f"task{n}", "RELATED_TO", "part", kind="assistant_inferred")
+        w.op("u", "retract_claim", f"k{n}", run=f"r{n}")
+    w.op("u", "retract_claim", "k3", run="r9")  # shares a claim with r3
+    w.allowed.append(("u", "r0", "k0"))
+    w.links.append(("s", "part")), w.source("u", "s"), w.aliases.append(("u", "P", "p", "part"))
+    found = cleanup.components
+    monkeypatch.setattr(cleanup, "components", lambda e, folder: found(edges.append(e.count()) or e, folder))
+    result = w.apply(spark)
+    assert edges[0] <= 2 and {r.status for r in result.claims.collect()} == {"retracted"}
