@@ -77,3 +77,24 @@ def test_empty(spark):
     assert index.search(rows, "name", "v", 3, exact=True).count() == 0 and index.plan_probes() == 1
     assert VectorIndex.build(rows, "name", "v").search(rows.limit(0), "name", "v", 3).count() == 0
     assert [list(x) for x in best_of(np.array([[1.0, 3.0, 3.0, -np.inf]]), np.array([4, 9, 2, 1]), 2)] == [[2, 1]]
+
+
+def test_what_leaves_a_task_at_once_is_bounded():
+    """A batch of queries is not multiplied by all lists before it leaves."""
+    import pandas as pd
+
+    class Asked:
+        schema = {"id": type("F", (), {"dataType": type("T", (), {"simpleString": staticmethod(lambda: "string")})})}
+
+        def mapInPandas(self, body, _):  # noqa: N802
+            self.body = body
+            raise StopIteration
+
+    rng, asked = np.random.default_rng(2), Asked()
+    index = VectorIndex(None, "", vectorindex.unit(pd.Series(list(rng.normal(size=(300, 64))))), None, None)
+    with pytest.raises(StopIteration):
+        index._opened(asked, 4, "floor")
+    frame = pd.DataFrame({"tenant": "a", "id": [f"q{i}" for i in range(500)], "vector": list(rng.normal(size=(500, 64))), "floor": 0.5})
+    out = list(asked.body([frame]))
+    assert sum(map(len, out)) == 500 * 296 and max(map(len, out)) * 64 <= 2 << 20
+    assert pd.concat(out).groupby("id")["list"].nunique().eq(296).all()
