@@ -98,3 +98,15 @@ def test_what_leaves_a_task_at_once_is_bounded():
     out = list(asked.body([frame]))
     assert sum(map(len, out)) == 500 * 296 and max(map(len, out)) * 64 <= 2 << 20
     assert pd.concat(out).groupby("id")["list"].nunique().eq(296).all()
+
+
+def test_scan_in_small_matrices(spark, monkeypatch):
+    """The matrices of a scan are cut by their size, not by a number of queries; the answer is the same."""
+    from tessera.functions import vector
+
+    rows, _ = table(spark, n=120)
+    rows = rows.where("v IS NOT NULL")
+    ask = lambda: sorted(map(tuple, nearest_in_blocks(rows, rows, "name", "v", 3, 40, within=("owner",)).collect()))
+    whole = ask()
+    monkeypatch.setattr(vector, "CELLS", 64)
+    assert whole and ask() == whole
