@@ -149,7 +149,7 @@ def drawn_from(kind: Column, value: Column, digest: Column, draw: Column) -> Col
             made = F.initcap(F.concat(middle, pick(ends, F.lit(2))))
             made = F.when((F.length(value) > 2) & (F.upper(value) == value), F.upper(made)).otherwise(made)
             name = F.when(kind == f"name:{gender}:{script}", made) if name is None else name.when(kind == f"name:{gender}:{script}", made)
-    return name.when(kind == "ipv4", ipv4).when(kind == "birth", some_date(value, digest)).when(kind == "domain", domain).when(kind == "card", F.concat(head, last[0])).when(kind == "phone", phone).when(kind == "iban", redrawn(value, digest, 2)).otherwise(drawn)
+    return name.when(kind == "ipv4", ipv4).when(kind == "birth", some_date(value, digest, draw)).when(kind == "domain", domain).when(kind == "card", F.concat(head, last[0])).when(kind == "phone", phone).when(kind == "iban", redrawn(value, digest, 2)).otherwise(drawn)
 
 
 def longer(kind: Column, value: Column, n: Column) -> Column:
@@ -159,13 +159,17 @@ def longer(kind: Column, value: Column, n: Column) -> Column:
     return F.when(n == 0, value).when(kind == "domain", F.concat(F.regexp_replace(value, r"\.[^.]*$", ""), more, F.regexp_extract(value, r"\.[^.]*$", 0))).otherwise(F.concat(value, more))
 
 
-def some_date(value: Column, digest: Column) -> Column:
-    """A date of the same form: years of 4 digits from 1930 to 1999, days and months from 1 to 12 or, of one digit, from 1 to 9."""
+def some_date(value: Column, digest: Column, draw: Column) -> Column:
+    """A date of the same form: days and months from 1 to 12 or, of one digit, from 1 to 9, years of 4 digits from 1930 to 1999. Each draw has twice as many years as the
+    one before, at most 9,000, the earliest 1000; from the twelfth draw on, which only more than a million dates of one form reach, years have a digit more a draw."""
     fields, marks = F.regexp_extract_all(value, F.lit("[0-9]+"), F.lit(0)), F.regexp_extract_all(value, F.lit("[^0-9]"), F.lit(0))
+    years = F.least(F.lit(9000), F.lit(70) * F.pow(F.lit(2), F.least(draw, F.lit(8)))).cast("int")
+    first = F.greatest(F.lit(1000), F.lit(2000) - years)
+    more = F.array_join(F.transform(F.filter(F.sequence(F.lit(0), F.greatest(draw - 11, F.lit(0)).cast("int")), lambda j: j > 0), lambda j: nibbles(digest, j * 5 + 1, 10).cast("string")), "")
 
     def field(c: Column, i: Column) -> Column:
-        year, two, one = nibbles(digest, i * 7, 70) + 1930, nibbles(digest, i * 7, 12) + 1, nibbles(digest, i * 7, 9) + 1
-        return F.when(F.length(c) == 4, year.cast("string")).when(F.length(c) == 2, F.lpad(two.cast("string"), 2, "0")).otherwise(one.cast("string"))
+        year, two, one = first + nibbles(digest, i * 7, years), nibbles(digest, i * 7, 12) + 1, nibbles(digest, i * 7, 9) + 1
+        return F.when(F.length(c) == 4, F.concat(year.cast("string"), more)).when(F.length(c) == 2, F.lpad(two.cast("string"), 2, "0")).otherwise(one.cast("string"))
 
     return F.array_join(F.zip_with(F.transform(fields, field), marks, lambda f, m: F.concat(f, F.coalesce(m, F.lit("")))), "")
 
@@ -174,8 +178,7 @@ def surrogates(work: Workspace, entities: DataFrame, key: str) -> DataFrame:
     """From distinct (kind, value) rows (kind, value, stand_in). No two values of a kind share a stand-in, and none is a value of that kind that occurs.
 
     Every round draws for those left from the key, the kind, the value without case and the round; a stand-in that is taken, or that
-    a smaller value draws too, is drawn again. Later draws have more strings to choose from (see surrogate), so that the rounds end. Birth dates are the exception: there are
-    fewer of them than people, so that two may share one.
+    a smaller value draws too, is drawn again. Later draws have more strings to choose from (see drawn_from and some_date), so that the rounds end.
     """
     norm = F.lower("value")
     left = work.save(entities.select("kind", norm.alias("norm")).distinct(), "left0")
@@ -183,12 +186,10 @@ def surrogates(work: Workspace, entities: DataFrame, key: str) -> DataFrame:
     while not left.isEmpty():
         digest = keyed_digest(key, F.col("kind"), F.col("norm"), F.lit(str(n)))
         drawn = left.withColumn("stand_in", F.lower(surrogate(F.col("kind"), F.col("norm"), digest, F.lit(n))))
-        first = drawn.where("kind <> 'birth'").groupBy("kind", "stand_in").agg(F.min("norm").alias("norm"))
+        first = drawn.groupBy("kind", "stand_in").agg(F.min("norm").alias("norm"))
         used = originals.select("kind", F.col("norm").alias("stand_in"))
         used = used if taken is None else used.unionByName(taken.select("kind", "stand_in"))
         good = first.join(used, ["kind", "stand_in"], "left_anti")
-        if n == 0:
-            good = good.unionByName(drawn.where("kind = 'birth'").select(*good.columns))
         good = work.save(good.withColumn("draw", F.lit(n)), f"good{n}")
         taken = good if taken is None else taken.unionByName(good)
         n += 1

@@ -250,6 +250,16 @@ def test_stand_ins_are_distinct(spark):
     assert len({r.stand_in for r in made}) == len(made) == 60 and not {r.stand_in for r in made} & {r.value for r in made}
 
 
+def test_birth_dates_are_distinct(spark):
+    """All days of twenty years, and as many of the first draw's strings as there are: none shares a stand-in, none is a date that occurs, the form stays."""
+    days = spark.sql("SELECT 'birth' AS kind, date_format(d, 'dd.MM.yyyy') AS value FROM (SELECT explode(sequence(DATE '1980-01-01', DATE '1999-12-31')) AS d)")
+    days = days.unionByName(spark.sql("SELECT 'birth' AS kind, concat(d, '/', m, '/', 1900 + y) AS value FROM (SELECT explode(sequence(1, 9)) AS d), (SELECT explode(sequence(1, 9)) AS m), (SELECT explode(sequence(30, 99)) AS y)"))
+    made = pii.surrogates(pii.Workspace(spark, "t"), days, "k").cache()
+    n, distinct, odd = made.agg(F.count(F.lit(1)), F.count_distinct("stand_in"), F.count_if(~F.col("stand_in").rlike(r"^(?:(?:0[1-9]|1[0-2])\.(?:0[1-9]|1[0-2])\.|[1-9]/[1-9]/)[1-9][0-9]{3}$"))).first()
+    assert n == distinct == days.count() and odd == 0
+    assert made.join(days.select(F.col("value").alias("stand_in")), "stand_in", "left_semi").count() == 0
+
+
 def test_titles_birth_dates_and_mentions(spark):
     rows = [(1, "Mr John Smith and John Smith again; Smith said so, Smithson did not. Dr. O'Neill-Ray was born on 12.03.1980, DOB: 1975-01-30.", "a"), (2, "John Smith here has no title", "a")]
     got = {r.doc_id: r for r in pii.replace_personal_data(spark, documents(spark, rows), KEY).collect()}
