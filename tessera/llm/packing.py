@@ -2,28 +2,38 @@
 
 from __future__ import annotations
 
+import struct
 import zlib
 from collections.abc import Iterator
+from itertools import compress, count
+from operator import not_
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: A worker's ids by word as written, and by lower-case word without a last punctuation mark; each starts again when it holds this many.
-CACHE_WORDS, CACHE_CORES = 500_000, 700_000
-MARKS = frozenset(b".,;:!?")
+#: A worker's ids by word as written, and by lower-case word without its last punctuation marks: a generation holds this many, and the one before it stays.
+CACHE_WORDS, CACHE_CORES = 300_000, 400_000
+#: ASCII marks but the apostrophe, which the tokenizer may leave with the letters after it.
+MARKS = rb"""!"#$%&()*+,-./:;<=>?@[\]^_`{|}~"""
 
 
 def latin(word: bytes) -> tuple[bytes, bytes] | None:
-    """Lower-case letters and last mark of a word of letters below U+0180; none for other words. (U+0130 has two lower-case characters.)"""
-    text, mark = (word[:-1].decode(), word[-1:]) if word[-1] in MARKS else (word.decode(), b"")
-    return (text.lower().encode(), mark) if text.isalpha() and max(text) < "\u0180" and "\u0130" not in text else None
+    """Lower-case letters and last marks of a word of letters below U+0180; none for other words. (U+0130 has two lower-case characters.)"""
+    body = word.rstrip(MARKS)
+    marks = word[len(body) :]
+    if body.isalpha():  # of bytes: ASCII letters only
+        return body.lower(), marks
+    if body.isascii():
+        return None
+    text = body.decode()
+    return (text.lower().encode(), marks) if text.isalpha() and max(text) < "\u0180" and "\u0130" not in text else None
 
 
 class WordIds:
     """Ids by word, as little-endian unsigned 32-bit integers. The tokenizer's own splits never span ASCII white space, so a text's ids are
-    those of its words in a row; and it splits marks from letters, so that a word of Latin letters and its last mark are encoded apart."""
+    those of its words in a row; and it splits marks from letters, so that a word of Latin letters and its last marks are encoded apart."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer, pre_tokenizers
@@ -32,34 +42,56 @@ class WordIds:
         self.letters = Tokenizer(self.whole.model)  # without the steps that leave a word of lower-case Latin letters whole
         self.letters.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.words: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
         self.cores: dict[bytes, bytes] = {}
-        self.marks = {bytes([m]): self._encode(self.whole, [bytes([m])])[0] for m in MARKS}
+        self.older_cores: dict[bytes, bytes] = {}
+        self.marks: dict[bytes, bytes] = {b"": b""}
 
     @staticmethod
     def _encode(tokenizer, words: list[bytes]) -> list[bytes]:
         found = []
         for i in range(0, len(words), 8192):
-            found += [np.array(e.ids, dtype="<u4").tobytes() for e in tokenizer.encode_batch_fast([w.decode() for w in words[i : i + 8192]], add_special_tokens=False)]
+            found += [struct.pack(f"<{len(e)}I", *e.ids) for e in tokenizer.encode_batch_fast([w.decode() for w in words[i : i + 8192]], add_special_tokens=False)]
         return found
 
-    def learn(self, words: set[bytes]) -> None:
-        new = words.difference(self.words)
+    def learn(self, new: set[bytes]) -> None:
         if len(self.words) + len(new) > CACHE_WORDS:
-            self.words.clear()
-            new = words
-        parts = {w: latin(w) or (w, b"") for w in new}
-        cores = {c for c, _ in parts.values()}
-        missing = cores.difference(self.cores)
-        if len(self.cores) + len(missing) > CACHE_CORES:
-            self.cores.clear()
-            missing = cores
-        plain, other = [], []
-        for c in missing:
-            (plain if latin(c) else other).append(c)
-        self.cores.update(zip(plain, self._encode(self.letters, plain), strict=True))
-        self.cores.update(zip(other, self._encode(self.whole, other), strict=True))
-        for w, (core, mark) in parts.items():
-            self.words[w] = self.cores[core] + self.marks[mark] if mark else self.cores[core]
+            self.words, self.older = {}, self.words
+        if len(self.cores) + len(new) > CACHE_CORES:
+            self.cores, self.older_cores = {}, self.cores
+        parts, other = [], []
+        for w in new:
+            if (known := self.older.get(w)) is not None:
+                self.words[w] = known
+            elif (part := latin(w)) is not None:
+                parts.append((w, *part))
+            else:
+                other.append(w)
+        cores = {c for _, c, _ in parts}.difference(self.cores)
+        again = {c: self.older_cores[c] for c in cores if c in self.older_cores}
+        self.cores.update(again)
+        missing = list(cores.difference(again))
+        self.cores.update(zip(missing, self._encode(self.letters, missing), strict=True))
+        if len(self.marks) > CACHE_WORDS:
+            self.marks = {b"": b""}
+        ends = list({m for _, _, m in parts}.difference(self.marks))
+        self.marks.update(zip(ends, self._encode(self.whole, ends), strict=True))
+        for w, core, end in parts:
+            self.words[w] = self.cores[core] + self.marks[end]
+        self.words.update(zip(other, self._encode(self.whole, other), strict=True))
+
+    def of(self, texts: list[bytes]) -> list[bytes]:
+        """The ids of each text. Each word is looked up once; only places of words not seen yet are filled in afterwards."""
+        words = [t.split() for t in texts]
+        found = [list(map(self.words.get, ws)) for ws in words]
+        gaps = [list(compress(count(), map(not_, ids))) for ids in found]
+        new = {ws[i] for ws, at in zip(words, gaps, strict=True) for i in at}
+        if new:
+            self.learn(new)
+            for ws, ids, at in zip(words, found, gaps, strict=True):
+                for i in at:
+                    ids[i] = self.words[ws[i]]
+        return list(map(b"".join, found))
 
 
 _tokenizers: dict[str, WordIds] = {}
@@ -70,10 +102,7 @@ def ids_of(texts: list[bytes], path: str) -> list[bytes]:
     if path not in _tokenizers:
         _tokenizers[path] = WordIds(path)
     known = _tokenizers[path]
-    words = [t.split() for t in texts]
-    known.learn(set().union(*words))
-    get = known.words
-    return [b"".join([get[w] for w in ws]) for ws in words]
+    return [ids for i in range(0, len(texts), 16) for ids in known.of(texts[i : i + 16])]  # few at a time, so that their words stay near the processor
 
 
 def pieces_of(docs: DataFrame, tokenizer: str, size: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

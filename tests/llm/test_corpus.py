@@ -230,3 +230,20 @@ def test_stages_keep_rows_of_null_and_repeated_ids(spark):
     assert packed.select("doc_id").distinct().count() <= mixed.select("doc_id").distinct().count()
     for name, stage in corpus_pipeline.STAGES:
         assert stage(spark, odd.limit(0), SF).count() == 0, name
+
+
+def test_words_with_marks_are_encoded_once(monkeypatch):
+    """Ids are those of the tokenizer for whole texts, also when caches start again; a core is encoded once, whatever its case and last marks."""
+    from tokenizers import Tokenizer
+
+    known, whole = packing.WordIds(tokenizer_path()), Tokenizer.from_file(tokenizer_path())
+    texts = ["Stone stone!!! STONE&&& stone*** stone, \u00c9t\u00e9$$$ \u00e9t\u00e9", "it's don't 'quoted' a.b&&& 12!! \u0130x, \u043c\u0438\u0440... x<|endoftext|>", "", "&&& ,", "stone. caf\u00e9\u0301"]
+    plain = [np.array(whole.encode(t, add_special_tokens=False).ids, dtype="<u4").tobytes() for t in texts]
+    asked, encode = [], known._encode
+    known._encode = lambda tokenizer, words: asked.extend(words) or encode(tokenizer, words)
+    assert known.of([t.encode() for t in texts]) == plain
+    assert [w for w in asked if w.lower().startswith(b"stone")] == [b"stone"]
+    monkeypatch.setattr(packing, "CACHE_WORDS", 3)
+    monkeypatch.setattr(packing, "CACHE_CORES", 2)
+    for _ in range(3):
+        assert [known.of([t.encode()])[0] for t in texts] == plain
