@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_left, bisect_right
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import pandas as pd
@@ -16,6 +16,8 @@ from ..storage import new_folder, saved
 
 #: Least word similarity of a fuzzy match, weight of a word, most and least words of a headline.
 FUZZY_LEAST, WEIGHT, HEADLINE_WORDS = 0.3, 0.1, 35
+#: Rows of postings or trigrams that a task holds at once, about.
+SLICE_ROWS = 20_000
 
 Phrase = tuple[tuple[str, int], ...]
 _GRAM_WORD = re.compile(r"[^\W_]+")
@@ -233,16 +235,27 @@ def _any_of(*found: DataFrame) -> DataFrame:
 
 
 def _postings(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for frame in frames:
-        rows = []
-        for key, text in zip(frame["key"], frame["text"], strict=True):
-            places: dict[str, list[int]] = {}
-            for term, at in lexemes(text):
-                places.setdefault(term, []).append(at)
-            rows += [(term, key, at) for term, at in places.items()]
-        yield pd.DataFrame(rows, columns=["term", "key", "places"])
+    def found(key: bytes, text: str) -> list[tuple]:
+        places: dict[str, list[int]] = {}
+        for term, at in lexemes(text):
+            places.setdefault(term, []).append(at)
+        return [(term, key, at) for term, at in places.items()]
+
+    return _in_slices(frames, found, ["term", "key", "places"])
 
 
 def _grams(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    return _in_slices(frames, lambda key, text: [(gram, key) for gram in set(trigrams(text))], ["gram", "key"])
+
+
+def _in_slices(frames: Iterator[pd.DataFrame], found: Callable[[bytes, str], list[tuple]], columns: list[str]) -> Iterator[pd.DataFrame]:
+    """What is found in each text, in frames of about ``SLICE_ROWS`` rows: those of a whole batch of long texts would not fit into a task."""
+    rows: list[tuple] = []
     for frame in frames:
-        yield pd.DataFrame([(gram, key) for key, text in zip(frame["key"], frame["text"], strict=True) for gram in set(trigrams(text))], columns=["gram", "key"])
+        for key, text in zip(frame["key"], frame["text"], strict=True):
+            rows += found(key, text)
+            if len(rows) >= SLICE_ROWS:
+                yield pd.DataFrame(rows, columns=columns)
+                rows = []
+    if rows:
+        yield pd.DataFrame(rows, columns=columns)

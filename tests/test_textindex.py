@@ -106,3 +106,19 @@ def test_search_agrees_with_a_scan(spark):
                 want.append((-round(rank or 0.0, 6), -(near if near >= 0.3 else 0.0), i))
         assert [(-r["rank"], -r.similarity, r.id) for r in index.search(text, 40).collect()] == sorted(want)[:40], text
     assert headline(parse("steel"), F.col("said")) is not None
+
+
+def test_postings_leave_in_slices(monkeypatch):
+    """A batch of texts leaves a task in frames of bounded size, each posting once, at any bound."""
+    import pandas as pd
+
+    from tessera.operators import textindex
+
+    texts = [" ".join(f"w{i}x{k}" for k in range(40)) for i in range(50)] + ["", "the"]
+    frame = pd.DataFrame({"key": [str(i).encode() for i in range(len(texts))], "text": texts})
+    for make in (textindex._postings, textindex._grams):
+        whole = pd.concat(list(make(iter([frame]))))
+        monkeypatch.setattr(textindex, "SLICE_ROWS", 100)
+        parts = list(make(iter([frame, frame.iloc[:0]])))
+        monkeypatch.undo()
+        assert max(map(len, parts)) < 100 + max(whole.groupby("key").size()) and pd.concat(parts).astype(str).values.tolist() == whole.astype(str).values.tolist()
