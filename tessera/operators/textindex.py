@@ -171,7 +171,8 @@ class TextIndex:
         spark = rows.sparkSession
         folder = new_folder(spark, "textindex")
         given = rows.select(F.col(id_col).alias("id"), text.alias("text")).where(F.col("text").isNotNull()).withColumn("key", key_of(F.col("text")))
-        texts = _sorted(given.groupBy("key").agg(F.any_value("text").alias("text")), f"{folder}/texts", "key")
+        # Few texts of many rows are hashed, not sorted; a key has one text.
+        texts = _sorted(given.select("key", "text").distinct(), f"{folder}/texts", "key")
         _sorted(texts.mapInPandas(_postings, "term string, key binary, places array<int>"), f"{folder}/postings", "term", "key")
         if members:
             _sorted(given.select("key", "id"), f"{folder}/members", "key", "id")

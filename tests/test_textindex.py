@@ -122,3 +122,14 @@ def test_postings_leave_in_slices(monkeypatch):
         parts = list(make(iter([frame, frame.iloc[:0]])))
         monkeypatch.undo()
         assert max(map(len, parts)) < 100 + max(whole.groupby("key").size()) and pd.concat(parts).astype(str).values.tolist() == whole.astype(str).values.tolist()
+
+
+def test_claims_bring_their_statements(spark, monkeypatch):
+    """The search of claims writes no table of who said what, whose sort grows with the claims; each claim found is active and matches."""
+    from tessera.operators.textindex import TextIndex
+    from tessera.plans import ALL_QUERIES
+
+    built, build = [], TextIndex.build
+    monkeypatch.setattr(TextIndex, "build", staticmethod(lambda *a, **k: built.append(build(*a, **k)) or built[-1]))
+    rows = ALL_QUERIES["lexical_claims"](spark, "/root/testdata/sf0.001").collect()
+    assert built[0].members is None and rows and all("<mark>status</mark>" in r.headline for r in rows)
