@@ -5,6 +5,7 @@ from __future__ import annotations
 import gc
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -61,6 +62,18 @@ def ascii_lower(text: Column) -> Column:
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
 
 
+_kept: dict[str, Callable[[], None]] = {}
+
+
+def keep_only(name: str, release: Callable[[], None] | None = None) -> None:
+    """For tasks in Python: of what operators keep in a worker from task to task, only that of ``name`` stays, so that a chain of operators takes no more memory than one. ``release`` lets go of it."""
+    for other in [k for k in _kept if k != name]:
+        _kept.pop(other)()
+        gc.collect()
+    if release:
+        _kept[name] = release
+
+
 def free_name(name: str, *tables: DataFrame) -> str:
     """A column name that none of the tables has, whatever the case."""
     taken = {c.lower() for t in tables for c in t.columns}

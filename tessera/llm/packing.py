@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import keep_only
+
 #: A worker's ids by word as written, and by lower-case word without its last punctuation marks: a generation holds this many, and the one before it stays.
 CACHE_WORDS, CACHE_CORES = 300_000, 400_000
 #: ASCII marks but the apostrophe, which the tokenizer may leave with the letters after it.
@@ -99,6 +101,7 @@ _tokenizers: dict[str, WordIds] = {}
 
 def ids_of(texts: list[bytes], path: str) -> list[bytes]:
     """The ids of each text."""
+    keep_only("packing", _tokenizers.clear)
     if path not in _tokenizers:
         _tokenizers[path] = WordIds(path)
     known = _tokenizers[path]

@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Workspace
+from .common import Workspace, keep_only
 from .components import connected_components
 
 BITS = 64
@@ -41,6 +41,7 @@ def fingerprints(docs: DataFrame, words: int = 4, seed: int = 42, id_col: str =
     """Id (as _id), digest of the text (_digest) and fingerprint (fp, its 64 bits as a bigint) of each document."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        keep_only("simhash")
         for b in batches:
             yield pd.DataFrame({"_id": b["_id"], "_digest": b["_digest"], "fp": np.array([fingerprint(t, words, seed) for t in b["_text"]], dtype=np.uint64).view(np.int64)})
 

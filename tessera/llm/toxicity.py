@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Workspace, free_name
+from .common import Workspace, free_name, keep_only
 
 #: Letters that look like a Latin letter. Fixed values, chosen by shape.
 HOMOGLYPHS = {
@@ -100,6 +100,13 @@ def _batched(docs: DataFrame, id_col: str, text_col: str, extra: tuple[str, ...]
     return docs.select(docs[id_col].alias("_id"), docs[text_col].alias("_text"), *(docs[c] for c in extra))
 
 
+def _own_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The batches of a task. What other operators kept in the worker goes at the start, the folded words at the end: they help within a task, hardly from one to the next."""
+    keep_only("toxicity")
+    yield from batches
+    _words.clear()
+
+
 def signature(words: list[str]) -> int:
     """The smallest hash of three words in a row: near copies mostly share it, other texts don't."""
     h = np.array([zlib.crc32(w.encode()) for w in words], dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
@@ -120,7 +127,7 @@ def learn_lexicon(labelled: DataFrame, min_log_odds: float = 3.0, least: int = 4
     """
 
     def words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
+        for b in _own_words(batches):
             lists = [fold(t).split() for t in b["_text"]]
             yield pd.DataFrame({"sig": [signature(ws) for ws in lists], "toxic": b["_toxic"].to_numpy(), "words": [list(set(ws)) for ws in lists]})
 
@@ -200,7 +207,7 @@ def measured(docs: DataFrame, lexicon: dict[str, float], exceptions: tuple[str,
         if key not in _matchers:
             _matchers.clear()
             _matchers[key] = matcher(*pickle.loads(model.value))
-        for b in batches:
+        for b in _own_words(batches):
             got = [features(t, _matchers[key]) for t in b["_text"]]
             yield b.drop(columns="_text").assign(weight=[g[0] for g in got], hits=[g[1] for g in got], words=[g[2] for g in got])
 

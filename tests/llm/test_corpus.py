@@ -247,3 +247,14 @@ def test_words_with_marks_are_encoded_once(monkeypatch):
     monkeypatch.setattr(packing, "CACHE_CORES", 2)
     for _ in range(3):
         assert [known.of([t.encode()])[0] for t in texts] == plain
+
+
+def test_a_worker_keeps_what_one_operator_needs():
+    """In a chain of operators the word caches of packing and toxicity don't add up in a worker."""
+    packing.ids_of([b"some words"], tokenizer_path())
+    assert packing._tokenizers
+    for text in toxicity._own_words(iter(["other words"])):
+        assert not packing._tokenizers
+        toxicity.fold(text)
+        assert toxicity._words
+    assert not toxicity._words
