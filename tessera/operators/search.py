@@ -109,6 +109,11 @@ def searchable_claims(claims: DataFrame, user_id: str | None = None, scope: str
     return stated_between(valid_at(found, at if at is not None else F.current_timestamp()), *stated)
 
 
+def _of_user(claims: DataFrame, user_id: str | None, work: str) -> DataFrame:
+    """The user's claims, written once: what makes them (joins, unions) is not repeated inside the tasks of each step that reads them."""
+    return saved(claims.where(F.col("user_id") == user_id) if user_id else claims, f"{work}/of_user")
+
+
 def _near(rows: DataFrame, vectors: DataFrame, id_col: str, query_vector: list[float], k: int, least: float | None = None) -> DataFrame:
     return vector_topk(vectors.select(id_col, "embedding").join(rows.select(id_col), id_col, "left_semi"), query_vector, k, least, id_col)
 
@@ -144,6 +149,7 @@ def memory_search(nodes: DataFrame, node_vectors: DataFrame, claims: DataFrame,
                   without: tuple[str, ...] = (), at: Column | None = None) -> DataFrame:
     """Personal nodes and trusted personal claims of at least ``least`` similarity, ``limit`` of each, and the first 50 nodes one step from any of them: kind, id, similarity (null for neighbours), source_ids."""
     work = new_folder(nodes.sparkSession, "search")
+    claims = _of_user(claims, user_id, work)
     shown, said = searchable_nodes(nodes, claims, links, sources, user_id, without=without), searchable_claims(claims, user_id, at=at)
     n = _near(shown, node_vectors, "node_id", query_vector, limit, least).select(F.lit("node").alias("kind"), F.col("node_id").alias("id"), "similarity")
     c = _near(said, claim_vectors, "claim_id", query_vector, limit, least).select(F.lit("claim").alias("kind"), F.col("claim_id").alias("id"), "similarity")
@@ -166,6 +172,7 @@ def card_search(nodes: DataFrame, node_vectors: DataFrame, claims: DataFrame, cl
     """
     work, among = new_folder(nodes.sparkSession, "cards"), None if scope == "reference" else scope
     mine = (lambda df: df.where(F.col("user_id") == user_id)) if user_id else (lambda df: df)
+    claims = _of_user(claims, user_id, work)
     shown, said = searchable_nodes(nodes, claims, links, sources, user_id, among, without=without), searchable_claims(claims, user_id, among, at)
     found = saved(ranked(_near(shown, node_vectors, "node_id", query_vector, limit, least), "similarity", "node_id").select("node_id", "rank"), f"{work}/nodes")
     hits = ranked(_near(said, claim_vectors, "claim_id", query_vector, limit, least), "similarity", "claim_id").select("claim_id", "rank")

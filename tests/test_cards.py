@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from tessera.operators.search import card_search
+from tessera.operators.search import card_search, memory_search
 
 _CLAIM = "claim_id string, user_id string, subject_id string, object_id string, object_value string, predicate string, statement string, source_id string, scope string, asserted_by_kind string, stated_at timestamp, valid_from timestamp, valid_to timestamp, status string"
 
@@ -46,3 +46,25 @@ def test_inferred_and_far_claims_give_nothing(spark):
 
 def test_empty(spark):
     assert search(spark, [], [], [], []) == ([], [])
+
+
+def test_the_claims_of_the_user_are_made_once(spark):
+    """Both searches read them in several steps; what makes them runs once, and other users' claims don't count."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    rows = [("1", "u", "a", "b"), ("2", "u", "b", "c"), ("3", "v", "a", "d")]
+    c = spark.createDataFrame([(i, u, s, o, None, "KNOWS", "x", "src", "personal", "user", None, None, None, "active") for i, u, s, o in rows], _CLAIM)
+    c = c.mapInArrow(count, c.schema)
+    n = spark.createDataFrame([(i, "u", "Object", label) for i, label in NODES], "node_id string, user_id string, node_type string, label string")
+    v, cv = spark.createDataFrame(VECTORS, "node_id string, embedding array<double>"), spark.createDataFrame([("1", [1.0, 0.0]), ("3", [1.0, 0.0])], "claim_id string, embedding array<double>")
+    ln, sr = spark.createDataFrame([], "source_id string, node_id string"), spark.createDataFrame([], "source_id string, user_id string, scope string")
+    at = F.lit("2020-01-01").cast("timestamp")
+    found = memory_search(n, v, c, cv, ln, sr, [1.0, 0.0], 1, 0.4, "u", at=at).collect()
+    assert sorted((r.kind, r.id) for r in found) == [("claim", "1"), ("neighbour", "c"), ("node", "a")] and seen.value == 3
+    cards, evidence = card_search(n, v, c, cv, ln, sr, spark.createDataFrame([], "node_id string, alias_text string"), [1.0, 0.0], 2, "personal", 0.4, "u", at=at)
+    assert [r.node_id for r in cards.orderBy("pos").collect()] == ["a", "b"] and [r.claim_id for r in evidence.collect()] == ["1"] and seen.value == 6
