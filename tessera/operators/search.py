@@ -115,7 +115,16 @@ def _of_user(claims: DataFrame, user_id: str | None, work: str) -> DataFrame:
 
 
 def _near(rows: DataFrame, vectors: DataFrame, id_col: str, query_vector: list[float], k: int, least: float | None = None) -> DataFrame:
-    return vector_topk(vectors.select(id_col, "embedding").join(rows.select(id_col), id_col, "left_semi"), query_vector, k, least, id_col)
+    held = rows.select(id_col).join(vectors.select(id_col), id_col, "left_semi")  # mostly few: the rest needs no shuffle
+    return vector_topk(vectors.select(id_col, "embedding").join(held, id_col, "left_semi"), query_vector, k, least, id_col)
+
+
+def _searched(nodes: DataFrame, vectors: DataFrame, claims: DataFrame, links: DataFrame, sources: DataFrame, user_id: str | None, *scope: str | None, without: tuple[str, ...] = ()) -> DataFrame:
+    """searchable_nodes of the nodes that have a vector; claims and links that touch none of them are left out before they are joined."""
+    ids = vectors.select("node_id")
+    touch = endpoints(claims.select("user_id", "subject_id", "object_id", "scope", "status")).join(ids, "node_id", "left_semi")
+    about = touch.select("user_id", "scope", "status", F.col("node_id").alias("subject_id"), F.lit(None).cast("string").alias("object_id"))
+    return searchable_nodes(nodes.join(ids, "node_id", "left_semi"), about, links.join(ids, "node_id", "left_semi"), sources, user_id, *scope, without=without)
 
 
 def explicit_search(nodes: DataFrame, node_vectors: DataFrame, claims: DataFrame, claim_vectors: DataFrame, links: DataFrame, sources: DataFrame, query_vector: list[float], query: str, limit: int, types: tuple[str, ...] = (),
@@ -150,7 +159,7 @@ def memory_search(nodes: DataFrame, node_vectors: DataFrame, claims: DataFrame,
     """Personal nodes and trusted personal claims of at least ``least`` similarity, ``limit`` of each, and the first 50 nodes one step from any of them: kind, id, similarity (null for neighbours), source_ids."""
     work = new_folder(nodes.sparkSession, "search")
     claims = _of_user(claims, user_id, work)
-    shown, said = searchable_nodes(nodes, claims, links, sources, user_id, without=without), searchable_claims(claims, user_id, at=at)
+    shown, said = _searched(nodes, node_vectors, claims, links, sources, user_id, without=without), searchable_claims(claims, user_id, at=at)
     n = _near(shown, node_vectors, "node_id", query_vector, limit, least).select(F.lit("node").alias("kind"), F.col("node_id").alias("id"), "similarity")
     c = _near(said, claim_vectors, "claim_id", query_vector, limit, least).select(F.lit("claim").alias("kind"), F.col("claim_id").alias("id"), "similarity")
     hits = saved(n.unionByName(c), f"{work}/hits")
@@ -173,7 +182,7 @@ def card_search(nodes: DataFrame, node_vectors: DataFrame, claims: DataFrame, cl
     work, among = new_folder(nodes.sparkSession, "cards"), None if scope == "reference" else scope
     mine = (lambda df: df.where(F.col("user_id") == user_id)) if user_id else (lambda df: df)
     claims = _of_user(claims, user_id, work)
-    shown, said = searchable_nodes(nodes, claims, links, sources, user_id, among, without=without), searchable_claims(claims, user_id, among, at)
+    shown, said = _searched(nodes, node_vectors, claims, links, sources, user_id, among, without=without), searchable_claims(claims, user_id, among, at)
     found = saved(ranked(_near(shown, node_vectors, "node_id", query_vector, limit, least), "similarity", "node_id").select("node_id", "rank"), f"{work}/nodes")
     hits = ranked(_near(said, claim_vectors, "claim_id", query_vector, limit, least), "similarity", "claim_id").select("claim_id", "rank")
     hits = saved(said.join(hits, "claim_id").select("claim_id", "rank", "source_id", "subject_id", "object_id"), f"{work}/claims")
