@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import WORD, Workspace
-from .windows import LAST, Spec, candidate_segments, covered, distinct_segments, distinct_texts, first_by_window, named, word_places
+from .windows import _SPACE, LAST, Runs, Spec, candidate_segments, covered, distinct_segments, distinct_texts, first_by_window, named
 
 #: At most so many shards are split between tasks; the list of them is broadcast.
 MOST_SPLIT = 100_000
@@ -58,6 +58,7 @@ class Phrases:
 
         self.number: dict[bytes, int] = {}
         self.owner: dict[tuple[int, ...], int] = {}
+        self.searched: dict[bytes, tuple[int, list[tuple[int, int]]]] = {}  # as many as a shard has different stretches
         self.width, self.piece = width, (width + 1) // 2
         self.automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
         number, owners, piece = self.number, self.owner, self.piece
@@ -72,18 +73,29 @@ class Phrases:
         if owners:
             self.automaton.make_automaton()
 
-    def earlier(self, text: bytes, than: int) -> tuple[int, int]:
-        """(how many windows a text has, a bit for each that has an owner smaller than ``than``)."""
+    def owned(self, text: bytes) -> tuple[int, list[tuple[int, int]]]:
+        """(how many windows a text has, [(owner, a bit for each window of which it is the smallest owner)])."""
         get, width, owner = self.number.get, self.width, self.owner.get
         words = tuple([get(w, 0) for w in text.split(b" ")])
         n = len(words) - width + 1
-        bits, done = 0, 0
+        bits: dict[int, int] = {}
+        done = 0
         if self.owner:
             for last, _ in self.automaton.iter(words):
                 for at in range(max(done, last - width + 1), min(last - self.piece + 2, n)):
-                    if owner(words[at : at + width], than) < than:
-                        bits |= 1 << at
+                    own = owner(words[at : at + width])
+                    if own is not None:
+                        bits[own] = bits.get(own, 0) | 1 << at
                 done = max(done, last - self.piece + 2)
+        return n, list(bits.items())
+
+    def earlier(self, text: bytes, than: int) -> tuple[int, int]:
+        """(how many windows a text has, a bit for each that has an owner smaller than ``than``). Equal stretches go through the automaton once."""
+        n, owned = self.searched.get(text) or self.searched.setdefault(text, self.owned(text))
+        bits = 0
+        for owner, windows in owned:
+            if owner < than:
+                bits |= windows
         return n, bits
 
 
@@ -138,11 +150,14 @@ def remove_phrases(spark: SparkSession, docs: DataFrame, width: int = 13, gram:
     """
     work, spec = Workspace(spark, "phrases"), Spec(width, gram, True)
 
-    def cut(text: bytes, first: np.ndarray, end: np.ndarray) -> list[bytes]:
-        a, b = word_places(np.frombuffer(text, dtype=np.uint8))
-        joined = b" ".join(text.split())
-        start = np.concatenate([[0], np.cumsum(b - a + 1)[:-1]])
-        return [joined[x:y] for x, y in zip(start[first].tolist(), (start + b - a)[end + width - 2].tolist(), strict=True)]
+    def cut(found: Runs) -> Callable[[np.ndarray, np.ndarray], list[bytes]]:
+        raw, (a, b) = np.frombuffer(found.raw, dtype=np.uint8), found.places
+        space = _SPACE[raw]
+        kept = ~space
+        kept[1:] |= ~space[:-1]  # of the white space after a word one, made a space
+        joined = np.where(space, np.uint8(32), raw)[kept].tobytes()
+        start = np.cumsum(b - a + 1) - (b - a + 1)
+        return lambda first, end: [joined[x:y] for x, y in zip(start[first].tolist(), (start + b - a)[end + width - 2].tolist(), strict=True)]
 
     def confirm(b: pd.DataFrame) -> pd.DataFrame:
         found = recurring_passages(b["content"].tolist(), b["owner"].tolist(), b["last"].tolist(), width)

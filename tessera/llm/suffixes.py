@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Workspace
-from .windows import _BYTES, LAST, Spec, candidate_segments, covered, distinct_segments, distinct_texts, first_by_window, flagged_runs, named, runs_of, spans
+from .windows import _BYTES, LAST, Runs, Spec, candidate_segments, covered, distinct_segments, distinct_texts, first_by_window, flagged_runs, named, runs_of, spans
 
 #: Bytes of segments that a task hashes at a time.
 CHUNK = 1 << 20
@@ -217,8 +217,8 @@ def remove_substrings(spark: SparkSession, docs: DataFrame, width: int = 100, gr
     """
     work, spec = Workspace(spark, "suffixes"), Spec(width, gram, False)
 
-    def cut(text: bytes, first: np.ndarray, end: np.ndarray) -> list[bytes]:
-        return [text[a : b + width - 1] for a, b in zip(first.tolist(), end.tolist(), strict=True)]
+    def cut(found: Runs) -> Callable[[np.ndarray, np.ndarray], list[bytes]]:
+        return lambda first, end: [found.raw[a : b + width - 1] for a, b in zip(first.tolist(), end.tolist(), strict=True)]
 
     texts, members = distinct_texts(work, docs, id_col, text_col)
     segments = candidate_segments(work, spec, True, cut)

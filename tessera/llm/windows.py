@@ -32,6 +32,8 @@ _SPACE[[9, 10, 11, 12, 13, 32]] = True
 PLACE_BITS = 22
 #: Segments that a task hands over at a time. A text that repeats one token has a segment at every place.
 AT_ONCE = 50_000
+#: Bytes of texts that a task searches together; a longer text is searched alone.
+TOGETHER = 1 << 18
 
 
 @dataclass(frozen=True)
@@ -114,6 +116,60 @@ def runs(place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return first, np.append(first[1:], len(place))
 
 
+@dataclass(frozen=True)
+class Runs:
+    """Runs of windows with one anchor in several texts: the text of each, its first window and the end, the anchor's place and the hash of its gram.
+    Tokens are counted through all texts; ``begins`` is the first of each text. ``raw`` holds the texts, one white space apart, and ``places`` its words, if tokens are words."""
+
+    raw: bytes
+    places: tuple[np.ndarray, np.ndarray] | None
+    begins: np.ndarray
+    text: np.ndarray
+    first: np.ndarray
+    end: np.ndarray
+    anchor: np.ndarray
+    seed: np.ndarray
+
+
+def runs_in(texts: list[bytes], spec: Spec) -> Runs:
+    """The runs of all texts, found at once, so that short texts cost no calls of their own. A hash and the order of hashes depend on content alone, not on the texts before."""
+    raw = b"\n".join(texts)
+    data, sizes = np.frombuffer(raw, dtype=np.uint8), np.array([len(t) for t in texts], dtype=np.int64)
+    start = np.cumsum(sizes + 1) - sizes - 1
+    if spec.words:
+        a, b = places = word_places(data)
+        values = spans(_BYTES[data], a, b) if len(a) else np.zeros(0, dtype=np.uint64)
+        begins, ends = np.searchsorted(a, start), np.searchsorted(a, start + sizes)
+    else:
+        places, values, begins, ends = None, _BYTES[data], start, start + sizes
+    place, hashes = anchors(values, spec)
+    n = np.maximum(ends - begins - spec.width + 1, 0)  # windows inside a text
+    text = np.repeat(np.arange(len(texts)), n)
+    window = np.arange(len(text)) + np.repeat(begins - (np.cumsum(n) - n), n)
+    place = place[window]
+    at, end = runs(place)  # windows of different texts have different anchors
+    return Runs(raw, places, begins, text[at], window[at], window[at] + (end - at), place[at], hashes[place[at]])
+
+
+def together(texts: pd.Series) -> Iterator[tuple[int, list[bytes]]]:
+    """Texts in a row that are searched together, with the number of the first."""
+    begin, held, size = 0, [], 0
+    for i, text in enumerate(texts):
+        text = text.encode()
+        if held and size + len(text) > TOGETHER:
+            yield begin, held
+            begin, held, size = i, [], 0
+        held.append(text)
+        size += len(text)
+    if held:
+        yield begin, held
+
+
+def of_text(seed: np.ndarray, text: np.ndarray) -> np.ndarray:
+    """A number for a seed in a text. Two that meet by chance make a window a candidate that is none, which the later steps see."""
+    return seed + mixed((text.astype(np.uint64) + U(1)) * U(_BASE))
+
+
 def distinct_texts(work: Workspace, docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
     """(texts, members): one row (_row, _key, _text, _own) per distinct text with a number of its own, its smallest id and how many of its rows have
     that id; and (_id, _row) for every other row. Different texts can share a smallest id, so that only _row names a text. Copies of a whole text
@@ -129,18 +185,20 @@ def distinct_texts(work: Workspace, docs: DataFrame, id_col: str, text_col: str)
 
 def candidate_segments(work: Workspace, spec: Spec, same_text: bool, cut) -> DataFrame:
     """Segments of the distinct texts whose anchor gram occurs again: (_row, _key, first, windows, at, seed, content), written to ``segments``; at is where the
-    anchor lies, counted from the first window. ``cut(text, first window, end)`` gives the contents. Anchors count across texts, and with ``same_text`` inside one text too."""
+    anchor lies, counted from the first window. ``cut(runs)`` gives a function of first windows and ends that gives the contents. Anchors count across texts, and with ``same_text`` inside one text too."""
 
     def grams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows, seeds, sizes = [], [], []
-            for row, text in zip(b["_row"], b["_text"], strict=True):
-                place, hashes = anchors(tokens(text.encode(), spec), spec)
-                own = hashes[place[runs(place)[0]]]
-                own, size = np.unique(own, return_counts=True)
-                rows.append(np.full(len(own), row, dtype=np.int64))
-                seeds.append(own)
-                sizes.append(size)
+            rows, seeds, sizes, row = [], [], [], b["_row"].to_numpy()
+            for begin, texts in together(b["_text"]):
+                found = runs_in(texts, spec)
+                key = of_text(found.seed, found.text)
+                order = np.argsort(key)
+                key, text, seed = key[order], found.text[order], found.seed[order]
+                new = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (text[1:] != text[:-1]) | (seed[1:] != seed[:-1])])) if len(key) else order
+                rows.append(row[begin + text[new]])
+                seeds.append(seed[new])
+                sizes.append(np.diff(np.append(new, len(key))))
             yield pd.DataFrame({"_row": np.concatenate(rows), "seed": np.concatenate(seeds).view(np.int64), "n": np.concatenate(sizes).astype(np.int32)} if rows else {"_row": [], "seed": [], "n": []})
 
     texts = work.spark.read.parquet(f"{work.root}/distinct_texts")
@@ -159,17 +217,21 @@ def candidate_segments(work: Workspace, spec: Spec, same_text: bool, cut) -> Dat
         for b in batches:
             parts: list[tuple] = []
             waiting = 0
-            for row, key, text, seeds in zip(*(b[c] for c in ("_row", "_key", "_text", "seeds")), strict=True):
-                text = text.encode()
-                place, hashes = anchors(tokens(text, spec), spec)
-                first, end = runs(place)
-                own = hashes[place[first]]
-                hit = np.isin(own, np.asarray(seeds, dtype=np.int64).view(np.uint64))
-                first, end, own = first[hit], end[hit], own[hit].view(np.int64)
-                shift = place[first] - first
+            row, key, seeds = b["_row"].to_numpy(), b["_key"].to_numpy(), b["seeds"].tolist()
+            for begin, texts in together(b["_text"]):
+                found = runs_in(texts, spec)
+                own = seeds[begin : begin + len(texts)]
+                marked = np.concatenate([np.asarray(x, dtype=np.int64) for x in own]).view(np.uint64)
+                marked = np.sort(of_text(marked, np.repeat(np.arange(len(own)), [len(x) for x in own])))
+                asked = of_text(found.seed, found.text)
+                hit = marked[np.minimum(np.searchsorted(marked, asked), len(marked) - 1)] == asked
+                text, first, end, seed = (x[hit] for x in (found.text, found.first, found.end, found.seed.view(np.int64)))
+                shift = (found.anchor - found.first)[hit]
+                own_first, contents = first - found.begins[text], cut(found)
                 for s in range(0, len(first), AT_ONCE):
-                    f, e = first[s : s + AT_ONCE], end[s : s + AT_ONCE]
-                    parts.append((np.full(len(f), row), np.full(len(f), key), f, (e - f).astype(np.int32), shift[s : s + AT_ONCE].astype(np.int32), own[s : s + AT_ONCE], cut(text, f, e)))
+                    p = slice(s, s + AT_ONCE)
+                    f, e = first[p], end[p]
+                    parts.append((row[begin + text[p]], key[begin + text[p]], own_first[p], (e - f).astype(np.int32), shift[p].astype(np.int32), seed[p], contents(f, e)))
                     waiting += len(f)
                     if waiting >= AT_ONCE:
                         yield whole(parts)
