@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import hashlib
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -21,6 +21,10 @@ CITED = ("user", "user_confirmed", "participant", "document_author")
 MERGED = ("Person", "Organization", "Location", "Object", "Emotion", "Concept", "Media", "Temporal")
 ATTRIBUTES = ("HAS_STATUS", "HAS_TASK_STATUS", "HAS_PREFERENCE", "HAS_GOAL", "MADE_DECISION", "HAS_ATTRIBUTE")
 STATES = ("pending", "in_progress", "done", "abandoned")
+#: Operations that name claims only; groups of no others see no nodes but those whose types decide.
+OF_CLAIMS = ("retract_claim", "contradict_claim")
+#: Predicates whose shape leaves out some types.
+SHAPED = tuple(p for p, ends in SHAPES.items() if any("*" not in ok for ok in ends))
 
 #: The columns of an operation. temp ids name nodes of the run; removed is the list of a merge.
 OPERATION = "user_id string, run string, seq int, kind string, claim_id string, cited_id string, temp_id string, object_temp_id string, removed array<string>, text string, node_type string, predicate string, object_value string"
@@ -66,7 +70,7 @@ class Group:
         for r in state:
             rows.setdefault(r["what"], []).append(r)
         take = lambda kind: rows.get(kind, [])
-        self.claims = {r["id"]: {k: r[k] for k in ("id", "subject", "object", "value", "predicate", "status", "kind", "scope", "source", "at", "made", "speaker")} for r in take("claim")}
+        self.claims = {r["id"]: r for r in take("claim")}
         self.nodes = {r["id"]: {"type": r["predicate"], "outside": int(r["n"]), "links": int(r["m"]), "scopes": set(filter(None, (r["scope"] or "").split(",")))} for r in take("node")}
         self.aliases = {(r["id"], r["value"]) for r in take("alias")}
         self.sources = {r["id"]: r["scope"] for r in take("source")}
@@ -234,30 +238,35 @@ class Group:
         return [{"effect": "node", "node_id": name, "text": op["text"], "node_type": op["node_type"]}]
 
 
-def _records(frame: pd.DataFrame) -> dict[str, list[dict]]:
+def _records(table: pa.Table) -> dict[str, list[dict]]:
     out: dict[str, list[dict]] = {}
-    for r in frame.astype(object).where(frame.notna(), None).to_dict("records"):
+    columns = table.column_names
+    # Pandas makes objects of whole columns many times faster than to_pylist.
+    for values in zip(*(c.to_pandas(integer_object_nulls=True).tolist() for c in table.columns), strict=True):
+        r = dict(zip(columns, values, strict=True))
         out.setdefault(r["group"], []).append(r)
     return out
 
 
-def _apply(ops: pd.DataFrame, state: pd.DataFrame) -> pd.DataFrame:
+def _apply(ops: pa.Table, state: pa.Table) -> pa.Table:
     """Outcomes and effects of the groups of a bucket, each in order of run and place."""
+    columns = [c.split() for c in _DONE.split(", ")]
+    nothing = (None,) * (len(columns) - 8)
     held, out = _records(state), []
     for name, mine in _records(ops).items():
         group = Group(held.get(name, []))
         for place, op in enumerate(sorted(mine, key=lambda r: (r["run"], r["seq"]))):
-            op = op | {"place": place, "removed": list(op["removed"]) if op["removed"] is not None else []}
+            op["place"], op["removed"] = place, list(op["removed"]) if op["removed"] is not None else []
             outcome, message, effects = group.run(op)
-            head = {c: op[c] for c in ("user_id", "run", "seq", "kind")}
-            out.append(head | {"outcome": outcome, "message": message or None})
-            out += [head | e for e in effects]
-    made = pd.DataFrame(out, columns=[c.split()[0] for c in _DONE.split(", ")]).astype(object)
-    return made.where(made.notna(), None)
+            head = (op["user_id"], op["run"], op["seq"], op["kind"])
+            out.append((*head, outcome, message or None, None, op["claim_id"], *nothing))
+            out += [(*head, *(e.get(c) for c, _ in columns[4:])) for e in effects]
+    values = zip(*out) if out else ((),) * len(columns)
+    return pa.table({c: pa.array(v, pa.int32() if t == "int" else pa.string()) for (c, t), v in zip(columns, values, strict=True)})
 
 
 class CleanupResult:
-    """outcomes: one row per operation (applied, skipped or error, with the message). effects: what they change, in order. The tables after it: claims, nodes, links, aliases, redirects."""
+    """outcomes: one row per operation (applied, skipped or error, with the message and the claim it names). effects: what they change, in order. The tables after it: claims, nodes, links, aliases, redirects."""
 
     def __init__(self, **tables: DataFrame):
         self.__dict__.update(tables)
@@ -278,56 +287,84 @@ def apply_cleanup(operations: DataFrame, temps: DataFrame, claims: DataFrame, no
     outcomes and changes nothing. allowed (user_id, run, claim_id): the claims that operations of a run may name; a run that has none there is free.
 
     Runs of one user form a group (components) where one may change what another reads: a claim, the chain of a single-valued predicate, a node that is merged or deleted, an alias. Groups are independent, and
-    Spark deals them out. A group sees a few rows: the nodes that it names, how many claims lie outside, and the claims that it names, that lie between its nodes or in their chains. It is worked off in order, so that later temporary ids point to
-    survivors. What comes of it is applied to the whole tables by joins: merges of merges are followed to the last survivor, and the lifecycle runs on touched keys only.
+    Spark deals them out. A group sees a few rows: the nodes that it names, how many claims lie outside, and the claims that it names, that lie between its nodes or in their chains. A group that only retracts and contradicts
+    sees less: the claims that it names, their chains, and the types of nodes that a shape or a chain asks for. It is worked off in order, so that later temporary ids point to survivors. What comes of it is applied to the whole tables by joins: merges of merges are followed to the last survivor, and the lifecycle runs on touched keys only.
     """
     folder = new_folder(operations.sparkSession, "cleanup")
     ops, temps = saved(operations, f"{folder}/ops"), saved(temps, f"{folder}/temps")
     own = claims.select("claim_id", "user_id", "subject_id", "object_id", "object_value", "predicate", "status", "asserted_by_kind", "scope", "source_id", "stated_at", "created_at", "asserted_by_id")
     key = ["user_id", "run"]
-    named = ops.select(*key, F.explode(F.array_compact(F.array("claim_id", "cited_id"))).alias("claim_id"))
-    named = saved(named.join(own.select("user_id", "claim_id", "subject_id", "object_id", "predicate"), ["user_id", "claim_id"]), f"{folder}/named")
+    # Who names a claim is dealt by claim, which its rows, the first and last run that name it and the join all go by.
+    named = ops.select(*key, F.explode(F.array_compact(F.array("claim_id", "cited_id"))).alias("claim_id")).repartition("user_id", "claim_id").distinct()
+    runs_of = W.partitionBy("user_id", "claim_id")
+    named = named.join(own, ["user_id", "claim_id"]).withColumn("_low", F.min("run").over(runs_of)).withColumn("_high", F.max("run").over(runs_of))
+    named = saved(named, f"{folder}/named")
     used = ops.select(*key, "kind", "predicate", "text", "temp_id", F.explode(F.array_compact(F.concat(F.array("temp_id", "object_temp_id"), F.coalesce("removed", F.array().cast("array<string>"))))).alias("_temp"))
     used = saved(used.join(temps.withColumnRenamed("temp_id", "_temp"), [*key, "_temp"]), f"{folder}/used")
-    ends = named.select(*key, F.explode(F.array_compact(F.array("subject_id", "object_id"))).alias("ref"))
-    reads = saved(named.select(*key, F.col("claim_id").alias("ref")).union(ends).union(used.select(*key, F.col("node_id").alias("ref"))).distinct(), f"{folder}/reads")
+    ends = named.select(*key, F.explode(F.array_compact(F.array("subject_id", "object_id"))).alias("ref")).union(used.select(*key, F.col("node_id").alias("ref")))
 
     # Runs belong together where one changes what the other reads: a claim, a chain of claims, a node that is merged or deleted, an alias. What only one run reads links nothing.
-    written = used.where("kind IN ('merge_nodes', 'delete_node')").select("user_id", F.col("node_id").alias("ref")).union(named.select("user_id", F.col("claim_id").alias("ref"))).distinct()
+    written = saved(used.where("kind IN ('merge_nodes', 'delete_node')").select("user_id", F.col("node_id").alias("ref")).distinct(), f"{folder}/written")
     singles = F.col("predicate").isin(*SINGLE_CURRENT, *SINGLE_CURRENT_OF_TASK)
     chains = named.where(singles).select(*key, F.concat_ws("\x1f", "subject_id", "predicate").alias("ref")).union(used.where((F.col("kind") == "add_claim") & singles & (F.col("temp_id") == F.col("_temp"))).select(*key, F.concat_ws("\x1f", "node_id", "predicate").alias("ref")))
     names = used.where("kind IN ('add_alias', 'remove_alias')").select(*key, F.concat_ws("\x1f", "node_id", normalize_alias(F.col("text"))).alias("ref"))
-    seen_by = lambda df, always: df.groupBy("user_id", "ref").agg(F.min("run").alias("_low"), F.max("run").alias("_high")).where("_low <> _high").select("user_id", "ref", "_low", F.lit(always).alias("_always"))
-    common = saved(seen_by(reads, False), f"{folder}/common")
-    links_by = common.join(written, ["user_id", "ref"], "left_semi").join(reads, ["user_id", "ref"])
-    links_by = links_by.select("user_id", "run", "_low").union(seen_by(chains.union(names), True).join(chains.union(names), ["user_id", "ref"]).select("user_id", "run", "_low"))
+    readers = saved(ends.join(written, ["user_id", "ref"], "left_semi").union(chains).union(names).distinct(), f"{folder}/readers")
+    shared = readers.groupBy("user_id", "ref").agg(F.min("run").alias("_low"), F.max("run").alias("_high")).where("_low <> _high")
+    links_by = named.where("_low <> _high").select(*key, "_low").union(readers.join(shared, ["user_id", "ref"]).select(*key, "_low"))
     run = lambda c: F.concat_ws("\x1f", F.lit("run"), "user_id", c)
     groups = components(links_by.select(run("run").alias("a"), run("_low").alias("b")), f"{folder}/components")
     parts = F.split("node", "\x1f")
     roots = saved(groups.select(F.get(parts, F.lit(1)).alias("user_id"), F.get(parts, F.lit(2)).alias("run"), F.col("root").alias("_root")), f"{folder}/runs")
     grouped = lambda df: df.join(roots, key, "left").withColumn("group", F.coalesce("_root", run("run")))
-    placed = grouped(reads)
-    held = placed.where("_root IS NULL").select("user_id", "group", "ref").union(placed.where("_root IS NOT NULL").select("user_id", "group", "ref").distinct())
-    held = saved(held, f"{folder}/held")
-
-    state = _state(held, grouped, own, nodes, links, sources, aliases, temps, ops, allowed, folder)
+    dealt = grouped(ops.where("user_id IS NOT NULL AND run IS NOT NULL")).drop("_root")
+    # Groups with an operation on nodes or sources see all about their nodes.
+    wide = saved(dealt.where(~F.coalesce(F.col("kind").isin(*OF_CLAIMS), F.lit(False))).select("user_id", "group").distinct(), f"{folder}/wide")
+    state = _state_of_claims(grouped(named).join(wide, ["user_id", "group"], "left_anti"), own, nodes, folder)
+    if not wide.isEmpty():
+        refs = grouped(named.select(*key, F.col("claim_id").alias("ref")).union(ends)).join(wide, ["user_id", "group"], "left_semi")
+        held = saved(refs.select("user_id", "group", "ref").distinct(), f"{folder}/held")
+        state = state.unionByName(_state(held, grouped, own, nodes, links, sources, aliases, temps, ops, folder))
+    if allowed is not None:
+        state = state.unionByName(_shaped(grouped(allowed), "allowed", id="claim_id", subject="run"))
     buckets = max(1, -(-ops.count() // 2000))
     bucket = F.pmod(F.xxhash64("group"), F.lit(buckets)).alias("bucket")
-    dealt = grouped(ops.where("user_id IS NOT NULL AND run IS NOT NULL")).drop("_root")
-    done = dealt.groupBy(bucket).cogroup(state.groupBy(bucket)).applyInPandas(_apply, _DONE)
+    done = dealt.groupBy(bucket).cogroup(state.groupBy(bucket)).applyInArrow(_apply, _DONE)
     done = saved(done, f"{folder}/done")
-    outcomes = done.where("outcome IS NOT NULL").select("user_id", "run", "seq", "kind", "outcome", "message")
+    outcomes = done.where("outcome IS NOT NULL").select("user_id", "run", "seq", "kind", "claim_id", "outcome", "message")
     effects = done.where("effect IS NOT NULL").drop("outcome", "message")
     return CleanupResult(outcomes=outcomes, effects=effects, **_after(effects, claims, nodes, links, aliases, at, folder))
 
 
-def _state(held, grouped, own, nodes, links, sources, aliases, temps, ops, allowed, folder) -> DataFrame:
-    """The rows that groups see, of one shape: group, what, id, and what each kind needs."""
-    null = F.lit(None).cast("string")
-    empty = {c: null for c in ("subject", "object", "value", "predicate", "status", "kind", "scope", "source", "at", "made", "speaker")} | {"n": F.lit(0).cast("long"), "m": F.lit(0).cast("long")}
+def _shaped(df: DataFrame, what: str, **columns) -> DataFrame:
+    """Rows that groups see, of one shape: group, what, id, and what each kind needs."""
+    null, none = F.lit(None).cast("string"), F.lit(0).cast("long")
+    empty = {c: null for c in ("subject", "object", "value", "predicate", "status", "kind", "scope", "source", "at", "made", "speaker")} | {"n": none, "m": none}
+    return df.select("group", F.lit(what).alias("what"), *[(F.col(v) if isinstance(v, str) else v).alias(c) for c, v in ({"id": columns.pop("id")} | empty | columns).items()])
+
+
+def _shaped_claims(claims: DataFrame) -> DataFrame:
+    text = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss.SSSSSS")
+    return _shaped(claims, "claim", id="claim_id", subject="subject_id", object="object_id", value="object_value", predicate="predicate", status="status", kind="asserted_by_kind", scope="scope", source="source_id", at=text("stated_at"), made=text("created_at"), speaker="asserted_by_id")
+
 
-    def shaped(df: DataFrame, what: str, **columns) -> DataFrame:
-        return df.select("group", F.lit(what).alias("what"), *[(F.col(v) if isinstance(v, str) else v).alias(c) for c, v in ({"id": columns.pop("id")} | empty | columns).items()])
+def _state_of_claims(named: DataFrame, own: DataFrame, nodes: DataFrame, folder: str) -> DataFrame:
+    """What groups see that only retract and contradict: the claims they name, the chains of these, and the types of nodes that a shape or a chain asks for."""
+    chain = ["user_id", "subject_id", "predicate"]
+    singles = F.col("predicate").isin(*SINGLE_CURRENT, *SINGLE_CURRENT_OF_TASK)
+    out = _shaped_claims(named)
+    chains = saved(named.where(singles).select("group", *chain).distinct(), f"{folder}/chains")
+    if not chains.isEmpty():
+        out = out.unionByName(_shaped_claims(own.where(singles).join(chains, chain)))
+    ends = F.when(F.col("predicate").isin(*SHAPED), F.array("subject_id", "object_id")).when(F.col("predicate").isin(*SINGLE_CURRENT_OF_TASK), F.array("subject_id"))
+    typed = saved(named.select("user_id", "group", F.explode(F.array_compact(ends)).alias("node_id")).distinct(), f"{folder}/typed")
+    if not typed.isEmpty():
+        out = out.unionByName(_shaped(nodes.select("user_id", "node_id", "node_type").join(typed, ["user_id", "node_id"]), "node", id="node_id", predicate="node_type"))
+    return out
+
+
+def _state(held, grouped, own, nodes, links, sources, aliases, temps, ops, folder) -> DataFrame:
+    """The rows that groups see which change nodes."""
+    null = F.lit(None).cast("string")
 
     # Claims that a group sees: named, in a chain, or between two of its nodes. One of an end and, for the last, the other end decides; the other claims are only counted, per node.
     singles = F.coalesce(F.col("predicate").isin(*SINGLE_CURRENT, *SINGLE_CURRENT_OF_TASK), F.lit(False))
@@ -337,9 +374,7 @@ def _state(held, grouped, own, nodes, links, sources, aliases, temps, ops, allow
     met = saved(spread.join(held, ["user_id", "ref"]).select("user_id", "group", "claim_id", "other"), f"{folder}/met")
     both = met.where("other IS NOT NULL").join(held.withColumnRenamed("ref", "other"), ["user_id", "group", "other"], "left_semi").select("user_id", "group", "claim_id")
     seen = met.where("other IS NULL").select("user_id", "group", "claim_id").union(both).distinct()
-    text = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss.SSSSSS")
     seen = saved(seen.join(own, ["claim_id", "user_id"]), f"{folder}/seen")
-    claims = shaped(seen, "claim", id="claim_id", subject="subject_id", object="object_id", value="object_value", predicate="predicate", status="status", kind="asserted_by_kind", scope="scope", source="source_id", at=text("stated_at"), made=text("created_at"), speaker="asserted_by_id")
     # What speaks for a node, counted once whatever groups hold it: its claims and their scopes (a speaker lends none), its links. Of the claims a group sees some, the others lie outside.
     end = lambda c, said: F.when(F.col(c).isNotNull(), F.struct(F.col(c).alias("ref"), said.alias("said")))
     speaks = F.when(F.coalesce(F.col("asserted_by_id") != F.col("subject_id"), F.lit(True)) & F.coalesce(F.col("asserted_by_id") != F.col("object_id"), F.lit(True)), end("asserted_by_id", null))
@@ -353,14 +388,12 @@ def _state(held, grouped, own, nodes, links, sources, aliases, temps, ops, allow
     none = F.array().cast("array<string>")
     scopes = F.array_join(F.array_union(F.coalesce("_of_links", none), F.coalesce("_of_claims", none)), ",")
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("long")
-    out = claims.unionByName(shaped(rows, "node", id="ref", predicate="node_type", scope=scopes, n=zero("n"), m=zero("m")))
-    out = out.unionByName(shaped(aliases.select(F.col("node_id").alias("ref"), "user_id", "normalized_alias_text").join(held, ["user_id", "ref"]), "alias", id="ref", value="normalized_alias_text"))
+    out = _shaped_claims(seen).unionByName(_shaped(rows, "node", id="ref", predicate="node_type", scope=scopes, n=zero("n"), m=zero("m")))
+    out = out.unionByName(_shaped(aliases.select(F.col("node_id").alias("ref"), "user_id", "normalized_alias_text").join(held, ["user_id", "ref"]), "alias", id="ref", value="normalized_alias_text"))
     cited = grouped(ops.where("kind = 'promote_assertion'")).select("user_id", "group", F.col("cited_id").alias("source_id"))
     lent = seen.select("user_id", "group", "source_id")
-    out = out.unionByName(shaped(cited.union(lent).distinct().join(sources.select("source_id", "user_id", "scope"), ["source_id", "user_id"]), "source", id="source_id", scope="scope"))
-    out = out.unionByName(shaped(grouped(temps), "temp", id="temp_id", subject="run", object="node_id"))
-    if allowed is not None:
-        out = out.unionByName(shaped(grouped(allowed), "allowed", id="claim_id", subject="run"))
+    out = out.unionByName(_shaped(cited.union(lent).distinct().join(sources.select("source_id", "user_id", "scope"), ["source_id", "user_id"]), "source", id="source_id", scope="scope"))
+    out = out.unionByName(_shaped(grouped(temps), "temp", id="temp_id", subject="run", object="node_id"))
     return out
 
 
@@ -383,18 +416,9 @@ def _put(rows: DataFrame, column: str, moves: DataFrame) -> DataFrame:
     return some.unionByName(rows.where(F.col(column).isNull()))
 
 
-def _after(effects: DataFrame, claims: DataFrame, nodes: DataFrame, links: DataFrame, aliases: DataFrame, at: Column, folder: str) -> dict[str, DataFrame]:
-    moves = _moved(effects, folder)
-    gone = effects.where("effect = 'no_node'").select("node_id").union(moves.select("from_id"))
-    cast = {f.name: f.dataType for f in claims.schema}
-    made = effects.where("effect = 'claim'").alias("e").join(claims.select(F.col("claim_id").alias("text"), F.col("statement").alias("_said")), "text", "left")
-    new = {"claim_id": "claim_id", "user_id": "user_id", "subject_id": "node_id", "object_id": "other_id", "object_value": "object_value", "predicate": "predicate", "scope": "scope", "source_id": "source_id", "asserted_by_kind": "by_kind"}
-    fixed = {"statement": F.coalesce("_said", "text"), "status": F.lit("active"), **{c: at + F.make_dt_interval(secs=F.col("created") / 1e6) for c in ("stated_at", "created_at", "updated_at")}}
-    created = made.select(*[(F.col(new[c]) if c in new else fixed.get(c, F.lit(None))).cast(cast[c]).alias(c) for c in claims.columns])
-    ended = effects.where("effect = 'status'").groupBy("claim_id").agg(F.max_by("text", F.struct("run", "seq")).alias("_status"))
-    old = claims.join(ended, "claim_id", "left").withColumn("status", F.coalesce("_status", "status")).drop("_status")
-    touched = saved(created.select("claim_id").union(ended.select("claim_id")), f"{folder}/touched")
-    every = saved(old.unionByName(created).select(*claims.columns), f"{folder}/claims")
+def _merged(claims: DataFrame, moves: DataFrame, folder: str) -> DataFrame:
+    """The claims after all merges: ends moved to survivors, claims from a survivor to itself and repeated ones dropped."""
+    every = saved(claims, f"{folder}/claims")
     for c in ("subject_id", "object_id", "asserted_by_id"):
         every = _put(every, c, moves)
     loops = F.coalesce(F.col("subject_id") == F.col("object_id"), F.lit(False))
@@ -404,16 +428,34 @@ def _after(effects: DataFrame, claims: DataFrame, nodes: DataFrame, links: DataF
     same = W.partitionBy("user_id", "subject_id", "predicate", "source_id", "object_id", "object_value", "asserted_by_kind", "asserted_by_id").orderBy("created_at", "claim_id")
     twins = every.join(near, "claim_id", "left_semi").withColumn("_n", F.row_number().over(same)).where(F.col("_n") > 1).select("claim_id")
     drop = every.where(loops).join(near, "claim_id", "left_semi").select("claim_id").union(twins)
-    every = saved(every.join(drop, "claim_id", "left_anti").select(*claims.columns), f"{folder}/merged")
-    changed = every.join(touched, "claim_id", "left_semi")
-    added = effects.where("effect = 'node'").select("node_id", "user_id", "node_type", F.col("text").alias("label"), at.alias("created_at"))
-    left = nodes.select("node_id", "user_id", "node_type", "label", "created_at").unionByName(added).join(gone, "node_id", "left_anti")
+    return saved(every.join(drop, "claim_id", "left_anti").select(*claims.columns), f"{folder}/merged")
+
+
+def _after(effects: DataFrame, claims: DataFrame, nodes: DataFrame, links: DataFrame, aliases: DataFrame, at: Column, folder: str) -> dict[str, DataFrame]:
+    moves = _moved(effects, folder)
+    gone = effects.where("effect = 'no_node'").select("node_id").union(moves.select("from_id"))
+    cast = {f.name: f.dataType for f in claims.schema}
+    added = effects.where("effect = 'claim'")
+    said = claims.join(added.select(F.col("text").alias("claim_id")).distinct(), "claim_id", "left_semi").select(F.col("claim_id").alias("text"), F.col("statement").alias("_said"))
+    made = added.join(said, "text", "left")
+    new = {"claim_id": "claim_id", "user_id": "user_id", "subject_id": "node_id", "object_id": "other_id", "object_value": "object_value", "predicate": "predicate", "scope": "scope", "source_id": "source_id", "asserted_by_kind": "by_kind"}
+    fixed = {"statement": F.coalesce("_said", "text"), "status": F.lit("active"), **{c: at + F.make_dt_interval(secs=F.col("created") / 1e6) for c in ("stated_at", "created_at", "updated_at")}}
+    created = made.select(*[(F.col(new[c]) if c in new else fixed.get(c, F.lit(None))).cast(cast[c]).alias(c) for c in claims.columns])
+    ended = effects.where("effect = 'status'").groupBy("claim_id").agg(F.max_by("text", F.struct("run", "seq")).alias("_status"))
+    old = claims.join(ended, "claim_id", "left").withColumn("status", F.coalesce("_status", "status")).drop("_status")
+    created = saved(created, f"{folder}/created")
+    every = old.select(*claims.columns) if created.isEmpty() else old.unionByName(created).select(*claims.columns)
+    if not moves.isEmpty():
+        every = _merged(every, moves, folder)
+    new_nodes = effects.where("effect = 'node'").select("node_id", "user_id", "node_type", F.col("text").alias("label"), at.alias("created_at"))
+    left = nodes.select("node_id", "user_id", "node_type", "label", "created_at").unionByName(new_nodes).join(gone, "node_id", "left_anti")
     single = F.col("predicate").isin(*SINGLE_CURRENT)
     tasks = left.where("node_type = 'Task'").select(F.col("node_id").alias("subject_id"))
     due = every.where(F.col("predicate").isin(*SINGLE_CURRENT_OF_TASK)).join(tasks, "subject_id", "left_semi").select(*claims.columns)
-    chained = every.where(single).unionByName(due)
     kept = [c for c in claims.columns if c != "superseded_by"]
-    resolved = recompute(chained.select(*kept), changed.join(chained.select("claim_id"), "claim_id", "left_semi").select(*kept)) if kept else chained
+    chained = saved(every.where(single).unionByName(due).select(*kept), f"{folder}/chained")
+    changed = saved(chained.join(created.select("claim_id").union(ended.select("claim_id")), "claim_id", "left_semi").select(*kept), f"{folder}/changed")
+    resolved = recompute(chained, changed)
     # The rest are rows of other predicates, and of those of tasks the ones whose subject is none.
     free = every.where(~F.coalesce(single | F.col("predicate").isin(*SINGLE_CURRENT_OF_TASK), F.lit(False))).select(*claims.columns)
     free = free.unionByName(every.where(F.col("predicate").isin(*SINGLE_CURRENT_OF_TASK) & ~single).join(tasks, "subject_id", "left_anti").select(*claims.columns))

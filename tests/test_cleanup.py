@@ -1,12 +1,13 @@
 """The cleanup log: the cases of the data model, a user each, in one call."""
 
 import datetime as dt
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from tessera.operators.cleanup import OPERATION, apply_cleanup, components
-from tessera.storage import new_folder
+from tessera.storage import new_folder, saved
 
 CLAIM = "claim_id string, user_id string, subject_id string, object_id string, object_value string, predicate string, statement string, source_id string, scope string, asserted_by_kind string, asserted_by_id string, stated_at timestamp, valid_from timestamp, valid_to timestamp, status string, created_at timestamp, updated_at timestamp"
 T0 = dt.datetime(2024, 1, 1)
@@ -182,3 +183,51 @@ def test_runs_that_share_nothing_make_no_edges(spark, monkeypatch):
     monkeypatch.setattr(cleanup, "components", lambda e, folder: found(edges.append(e.count()) or e, folder))
     result = w.apply(spark)
     assert edges[0] <= 2 and {r.status for r in result.claims.collect()} == {"retracted"}
+
+
+def claims_only() -> World:
+    """Random runs that only retract and contradict: chains, shapes, claims that several runs name, and some that are missing."""
+    draw, w = random.Random(7), World()
+    for u in ("u1", "u2"):
+        for i in range(6):
+            w.node(u, f"{u}p{i}"), w.node(u, f"{u}t{i}", "Task"), w.node(u, f"{u}d{i}", "Temporal")
+        for i in range(60):
+            predicate = draw.choice(("HAS_STATUS", "DUE_ON", "LOCATED_IN", "RELATED_TO", "ASSIGNED_TO", "HAS_GOAL"))
+            target = None if predicate.startswith("HAS") else f"{u}{draw.choice('ptd')}{draw.randrange(6)}"
+            w.claim(u, f"{u}c{i}", f"{u}{draw.choice('ptx')}{draw.randrange(6)}", predicate, target, None if target else f"v{i}", draw.choice(("user", "assistant_inferred", "participant")), draw.choice(("personal", "personal", "reference")), day=i % 9, status=draw.choice(("active", "active", "superseded")))
+        for i in range(80):
+            a, b = (f"{u}c{min(int(draw.expovariate(0.04)), 61)}" for _ in range(2))
+            w.op(u, *draw.choice((("retract_claim", a), ("contradict_claim", a, b))), run=f"r{draw.randrange(30)}")
+    return w
+
+
+def test_operations_on_claims_see_what_all_would(spark, monkeypatch):
+    """Groups that only retract and contradict see few rows; the outcome is the one with all rows."""
+    from tessera.operators import cleanup
+
+    found = []
+    for kinds_of_claims in (cleanup.OF_CLAIMS, ()):
+        monkeypatch.setattr(cleanup, "OF_CLAIMS", kinds_of_claims)
+        result = claims_only().apply(spark)
+        found.append([sorted(map(repr, df.collect())) for df in (result.outcomes, result.claims)])
+    assert found[0] == found[1] and len({r.split("outcome=")[1][:7] for r in found[0][0]}) == 3
+
+
+def test_operations_on_claims_read_no_nodes(spark, monkeypatch):
+    """What groups that only retract and contradict see grows with the claims they name, not with the nodes at their ends."""
+    from tessera.operators import cleanup
+
+    w, written = World(), {}
+    for n in range(20):
+        w.node("u", f"task{n}", "Task"), w.node("u", f"part{n}", "Object")
+        w.claim("u", f"k{n}", f"task{n}", "RELATED_TO", f"part{n}", kind="assistant_inferred")
+        w.op("u", "retract_claim", f"k{n}", run=f"r{n}")
+
+    def spy(df, path):
+        out = saved(df, path)
+        written[path.split("/")[-1]] = out.count()
+        return out
+
+    monkeypatch.setattr(cleanup, "saved", spy)
+    assert {r.status for r in w.apply(spark).claims.collect()} == {"retracted"}
+    assert max(written.values()) == written["done"] == 40  # an outcome and an effect each; no table holds the ends
