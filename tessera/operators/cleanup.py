@@ -295,10 +295,10 @@ def apply_cleanup(operations: DataFrame, temps: DataFrame, claims: DataFrame, no
     own = claims.select("claim_id", "user_id", "subject_id", "object_id", "object_value", "predicate", "status", "asserted_by_kind", "scope", "source_id", "stated_at", "created_at", "asserted_by_id")
     key = ["user_id", "run"]
     # Who names a claim is dealt by claim, which its rows, the first and last run that name it and the join all go by.
-    named = ops.select(*key, F.explode(F.array_compact(F.array("claim_id", "cited_id"))).alias("claim_id")).repartition("user_id", "claim_id").distinct()
+    refs = ops.select(*key, F.explode(F.array_compact(F.array("claim_id", "cited_id"))).alias("claim_id")).repartition("user_id", "claim_id").distinct()
     runs_of = W.partitionBy("user_id", "claim_id")
-    named = named.join(own, ["user_id", "claim_id"]).withColumn("_low", F.min("run").over(runs_of)).withColumn("_high", F.max("run").over(runs_of))
-    named = saved(named, f"{folder}/named")
+    refs = refs.withColumn("_low", F.min("run").over(runs_of)).withColumn("_high", F.max("run").over(runs_of))
+    named = saved(refs.join(own, ["user_id", "claim_id"]), f"{folder}/named")
     used = ops.select(*key, "kind", "predicate", "text", "temp_id", F.explode(F.array_compact(F.concat(F.array("temp_id", "object_temp_id"), F.coalesce("removed", F.array().cast("array<string>"))))).alias("_temp"))
     used = saved(used.join(temps.withColumnRenamed("temp_id", "_temp"), [*key, "_temp"]), f"{folder}/used")
     ends = named.select(*key, F.explode(F.array_compact(F.array("subject_id", "object_id"))).alias("ref")).union(used.select(*key, F.col("node_id").alias("ref")))
